@@ -39,21 +39,25 @@ def delivered(orders: DataFrame) -> DataFrame:
     return orders.where(is_delivered())
 
 
-def user_rollup(orders: DataFrame) -> DataFrame:
+def user_days(orders: DataFrame) -> DataFrame:
+    """Distinct (user, day) rows with the day's order count and exact money sums."""
+    return orders.groupBy("user_id", "order_date").agg(
+        F.count(F.lit(1)).alias("n"),
+        money_sum("order_value").alias("monetary"),
+        F.coalesce(F.sum(net_revenue()), F.lit(0).cast("decimal(18,4)")).alias("ltv"),
+        F.max(F.col("is_scheduled_order").cast("int")).alias("sched"))
+
+
+def user_rollup_from_days(days: DataFrame) -> DataFrame:
     """One row per ordering user (null user included as a group).
 
     Columns: user_id, n_orders, first_order_date, last_order_date, active_months, monetary (DECIMAL,
     all statuses), ltv (DECIMAL net revenue, all statuses), has_scheduled, retained_d7, retained_d30.
 
-    Retention needs each user's first date before looking at later orders. Orders are first
-    collapsed to distinct (user, day) rows, which bounds a user's group by the calendar span of
-    the data, so the per-user window that finds the first day never sees an unbounded group.
+    Retention needs each user's first date before looking at later orders. Working on distinct
+    (user, day) rows bounds a user's group by the calendar span of the data, so the per-user window
+    that finds the first day never sees an unbounded group, however many orders a user has.
     """
-    days = orders.groupBy("user_id", "order_date").agg(
-        F.count(F.lit(1)).alias("n"),
-        money_sum("order_value").alias("monetary"),
-        F.coalesce(F.sum(net_revenue()), F.lit(0).cast("decimal(18,4)")).alias("ltv"),
-        F.max(F.col("is_scheduled_order").cast("int")).alias("sched"))
     first = F.min("order_date").over(Window.partitionBy("user_id"))
     offset = F.datediff(F.col("order_date"), F.col("_first"))
     return days.withColumn("_first", first).groupBy("user_id").agg(
@@ -68,6 +72,10 @@ def user_rollup(orders: DataFrame) -> DataFrame:
         F.max(offset.between(1, 30).cast("int")).alias("retained_d30"))
 
 
+def user_rollup(orders: DataFrame) -> DataFrame:
+    return user_rollup_from_days(user_days(orders))
+
+
 def session_rollup(events: DataFrame) -> DataFrame:
     """One row per session: start, end, whole-second duration."""
     return (events.groupBy("session_id")
@@ -80,5 +88,6 @@ def restaurant_rollup(orders: DataFrame, split_date: dt.date) -> DataFrame:
     first_half = F.col("order_date") < F.lit(split_date)
     return orders.groupBy("restaurant_id").agg(
         F.coalesce(F.sum(F.when(is_delivered(), money("order_value"))), F.lit(0).cast("decimal(18,4)")).alias("gmv"),
+        F.max(F.when(is_delivered(), 1).otherwise(0)).alias("has_delivered"),
         F.max(F.when(first_half, 1).otherwise(0)).alias("in_h1"),
         F.max(F.when(first_half, 0).otherwise(1)).alias("in_h2"))

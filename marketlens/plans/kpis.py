@@ -1,222 +1,225 @@
 """Scalar KPI families A-L: each is a one-row DataFrame whose columns are the KPI names.
 
-Every family is a handful of global aggregates over the shared rollups, joined as one-row frames.
-Nothing is collected: a caller may ``first()`` the row or write it out.
+KPIs are computed from a few fused one-row "parts" instead of one aggregate per metric:
+
+- ``orders``: one pass over orders with conditional aggregates (counts, exact money sums, times,
+  A/B moments): serves revenue, operations, product, conversion, A/B and most of marketplace;
+- ``users`` / ``user_rollup``: one pass over users, one over the per-user rollup (retention, LTV,
+  scheduled adoption, distinct ordering users);
+- ``periods``, ``sessions``, ``restaurants``, ``nps``, ``demographics``, ``ttfo``, ``subscribers``.
+
+A family joins only the parts it needs; ``kpi_all`` joins every part once, so each base table is
+scanned a handful of times for all 61 KPIs. Nothing is collected.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions.dates import month_key, week_key, whole_minutes
 from marketlens.functions.numeric import (count_if, mean_bool, money, money_sum, n_unique, pct, pct_or_zero, ratio,
                                           to_double)
 from marketlens.functions.stats import normal_two_sided_p, student_t_two_sided_p
-from marketlens.model import AB_GROUPS, FUNNEL_STAGES, KpiConfig, Marketplace
+from marketlens.model import AB_GROUPS, KpiConfig, Marketplace
 from marketlens.operators.rollups import (commission, delivered, is_cancelled, is_delivered, net_revenue,
-                                          restaurant_rollup, session_rollup, user_rollup)
+                                          restaurant_rollup, session_rollup, user_days, user_rollup_from_days)
 
 P_VALUE_DECIMALS = 10
+DEMO_KPI_PREFIX = {"gender": "top_gender", "profession": "top_profession", "income_bracket": "top_income",
+                   "age_group": "top_age_group"}
 
 
-def _row(*frames: DataFrame) -> DataFrame:
+def _one(*frames: DataFrame) -> DataFrame:
     """Join one-row frames side by side (each is a global aggregate, so exactly one row)."""
     return reduce(lambda a, b: a.crossJoin(b), frames)
 
 
-def _base_counts(m: Marketplace) -> DataFrame:
-    return _row(m.users.agg(F.count(F.lit(1)).alias("n_users")),
-                m.orders.agg(F.count(F.lit(1)).alias("n_orders"), n_unique("user_id").alias("n_order_users"),
-                             count_if(is_delivered()).alias("n_delivered")))
+def _dsum(c: Column) -> Column:
+    return F.coalesce(F.sum(c), F.lit(0).cast("decimal(18,4)"))
+
+
+# ---- parts -------------------------------------------------------------------------------------
+def part_orders(m: Marketplace) -> DataFrame:
+    d = is_delivered()
+
+    def when_d(c: Column) -> Column:
+        return F.when(d, c)
+
+    aggs = [
+        F.count(F.lit(1)).alias("n_orders"), count_if(d).alias("n_delivered"), count_if(is_cancelled()).alias("n_cancelled"),
+        _dsum(when_d(money("order_value"))).alias("_gmv"), _dsum(when_d(commission())).alias("_commission"),
+        _dsum(when_d(money("delivery_fee"))).alias("_fees"),
+        F.sum(when_d(net_revenue())).alias("_margin"), F.count(when_d(net_revenue())).alias("_n_margin"),
+        F.count(when_d(F.col("order_value"))).alias("_n_value"),
+        F.avg(when_d(whole_minutes("order_placed_time", "delivered_time"))).alias("avg_delivery_time"),
+        mean_bool(when_d(F.col("delivered_time") <= F.col("promised_delivery_time"))).alias("_on_time"),
+        F.avg(when_d(whole_minutes("order_accepted_time", "ready_time"))).alias("avg_prep_time"),
+        mean_bool(when_d(F.col("wrong_item_flag"))).alias("_wrong"),
+        _dsum(when_d(money("delivery_cost_to_rider"))).alias("_rider"),
+        F.avg(when_d(F.col("rating"))).alias("overall_avg_rating"),
+        count_if(F.col("is_promo_used")).alias("_promo"), F.avg("items_count").alias("avg_basket_size"),
+        F.datediff(F.max("order_date"), F.min("order_date")).alias("_days"),
+    ]
+    for prefix, group in zip(("c", "t"), AB_GROUPS):
+        g = F.col("ab_test_group") == group
+        dv = g & d
+        aggs += [count_if(g).alias(f"{prefix}_n"), count_if(dv).alias(f"{prefix}_x"),
+                 F.count(F.when(dv, F.col("order_value"))).alias(f"{prefix}_k"),
+                 _dsum(F.when(dv, money("order_value"))).alias(f"{prefix}_s1"),
+                 F.coalesce(F.sum(F.when(dv, money("order_value") * money("order_value"))), F.lit(0)).alias(f"{prefix}_s2")]
+    return m.orders.agg(*aggs)
+
+
+def part_users(m: Marketplace) -> DataFrame:
+    return m.users.agg(F.count(F.lit(1)).alias("n_users"), n_unique(month_key("signup_date")).alias("_months"))
+
+
+def _rollup(m: Marketplace) -> DataFrame:
+    return user_rollup_from_days(user_days(m.orders))
+
+
+def part_user_rollup(m: Marketplace, cfg: KpiConfig) -> DataFrame:
+    ur = _rollup(m)
+    r = ur.agg(
+        F.count(F.lit(1)).alias("n_order_users"),
+        count_if(F.col("retained_d7") == 1).alias("_d7"), count_if(F.col("retained_d30") == 1).alias("_d30"),
+        count_if(F.col("n_orders") >= 2).alias("_repeat"),
+        F.coalesce(F.sum(F.when(F.col("active_months") >= 2, F.col("n_orders"))), F.lit(0)).alias("_ret_orders"),
+        count_if(F.col("active_months") >= 2).alias("_ret_users"),
+        count_if(F.col("has_scheduled") == 1).alias("_sched"),
+        F.sum("ltv").alias("_ltv"))
+    if cfg.ltv_delivered_only:
+        ltv = user_rollup_from_days(user_days(delivered(m.orders))).agg(F.sum("ltv").alias("_ltv"),
+                                                                         F.count(F.lit(1)).alias("_ltv_n"))
+        return r.drop("_ltv").crossJoin(ltv)
+    return r.withColumn("_ltv_n", F.col("n_order_users"))
 
 
-# ---- A. acquisition ---------------------------------------------------------------------------
-def acquisition_parts(m: Marketplace, cfg: KpiConfig) -> DataFrame:
-    firsts = user_rollup(m.orders).select("user_id", "first_order_date")
-    ttfo = (m.users.join(firsts, "user_id").select(F.datediff("first_order_date", "signup_date").alias("d"))
-            .where(F.col("d") >= 0).agg(F.avg("d").alias("avg_ttfo")))
-    months = m.users.agg(n_unique(month_key("signup_date")).alias("months_covered"))
-    return _row(_base_counts(m), ttfo, months).withColumn(
-        "cac", F.lit(float(cfg.monthly_marketing_spend)) * F.col("months_covered") / F.col("n_order_users"))
+def part_ttfo(m: Marketplace) -> DataFrame:
+    firsts = _rollup(m).select("user_id", "first_order_date")
+    return (m.users.select("user_id", "signup_date").join(firsts, "user_id")
+            .select(F.datediff("first_order_date", "signup_date").alias("d")).where(F.col("d") >= 0)
+            .agg(F.avg("d").alias("avg_ttfo")))
 
 
-def kpi_acquisition(m: Marketplace, cfg: KpiConfig = KpiConfig()) -> DataFrame:
-    p = acquisition_parts(m, cfg)
-    return p.select(pct(F.col("n_order_users"), F.col("n_users")).alias("activation_rate"), "avg_ttfo", "cac")
+def part_subscribers(m: Marketplace) -> DataFrame:
+    return (m.users.where(F.col("is_subscriber")).select("user_id").join(_rollup(m).select("user_id"), "user_id", "left_semi")
+            .agg(F.count(F.lit(1)).alias("_subs")))
 
 
-# ---- B. engagement ----------------------------------------------------------------------------
-def kpi_engagement(m: Marketplace, cfg: KpiConfig = KpiConfig()) -> DataFrame:
-    o = m.orders
+def part_periods(m: Marketplace, cfg: KpiConfig) -> DataFrame:
+    """Mean distinct ordering users per day, week and month, from distinct (user, day) rows."""
+    days = user_days(m.orders).select("user_id", "order_date")
 
     def avg_active(period: Column, name: str) -> DataFrame:
-        return o.groupBy(period.alias("_p")).agg(n_unique("user_id").alias("_a")).agg(F.avg("_a").alias(name))
+        return (days.select("user_id", period.alias("_p")).groupBy("_p").agg(n_unique("user_id").alias("_a"))
+                .agg(F.avg("_a").alias(name)))
 
-    per_user_sessions = (m.events.groupBy("user_id").agg(n_unique("session_id").alias("_s"))
-                         .agg(F.avg("_s").alias("avg_session_frequency")))
-    durations = session_rollup(m.events).agg(F.avg("duration_sec").alias("avg_session_duration_sec"))
-    opu = o.agg(ratio(F.count(F.lit(1)), n_unique("user_id")).alias("orders_per_user"))
-    row = _row(avg_active(F.col("order_date"), "avg_dau"), avg_active(week_key("order_date", cfg.week_key), "avg_wau"),
-               avg_active(F.col("order_month"), "avg_mau"), opu, per_user_sessions, durations)
-    return row.select("avg_dau", "avg_wau", "avg_mau", (F.col("avg_dau") / F.col("avg_mau") * 100).alias("stickiness"),
-                      "orders_per_user", "avg_session_frequency", "avg_session_duration_sec")
+    return _one(avg_active(F.col("order_date"), "avg_dau"), avg_active(week_key("order_date", cfg.week_key), "avg_wau"),
+                avg_active(month_key("order_date"), "avg_mau"))
 
 
-# ---- C. conversion ----------------------------------------------------------------------------
 def stage_sessions(events: DataFrame) -> DataFrame:
     """Distinct sessions per event name (stages counted independently, not as a sequence)."""
     return events.groupBy("event_name").agg(n_unique("session_id").alias("sessions"))
 
 
-def kpi_conversion(m: Marketplace, cfg: KpiConfig = KpiConfig()) -> DataFrame:
+def part_sessions(m: Marketplace) -> DataFrame:
+    sessions = session_rollup(m.events).agg(F.avg("duration_sec").alias("avg_session_duration_sec"),
+                                            F.count(F.lit(1)).alias("_total_sessions"))
+    per_user = (m.events.groupBy("user_id").agg(n_unique("session_id").alias("_s"))
+                .agg(F.avg("_s").alias("avg_session_frequency")))
     stages = stage_sessions(m.events).agg(*[
-        F.coalesce(F.max(F.when(F.col("event_name") == s, F.col("sessions"))), F.lit(0)).alias(s)
+        F.coalesce(F.max(F.when(F.col("event_name") == s, F.col("sessions"))), F.lit(0)).alias(f"_{s}")
         for s in ("menu_view", "add_to_cart", "checkout_started")])
-    total = m.events.agg(n_unique("session_id").alias("total_sessions"))
-    row = _row(_base_counts(m), stages, total)
-    return row.select(
-        pct_or_zero(F.col("n_orders"), F.col("total_sessions")).alias("visitor_to_order_conv"),
-        pct_or_zero(F.col("add_to_cart"), F.col("menu_view")).alias("menu_to_cart_rate"),
-        F.when(F.col("add_to_cart") == 0, F.lit(0.0))
-         .otherwise((1 - F.col("checkout_started") / F.col("add_to_cart")) * 100).alias("cart_abandonment"),
-        pct(F.col("n_delivered"), F.col("n_orders")).alias("order_completion_rate"))
-
-
-# ---- D. revenue -------------------------------------------------------------------------------
-def revenue_parts(m: Marketplace) -> DataFrame:
-    d = delivered(m.orders).agg(
-        money_sum("order_value").alias("_gmv"),
-        F.coalesce(F.sum(commission()), F.lit(0)).alias("_commission"),
-        money_sum("delivery_fee").alias("_fees"),
-        F.sum(net_revenue()).alias("_margin"), F.count(net_revenue()).alias("_n_margin"),
-        F.count("order_value").alias("_n_value"))
-    return _row(_base_counts(m), d).withColumns({
-        "gmv": to_double(F.col("_gmv")),
-        "_platform": to_double(F.col("_commission") + F.col("_fees")),
-        "aov": ratio(to_double(F.col("_gmv")), F.col("_n_value")),
-        "avg_contribution_margin": ratio(to_double(F.col("_margin")), F.col("_n_margin")),
-    })
-
-
-def kpi_revenue(m: Marketplace, cfg: KpiConfig = KpiConfig()) -> DataFrame:
-    p = revenue_parts(m)
-    return p.select("gmv", "aov",
-                    ratio(F.col("_platform"), F.col("n_users")).alias("arpu"),
-                    ratio(F.col("_platform"), F.col("n_order_users")).alias("arppu"),
-                    pct(to_double(F.col("_commission")), F.col("gmv")).alias("take_rate"),
-                    "avg_contribution_margin")
-
-
-# ---- E. retention -----------------------------------------------------------------------------
-def kpi_retention(m: Marketplace, cfg: KpiConfig = KpiConfig()) -> DataFrame:
-    users = user_rollup(m.orders)
-    r = users.agg(
-        count_if(F.col("retained_d7") == 1).alias("_d7"), count_if(F.col("retained_d30") == 1).alias("_d30"),
-        count_if(F.col("n_orders") >= 2).alias("_repeat"), F.count(F.lit(1)).alias("_customers"),
-        F.coalesce(F.sum(F.when(F.col("active_months") >= 2, F.col("n_orders"))), F.lit(0)).alias("_ret_orders"),
-        count_if(F.col("active_months") >= 2).alias("_ret_users"),
-        F.sum("ltv").alias("_ltv"))
-    if cfg.ltv_delivered_only:
-        ltv = user_rollup(delivered(m.orders)).agg(F.sum("ltv").alias("_ltv"), F.count(F.lit(1)).alias("_ltv_n"))
-        r = r.drop("_ltv").crossJoin(ltv)
-    else:
-        r = r.withColumn("_ltv_n", F.col("_customers"))
-    nps = m.nps.agg(count_if(F.col("nps_score") >= 9).alias("_prom"), count_if(F.col("nps_score") <= 6).alias("_detr"),
-                    F.count(F.lit(1)).alias("_resp"))
-    row = _row(acquisition_parts(m, cfg).select("n_users", "cac"), r, nps)
-    d30 = pct(F.col("_d30"), F.col("n_users"))
-    avg_ltv = ratio(to_double(F.col("_ltv")), F.col("_ltv_n"))
-    return row.select(
-        pct(F.col("_d7"), F.col("n_users")).alias("d7"), d30.alias("d30"), (100 - d30).alias("churn_d30"),
-        pct(F.col("_repeat"), F.col("_customers")).alias("repeat_rate"),
-        F.when(F.col("_ret_users") == 0, F.lit(0.0)).otherwise(ratio(F.col("_ret_orders"), F.col("_ret_users")))
-         .alias("order_frequency_retained"),
-        avg_ltv.alias("avg_ltv"), (avg_ltv / F.col("cac")).alias("ltv_cac_ratio"),
-        F.when(F.col("_resp") == 0, F.lit(0.0))
-         .otherwise((F.col("_prom") / F.col("_resp") - F.col("_detr") / F.col("_resp")) * 100).alias("nps_score"))
-
-
-# ---- F. operations ----------------------------------------------------------------------------
-def kpi_operations(m: Marketplace, cfg: KpiConfig = KpiConfig()) -> DataFrame:
-    all_orders = m.orders.agg(count_if(is_cancelled()).alias("_cancelled"), F.count(F.lit(1)).alias("_n"))
-    d = delivered(m.orders).agg(
-        F.avg(whole_minutes("order_placed_time", "delivered_time")).alias("avg_delivery_time"),
-        mean_bool(F.col("delivered_time") <= F.col("promised_delivery_time")).alias("_on_time"),
-        F.avg(whole_minutes("order_accepted_time", "ready_time")).alias("avg_prep_time"),
-        mean_bool(F.col("wrong_item_flag")).alias("_wrong"),
-        money_sum("delivery_cost_to_rider").alias("_rider"), F.count(F.lit(1)).alias("_nd"))
-    return _row(all_orders, d).select(
-        pct(F.col("_cancelled"), F.col("_n")).alias("cancellation_rate"), "avg_delivery_time",
-        (F.col("_on_time") * 100).alias("on_time_rate"), "avg_prep_time",
-        ((1 - F.col("_wrong")) * 100).alias("order_accuracy_rate"),
-        ratio(to_double(F.col("_rider")), F.col("_nd")).alias("cost_per_delivery"))
-
-
-# ---- G. marketplace ---------------------------------------------------------------------------
+    return _one(sessions, per_user, stages)
+
+
 def top_restaurant_gmv(m: Marketplace, k: int = 10) -> DataFrame:
     per = delivered(m.orders).groupBy("restaurant_id").agg(money_sum("order_value").alias("gmv"))
     return per.orderBy(F.desc("gmv"), F.asc("restaurant_id")).limit(k)
 
 
-def kpi_marketplace(m: Marketplace, cfg: KpiConfig = KpiConfig()) -> DataFrame:
-    rest = restaurant_rollup(m.orders, cfg.split_date).agg(
-        count_if(F.col("in_h1") == 1).alias("_h1"), count_if((F.col("in_h1") == 1) & (F.col("in_h2") == 0)).alias("_lost"))
-    active = m.orders.agg(n_unique("restaurant_id").alias("active_restaurants"),
-                          count_if(is_delivered()).alias("_nd"),
-                          F.avg(F.when(is_delivered(), F.col("rating"))).alias("overall_avg_rating"),
-                          money_sum(F.when(is_delivered(), F.col("order_value"))).alias("_gmv"))
+def part_restaurants(m: Marketplace, cfg: KpiConfig) -> DataFrame:
+    rest = restaurant_rollup(m.orders, cfg.split_date)
+    counts = rest.agg(F.count(F.lit(1)).alias("active_restaurants"), count_if(F.col("in_h1") == 1).alias("_h1"),
+                      count_if((F.col("in_h1") == 1) & (F.col("in_h2") == 0)).alias("_lost"))
+    top = (rest.where(F.col("has_delivered") == 1).orderBy(F.desc("gmv"), F.asc("restaurant_id")).limit(10)
+           .agg(_dsum(F.col("gmv")).alias("_top")))
     total = m.restaurants.agg(n_unique("restaurant_id").alias("total_restaurants"))
-    top = top_restaurant_gmv(m).agg(money_sum("gmv").alias("_top"))
-    row = _row(active, total, rest, top)
-    return row.select(
-        "active_restaurants", "total_restaurants",
-        ratio(F.col("_nd"), F.col("active_restaurants")).alias("restaurant_utilization"),
-        pct_or_zero(F.col("_lost"), F.col("_h1")).alias("restaurant_churn_rate"),
-        "overall_avg_rating",
-        pct(to_double(F.col("_top")), to_double(F.col("_gmv"))).alias("top10_share"))
-
-
-# ---- H. product -------------------------------------------------------------------------------
-def kpi_product(m: Marketplace, cfg: KpiConfig = KpiConfig()) -> DataFrame:
-    o = m.orders
-    base = o.agg(n_unique("user_id").alias("_active"), count_if(F.col("is_promo_used")).alias("_promo"),
-                 F.count(F.lit(1)).alias("_n"), F.avg("items_count").alias("avg_basket_size"))
-    sched = o.where(F.col("is_scheduled_order")).agg(n_unique("user_id").alias("_sched"))
-    subs = (m.users.where(F.col("is_subscriber")).join(o.select("user_id"), "user_id", "left_semi")
-            .agg(F.count(F.lit(1)).alias("_subs")))
-    return _row(base, sched, subs).select(
-        pct(F.col("_sched"), F.col("_active")).alias("scheduled_order_adoption"),
-        pct(F.col("_subs"), F.col("_active")).alias("subscriber_adoption"),
-        pct(F.col("_promo"), F.col("_n")).alias("promo_dependency"), "avg_basket_size")
+    return _one(counts, top, total)
 
 
-# ---- J. lifetime value ------------------------------------------------------------------------
-def kpi_clv(m: Marketplace, cfg: KpiConfig = KpiConfig()) -> DataFrame:
-    span = m.orders.agg(F.datediff(F.max("order_date"), F.min("order_date")).alias("_days"))
-    rev = revenue_parts(m).select("aov", "avg_contribution_margin", "n_orders", "n_order_users")
-    row = _row(rev, span)
-    years = F.greatest(F.col("_days") / 365.25, F.lit(1 / 365.25))
-    freq = ratio(F.col("n_orders"), F.col("n_order_users")) / years
-    margin_pct = F.col("avg_contribution_margin") / F.col("aov")
-    return row.select((F.col("aov") * freq * margin_pct * F.lit(cfg.lifespan_years)).alias("clv_formulaic"),
-                      F.lit(cfg.lifespan_years).alias("assumed_lifespan_years"))
+def part_nps(m: Marketplace) -> DataFrame:
+    return m.nps.agg(count_if(F.col("nps_score") >= 9).alias("_prom"), count_if(F.col("nps_score") <= 6).alias("_detr"),
+                     F.count(F.lit(1)).alias("_resp"))
 
 
-# ---- K. A/B test ------------------------------------------------------------------------------
-def ab_parts(m: Marketplace) -> DataFrame:
-    """Per-group counts and exact delivered-value moments, as one row (c_* = Control, t_* = Treatment)."""
-    aggs = []
-    for prefix, group in zip(("c", "t"), AB_GROUPS):
-        g = F.col("ab_test_group") == group
-        dv = g & is_delivered()
-        aggs += [count_if(g).alias(f"{prefix}_n"), count_if(dv).alias(f"{prefix}_x"),
-                 F.count(F.when(dv, F.col("order_value"))).alias(f"{prefix}_k"),
-                 money_sum(F.when(dv, F.col("order_value"))).alias(f"{prefix}_s1"),
-                 F.coalesce(F.sum(F.when(dv, money("order_value") * money("order_value"))), F.lit(0)).alias(f"{prefix}_s2")]
-    return m.orders.agg(*aggs)
+def demo_long(m: Marketplace) -> DataFrame:
+    """Delivered GMV per (dimension, value) for the four user attributes in one grouping-sets pass."""
+    d = delivered(m.orders).select("user_id", "order_value").join(
+        m.users.select("user_id", *DEMO_KPI_PREFIX), "user_id")
+    g = d.groupingSets([[c] for c in DEMO_KPI_PREFIX], *DEMO_KPI_PREFIX).agg(
+        money_sum("order_value").alias("_gmv"), *[F.grouping(c).alias(f"_g_{c}") for c in DEMO_KPI_PREFIX])
+    dim = reduce(lambda acc, c: acc.when(F.col(f"_g_{c}") == 0, F.lit(c)), list(DEMO_KPI_PREFIX)[1:],
+                 F.when(F.col(f"_g_{list(DEMO_KPI_PREFIX)[0]}") == 0, F.lit(list(DEMO_KPI_PREFIX)[0])))
+    value = F.coalesce(*[F.when(F.col(f"_g_{c}") == 0, F.col(c)) for c in DEMO_KPI_PREFIX])
+    return g.select(dim.alias("dimension"), value.alias("value"), to_double(F.col("_gmv")).alias("gmv"))
+
+
+def part_demographics(m: Marketplace) -> DataFrame:
+    """Best value by GMV per attribute (ties -> smaller label); the window sees one row per label."""
+    best = F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("gmv"), F.asc("value")))
+    top = demo_long(m).withColumn("_rn", best).where(F.col("_rn") == 1)
+    cols = []
+    for dim, prefix in DEMO_KPI_PREFIX.items():
+        cols += [F.max(F.when(F.col("dimension") == dim, F.col("value"))).alias(prefix),
+                 F.max(F.when(F.col("dimension") == dim, F.col("gmv"))).alias(f"_{prefix}")]
+    return top.agg(*cols)
+
+
+# ---- derived columns ---------------------------------------------------------------------------
+def _cac(cfg: KpiConfig) -> Column:
+    return F.lit(float(cfg.monthly_marketing_spend)) * F.col("_months") / F.col("n_order_users")
+
+
+def _gmv() -> Column:
+    return to_double(F.col("_gmv"))
+
+
+def _aov() -> Column:
+    return ratio(_gmv(), F.col("_n_value"))
+
+
+def _margin() -> Column:
+    return ratio(to_double(F.col("_margin")), F.col("_n_margin"))
+
+
+def _platform() -> Column:
+    return to_double(F.col("_commission") + F.col("_fees"))
+
+
+def _d30() -> Column:
+    return pct(F.col("_d30"), F.col("n_users"))
+
+
+def _avg_ltv() -> Column:
+    return ratio(to_double(F.col("_ltv")), F.col("_ltv_n"))
+
+
+def ab_columns() -> dict[str, Column]:
+    """Both A/B tests from the c_*/t_* moments of ``part_orders`` (c = Control, t = Treatment)."""
+    mean = {g: to_double(F.col(f"{g}_s1")) / F.col(f"{g}_k") for g in ("c", "t")}
+    var = {g: (to_double(F.col(f"{g}_s2")) - to_double(F.col(f"{g}_s1")) * to_double(F.col(f"{g}_s1")) / F.col(f"{g}_k"))
+           / (F.col(f"{g}_k") - 1) for g in ("c", "t")}
+    w = welch(mean["t"], var["t"], F.col("t_k"), mean["c"], var["c"], F.col("c_k"))
+    z = pooled_z(F.col("c_x"), F.col("c_n"), F.col("t_x"), F.col("t_n"))
+    available = (F.col("c_n") > 0) & (F.col("t_n") > 0) & (F.col("c_k") >= 2) & (F.col("t_k") >= 2)
+    return {"ab_available": available, "p1": z["p1"], "p2": z["p2"], "z": z["z"], "p_completion": z["p"],
+            "control_mean": mean["c"], "treat_mean": mean["t"], "t": w["t"], "df": w["df"], "p_aov": w["p"]}
 
 
 def welch(mean_a: Column, var_a: Column, n_a: Column, mean_b: Column, var_b: Column, n_b: Column) -> dict[str, Column]:
@@ -238,30 +241,112 @@ def pooled_z(x1: Column, n1: Column, x2: Column, n2: Column) -> dict[str, Column
 
 
 def ab_tests(m: Marketplace) -> DataFrame:
-    """One row with both tests' raw statistics (shared by ``kpi_ab_test`` and ``welch_test``)."""
-    p = ab_parts(m)
-    mean = {g: to_double(F.col(f"{g}_s1")) / F.col(f"{g}_k") for g in ("c", "t")}
-    var = {g: (to_double(F.col(f"{g}_s2")) - to_double(F.col(f"{g}_s1")) * to_double(F.col(f"{g}_s1")) / F.col(f"{g}_k"))
-           / (F.col(f"{g}_k") - 1) for g in ("c", "t")}
-    w = welch(mean["t"], var["t"], F.col("t_k"), mean["c"], var["c"], F.col("c_k"))
+    """One row with both tests' raw statistics. The moments are projected first so the long
+    p-value expressions refer to plain columns."""
+    stats = part_orders(m).select([c.alias(n) for n, c in ab_columns().items() if n not in ("p_completion", "p_aov")] +
+                                  [F.col(c) for c in ("c_n", "t_n", "c_x", "t_x")])
     z = pooled_z(F.col("c_x"), F.col("c_n"), F.col("t_x"), F.col("t_n"))
-    available = (F.col("c_n") > 0) & (F.col("t_n") > 0) & (F.col("c_k") >= 2) & (F.col("t_k") >= 2)
-    return p.select(available.alias("ab_available"), z["p1"].alias("p1"), z["p2"].alias("p2"), z["z"].alias("z"),
-                    z["p"].alias("p_completion"), mean["c"].alias("control_mean"), mean["t"].alias("treat_mean"),
-                    w["t"].alias("t"), w["df"].alias("df"), w["p"].alias("p_aov"))
+    return stats.select("*", z["p"].alias("p_completion"),
+                        F.when(F.col("df").isNotNull(), student_t_two_sided_p(F.col("t"), F.col("df"))).alias("p_aov"))
 
 
-def kpi_ab_test(m: Marketplace, cfg: KpiConfig = KpiConfig()) -> DataFrame:
-    s = ab_tests(m)
-    on = F.col("ab_available")
-
+# ---- families: (parts, columns) ----------------------------------------------------------------
+def _families(cfg: KpiConfig) -> dict[str, tuple[list[str], list[Column]]]:
     def gated(c: Column, name: str) -> Column:
-        return F.when(on, c).alias(name)
+        return F.when(F.col("ab_available"), c).alias(name)
 
-    return s.select("ab_available", gated(F.col("p1"), "ab_p1"), gated(F.col("p2"), "ab_p2"),
-                    gated(F.round("p_completion", P_VALUE_DECIMALS), "ab_p_value_completion"),
-                    gated(F.col("control_mean"), "ab_control_aov_mean"), gated(F.col("treat_mean"), "ab_treat_aov_mean"),
-                    gated(F.round("p_aov", P_VALUE_DECIMALS), "ab_p_value_aov"))
+    demo_cols = []
+    for prefix in DEMO_KPI_PREFIX.values():
+        share = F.when(_gmv() == 0, F.lit(0.0)).otherwise(F.col(f"_{prefix}") / _gmv() * 100)
+        demo_cols += [F.col(prefix), F.when(F.col(prefix).isNotNull(), share).alias(f"{prefix}_gmv_share")]
+    years = F.greatest(F.col("_days") / 365.25, F.lit(1 / 365.25))
+    return {
+        "acquisition": (["orders", "users", "user_rollup", "ttfo"], [
+            pct(F.col("n_order_users"), F.col("n_users")).alias("activation_rate"), F.col("avg_ttfo"),
+            _cac(cfg).alias("cac")]),
+        "engagement": (["orders", "user_rollup", "periods", "sessions"], [
+            F.col("avg_dau"), F.col("avg_wau"), F.col("avg_mau"), (F.col("avg_dau") / F.col("avg_mau") * 100).alias("stickiness"),
+            ratio(F.col("n_orders"), F.col("n_order_users")).alias("orders_per_user"),
+            F.col("avg_session_frequency"), F.col("avg_session_duration_sec")]),
+        "conversion": (["orders", "sessions"], [
+            pct_or_zero(F.col("n_orders"), F.col("_total_sessions")).alias("visitor_to_order_conv"),
+            pct_or_zero(F.col("_add_to_cart"), F.col("_menu_view")).alias("menu_to_cart_rate"),
+            F.when(F.col("_add_to_cart") == 0, F.lit(0.0))
+             .otherwise((1 - F.col("_checkout_started") / F.col("_add_to_cart")) * 100).alias("cart_abandonment"),
+            pct(F.col("n_delivered"), F.col("n_orders")).alias("order_completion_rate")]),
+        "revenue": (["orders", "users", "user_rollup"], [
+            _gmv().alias("gmv"), _aov().alias("aov"), ratio(_platform(), F.col("n_users")).alias("arpu"),
+            ratio(_platform(), F.col("n_order_users")).alias("arppu"),
+            pct(to_double(F.col("_commission")), _gmv()).alias("take_rate"), _margin().alias("avg_contribution_margin")]),
+        "retention": (["users", "user_rollup", "nps"], [
+            pct(F.col("_d7"), F.col("n_users")).alias("d7"), _d30().alias("d30"), (100 - _d30()).alias("churn_d30"),
+            pct(F.col("_repeat"), F.col("n_order_users")).alias("repeat_rate"),
+            F.when(F.col("_ret_users") == 0, F.lit(0.0)).otherwise(ratio(F.col("_ret_orders"), F.col("_ret_users")))
+             .alias("order_frequency_retained"),
+            _avg_ltv().alias("avg_ltv"), (_avg_ltv() / _cac(cfg)).alias("ltv_cac_ratio"),
+            F.when(F.col("_resp") == 0, F.lit(0.0))
+             .otherwise((F.col("_prom") / F.col("_resp") - F.col("_detr") / F.col("_resp")) * 100).alias("nps_score")]),
+        "operations": (["orders"], [
+            pct(F.col("n_cancelled"), F.col("n_orders")).alias("cancellation_rate"), F.col("avg_delivery_time"),
+            (F.col("_on_time") * 100).alias("on_time_rate"), F.col("avg_prep_time"),
+            ((1 - F.col("_wrong")) * 100).alias("order_accuracy_rate"),
+            ratio(to_double(F.col("_rider")), F.col("n_delivered")).alias("cost_per_delivery")]),
+        "marketplace": (["orders", "restaurants"], [
+            F.col("active_restaurants"), F.col("total_restaurants"),
+            ratio(F.col("n_delivered"), F.col("active_restaurants")).alias("restaurant_utilization"),
+            pct_or_zero(F.col("_lost"), F.col("_h1")).alias("restaurant_churn_rate"), F.col("overall_avg_rating"),
+            pct(to_double(F.col("_top")), _gmv()).alias("top10_share")]),
+        "product": (["orders", "user_rollup", "subscribers"], [
+            pct(F.col("_sched"), F.col("n_order_users")).alias("scheduled_order_adoption"),
+            pct(F.col("_subs"), F.col("n_order_users")).alias("subscriber_adoption"),
+            pct(F.col("_promo"), F.col("n_orders")).alias("promo_dependency"), F.col("avg_basket_size")]),
+        "clv": (["orders", "user_rollup"], [
+            (_aov() * (ratio(F.col("n_orders"), F.col("n_order_users")) / years) * (_margin() / _aov())
+             * F.lit(cfg.lifespan_years)).alias("clv_formulaic"),
+            F.lit(cfg.lifespan_years).alias("assumed_lifespan_years")]),
+        "ab_test": (["ab"], [
+            F.col("ab_available"), gated(F.col("p1"), "ab_p1"), gated(F.col("p2"), "ab_p2"),
+            gated(F.round("p_completion", P_VALUE_DECIMALS), "ab_p_value_completion"),
+            gated(F.col("control_mean"), "ab_control_aov_mean"), gated(F.col("treat_mean"), "ab_treat_aov_mean"),
+            gated(F.round("p_aov", P_VALUE_DECIMALS), "ab_p_value_aov")]),
+        "demographics": (["orders", "demographics"], demo_cols),
+    }
+
+
+def _parts(m: Marketplace, cfg: KpiConfig, names: list[str]) -> DataFrame:
+    builders = {
+        "orders": lambda: part_orders(m), "users": lambda: part_users(m),
+        "user_rollup": lambda: part_user_rollup(m, cfg), "ttfo": lambda: part_ttfo(m),
+        "subscribers": lambda: part_subscribers(m), "periods": lambda: part_periods(m, cfg),
+        "sessions": lambda: part_sessions(m), "restaurants": lambda: part_restaurants(m, cfg),
+        "nps": lambda: part_nps(m), "demographics": lambda: part_demographics(m), "ab": lambda: ab_tests(m),
+    }
+    return _one(*[builders[n]() for n in names])
+
+
+def kpi_family(m: Marketplace, family: str, cfg: KpiConfig = KpiConfig()) -> DataFrame:
+    parts, cols = _families(cfg)[family]
+    return _parts(m, cfg, parts).select(*cols)
+
+
+def kpi_families(m: Marketplace, families: list[str], cfg: KpiConfig = KpiConfig()) -> DataFrame:
+    """Several families side by side, each part computed once."""
+    specs = _families(cfg)
+    needed = list(dict.fromkeys(p for f in families for p in specs[f][0]))
+    return _parts(m, cfg, needed).select(*[c for f in families for c in specs[f][1]])
+
+
+def kpi_acquisition(m, cfg=KpiConfig()): return kpi_family(m, "acquisition", cfg)  # noqa: E704
+def kpi_engagement(m, cfg=KpiConfig()): return kpi_family(m, "engagement", cfg)  # noqa: E704
+def kpi_conversion(m, cfg=KpiConfig()): return kpi_family(m, "conversion", cfg)  # noqa: E704
+def kpi_revenue(m, cfg=KpiConfig()): return kpi_family(m, "revenue", cfg)  # noqa: E704
+def kpi_retention(m, cfg=KpiConfig()): return kpi_family(m, "retention", cfg)  # noqa: E704
+def kpi_operations(m, cfg=KpiConfig()): return kpi_family(m, "operations", cfg)  # noqa: E704
+def kpi_marketplace(m, cfg=KpiConfig()): return kpi_family(m, "marketplace", cfg)  # noqa: E704
+def kpi_product(m, cfg=KpiConfig()): return kpi_family(m, "product", cfg)  # noqa: E704
+def kpi_clv(m, cfg=KpiConfig()): return kpi_family(m, "clv", cfg)  # noqa: E704
+def kpi_ab_test(m, cfg=KpiConfig()): return kpi_family(m, "ab_test", cfg)  # noqa: E704
+def kpi_demographics(m, cfg=KpiConfig()): return kpi_family(m, "demographics", cfg)  # noqa: E704
 
 
 def p_text(p: Column) -> Column:
@@ -282,11 +367,6 @@ def ab_verdict(m: Marketplace, cfg: KpiConfig = KpiConfig()) -> DataFrame:
          .otherwise(F.lit("not all metrics significant")).alias("verdict"))
 
 
-# ---- L. demographics --------------------------------------------------------------------------
-DEMO_KPI_PREFIX = {"gender": "top_gender", "profession": "top_profession", "income_bracket": "top_income",
-                   "age_group": "top_age_group"}
-
-
 def demo_breakdown(m: Marketplace, dim: str) -> DataFrame:
     """Delivered orders by a user attribute: users (distinct), orders, gmv, aov (2 dp)."""
     d = delivered(m.orders).select("user_id", "order_value").join(m.users.select("user_id", dim), "user_id")
@@ -296,48 +376,32 @@ def demo_breakdown(m: Marketplace, dim: str) -> DataFrame:
                     F.round(to_double(F.col("_gmv")) / F.col("_n"), 2).alias("aov"))
 
 
-def kpi_demographics(m: Marketplace, cfg: KpiConfig = KpiConfig()) -> DataFrame:
-    total = delivered(m.orders).agg(money_sum("order_value").alias("_total"))
-    parts = [total]
-    for dim, prefix in DEMO_KPI_PREFIX.items():
-        b = demo_breakdown(m, dim)
-        # best by gmv; ties go to the smaller label (max of (gmv, -label) is not expressible, so order + limit)
-        top = b.orderBy(F.desc("gmv"), F.asc(dim)).limit(1).select(F.col(dim).alias(prefix), F.col("gmv").alias(f"_{prefix}"))
-        parts.append(top.unionByName(
-            b.sparkSession.range(1).select(F.lit(None).cast("string").alias(prefix), F.lit(None).cast("double").alias(f"_{prefix}"))
-        ).agg(F.max(prefix).alias(prefix), F.max(f"_{prefix}").alias(f"_{prefix}")))
-    row = _row(*parts)
-    cols = []
-    for prefix in DEMO_KPI_PREFIX.values():
-        share = F.when(to_double(F.col("_total")) == 0, F.lit(0.0)).otherwise(
-            F.col(f"_{prefix}") / to_double(F.col("_total")) * 100)
-        cols += [F.col(prefix), F.when(F.col(prefix).isNotNull(), share).alias(f"{prefix}_gmv_share")]
-    return row.select(*cols)
-
-
 # ---- long form --------------------------------------------------------------------------------
-FAMILIES = {
-    "acquisition": kpi_acquisition, "engagement": kpi_engagement, "conversion": kpi_conversion,
-    "revenue": kpi_revenue, "retention": kpi_retention, "operations": kpi_operations,
-    "marketplace": kpi_marketplace, "product": kpi_product, "clv": kpi_clv, "ab_test": kpi_ab_test,
-    "demographics": kpi_demographics,
-}
+FAMILY_ORDER = ["acquisition", "engagement", "conversion", "revenue", "retention", "operations", "marketplace",
+                "product", "clv", "ab_test", "demographics"]
+FAMILIES = {name: globals()[f"kpi_{name}"] for name in FAMILY_ORDER}
 
 
-def to_long(family: str, wide: DataFrame) -> DataFrame:
+def to_long(wide: DataFrame, family_of: dict[str, str]) -> DataFrame:
     """(family, kpi, value, value_text): numbers and booleans in value, labels in value_text."""
     entries = []
     for f in wide.schema.fields:
-        name = f.dataType.simpleString()
-        if name == "string":
+        if f.dataType.simpleString() == "string":
             value, text = F.lit(None).cast("double"), F.col(f.name)
         else:
             value, text = F.col(f.name).cast("double"), F.lit(None).cast("string")
-        entries.append(F.struct(F.lit(f.name).alias("kpi"), value.alias("value"), text.alias("value_text")))
-    return wide.select(F.explode(F.array(*entries)).alias("e")).select(
-        F.lit(family).alias("family"), "e.kpi", "e.value", "e.value_text")
+        entries.append(F.struct(F.lit(family_of[f.name]).alias("family"), F.lit(f.name).alias("kpi"),
+                                value.alias("value"), text.alias("value_text")))
+    return wide.select(F.explode(F.array(*entries)).alias("e")).select("e.family", "e.kpi", "e.value", "e.value_text")
 
 
 def kpi_all(m: Marketplace, cfg: KpiConfig = KpiConfig()) -> DataFrame:
-    frames = [to_long(name, fn(m, cfg)) for name, fn in FAMILIES.items()]
-    return reduce(DataFrame.unionByName, frames)
+    """All 61 KPIs in long form from one wide row (every part computed once)."""
+    specs = _families(cfg)
+    wide = kpi_families(m, FAMILY_ORDER, cfg)
+    family_of, i = {}, 0
+    for fam in FAMILY_ORDER:
+        k = len(specs[fam][1])
+        family_of.update({name: fam for name in wide.columns[i:i + k]})
+        i += k
+    return to_long(wide, family_of)
