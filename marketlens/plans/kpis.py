@@ -14,6 +14,7 @@ scanned a handful of times for all 61 KPIs. Nothing is collected.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -210,16 +211,23 @@ def _avg_ltv() -> Column:
     return ratio(to_double(F.col("_ltv")), F.col("_ltv_n"))
 
 
-def ab_columns() -> dict[str, Column]:
-    """Both A/B tests from the c_*/t_* moments of ``part_orders`` (c = Control, t = Treatment)."""
+def ab_moments() -> dict[str, Column]:
+    """Means, Welch statistic and dof, and the pooled z, from the c_*/t_* moments of ``part_orders``
+    (c = Control, t = Treatment). The p-values are added on top of these plain columns."""
     mean = {g: to_double(F.col(f"{g}_s1")) / F.col(f"{g}_k") for g in ("c", "t")}
     var = {g: (to_double(F.col(f"{g}_s2")) - to_double(F.col(f"{g}_s1")) * to_double(F.col(f"{g}_s1")) / F.col(f"{g}_k"))
            / (F.col(f"{g}_k") - 1) for g in ("c", "t")}
-    w = welch(mean["t"], var["t"], F.col("t_k"), mean["c"], var["c"], F.col("c_k"))
-    z = pooled_z(F.col("c_x"), F.col("c_n"), F.col("t_x"), F.col("t_n"))
+    sa, sb = var["t"] / F.col("t_k"), var["c"] / F.col("c_k")
+    se2 = sa + sb
+    p1, p2 = F.col("c_x") / F.col("c_n"), F.col("t_x") / F.col("t_n")
+    pool = (F.col("c_x") + F.col("t_x")) / (F.col("c_n") + F.col("t_n"))
+    se = F.when((pool > 0) & (pool < 1), F.sqrt(pool * (1 - pool) * (1 / F.col("c_n") + 1 / F.col("t_n")))).otherwise(F.lit(0.0))
     available = (F.col("c_n") > 0) & (F.col("t_n") > 0) & (F.col("c_k") >= 2) & (F.col("t_k") >= 2)
-    return {"ab_available": available, "p1": z["p1"], "p2": z["p2"], "z": z["z"], "p_completion": z["p"],
-            "control_mean": mean["c"], "treat_mean": mean["t"], "t": w["t"], "df": w["df"], "p_aov": w["p"]}
+    return {"ab_available": available, "p1": p1, "p2": p2,
+            "z": F.when(se != 0, (p2 - p1) / se).otherwise(F.lit(0.0)), "_se": se,
+            "control_mean": mean["c"], "treat_mean": mean["t"],
+            "t": F.when(se2 > 0, (mean["t"] - mean["c"]) / F.sqrt(se2)),
+            "df": F.when(se2 > 0, (se2 * se2) / (sa * sa / (F.col("t_k") - 1) + sb * sb / (F.col("c_k") - 1)))}
 
 
 def welch(mean_a: Column, var_a: Column, n_a: Column, mean_b: Column, var_b: Column, n_b: Column) -> dict[str, Column]:
@@ -240,18 +248,18 @@ def pooled_z(x1: Column, n1: Column, x2: Column, n2: Column) -> dict[str, Column
     return {"p1": p1, "p2": p2, "z": z, "p": F.when(se != 0, normal_two_sided_p(z)).otherwise(F.lit(1.0))}
 
 
-def ab_tests(m: Marketplace) -> DataFrame:
-    """One row with both tests' raw statistics. The moments are projected first so the long
-    p-value expressions refer to plain columns."""
-    stats = part_orders(m).select([c.alias(n) for n, c in ab_columns().items() if n not in ("p_completion", "p_aov")] +
-                                  [F.col(c) for c in ("c_n", "t_n", "c_x", "t_x")])
-    z = pooled_z(F.col("c_x"), F.col("c_n"), F.col("t_x"), F.col("t_n"))
-    return stats.select("*", z["p"].alias("p_completion"),
-                        F.when(F.col("df").isNotNull(), student_t_two_sided_p(F.col("t"), F.col("df"))).alias("p_aov"))
+def ab_tests(m: Marketplace, orders_part: DataFrame | None = None) -> DataFrame:
+    """One row with both tests' statistics; the p-value integrals read projected columns only."""
+    base = orders_part if orders_part is not None else part_orders(m)
+    stats = base.select(*[c.alias(n) for n, c in ab_moments().items()])
+    return stats.select("*", F.when(F.col("_se") != 0, normal_two_sided_p(F.col("z"))).otherwise(F.lit(1.0)).alias("p_completion"),
+                        F.when(F.col("df").isNotNull(), student_t_two_sided_p(F.col("t"), F.col("df"))).alias("p_aov")
+                        ).drop("_se")
 
 
 # ---- families: (parts, columns) ----------------------------------------------------------------
-def _families(cfg: KpiConfig) -> dict[str, tuple[list[str], list[Column]]]:
+def _families(cfg: KpiConfig) -> dict[str, tuple[list[str], Callable[[], list[Column]]]]:
+    """family -> (parts it reads, builder of its output columns)."""
     def gated(c: Column, name: str) -> Column:
         return F.when(F.col("ab_available"), c).alias(name)
 
@@ -261,24 +269,24 @@ def _families(cfg: KpiConfig) -> dict[str, tuple[list[str], list[Column]]]:
         demo_cols += [F.col(prefix), F.when(F.col(prefix).isNotNull(), share).alias(f"{prefix}_gmv_share")]
     years = F.greatest(F.col("_days") / 365.25, F.lit(1 / 365.25))
     return {
-        "acquisition": (["orders", "users", "user_rollup", "ttfo"], [
+        "acquisition": (["orders", "users", "user_rollup", "ttfo"], lambda: [
             pct(F.col("n_order_users"), F.col("n_users")).alias("activation_rate"), F.col("avg_ttfo"),
             _cac(cfg).alias("cac")]),
-        "engagement": (["orders", "user_rollup", "periods", "sessions"], [
+        "engagement": (["orders", "user_rollup", "periods", "sessions"], lambda: [
             F.col("avg_dau"), F.col("avg_wau"), F.col("avg_mau"), (F.col("avg_dau") / F.col("avg_mau") * 100).alias("stickiness"),
             ratio(F.col("n_orders"), F.col("n_order_users")).alias("orders_per_user"),
             F.col("avg_session_frequency"), F.col("avg_session_duration_sec")]),
-        "conversion": (["orders", "sessions"], [
+        "conversion": (["orders", "sessions"], lambda: [
             pct_or_zero(F.col("n_orders"), F.col("_total_sessions")).alias("visitor_to_order_conv"),
             pct_or_zero(F.col("_add_to_cart"), F.col("_menu_view")).alias("menu_to_cart_rate"),
             F.when(F.col("_add_to_cart") == 0, F.lit(0.0))
              .otherwise((1 - F.col("_checkout_started") / F.col("_add_to_cart")) * 100).alias("cart_abandonment"),
             pct(F.col("n_delivered"), F.col("n_orders")).alias("order_completion_rate")]),
-        "revenue": (["orders", "users", "user_rollup"], [
+        "revenue": (["orders", "users", "user_rollup"], lambda: [
             _gmv().alias("gmv"), _aov().alias("aov"), ratio(_platform(), F.col("n_users")).alias("arpu"),
             ratio(_platform(), F.col("n_order_users")).alias("arppu"),
             pct(to_double(F.col("_commission")), _gmv()).alias("take_rate"), _margin().alias("avg_contribution_margin")]),
-        "retention": (["users", "user_rollup", "nps"], [
+        "retention": (["users", "user_rollup", "nps"], lambda: [
             pct(F.col("_d7"), F.col("n_users")).alias("d7"), _d30().alias("d30"), (100 - _d30()).alias("churn_d30"),
             pct(F.col("_repeat"), F.col("n_order_users")).alias("repeat_rate"),
             F.when(F.col("_ret_users") == 0, F.lit(0.0)).otherwise(ratio(F.col("_ret_orders"), F.col("_ret_users")))
@@ -286,30 +294,30 @@ def _families(cfg: KpiConfig) -> dict[str, tuple[list[str], list[Column]]]:
             _avg_ltv().alias("avg_ltv"), (_avg_ltv() / _cac(cfg)).alias("ltv_cac_ratio"),
             F.when(F.col("_resp") == 0, F.lit(0.0))
              .otherwise((F.col("_prom") / F.col("_resp") - F.col("_detr") / F.col("_resp")) * 100).alias("nps_score")]),
-        "operations": (["orders"], [
+        "operations": (["orders"], lambda: [
             pct(F.col("n_cancelled"), F.col("n_orders")).alias("cancellation_rate"), F.col("avg_delivery_time"),
             (F.col("_on_time") * 100).alias("on_time_rate"), F.col("avg_prep_time"),
             ((1 - F.col("_wrong")) * 100).alias("order_accuracy_rate"),
             ratio(to_double(F.col("_rider")), F.col("n_delivered")).alias("cost_per_delivery")]),
-        "marketplace": (["orders", "restaurants"], [
+        "marketplace": (["orders", "restaurants"], lambda: [
             F.col("active_restaurants"), F.col("total_restaurants"),
             ratio(F.col("n_delivered"), F.col("active_restaurants")).alias("restaurant_utilization"),
             pct_or_zero(F.col("_lost"), F.col("_h1")).alias("restaurant_churn_rate"), F.col("overall_avg_rating"),
             pct(to_double(F.col("_top")), _gmv()).alias("top10_share")]),
-        "product": (["orders", "user_rollup", "subscribers"], [
+        "product": (["orders", "user_rollup", "subscribers"], lambda: [
             pct(F.col("_sched"), F.col("n_order_users")).alias("scheduled_order_adoption"),
             pct(F.col("_subs"), F.col("n_order_users")).alias("subscriber_adoption"),
             pct(F.col("_promo"), F.col("n_orders")).alias("promo_dependency"), F.col("avg_basket_size")]),
-        "clv": (["orders", "user_rollup"], [
+        "clv": (["orders", "user_rollup"], lambda: [
             (_aov() * (ratio(F.col("n_orders"), F.col("n_order_users")) / years) * (_margin() / _aov())
              * F.lit(cfg.lifespan_years)).alias("clv_formulaic"),
             F.lit(cfg.lifespan_years).alias("assumed_lifespan_years")]),
-        "ab_test": (["ab"], [
+        "ab_test": (["ab"], lambda: [
             F.col("ab_available"), gated(F.col("p1"), "ab_p1"), gated(F.col("p2"), "ab_p2"),
             gated(F.round("p_completion", P_VALUE_DECIMALS), "ab_p_value_completion"),
             gated(F.col("control_mean"), "ab_control_aov_mean"), gated(F.col("treat_mean"), "ab_treat_aov_mean"),
             gated(F.round("p_aov", P_VALUE_DECIMALS), "ab_p_value_aov")]),
-        "demographics": (["orders", "demographics"], demo_cols),
+        "demographics": (["orders", "demographics"], lambda: demo_cols),
     }
 
 
@@ -321,19 +329,29 @@ def _parts(m: Marketplace, cfg: KpiConfig, names: list[str]) -> DataFrame:
         "sessions": lambda: part_sessions(m), "restaurants": lambda: part_restaurants(m, cfg),
         "nps": lambda: part_nps(m), "demographics": lambda: part_demographics(m), "ab": lambda: ab_tests(m),
     }
-    return _one(*[builders[n]() for n in names])
+    heavy = ["demographics", "ab"]  # joined last: their plans are the largest to re-analyse
+    ordered = [n for n in names if n not in heavy] + [n for n in heavy if n in names]
+    built: dict[str, DataFrame] = {}
+    for n in ordered:
+        if n == "ab" and "orders" in built:
+            # the A/B moments come from the same orders aggregate: project them from it
+            built[n] = ab_tests(m, built["orders"]).select(
+                "ab_available", "p1", "p2", "z", "control_mean", "treat_mean", "t", "df", "p_completion", "p_aov")
+        else:
+            built[n] = builders[n]()
+    return _one(*built.values())
 
 
 def kpi_family(m: Marketplace, family: str, cfg: KpiConfig = KpiConfig()) -> DataFrame:
     parts, cols = _families(cfg)[family]
-    return _parts(m, cfg, parts).select(*cols)
+    return _parts(m, cfg, parts).select(*cols())
 
 
 def kpi_families(m: Marketplace, families: list[str], cfg: KpiConfig = KpiConfig()) -> DataFrame:
     """Several families side by side, each part computed once."""
     specs = _families(cfg)
     needed = list(dict.fromkeys(p for f in families for p in specs[f][0]))
-    return _parts(m, cfg, needed).select(*[c for f in families for c in specs[f][1]])
+    return _parts(m, cfg, needed).select(*[c for f in families for c in specs[f][1]()])
 
 
 def kpi_acquisition(m, cfg=KpiConfig()): return kpi_family(m, "acquisition", cfg)  # noqa: E704
@@ -383,16 +401,17 @@ FAMILIES = {name: globals()[f"kpi_{name}"] for name in FAMILY_ORDER}
 
 
 def to_long(wide: DataFrame, family_of: dict[str, str]) -> DataFrame:
-    """(family, kpi, value, value_text): numbers and booleans in value, labels in value_text."""
-    entries = []
+    """(family, kpi, value, value_text): numbers and booleans in value, labels in value_text.
+    One ``stack`` expression, so the unpivot is a single generator over the one-row frame."""
+    args = []
     for f in wide.schema.fields:
+        name = f"`{f.name}`"
         if f.dataType.simpleString() == "string":
-            value, text = F.lit(None).cast("double"), F.col(f.name)
+            value, text = "CAST(NULL AS DOUBLE)", name
         else:
-            value, text = F.col(f.name).cast("double"), F.lit(None).cast("string")
-        entries.append(F.struct(F.lit(family_of[f.name]).alias("family"), F.lit(f.name).alias("kpi"),
-                                value.alias("value"), text.alias("value_text")))
-    return wide.select(F.explode(F.array(*entries)).alias("e")).select("e.family", "e.kpi", "e.value", "e.value_text")
+            value, text = f"CAST({name} AS DOUBLE)", "CAST(NULL AS STRING)"
+        args += [f"'{family_of[f.name]}'", f"'{f.name}'", value, text]
+    return wide.selectExpr(f"stack({len(wide.schema.fields)}, {', '.join(args)}) AS (family, kpi, value, value_text)")
 
 
 def kpi_all(m: Marketplace, cfg: KpiConfig = KpiConfig()) -> DataFrame:
@@ -401,7 +420,7 @@ def kpi_all(m: Marketplace, cfg: KpiConfig = KpiConfig()) -> DataFrame:
     wide = kpi_families(m, FAMILY_ORDER, cfg)
     family_of, i = {}, 0
     for fam in FAMILY_ORDER:
-        k = len(specs[fam][1])
+        k = len(specs[fam][1]())  # cheap: plain column builders
         family_of.update({name: fam for name in wide.columns[i:i + k]})
         i += k
     return to_long(wide, family_of)
