@@ -38,6 +38,11 @@ def _one(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.crossJoin(b), frames)
 
 
+def _d(a: Column, b: Column) -> Column:
+    """a / b, null when b is 0 (ANSI mode would raise)."""
+    return F.try_divide(a, b)
+
+
 def _dsum(c: Column) -> Column:
     return F.coalesce(F.sum(c), F.lit(0).cast("decimal(18,4)"))
 
@@ -184,7 +189,7 @@ def part_demographics(m: Marketplace) -> DataFrame:
 
 # ---- derived columns ---------------------------------------------------------------------------
 def _cac(cfg: KpiConfig) -> Column:
-    return F.lit(float(cfg.monthly_marketing_spend)) * F.col("_months") / F.col("n_order_users")
+    return _d(F.lit(float(cfg.monthly_marketing_spend)) * F.col("_months"), F.col("n_order_users"))
 
 
 def _gmv() -> Column:
@@ -214,37 +219,38 @@ def _avg_ltv() -> Column:
 def ab_moments() -> dict[str, Column]:
     """Means, Welch statistic and dof, and the pooled z, from the c_*/t_* moments of ``part_orders``
     (c = Control, t = Treatment). The p-values are added on top of these plain columns."""
-    mean = {g: to_double(F.col(f"{g}_s1")) / F.col(f"{g}_k") for g in ("c", "t")}
-    var = {g: (to_double(F.col(f"{g}_s2")) - to_double(F.col(f"{g}_s1")) * to_double(F.col(f"{g}_s1")) / F.col(f"{g}_k"))
-           / (F.col(f"{g}_k") - 1) for g in ("c", "t")}
-    sa, sb = var["t"] / F.col("t_k"), var["c"] / F.col("c_k")
+    mean = {g: _d(to_double(F.col(f"{g}_s1")), F.col(f"{g}_k")) for g in ("c", "t")}
+    var = {g: _d(to_double(F.col(f"{g}_s2")) - _d(to_double(F.col(f"{g}_s1")) * to_double(F.col(f"{g}_s1")), F.col(f"{g}_k")),
+                 F.col(f"{g}_k") - 1) for g in ("c", "t")}
+    sa, sb = _d(var["t"], F.col("t_k")), _d(var["c"], F.col("c_k"))
     se2 = sa + sb
-    p1, p2 = F.col("c_x") / F.col("c_n"), F.col("t_x") / F.col("t_n")
-    pool = (F.col("c_x") + F.col("t_x")) / (F.col("c_n") + F.col("t_n"))
-    se = F.when((pool > 0) & (pool < 1), F.sqrt(pool * (1 - pool) * (1 / F.col("c_n") + 1 / F.col("t_n")))).otherwise(F.lit(0.0))
+    p1, p2 = _d(F.col("c_x"), F.col("c_n")), _d(F.col("t_x"), F.col("t_n"))
+    pool = _d(F.col("c_x") + F.col("t_x"), F.col("c_n") + F.col("t_n"))
+    se = F.when((pool > 0) & (pool < 1), F.sqrt(pool * (1 - pool) * (_d(F.lit(1), F.col("c_n")) + _d(F.lit(1), F.col("t_n"))))
+                ).otherwise(F.lit(0.0))
     available = (F.col("c_n") > 0) & (F.col("t_n") > 0) & (F.col("c_k") >= 2) & (F.col("t_k") >= 2)
     return {"ab_available": available, "p1": p1, "p2": p2,
-            "z": F.when(se != 0, (p2 - p1) / se).otherwise(F.lit(0.0)), "_se": se,
+            "z": F.when(se != 0, _d(p2 - p1, se)).otherwise(F.lit(0.0)), "_se": se,
             "control_mean": mean["c"], "treat_mean": mean["t"],
-            "t": F.when(se2 > 0, (mean["t"] - mean["c"]) / F.sqrt(se2)),
-            "df": F.when(se2 > 0, (se2 * se2) / (sa * sa / (F.col("t_k") - 1) + sb * sb / (F.col("c_k") - 1)))}
+            "t": F.when(se2 > 0, _d(mean["t"] - mean["c"], F.sqrt(se2))),
+            "df": F.when(se2 > 0, _d(se2 * se2, _d(sa * sa, F.col("t_k") - 1) + _d(sb * sb, F.col("c_k") - 1)))}
 
 
 def welch(mean_a: Column, var_a: Column, n_a: Column, mean_b: Column, var_b: Column, n_b: Column) -> dict[str, Column]:
     """Welch's unequal-variance t statistic, its degrees of freedom and two-sided p (null if both variances are 0)."""
-    sa, sb = var_a / n_a, var_b / n_b
+    sa, sb = _d(var_a, n_a), _d(var_b, n_b)
     se2 = sa + sb
-    t = F.when(se2 > 0, (mean_a - mean_b) / F.sqrt(se2))
-    dof = F.when(se2 > 0, (se2 * se2) / (sa * sa / (n_a - 1) + sb * sb / (n_b - 1)))
+    t = F.when(se2 > 0, _d(mean_a - mean_b, F.sqrt(se2)))
+    dof = F.when(se2 > 0, _d(se2 * se2, _d(sa * sa, n_a - 1) + _d(sb * sb, n_b - 1)))
     return {"t": t, "df": dof, "p": F.when(se2 > 0, student_t_two_sided_p(t, dof))}
 
 
 def pooled_z(x1: Column, n1: Column, x2: Column, n2: Column) -> dict[str, Column]:
     """Two-proportion z-test with pooled variance; se = 0 gives z = 0 and p = 1."""
-    p1, p2 = x1 / n1, x2 / n2
-    pool = (x1 + x2) / (n1 + n2)
-    se = F.when((pool > 0) & (pool < 1), F.sqrt(pool * (1 - pool) * (1 / n1 + 1 / n2))).otherwise(F.lit(0.0))
-    z = F.when(se != 0, (p2 - p1) / se).otherwise(F.lit(0.0))
+    p1, p2 = _d(x1, n1), _d(x2, n2)
+    pool = _d(x1 + x2, n1 + n2)
+    se = F.when((pool > 0) & (pool < 1), F.sqrt(pool * (1 - pool) * (_d(F.lit(1), n1) + _d(F.lit(1), n2)))).otherwise(F.lit(0.0))
+    z = F.when(se != 0, _d(p2 - p1, se)).otherwise(F.lit(0.0))
     return {"p1": p1, "p2": p2, "z": z, "p": F.when(se != 0, normal_two_sided_p(z)).otherwise(F.lit(1.0))}
 
 
@@ -265,7 +271,7 @@ def _families(cfg: KpiConfig) -> dict[str, tuple[list[str], Callable[[], list[Co
 
     demo_cols = []
     for prefix in DEMO_KPI_PREFIX.values():
-        share = F.when(_gmv() == 0, F.lit(0.0)).otherwise(F.col(f"_{prefix}") / _gmv() * 100)
+        share = F.when(_gmv() == 0, F.lit(0.0)).otherwise(_d(F.col(f"_{prefix}"), _gmv()) * 100)
         demo_cols += [F.col(prefix), F.when(F.col(prefix).isNotNull(), share).alias(f"{prefix}_gmv_share")]
     years = F.greatest(F.col("_days") / 365.25, F.lit(1 / 365.25))
     return {
@@ -273,14 +279,14 @@ def _families(cfg: KpiConfig) -> dict[str, tuple[list[str], Callable[[], list[Co
             pct(F.col("n_order_users"), F.col("n_users")).alias("activation_rate"), F.col("avg_ttfo"),
             _cac(cfg).alias("cac")]),
         "engagement": (["orders", "user_rollup", "periods", "sessions"], lambda: [
-            F.col("avg_dau"), F.col("avg_wau"), F.col("avg_mau"), (F.col("avg_dau") / F.col("avg_mau") * 100).alias("stickiness"),
+            F.col("avg_dau"), F.col("avg_wau"), F.col("avg_mau"), (_d(F.col("avg_dau"), F.col("avg_mau")) * 100).alias("stickiness"),
             ratio(F.col("n_orders"), F.col("n_order_users")).alias("orders_per_user"),
             F.col("avg_session_frequency"), F.col("avg_session_duration_sec")]),
         "conversion": (["orders", "sessions"], lambda: [
             pct_or_zero(F.col("n_orders"), F.col("_total_sessions")).alias("visitor_to_order_conv"),
             pct_or_zero(F.col("_add_to_cart"), F.col("_menu_view")).alias("menu_to_cart_rate"),
             F.when(F.col("_add_to_cart") == 0, F.lit(0.0))
-             .otherwise((1 - F.col("_checkout_started") / F.col("_add_to_cart")) * 100).alias("cart_abandonment"),
+             .otherwise((1 - _d(F.col("_checkout_started"), F.col("_add_to_cart"))) * 100).alias("cart_abandonment"),
             pct(F.col("n_delivered"), F.col("n_orders")).alias("order_completion_rate")]),
         "revenue": (["orders", "users", "user_rollup"], lambda: [
             _gmv().alias("gmv"), _aov().alias("aov"), ratio(_platform(), F.col("n_users")).alias("arpu"),
@@ -291,9 +297,9 @@ def _families(cfg: KpiConfig) -> dict[str, tuple[list[str], Callable[[], list[Co
             pct(F.col("_repeat"), F.col("n_order_users")).alias("repeat_rate"),
             F.when(F.col("_ret_users") == 0, F.lit(0.0)).otherwise(ratio(F.col("_ret_orders"), F.col("_ret_users")))
              .alias("order_frequency_retained"),
-            _avg_ltv().alias("avg_ltv"), (_avg_ltv() / _cac(cfg)).alias("ltv_cac_ratio"),
+            _avg_ltv().alias("avg_ltv"), _d(_avg_ltv(), _cac(cfg)).alias("ltv_cac_ratio"),
             F.when(F.col("_resp") == 0, F.lit(0.0))
-             .otherwise((F.col("_prom") / F.col("_resp") - F.col("_detr") / F.col("_resp")) * 100).alias("nps_score")]),
+             .otherwise((_d(F.col("_prom"), F.col("_resp")) - _d(F.col("_detr"), F.col("_resp"))) * 100).alias("nps_score")]),
         "operations": (["orders"], lambda: [
             pct(F.col("n_cancelled"), F.col("n_orders")).alias("cancellation_rate"), F.col("avg_delivery_time"),
             (F.col("_on_time") * 100).alias("on_time_rate"), F.col("avg_prep_time"),
@@ -309,7 +315,7 @@ def _families(cfg: KpiConfig) -> dict[str, tuple[list[str], Callable[[], list[Co
             pct(F.col("_subs"), F.col("n_order_users")).alias("subscriber_adoption"),
             pct(F.col("_promo"), F.col("n_orders")).alias("promo_dependency"), F.col("avg_basket_size")]),
         "clv": (["orders", "user_rollup"], lambda: [
-            (_aov() * (ratio(F.col("n_orders"), F.col("n_order_users")) / years) * (_margin() / _aov())
+            (_aov() * _d(ratio(F.col("n_orders"), F.col("n_order_users")), years) * _d(_margin(), _aov())
              * F.lit(cfg.lifespan_years)).alias("clv_formulaic"),
             F.lit(cfg.lifespan_years).alias("assumed_lifespan_years")]),
         "ab_test": (["ab"], lambda: [
@@ -391,7 +397,7 @@ def demo_breakdown(m: Marketplace, dim: str) -> DataFrame:
     g = d.groupBy(dim).agg(n_unique("user_id").alias("users"), F.count(F.lit(1)).alias("orders"),
                            money_sum("order_value").alias("_gmv"), F.count("order_value").alias("_n"))
     return g.select(dim, "users", "orders", to_double(F.col("_gmv")).alias("gmv"),
-                    F.round(to_double(F.col("_gmv")) / F.col("_n"), 2).alias("aov"))
+                    F.round(_d(to_double(F.col("_gmv")), F.col("_n")), 2).alias("aov"))
 
 
 # ---- long form --------------------------------------------------------------------------------

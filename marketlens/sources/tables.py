@@ -64,3 +64,8 @@ def write_results(results: dict[str, DataFrame], root: str) -> dict[str, str]:
         paths[name] = f"{root.rstrip('/')}/{name}"
         write_table(df, paths[name])
     return paths
+
+
+def read_marketplace(spark: SparkSession, root: str) -> Marketplace:
+    """Six raw tables stored as parquet folders named after the Marketplace fields."""
+    return Marketplace(**{f.name: spark.read.parquet(f"{root.rstrip('/')}/{f.name}") for f in fields(Marketplace)})
