@@ -6,7 +6,7 @@ KPIs are computed from a few fused one-row "parts" instead of one aggregate per
   A/B moments): serves revenue, operations, product, conversion, A/B and most of marketplace;
 - ``users`` / ``user_rollup``: one pass over users, one over the per-user rollup (retention, LTV,
   scheduled adoption, distinct ordering users);
-- ``periods``, ``sessions``, ``restaurants``, ``nps``, ``demographics``, ``ttfo``, ``subscribers``.
+- ``periods``, ``sessions``, ``restaurants``, ``nps``, ``demographics``.
 
 A family joins only the parts it needs; ``kpi_all`` joins every part once, so each base table is
 scanned a handful of times for all 61 KPIs. Nothing is collected.
@@ -88,7 +88,11 @@ def _rollup(m: Marketplace) -> DataFrame:
 
 
 def part_user_rollup(m: Marketplace, cfg: KpiConfig) -> DataFrame:
-    ur = _rollup(m)
+    """Per-user rollup aggregated to one row; joined once with users (left, so every ordering user
+    counts) to also give time-to-first-order and subscriber adoption without another orders pass."""
+    users = m.users.select("user_id", "signup_date", "is_subscriber")
+    ur = _rollup(m).join(users, "user_id", "left")
+    ttfo = F.datediff("first_order_date", "signup_date")
     r = ur.agg(
         F.count(F.lit(1)).alias("n_order_users"),
         count_if(F.col("retained_d7") == 1).alias("_d7"), count_if(F.col("retained_d30") == 1).alias("_d30"),
@@ -96,7 +100,9 @@ def part_user_rollup(m: Marketplace, cfg: KpiConfig) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("active_months") >= 2, F.col("n_orders"))), F.lit(0)).alias("_ret_orders"),
         count_if(F.col("active_months") >= 2).alias("_ret_users"),
         count_if(F.col("has_scheduled") == 1).alias("_sched"),
-        F.sum("ltv").alias("_ltv"))
+        F.sum("ltv").alias("_ltv"),
+        F.avg(F.when(ttfo >= 0, ttfo)).alias("avg_ttfo"),
+        count_if(F.col("is_subscriber")).alias("_subs"))
     if cfg.ltv_delivered_only:
         ltv = user_rollup_from_days(user_days(delivered(m.orders))).agg(F.sum("ltv").alias("_ltv"),
                                                                          F.count(F.lit(1)).alias("_ltv_n"))
@@ -104,18 +110,6 @@ def part_user_rollup(m: Marketplace, cfg: KpiConfig) -> DataFrame:
     return r.withColumn("_ltv_n", F.col("n_order_users"))
 
 
-def part_ttfo(m: Marketplace) -> DataFrame:
-    firsts = _rollup(m).select("user_id", "first_order_date")
-    return (m.users.select("user_id", "signup_date").join(firsts, "user_id")
-            .select(F.datediff("first_order_date", "signup_date").alias("d")).where(F.col("d") >= 0)
-            .agg(F.avg("d").alias("avg_ttfo")))
-
-
-def part_subscribers(m: Marketplace) -> DataFrame:
-    return (m.users.where(F.col("is_subscriber")).select("user_id").join(_rollup(m).select("user_id"), "user_id", "left_semi")
-            .agg(F.count(F.lit(1)).alias("_subs")))
-
-
 def part_periods(m: Marketplace, cfg: KpiConfig) -> DataFrame:
     """Mean distinct ordering users per day, week and month, from distinct (user, day) rows."""
     days = user_days(m.orders).select("user_id", "order_date")
@@ -275,7 +269,7 @@ def _families(cfg: KpiConfig) -> dict[str, tuple[list[str], Callable[[], list[Co
         demo_cols += [F.col(prefix), F.when(F.col(prefix).isNotNull(), share).alias(f"{prefix}_gmv_share")]
     years = F.greatest(F.col("_days") / 365.25, F.lit(1 / 365.25))
     return {
-        "acquisition": (["orders", "users", "user_rollup", "ttfo"], lambda: [
+        "acquisition": (["orders", "users", "user_rollup"], lambda: [
             pct(F.col("n_order_users"), F.col("n_users")).alias("activation_rate"), F.col("avg_ttfo"),
             _cac(cfg).alias("cac")]),
         "engagement": (["orders", "user_rollup", "periods", "sessions"], lambda: [
@@ -310,7 +304,7 @@ def _families(cfg: KpiConfig) -> dict[str, tuple[list[str], Callable[[], list[Co
             ratio(F.col("n_delivered"), F.col("active_restaurants")).alias("restaurant_utilization"),
             pct_or_zero(F.col("_lost"), F.col("_h1")).alias("restaurant_churn_rate"), F.col("overall_avg_rating"),
             pct(to_double(F.col("_top")), _gmv()).alias("top10_share")]),
-        "product": (["orders", "user_rollup", "subscribers"], lambda: [
+        "product": (["orders", "user_rollup"], lambda: [
             pct(F.col("_sched"), F.col("n_order_users")).alias("scheduled_order_adoption"),
             pct(F.col("_subs"), F.col("n_order_users")).alias("subscriber_adoption"),
             pct(F.col("_promo"), F.col("n_orders")).alias("promo_dependency"), F.col("avg_basket_size")]),
@@ -330,8 +324,7 @@ def _families(cfg: KpiConfig) -> dict[str, tuple[list[str], Callable[[], list[Co
 def _parts(m: Marketplace, cfg: KpiConfig, names: list[str]) -> DataFrame:
     builders = {
         "orders": lambda: part_orders(m), "users": lambda: part_users(m),
-        "user_rollup": lambda: part_user_rollup(m, cfg), "ttfo": lambda: part_ttfo(m),
-        "subscribers": lambda: part_subscribers(m), "periods": lambda: part_periods(m, cfg),
+        "user_rollup": lambda: part_user_rollup(m, cfg), "periods": lambda: part_periods(m, cfg),
         "sessions": lambda: part_sessions(m), "restaurants": lambda: part_restaurants(m, cfg),
         "nps": lambda: part_nps(m), "demographics": lambda: part_demographics(m), "ab": lambda: ab_tests(m),
     }

@@ -149,3 +149,16 @@ def test_retention_windows(spark):
     r = K.kpi_retention(m).first()
     assert (r.d7, r.d30, r.churn_d30) == (25.0, 50.0, 50.0)
     assert r.repeat_rate == 100.0 and r.order_frequency_retained == 0.0
+
+
+def test_public_api_round_trip(spark, small):
+    from marketlens import api
+
+    kpi, charts = api.compute_all_kpis(api.filter_data(small, cuisines=["Italian"]))
+    row = kpi.first().asDict()
+    assert len(row) == 61 and row["gmv"] > 0
+    assert set(charts["demo_breakdown"]) == {"gender", "age_group", "profession", "income_bracket"}
+    assert charts["cohort_matrix"].count() > 0
+    empty = api.filter_data(small, cities=["Nowhere"])
+    with pytest.raises(ValueError):
+        api.compute_all_kpis(empty)
