@@ -76,6 +76,16 @@ def user_rollup(orders: DataFrame) -> DataFrame:
     return user_rollup_from_days(user_days(orders))
 
 
+def delivered_by(orders: DataFrame, key: str) -> DataFrame:
+    """Delivered orders pre-aggregated per key: n (orders), nv (orders with a value), gmv (DECIMAL).
+
+    Used before joining a dimension (users, restaurants): the join then moves one row per key
+    instead of one row per order, and partial aggregation has already collapsed hot keys.
+    """
+    return delivered(orders).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count("order_value").alias("nv"),
+                                              money_sum("order_value").alias("gmv"))
+
+
 def session_rollup(events: DataFrame) -> DataFrame:
     """One row per session: start, end, whole-second duration."""
     return (events.groupBy("session_id")

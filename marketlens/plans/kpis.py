@@ -26,7 +26,8 @@ from marketlens.functions.numeric import (count_if, mean_bool, money, money_sum,
 from marketlens.functions.stats import normal_two_sided_p, student_t_two_sided_p
 from marketlens.model import AB_GROUPS, KpiConfig, Marketplace
 from marketlens.operators.rollups import (commission, delivered, is_cancelled, is_delivered, net_revenue,
-                                          restaurant_rollup, session_rollup, user_days, user_rollup_from_days)
+                                          delivered_by, restaurant_rollup, session_rollup, user_days,
+                                          user_rollup_from_days)
 
 P_VALUE_DECIMALS = 10
 DEMO_KPI_PREFIX = {"gender": "top_gender", "profession": "top_profession", "income_bracket": "top_income",
@@ -160,10 +161,9 @@ def part_nps(m: Marketplace) -> DataFrame:
 
 def demo_long(m: Marketplace) -> DataFrame:
     """Delivered GMV per (dimension, value) for the four user attributes in one grouping-sets pass."""
-    d = delivered(m.orders).select("user_id", "order_value").join(
-        m.users.select("user_id", *DEMO_KPI_PREFIX), "user_id")
+    d = delivered_by(m.orders, "user_id").join(m.users.select("user_id", *DEMO_KPI_PREFIX), "user_id")
     g = d.groupingSets([[c] for c in DEMO_KPI_PREFIX], *DEMO_KPI_PREFIX).agg(
-        money_sum("order_value").alias("_gmv"), *[F.grouping(c).alias(f"_g_{c}") for c in DEMO_KPI_PREFIX])
+        _dsum(F.col("gmv")).alias("_gmv"), *[F.grouping(c).alias(f"_g_{c}") for c in DEMO_KPI_PREFIX])
     dim = reduce(lambda acc, c: acc.when(F.col(f"_g_{c}") == 0, F.lit(c)), list(DEMO_KPI_PREFIX)[1:],
                  F.when(F.col(f"_g_{list(DEMO_KPI_PREFIX)[0]}") == 0, F.lit(list(DEMO_KPI_PREFIX)[0])))
     value = F.coalesce(*[F.when(F.col(f"_g_{c}") == 0, F.col(c)) for c in DEMO_KPI_PREFIX])
@@ -386,9 +386,10 @@ def ab_verdict(m: Marketplace, cfg: KpiConfig = KpiConfig()) -> DataFrame:
 
 def demo_breakdown(m: Marketplace, dim: str) -> DataFrame:
     """Delivered orders by a user attribute: users (distinct), orders, gmv, aov (2 dp)."""
-    d = delivered(m.orders).select("user_id", "order_value").join(m.users.select("user_id", dim), "user_id")
-    g = d.groupBy(dim).agg(n_unique("user_id").alias("users"), F.count(F.lit(1)).alias("orders"),
-                           money_sum("order_value").alias("_gmv"), F.count("order_value").alias("_n"))
+    d = delivered_by(m.orders, "user_id").join(m.users.select("user_id", dim), "user_id")
+    # one row per user after the pre-aggregation, so distinct users = rows
+    g = d.groupBy(dim).agg(F.count(F.lit(1)).alias("users"), F.sum("n").alias("orders"),
+                           _dsum(F.col("gmv")).alias("_gmv"), F.sum("nv").alias("_n"))
     return g.select(dim, "users", "orders", to_double(F.col("_gmv")).alias("gmv"),
                     F.round(_d(to_double(F.col("_gmv")), F.col("_n")), 2).alias("aov"))
 

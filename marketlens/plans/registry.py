@@ -63,7 +63,7 @@ def _slice_orders(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def _kpi_filtered(m: Marketplace) -> DataFrame:
     s = FL.apply_filters(m, SLICES["kpi"])
-    return K.kpi_revenue(s, KPI_CONFIG).crossJoin(K.kpi_retention(s, KPI_CONFIG))
+    return K.kpi_families(s, ["revenue", "retention"], KPI_CONFIG)
 
 
 def _ordinal_rank(m: Marketplace) -> DataFrame:
