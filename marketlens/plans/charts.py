@@ -73,6 +73,18 @@ def restaurant_gmv(m: Marketplace) -> DataFrame:
     return delivered(m.orders).groupBy("restaurant_id").agg(to_double(money_sum("order_value")).alias("restaurant_gmv"))
 
 
+def restaurant_top(m: Marketplace, k: int = 10) -> DataFrame:
+    """T8 as shown on the page: the k restaurants with the highest delivered GMV, ranked 1..k
+    (ties: smaller restaurant id first). Ranking the k survivors sorts one bounded array, no window."""
+    from marketlens.plans.kpis import top_restaurant_gmv
+
+    top = top_restaurant_gmv(m, k).agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("gmv")).alias("neg"), F.col("restaurant_id").alias("rid")))).alias("a"))
+    return top.select(F.posexplode("a").alias("pos", "s")).select(
+        F.col("s.rid").alias("restaurant_id"), to_double(-F.col("s.neg")).alias("restaurant_gmv"),
+        (F.col("pos") + 1).cast("long").alias("rank"))
+
+
 def _perf(orders: DataFrame, key: str) -> DataFrame:
     return orders.groupBy(key).agg(_count("orders"), F.round(money_sum("order_value"), 0).cast("double").alias("gmv"))
 

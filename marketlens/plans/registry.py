@@ -142,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "orders_trend_daily": _m(CH.orders_trend_daily),
     "cancel_reasons": _m(CH.cancel_reasons),
     "restaurant_gmv": _m(CH.restaurant_gmv),
+    "restaurant_top10": _m(CH.restaurant_top),
     "cuisine_perf": _m(CH.cuisine_perf),
     "city_perf": _m(CH.city_perf),
     "cohort_retention": _m(SG.cohort_retention),

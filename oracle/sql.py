@@ -519,7 +519,7 @@ def chart_sql() -> dict[str, str]:
         {rpct('a.active_users', 's.cohort_size')} AS retention_pct
       FROM (SELECT cohort_month, month_offset, count(*) AS active_users FROM (
           SELECT m.user_id, strftime(u.signup_date, '%Y-%m') AS cohort_month,
-            (year(m.ms) - year(u.signup_date)) * 12 + (month(m.ms) - month(u.signup_date)) AS month_offset
+            cast((year(m.ms) - year(u.signup_date)) * 12 + (month(m.ms) - month(u.signup_date)) AS INTEGER) AS month_offset
           FROM (SELECT DISTINCT user_id, date_trunc('month', order_date) AS ms FROM orders_c) m
           JOIN users_c u ON m.user_id = u.user_id) WHERE month_offset >= 0 GROUP BY cohort_month, month_offset) a
       JOIN (SELECT strftime(signup_date, '%Y-%m') AS cohort_month, count(*) AS cohort_size FROM users_c GROUP BY 1) s
@@ -543,6 +543,9 @@ def chart_sql() -> dict[str, str]:
         "orders_trend_daily": q("SELECT order_date, count(*) AS orders FROM orders_c GROUP BY order_date"),
         "cancel_reasons": q("SELECT cancel_reason, count(*) AS count FROM orders_c WHERE order_status = 'Cancelled' GROUP BY 1"),
         "restaurant_gmv": q(f"SELECT restaurant_id, {td(msum('order_value'))} AS restaurant_gmv FROM ({d}) GROUP BY 1"),
+        "restaurant_top10": q(f"""SELECT restaurant_id, {td('g')} AS restaurant_gmv, rank FROM (
+            SELECT restaurant_id, g, row_number() OVER (ORDER BY g DESC, restaurant_id ASC) AS rank
+            FROM (SELECT restaurant_id, {msum('order_value')} AS g FROM ({d}) GROUP BY 1)) WHERE rank <= 10"""),
         "cuisine_perf": q(perf("cuisine_type", f"SELECT dd.order_value, r.cuisine_type FROM ({d}) dd JOIN restaurants_c r ON dd.restaurant_id = r.restaurant_id")),
         "city_perf": q(perf("city", d)),
         "cohort_retention": q(cohort),
@@ -568,7 +571,8 @@ def chart_sql() -> dict[str, str]:
 
 # ---------------------------------------------------------------- RFM
 def rfm_base() -> str:
-    return f"""SELECT r.user_id, date_diff('day', r.last_order_date, s.snap) AS recency_days, r.n_orders AS frequency,
+    return f"""SELECT r.user_id, cast(date_diff('day', r.last_order_date, s.snap) AS INTEGER) AS recency_days,
+        cast(r.n_orders AS BIGINT) AS frequency,
         r.monetary AS mdec, {td('r.monetary')} AS monetary
       FROM ({user_roll('orders_c')}) r CROSS JOIN (SELECT max(order_date) AS snap FROM orders_c) s"""
 

@@ -9,6 +9,12 @@ from tests.conftest import SF_SMALL
 from tools.check_oracle import TABLES, digest
 
 KEYS = sorted(entry.queries())
+CANON = {"bigint": "int64", "int": "int32", "integer": "int32", "double": "float64", "string": "string",
+         "varchar": "string", "boolean": "bool", "date": "date", "timestamp_ntz": "timestamp", "timestamp": "timestamp"}
+
+
+def _canon(t: str) -> str:
+    return CANON.get(t.lower(), t.lower())
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +30,7 @@ def duck():
 
 def test_every_query_has_an_oracle():
     assert set(entry.oracle_sql()) == set(entry.queries())
-    assert len(KEYS) == 58
+    assert len(KEYS) == 59
 
 
 @pytest.mark.parametrize("key", KEYS)
@@ -36,6 +42,9 @@ def test_query_matches_oracle(spark, duck, key):
     assert sorted(s_names) == sorted(d_names)
     assert len(s_rows) == len(d_rows)
     assert digest(s_names, s_rows, None) == digest(d_names, d_rows, None)
+    rel = duck.sql(entry.oracle_sql()[key])
+    d_types = {n: _canon(str(t)) for n, t in zip(rel.columns, rel.types)}
+    assert {f.name: _canon(f.dataType.simpleString()) for f in sdf.schema.fields} == d_types
 
 
 def test_entry_smoke(spark):
