@@ -12,7 +12,7 @@ from marketlens.functions.dates import lenient_date, lenient_timestamp, signup_d
 from marketlens.functions.text import strip_ws, title_case
 from marketlens.model import DEMOGRAPHIC_COLUMNS, ORDER_FLAG_COLUMNS, ORDER_TIME_COLUMNS, UNKNOWN, Marketplace
 from marketlens.operators.dedup import distinct_rows, keep_first
-from marketlens.operators.joins import one_row
+from marketlens.operators.joins import scalars
 from marketlens.operators.rank import quantile_nearest
 
 IQR_MULTIPLIER = 1.5
@@ -39,16 +39,16 @@ def age_band(age: Column) -> Column:
 def clean_users(users: DataFrame) -> DataFrame:
     users = add_missing(users, DEMOGRAPHIC_COLUMNS)
     users = keep_first(users, "user_id")
-    median_age = one_row(users.agg(F.median(F.col("age").cast("double")).alias("_median_age")))
-    users = users.crossJoin(median_age).withColumns({
+    median_age = scalars(users.agg(F.median(F.col("age").cast("double")).alias("_median_age")))["_median_age"]
+    users = users.withColumns({
         "city": title_case(strip_ws("city")),
         "signup_date": signup_date(users),
         "device_type": F.coalesce(F.col("device_type"), F.lit(UNKNOWN)),
-        "age": F.coalesce(F.col("age").cast("double"), F.col("_median_age")),
+        "age": F.coalesce(F.col("age").cast("double"), median_age),
         "gender": F.coalesce(title_case(strip_ws("gender")), F.lit(UNKNOWN)),
         "profession": F.coalesce(title_case(strip_ws("profession")), F.lit(UNKNOWN)),
         "income_bracket": F.coalesce(F.col("income_bracket"), F.lit(UNKNOWN)),
-    }).drop("_median_age")
+    })
     users = users.withColumn("age_group", age_band(F.col("age")))
     return ensure_bool(users, ["is_subscriber"])
 
@@ -75,10 +75,9 @@ def clean_orders(orders: DataFrame, persist: bool = True) -> DataFrame:
     if persist:
         # Three passes (fence sketch, fence proof, final use) read the deduplicated rows.
         staged = staged.persist(StorageLevel.MEMORY_AND_DISK)
-    fence = one_row(order_value_fence(staged).select("upper_fence"))
-    capped = staged.crossJoin(fence).withColumn(
-        "order_value", F.when(F.col("order_value") > F.col("upper_fence"), F.col("upper_fence"))
-        .otherwise(F.col("order_value"))).drop("upper_fence")
+    fence = scalars(order_value_fence(staged).select("upper_fence"))["upper_fence"]
+    capped = staged.withColumn(
+        "order_value", F.when(F.col("order_value") > fence, fence).otherwise(F.col("order_value")))
     capped = capped.withColumns({
         "order_date": F.to_date("order_placed_time"),
         "order_month": F.date_format("order_placed_time", "yyyy-MM"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Rows a dimension side may have to be broadcast (a few MB of keys and short strings).
@@ -20,6 +20,23 @@ def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFr
     return F.broadcast(df) if bounded(df, max_rows) else df
 
 
-def one_row(df: DataFrame) -> DataFrame:
-    """Broadcast a global aggregate (exactly one row by construction)."""
-    return F.broadcast(df)
+def scalars(one: DataFrame) -> dict[str, Column]:
+    """The columns of a one-row aggregate as scalar subqueries: computed once before the main query,
+    inlined as constants (no join, nothing pairs up). Catalyst merges scalar subqueries that read
+    the same source into one aggregate pass."""
+    packed = one.select(F.struct(*[F.col(f"`{c}`") for c in one.columns]).alias("_s")).scalar()
+    return {c: packed[c] for c in one.columns}
+
+
+def with_scalars(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Every row of ``df`` plus the columns of the one-row aggregate ``one``."""
+    return df.withColumns(scalars(one))
+
+
+def one_row_of(*frames: DataFrame) -> DataFrame:
+    """Several one-row aggregates side by side, as one row of scalar subqueries."""
+    spark = frames[0].sparkSession
+    cols = {}
+    for f in frames:
+        cols.update(scalars(f))
+    return spark.range(1).select(*[c.alias(n) for n, c in cols.items()])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.numeric import money_sum, n_unique, round_pct, to_double
 from marketlens.model import AGE_ORDER, CANCELLED, FUNNEL_STAGES, UNKNOWN, Marketplace
-from marketlens.operators.joins import maybe_broadcast, one_row
+from marketlens.operators.joins import maybe_broadcast, scalars
 from marketlens.operators.rollups import delivered, delivered_by
 from marketlens.plans.kpis import demo_breakdown, stage_sessions
 
@@ -21,9 +21,8 @@ def _count(name: str):
 def channel_acq(m: Marketplace) -> DataFrame:
     """New users per acquisition channel with share of all users (1 dp)."""
     g = m.users.groupBy("acquisition_channel").agg(_count("new_users"))
-    total = one_row(g.agg(F.sum("new_users").alias("_total")))
-    return g.crossJoin(total).select("acquisition_channel", "new_users",
-                                     round_pct(F.col("new_users"), F.col("_total"), 1).alias("share_pct"))
+    total = scalars(g.agg(F.sum("new_users").alias("_total")))["_total"]
+    return g.select("acquisition_channel", "new_users", round_pct(F.col("new_users"), total, 1).alias("share_pct"))
 
 
 def monthly_active(m: Marketplace) -> DataFrame:
@@ -38,9 +37,9 @@ def funnel_counts(m: Marketplace) -> DataFrame:
     ).select("s.stage", "s.event_name")
     counts = stages.join(F.broadcast(stage_sessions(m.events).where(F.col("event_name").isin(FUNNEL_STAGES))),
                          "event_name", "left").withColumn("sessions", F.coalesce(F.col("sessions"), F.lit(0)).cast("long"))
-    top = one_row(counts.agg(F.max(F.when(F.col("stage") == 1, F.col("sessions"))).alias("_top")))
-    top_or_one = F.when(F.col("_top") == 0, F.lit(1)).otherwise(F.col("_top"))
-    return counts.crossJoin(top).select("stage", "event_name", "sessions",
+    top = scalars(counts.agg(F.max(F.when(F.col("stage") == 1, F.col("sessions"))).alias("_top")))["_top"]
+    top_or_one = F.when(top == 0, F.lit(1)).otherwise(top)
+    return counts.select("stage", "event_name", "sessions",
                                         round_pct(F.col("sessions"), top_or_one, 1).alias("conversion_from_top_pct"))
 
 

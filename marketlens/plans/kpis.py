@@ -25,6 +25,7 @@ from marketlens.functions.numeric import (count_if, mean_bool, money, money_sum,
                                           to_double)
 from marketlens.functions.stats import normal_two_sided_p, student_t_two_sided_p
 from marketlens.model import AB_GROUPS, KpiConfig, Marketplace
+from marketlens.operators.joins import one_row_of
 from marketlens.operators.rollups import (commission, delivered, is_cancelled, is_delivered, net_revenue,
                                           delivered_by, restaurant_rollup, session_rollup, user_days,
                                           user_rollup_from_days)
@@ -35,8 +36,9 @@ DEMO_KPI_PREFIX = {"gender": "top_gender", "profession": "top_profession", "inco
 
 
 def _one(*frames: DataFrame) -> DataFrame:
-    """Join one-row frames side by side (each is a global aggregate, so exactly one row)."""
-    return reduce(lambda a, b: a.crossJoin(b), frames)
+    """One-row frames side by side, as scalar subqueries (each is a global aggregate, so exactly
+    one row); subqueries over the same source are merged into one pass by Catalyst."""
+    return one_row_of(*frames)
 
 
 def _d(a: Column, b: Column) -> Column:
@@ -107,7 +109,7 @@ def part_user_rollup(m: Marketplace, cfg: KpiConfig) -> DataFrame:
     if cfg.ltv_delivered_only:
         ltv = user_rollup_from_days(user_days(delivered(m.orders))).agg(F.sum("ltv").alias("_ltv"),
                                                                          F.count(F.lit(1)).alias("_ltv_n"))
-        return r.drop("_ltv").crossJoin(ltv)
+        return _one(r.drop("_ltv"), ltv)
     return r.withColumn("_ltv_n", F.col("n_order_users"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from marketlens.model import FilterSpec, KpiConfig, Marketplace
 from marketlens.operators import clean as C
 from marketlens.operators import filters as FL
+from marketlens.operators.joins import scalars
 from marketlens.operators.rank import equal_frequency_bins, ordinal_rank, quantile_nearest
 from marketlens.functions.dates import week_key
 from marketlens.functions.text import title_case
@@ -73,8 +74,8 @@ def _ordinal_rank(m: Marketplace) -> DataFrame:
 def _bins(m: Marketplace) -> DataFrame:
     freq = m.orders.groupBy("user_id").agg(F.count(F.lit(1)).alias("frequency"))
     ranked = ordinal_rank(freq, [F.asc("frequency"), F.asc("user_id")], "_r")
-    n = F.broadcast(ranked.agg(F.count(F.lit(1)).alias("_n")))
-    return ranked.crossJoin(n).select("user_id", "frequency", equal_frequency_bins(F.col("_r"), F.col("_n")).alias("bin"))
+    n = scalars(ranked.agg(F.count(F.lit(1)).alias("_n")))["_n"]
+    return ranked.select("user_id", "frequency", equal_frequency_bins(F.col("_r"), n).alias("bin"))
 
 
 def _title_case(spark: SparkSession, sf_dir: str) -> DataFrame:

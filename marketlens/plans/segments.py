@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marketlens.functions.dates import month_key, months_between_calendar
 from marketlens.functions.numeric import round_pct, to_double
 from marketlens.model import Marketplace
-from marketlens.operators.joins import one_row
+from marketlens.operators.joins import scalars
 from marketlens.operators.rank import equal_frequency_bins, n_bins, ordinal_rank
 from marketlens.operators.rollups import user_rollup
 
@@ -71,19 +71,19 @@ def _rfm(m: Marketplace, max_bins: int = 5) -> DataFrame:
     Each score is an equal-frequency bin of a distributed ordinal rank (ties broken by user_id;
     recency ranked descending so recent buyers score high).
     """
-    snapshot = one_row(m.orders.agg(F.max("order_date").alias("_snapshot")))
-    base = (user_rollup(m.orders).crossJoin(snapshot)
-            .select("user_id", F.datediff(F.col("_snapshot"), F.col("last_order_date")).alias("recency_days"),
+    snapshot = scalars(m.orders.agg(F.max("order_date").alias("_snapshot")))["_snapshot"]
+    base = (user_rollup(m.orders)
+            .select("user_id", F.datediff(snapshot, F.col("last_order_date")).alias("recency_days"),
                     F.col("n_orders").alias("frequency"), F.col("monetary").alias("_monetary_dec")))
     ranked = ordinal_rank(base, [F.desc("recency_days"), F.asc("user_id")], "_r_rank")
     ranked = ordinal_rank(ranked, [F.asc("frequency"), F.asc("user_id")], "_f_rank")
     ranked = ordinal_rank(ranked, [F.asc("_monetary_dec"), F.asc("user_id")], "_m_rank")
-    n = one_row(ranked.agg(F.count(F.lit(1)).alias("_n")))
-    scored = ranked.crossJoin(n).withColumns({
-        "R_score": equal_frequency_bins(F.col("_r_rank"), F.col("_n"), max_bins),
-        "F_score": equal_frequency_bins(F.col("_f_rank"), F.col("_n"), max_bins),
-        "M_score": equal_frequency_bins(F.col("_m_rank"), F.col("_n"), max_bins),
-        "_bins": n_bins(F.col("_n"), max_bins),
+    n = scalars(ranked.agg(F.count(F.lit(1)).alias("_n")))["_n"]
+    scored = ranked.withColumns({
+        "R_score": equal_frequency_bins(F.col("_r_rank"), n, max_bins),
+        "F_score": equal_frequency_bins(F.col("_f_rank"), n, max_bins),
+        "M_score": equal_frequency_bins(F.col("_m_rank"), n, max_bins),
+        "_bins": n_bins(n, max_bins),
     })
     return scored.select("user_id", "recency_days", "frequency", "_monetary_dec",
                          to_double(F.col("_monetary_dec")).alias("monetary"), "R_score", "F_score", "M_score",
