@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +36,11 @@ def with_scalars(df: DataFrame, one: DataFrame) -> DataFrame:
 
 
 def one_row_of(*frames: DataFrame) -> DataFrame:
-    """Several one-row aggregates side by side, as one row of scalar subqueries."""
-    spark = frames[0].sparkSession
-    cols = {}
-    for f in frames:
-        cols.update(scalars(f))
-    return spark.range(1).select(*[c.alias(n) for n, c in cols.items()])
+    """Several one-row aggregates side by side, without a join: stack them (each row carries only
+    its own columns, the rest null) and collapse with one aggregate over at most len(frames) rows.
+    Each input stays an independent stage, so AQE runs them concurrently."""
+    if len(frames) == 1:
+        return frames[0]
+    names = [c for f in frames for c in f.columns]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return stacked.agg(*[F.max(F.col(f"`{c}`")).alias(c) for c in names])
