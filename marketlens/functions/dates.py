@@ -80,4 +80,5 @@ def months_between_calendar(later: Column | str, earlier: Column | str) -> Colum
 
 def local_now(tz: str = "Asia/Kolkata") -> Column:
     """Wall-clock now in the dashboard's zone (used for the 'as of' stamp)."""
-    return F.convert_timezone(F.lit("UTC"), F.lit(tz), F.current_timestamp().cast("timestamp_ntz"))
+    # the NTZ cast renders the instant in the session zone, so convert from that zone
+    return F.convert_timezone(F.current_timezone(), F.lit(tz), F.current_timestamp().cast("timestamp_ntz"))

@@ -30,11 +30,6 @@ def scalars(one: DataFrame) -> dict[str, Column]:
     return {c: packed[c] for c in one.columns}
 
 
-def with_scalars(df: DataFrame, one: DataFrame) -> DataFrame:
-    """Every row of ``df`` plus the columns of the one-row aggregate ``one``."""
-    return df.withColumns(scalars(one))
-
-
 def one_row_of(*frames: DataFrame) -> DataFrame:
     """Several one-row aggregates side by side, without a join: stack them (each row carries only
     its own columns, the rest null) and collapse with one aggregate over at most len(frames) rows.

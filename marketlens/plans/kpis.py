@@ -232,24 +232,6 @@ def ab_moments() -> dict[str, Column]:
             "df": F.when(se2 > 0, _d(se2 * se2, _d(sa * sa, F.col("t_k") - 1) + _d(sb * sb, F.col("c_k") - 1)))}
 
 
-def welch(mean_a: Column, var_a: Column, n_a: Column, mean_b: Column, var_b: Column, n_b: Column) -> dict[str, Column]:
-    """Welch's unequal-variance t statistic, its degrees of freedom and two-sided p (null if both variances are 0)."""
-    sa, sb = _d(var_a, n_a), _d(var_b, n_b)
-    se2 = sa + sb
-    t = F.when(se2 > 0, _d(mean_a - mean_b, F.sqrt(se2)))
-    dof = F.when(se2 > 0, _d(se2 * se2, _d(sa * sa, n_a - 1) + _d(sb * sb, n_b - 1)))
-    return {"t": t, "df": dof, "p": F.when(se2 > 0, student_t_two_sided_p(t, dof))}
-
-
-def pooled_z(x1: Column, n1: Column, x2: Column, n2: Column) -> dict[str, Column]:
-    """Two-proportion z-test with pooled variance; se = 0 gives z = 0 and p = 1."""
-    p1, p2 = _d(x1, n1), _d(x2, n2)
-    pool = _d(x1 + x2, n1 + n2)
-    se = F.when((pool > 0) & (pool < 1), F.sqrt(pool * (1 - pool) * (_d(F.lit(1), n1) + _d(F.lit(1), n2)))).otherwise(F.lit(0.0))
-    z = F.when(se != 0, _d(p2 - p1, se)).otherwise(F.lit(0.0))
-    return {"p1": p1, "p2": p2, "z": z, "p": F.when(se != 0, normal_two_sided_p(z)).otherwise(F.lit(1.0))}
-
-
 def ab_tests(m: Marketplace, orders_part: DataFrame | None = None) -> DataFrame:
     """One row with both tests' statistics; the p-value integrals read projected columns only."""
     base = orders_part if orders_part is not None else part_orders(m)

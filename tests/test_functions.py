@@ -56,3 +56,11 @@ def test_n_unique_counts_null_once(spark):
     df = spark.createDataFrame([("a",), (None,), ("a",), (None,), ("b",)], "x string")
     r = df.agg(n_unique("x").alias("n"), F.count_distinct("x").alias("c")).first()
     assert (r.n, r.c) == (3, 2)
+
+
+def test_local_now_is_ist(spark):
+    from marketlens.functions.dates import local_now
+
+    r = spark.range(1).select(local_now().alias("ist"), F.current_timestamp().cast("timestamp_ntz").alias("utc")).first()
+    offset = (r.ist - r.utc).total_seconds()
+    assert abs(offset - 5.5 * 3600) < 60
