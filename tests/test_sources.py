@@ -50,3 +50,14 @@ def test_write_results_and_read_marketplace(spark):
         write_table(getattr(raw, name), f"{folder}/{name}")
     back = read_marketplace(spark, folder)
     assert back.orders.count() == raw.orders.count()
+
+
+def test_cluster_conf_scales_partitions():
+    from marketlens.session import cluster_conf
+
+    big = cluster_conf(100 * 10**12, 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == 100_000
+    mid = cluster_conf(10 * 10**12, 8000)
+    assert int(mid["spark.sql.shuffle.partitions"]) == 10 * 10**12 // (256 << 20)
+    small = cluster_conf(10**9, 64)
+    assert int(small["spark.sql.shuffle.partitions"]) == 200
