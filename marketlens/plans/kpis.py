@@ -114,15 +114,14 @@ def part_user_rollup(m: Marketplace, cfg: KpiConfig) -> DataFrame:
 
 
 def part_periods(m: Marketplace, cfg: KpiConfig) -> DataFrame:
-    """Mean distinct ordering users per day, week and month, from distinct (user, day) rows."""
-    days = user_days(m.orders).select("user_id", "order_date")
-
-    def avg_active(period: Column, name: str) -> DataFrame:
-        return (days.select("user_id", period.alias("_p")).groupBy("_p").agg(n_unique("user_id").alias("_a"))
-                .agg(F.avg("_a").alias(name)))
-
-    return _one(avg_active(F.col("order_date"), "avg_dau"), avg_active(week_key("order_date", cfg.week_key), "avg_wau"),
-                avg_active(month_key("order_date"), "avg_mau"))
+    """Mean distinct ordering users per day, week and month in one scan of orders: each row is
+    expanded to its three period keys, then distinct users are counted per (kind, period)."""
+    keys = F.array(*[F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("p")) for kind, key in (
+        ("dau", F.col("order_date")), ("wau", week_key("order_date", cfg.week_key)), ("mau", month_key("order_date")))])
+    active = (m.orders.select("user_id", F.explode(keys).alias("k"))
+              .groupBy(F.col("k.kind").alias("kind"), F.col("k.p").alias("p")).agg(n_unique("user_id").alias("_a"))
+              .groupBy("kind").agg(F.avg("_a").alias("_avg")))
+    return active.agg(*[F.max(F.when(F.col("kind") == k, F.col("_avg"))).alias(f"avg_{k}") for k in ("dau", "wau", "mau")])
 
 
 def stage_sessions(events: DataFrame) -> DataFrame:
