@@ -61,3 +61,13 @@ def test_cluster_conf_scales_partitions():
     assert int(mid["spark.sql.shuffle.partitions"]) == 10 * 10**12 // (256 << 20)
     small = cluster_conf(10**9, 64)
     assert int(small["spark.sql.shuffle.partitions"]) == 200
+
+
+def test_refresh_job_writes_every_result(spark):
+    from marketlens.jobs import refresh
+
+    out = shared_folder(spark, "refresh")
+    paths = refresh(load_raw(spark, SF_SMALL), out)
+    assert {"kpi", "kpi_long", "cohort_matrix", "demo_breakdown_gender", "growth_trend"} <= set(paths)
+    assert spark.read.parquet(paths["kpi_long"]).count() == 61
+    assert spark.read.parquet(paths["kpi"]).count() == 1
