@@ -157,18 +157,24 @@ def unknown_share(m: Marketplace) -> DataFrame:
 def growth_trend(m: Marketplace, metric: str | None = None, grain: str | None = None) -> DataFrame:
     """(metric, grain, period, value) for GMV/Orders x Daily/Monthly (all four when not chosen).
 
+    One scan: a grouping-sets aggregate by day and by month gives order counts and delivered GMV
+    for both grains; GMV rows exist only for periods with delivered orders, as in the GMV charts.
     Orders x Monthly is the true monthly order count (distinct users per month is ``monthly_active``).
     """
-    series = {
-        ("GMV", "Daily"): gmv_trend_daily(m).select(F.col("order_date").cast("string").alias("period"), F.col("gmv").alias("value")),
-        ("GMV", "Monthly"): gmv_trend(m).select(F.col("order_month").alias("period"), F.col("gmv").alias("value")),
-        ("Orders", "Daily"): orders_trend_daily(m).select(F.col("order_date").cast("string").alias("period"),
-                                                          F.col("orders").cast("double").alias("value")),
-        ("Orders", "Monthly"): m.orders.groupBy("order_month").agg(_count("orders")).select(
-            F.col("order_month").alias("period"), F.col("orders").cast("double").alias("value")),
-    }
-    chosen = [(k, v) for k, v in series.items() if (metric is None or k[0] == metric) and (grain is None or k[1] == grain)]
+    chosen = [(mt, gr) for mt in ("GMV", "Orders") for gr in ("Daily", "Monthly")
+              if (metric is None or mt == metric) and (grain is None or gr == grain)]
     if not chosen:
         raise ValueError(f"unknown trend {metric!r}/{grain!r}")
-    return reduce(DataFrame.unionByName, [
-        df.select(F.lit(k[0]).alias("metric"), F.lit(k[1]).alias("grain"), "period", "value") for k, df in chosen])
+    g = m.orders.groupingSets([["order_date"], ["order_month"]], "order_date", "order_month").agg(
+        _count("orders"), F.sum(F.when(F.col("order_status") == "Delivered", 1).otherwise(0)).alias("_nd"),
+        money_sum(F.when(F.col("order_status") == "Delivered", F.col("order_value"))).alias("_gmv"),
+        F.grouping("order_date").alias("_by_month"))
+    g = g.select(F.when(F.col("_by_month") == 0, F.lit("Daily")).otherwise(F.lit("Monthly")).alias("grain"),
+                 F.when(F.col("_by_month") == 0, F.col("order_date").cast("string")).otherwise(F.col("order_month")).alias("period"),
+                 "orders", "_nd", "_gmv")
+    rows = F.array(F.struct(F.lit("GMV").alias("metric"), to_double(F.col("_gmv")).alias("value"), (F.col("_nd") > 0).alias("keep")),
+                   F.struct(F.lit("Orders").alias("metric"), F.col("orders").cast("double").alias("value"), F.lit(True).alias("keep")))
+    out = g.select("grain", "period", F.explode(rows).alias("r")).where(F.col("r.keep"))
+    out = out.select(F.col("r.metric").alias("metric"), "grain", "period", F.col("r.value").alias("value"))
+    keep = reduce(lambda a, b: a | b, [(F.col("metric") == mt) & (F.col("grain") == gr) for mt, gr in chosen])
+    return out.where(keep)

@@ -54,3 +54,12 @@ def test_demographic_gmv_adds_up(small):
 def test_kpi_all_is_complete(small):
     rows = K.kpi_all(small, KPI_CONFIG).collect()
     assert len(rows) == 61 and len({(r.family, r.kpi) for r in rows}) == 61
+
+
+def test_growth_trend_series_equal_standalone_charts(small):
+    got = {(r.period, r.value) for r in CH.growth_trend(small, "GMV", "Monthly").collect()}
+    want = {(r.order_month, r.gmv) for r in CH.gmv_trend(small).collect()}
+    assert got == want
+    got = {(r.period, r.value) for r in CH.growth_trend(small, "Orders", "Daily").collect()}
+    want = {(str(r.order_date), float(r.orders)) for r in CH.orders_trend_daily(small).collect()}
+    assert got == want
