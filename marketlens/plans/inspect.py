@@ -7,7 +7,32 @@ import re
 
 from pyspark.sql import DataFrame
 
-_WINDOW = re.compile(r"Window \[.*\], \[(?P<part>[^\]]*)\], \[(?P<order>[^\]]*)\]")
+_SPEC = "windowspecdefinition("
+
+
+def _first_arg(text: str) -> str:
+    """First top-level argument of a call whose opening parenthesis was already consumed."""
+    depth = 0
+    for i, ch in enumerate(text):
+        if ch == "(":
+            depth += 1
+        elif ch == ")":
+            if depth == 0:
+                return text[:i]
+            depth -= 1
+        elif ch == "," and depth == 0:
+            return text[:i]
+    return text
+
+
+def _unpartitioned(line: str) -> bool:
+    """A window spec lists PARTITION BY expressions first, then sort keys (ASC/DESC), then the frame;
+    it is unpartitioned when the first argument is already a sort key or the frame."""
+    i = line.find(_SPEC)
+    if i < 0:
+        return False
+    first = _first_arg(line[i + len(_SPEC):]).strip()
+    return " ASC" in first or " DESC" in first or first.startswith("specifiedwindowframe")
 
 
 def physical_plan(df: DataFrame) -> str:
@@ -18,7 +43,7 @@ def physical_plan(df: DataFrame) -> str:
 def unpartitioned_windows(df: DataFrame) -> list[str]:
     """Window operators without a PARTITION BY (all rows of their input in one task)."""
     return [line.strip() for line in physical_plan(df).splitlines()
-            if (m := _WINDOW.search(line)) and not m.group("part").strip()]
+            if re.search(r"\bWindow \[", line) and _unpartitioned(line)]
 
 
 def scan_lines(df: DataFrame) -> list[str]:

@@ -231,13 +231,18 @@ def ab_moments() -> dict[str, Column]:
             "df": F.when(se2 > 0, _d(se2 * se2, _d(sa * sa, F.col("t_k") - 1) + _d(sb * sb, F.col("c_k") - 1)))}
 
 
-def ab_tests(m: Marketplace, orders_part: DataFrame | None = None) -> DataFrame:
-    """One row with both tests' statistics; the p-value integrals read projected columns only."""
-    base = orders_part if orders_part is not None else part_orders(m)
-    stats = base.select(*[c.alias(n) for n, c in ab_moments().items()])
-    return stats.select("*", F.when(F.col("_se") != 0, normal_two_sided_p(F.col("z"))).otherwise(F.lit(1.0)).alias("p_completion"),
-                        F.when(F.col("df").isNotNull(), student_t_two_sided_p(F.col("t"), F.col("df"))).alias("p_aov")
-                        ).drop("_se")
+def with_ab_tests(row: DataFrame) -> DataFrame:
+    """Add both tests to a one-row frame holding the c_*/t_* moments of ``part_orders``: first the
+    plain statistics, then the p-value integrals, which read those projected columns only."""
+    stats = row.withColumns(ab_moments())
+    return stats.withColumns({
+        "p_completion": F.when(F.col("_se") != 0, normal_two_sided_p(F.col("z"))).otherwise(F.lit(1.0)),
+        "p_aov": F.when(F.col("df").isNotNull(), student_t_two_sided_p(F.col("t"), F.col("df")))}).drop("_se")
+
+
+def ab_tests(m: Marketplace) -> DataFrame:
+    """One row with both tests' statistics, from the single orders aggregate."""
+    return with_ab_tests(part_orders(m))
 
 
 # ---- families: (parts, columns) ----------------------------------------------------------------
@@ -295,7 +300,7 @@ def _families(cfg: KpiConfig) -> dict[str, tuple[list[str], Callable[[], list[Co
             (_aov() * _d(ratio(F.col("n_orders"), F.col("n_order_users")), years) * _d(_margin(), _aov())
              * F.lit(cfg.lifespan_years)).alias("clv_formulaic"),
             F.lit(cfg.lifespan_years).alias("assumed_lifespan_years")]),
-        "ab_test": (["ab"], lambda: [
+        "ab_test": (["orders"], lambda: [
             F.col("ab_available"), gated(F.col("p1"), "ab_p1"), gated(F.col("p2"), "ab_p2"),
             gated(F.round("p_completion", P_VALUE_DECIMALS), "ab_p_value_completion"),
             gated(F.col("control_mean"), "ab_control_aov_mean"), gated(F.col("treat_mean"), "ab_treat_aov_mean"),
@@ -304,36 +309,30 @@ def _families(cfg: KpiConfig) -> dict[str, tuple[list[str], Callable[[], list[Co
     }
 
 
-def _parts(m: Marketplace, cfg: KpiConfig, names: list[str]) -> DataFrame:
+def _parts(m: Marketplace, cfg: KpiConfig, names: list[str], ab: bool = False) -> DataFrame:
     builders = {
         "orders": lambda: part_orders(m), "users": lambda: part_users(m),
         "user_rollup": lambda: part_user_rollup(m, cfg), "periods": lambda: part_periods(m, cfg),
         "sessions": lambda: part_sessions(m), "restaurants": lambda: part_restaurants(m, cfg),
-        "nps": lambda: part_nps(m), "demographics": lambda: part_demographics(m), "ab": lambda: ab_tests(m),
+        "nps": lambda: part_nps(m), "demographics": lambda: part_demographics(m),
     }
-    heavy = ["demographics", "ab"]  # joined last: their plans are the largest to re-analyse
+    heavy = ["demographics"]  # joined last: its plan is the largest to re-analyse
     ordered = [n for n in names if n not in heavy] + [n for n in heavy if n in names]
-    built: dict[str, DataFrame] = {}
-    for n in ordered:
-        if n == "ab" and "orders" in built:
-            # the A/B moments come from the same orders aggregate: project them from it
-            built[n] = ab_tests(m, built["orders"]).select(
-                "ab_available", "p1", "p2", "z", "control_mean", "treat_mean", "t", "df", "p_completion", "p_aov")
-        else:
-            built[n] = builders[n]()
-    return _one(*built.values())
+    row = _one(*[builders[n]() for n in ordered])
+    # the A/B tests are projections of the orders aggregate's moments: no second pass over orders
+    return with_ab_tests(row) if ab else row
 
 
 def kpi_family(m: Marketplace, family: str, cfg: KpiConfig = KpiConfig()) -> DataFrame:
     parts, cols = _families(cfg)[family]
-    return _parts(m, cfg, parts).select(*cols())
+    return _parts(m, cfg, parts, ab=family == "ab_test").select(*cols())
 
 
 def kpi_families(m: Marketplace, families: list[str], cfg: KpiConfig = KpiConfig()) -> DataFrame:
     """Several families side by side, each part computed once."""
     specs = _families(cfg)
     needed = list(dict.fromkeys(p for f in families for p in specs[f][0]))
-    return _parts(m, cfg, needed).select(*[c for f in families for c in specs[f][1]()])
+    return _parts(m, cfg, needed, ab="ab_test" in families).select(*[c for f in families for c in specs[f][1]()])
 
 
 def kpi_acquisition(m, cfg=KpiConfig()): return kpi_family(m, "acquisition", cfg)  # noqa: E704

@@ -40,3 +40,16 @@ def test_dedup_is_an_aggregate_not_a_window(spark):
 def test_cuisine_filter_broadcasts_bounded_dimension(spark):
     plan = physical_plan(QUERIES["filter_cuisine"](spark, SF_SMALL))
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+
+
+def test_window_detector_sees_global_and_partitioned_windows(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    df = spark.range(10).withColumn("g", F.col("id") % 2)
+    glob = df.withColumn("r", F.row_number().over(Window.orderBy("id")))
+    part = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("id")))
+    whole = df.withColumn("m", F.min("id").over(Window.partitionBy("g")))
+    assert len(unpartitioned_windows(glob)) == 1
+    assert unpartitioned_windows(part) == [] and unpartitioned_windows(whole) == []
+    assert len(unpartitioned_windows(QUERIES["ordinal_rank"](spark, SF_SMALL))) == 1  # the offsets window, allowed
