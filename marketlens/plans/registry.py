@@ -96,11 +96,12 @@ def _week_key(m: Marketplace) -> DataFrame:
 
 def _welch(m: Marketplace) -> DataFrame:
     s = K.ab_tests(m)
-    z = s.select(F.lit("completion_z").alias("test"), F.round("z", 8).alias("statistic"),
-                 F.lit(None).cast("double").alias("dof"), F.round("p_completion", 10).alias("p_value"))
-    w = s.select(F.lit("aov_welch").alias("test"), F.round("t", 8).alias("statistic"), F.round("df", 6).alias("dof"),
-                 F.round("p_aov", 10).alias("p_value"))
-    return z.unionByName(w)
+    rows = F.array(
+        F.struct(F.lit("completion_z").alias("test"), F.round("z", 8).alias("statistic"),
+                 F.lit(None).cast("double").alias("dof"), F.round("p_completion", 10).alias("p_value")),
+        F.struct(F.lit("aov_welch").alias("test"), F.round("t", 8).alias("statistic"), F.round("df", 6).alias("dof"),
+                 F.round("p_aov", 10).alias("p_value")))
+    return s.select(F.explode(rows).alias("r")).select("r.test", "r.statistic", "r.dof", "r.p_value")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
