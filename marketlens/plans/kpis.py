@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.functions.dates import month_key, week_key, whole_minutes
+from marketlens.functions.dates import month_key, week_key, whole_minutes, whole_seconds
 from marketlens.functions.numeric import (count_if, mean_bool, money, money_sum, n_unique, pct, pct_or_zero, ratio,
                                           to_double)
 from marketlens.functions.stats import normal_two_sided_p, student_t_two_sided_p
@@ -129,15 +129,30 @@ def stage_sessions(events: DataFrame) -> DataFrame:
     return events.groupBy("event_name").agg(n_unique("session_id").alias("sessions"))
 
 
+KPI_STAGES = ("menu_view", "add_to_cart", "checkout_started")
+
+
 def part_sessions(m: Marketplace) -> DataFrame:
-    sessions = session_rollup(m.events).agg(F.avg("duration_sec").alias("avg_session_duration_sec"),
-                                            F.count(F.lit(1)).alias("_total_sessions"))
-    per_user = (m.events.groupBy("user_id").agg(n_unique("session_id").alias("_s"))
-                .agg(F.avg("_s").alias("avg_session_frequency")))
-    stages = stage_sessions(m.events).agg(*[
-        F.coalesce(F.max(F.when(F.col("event_name") == s, F.col("sessions"))), F.lit(0)).alias(f"_{s}")
-        for s in ("menu_view", "add_to_cart", "checkout_started")])
-    return _one(sessions, per_user, stages)
+    """Session KPIs in one pass over events.
+
+    One grouping-sets aggregate yields (a) one row per session: first and last event time and
+    whether each funnel stage occurs, and (b) one row per distinct (user, session) pair. The mean
+    number of distinct sessions per user is (distinct pairs) / (distinct users), null counted as a
+    value on both sides, which equals the mean of the per-user distinct counts.
+    """
+    flags = {f"_has_{st}": F.max((F.col("event_name") == st).cast("int")) for st in KPI_STAGES}
+    g = m.events.groupingSets([["session_id"], ["user_id", "session_id"]], "session_id", "user_id").agg(
+        F.min("event_time").alias("_start"), F.max("event_time").alias("_end"),
+        *[c.alias(n) for n, c in flags.items()], F.grouping("user_id").alias("_session_row"))
+    session_row, pair_row = F.col("_session_row") == 1, F.col("_session_row") == 0
+    pair_user = F.when(pair_row, F.col("user_id"))
+    return g.agg(
+        F.avg(F.when(session_row, whole_seconds("_start", "_end"))).alias("avg_session_duration_sec"),
+        count_if(session_row).alias("_total_sessions"),
+        *[count_if(session_row & (F.col(f"_has_{st}") == 1)).alias(f"_{st}") for st in KPI_STAGES],
+        _d(count_if(pair_row).cast("double"),
+           (F.count_distinct(pair_user) + F.coalesce(F.max(F.when(pair_row & F.col("user_id").isNull(), 1)), F.lit(0)))
+           .cast("double")).alias("avg_session_frequency"))
 
 
 def top_restaurant_gmv(m: Marketplace, k: int = 10) -> DataFrame:
