@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.functions.dates import month_key, whole_seconds
+from marketlens.functions.dates import month_key, week_key, whole_seconds
 from marketlens.functions.numeric import money, money_sum, n_unique, rate
 from marketlens.model import CANCELLED, DELIVERED
 
@@ -48,11 +48,20 @@ def user_days(orders: DataFrame) -> DataFrame:
         F.max(F.col("is_scheduled_order").cast("int")).alias("sched"))
 
 
-def user_rollup_from_days(days: DataFrame) -> DataFrame:
+def distinct_count(c: Column) -> Column:
+    """Distinct values of a calendar-derived column within a group, null counted as a value.
+
+    Uses a set (bounded by the calendar span of the data) instead of a DISTINCT aggregate, so
+    several such counts in one groupBy need no Expand of the input rows."""
+    return F.size(F.collect_set(c)) + F.coalesce(F.max(F.when(c.isNull(), 1)), F.lit(0))
+
+
+def user_rollup_from_days(days: DataFrame, week_mode: str = "reference") -> DataFrame:
     """One row per ordering user (null user included as a group).
 
-    Columns: user_id, n_orders, first_order_date, last_order_date, active_months, monetary (DECIMAL,
-    all statuses), ltv (DECIMAL net revenue, all statuses), has_scheduled, retained_d7, retained_d30.
+    Columns: user_id, n_orders, first_order_date, last_order_date, active_days, active_weeks,
+    active_months, monetary (DECIMAL, all statuses), ltv (DECIMAL net revenue, all statuses),
+    has_scheduled, retained_d7, retained_d30.
 
     Retention needs each user's first date before looking at later orders. Working on distinct
     (user, day) rows bounds a user's group by the calendar span of the data, so the per-user window
@@ -64,7 +73,9 @@ def user_rollup_from_days(days: DataFrame) -> DataFrame:
         F.sum("n").alias("n_orders"),
         F.min("order_date").alias("first_order_date"),
         F.max("order_date").alias("last_order_date"),
-        n_unique(month_key("order_date")).alias("active_months"),
+        F.count(F.lit(1)).alias("active_days"),  # input rows are distinct (user, day)
+        distinct_count(week_key("order_date", week_mode)).alias("active_weeks"),
+        distinct_count(month_key("order_date")).alias("active_months"),
         F.sum("monetary").alias("monetary"),
         F.sum("ltv").alias("ltv"),
         F.coalesce(F.max("sched"), F.lit(0)).alias("has_scheduled"),

@@ -6,7 +6,8 @@ KPIs are computed from a few fused one-row "parts" instead of one aggregate per
   A/B moments): serves revenue, operations, product, conversion, A/B and most of marketplace;
 - ``users`` / ``user_rollup``: one pass over users, one over the per-user rollup (retention, LTV,
   scheduled adoption, distinct ordering users);
-- ``periods``, ``sessions``, ``restaurants``, ``nps``, ``demographics``.
+- ``sessions``, ``restaurants``, ``nps``, ``demographics``; DAU/WAU/MAU come from the user rollup
+  (distinct user-period pairs) and the calendar-bounded set of order dates, with no extra pass.
 
 A family joins only the parts it needs; ``kpi_all`` joins every part once, so each base table is
 scanned a handful of times for all 61 KPIs. Nothing is collected.
@@ -71,6 +72,9 @@ def part_orders(m: Marketplace) -> DataFrame:
         F.avg(when_d(F.col("rating"))).alias("overall_avg_rating"),
         count_if(F.col("is_promo_used")).alias("_promo"), F.avg("items_count").alias("avg_basket_size"),
         F.datediff(F.max("order_date"), F.min("order_date")).alias("_days"),
+        # distinct order dates: bounded by the calendar span, the denominators of DAU/WAU/MAU
+        F.collect_set("order_date").alias("_dates"),
+        F.coalesce(F.max(F.col("order_date").isNull().cast("int")), F.lit(0)).alias("_null_date"),
     ]
     for prefix, group in zip(("c", "t"), AB_GROUPS):
         g = F.col("ab_test_group") == group
@@ -86,15 +90,15 @@ def part_users(m: Marketplace) -> DataFrame:
     return m.users.agg(F.count(F.lit(1)).alias("n_users"), n_unique(month_key("signup_date")).alias("_months"))
 
 
-def _rollup(m: Marketplace) -> DataFrame:
-    return user_rollup_from_days(user_days(m.orders))
+def _rollup(m: Marketplace, cfg: KpiConfig = KpiConfig()) -> DataFrame:
+    return user_rollup_from_days(user_days(m.orders), cfg.week_key)
 
 
 def part_user_rollup(m: Marketplace, cfg: KpiConfig) -> DataFrame:
     """Per-user rollup aggregated to one row; joined once with users (left, so every ordering user
     counts) to also give time-to-first-order and subscriber adoption without another orders pass."""
     users = m.users.select("user_id", "signup_date", "is_subscriber")
-    ur = _rollup(m).join(users, "user_id", "left")
+    ur = _rollup(m, cfg).join(users, "user_id", "left")
     ttfo = F.datediff("first_order_date", "signup_date")
     r = ur.agg(
         F.count(F.lit(1)).alias("n_order_users"),
@@ -105,7 +109,9 @@ def part_user_rollup(m: Marketplace, cfg: KpiConfig) -> DataFrame:
         count_if(F.col("has_scheduled") == 1).alias("_sched"),
         F.sum("ltv").alias("_ltv"),
         F.avg(F.when(ttfo >= 0, ttfo)).alias("avg_ttfo"),
-        count_if(F.col("is_subscriber")).alias("_subs"))
+        count_if(F.col("is_subscriber")).alias("_subs"),
+        F.sum("active_days").alias("_user_days"), F.sum("active_weeks").alias("_user_weeks"),
+        F.sum("active_months").alias("_user_months"))
     if cfg.ltv_delivered_only:
         ltv = user_rollup_from_days(user_days(delivered(m.orders))).agg(F.sum("ltv").alias("_ltv"),
                                                                          F.count(F.lit(1)).alias("_ltv_n"))
@@ -113,17 +119,6 @@ def part_user_rollup(m: Marketplace, cfg: KpiConfig) -> DataFrame:
     return r.withColumn("_ltv_n", F.col("n_order_users"))
 
 
-def part_periods(m: Marketplace, cfg: KpiConfig) -> DataFrame:
-    """Mean distinct ordering users per day, week and month in one scan of orders: each row is
-    expanded to its three period keys, then distinct users are counted per (kind, period)."""
-    keys = F.array(*[F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("p")) for kind, key in (
-        ("dau", F.col("order_date")), ("wau", week_key("order_date", cfg.week_key)), ("mau", month_key("order_date")))])
-    active = (m.orders.select("user_id", F.explode(keys).alias("k"))
-              .groupBy(F.col("k.kind").alias("kind"), F.col("k.p").alias("p")).agg(n_unique("user_id").alias("_a"))
-              .groupBy("kind").agg(F.avg("_a").alias("_avg")))
-    return active.agg(*[F.max(F.when(F.col("kind") == k, F.col("_avg"))).alias(f"avg_{k}") for k in ("dau", "wau", "mau")])
-
-
 def stage_sessions(events: DataFrame) -> DataFrame:
     """Distinct sessions per event name (stages counted independently, not as a sequence)."""
     return events.groupBy("event_name").agg(n_unique("session_id").alias("sessions"))
@@ -226,6 +221,13 @@ def _avg_ltv() -> Column:
     return ratio(to_double(F.col("_ltv")), F.col("_ltv_n"))
 
 
+def _avg_active(pairs: str, period) -> Column:
+    """Mean distinct ordering users per period = distinct (user, period) pairs / distinct periods.
+    Pairs come from the user rollup; periods from the calendar-bounded set of order dates."""
+    periods = F.size(F.array_distinct(F.transform(F.col("_dates"), period))) + F.col("_null_date")
+    return _d(F.col(pairs).cast("double"), periods.cast("double"))
+
+
 def ab_moments() -> dict[str, Column]:
     """Means, Welch statistic and dof, and the pooled z, from the c_*/t_* moments of ``part_orders``
     (c = Control, t = Treatment). The p-values are added on top of these plain columns."""
@@ -275,8 +277,11 @@ def _families(cfg: KpiConfig) -> dict[str, tuple[list[str], Callable[[], list[Co
         "acquisition": (["orders", "users", "user_rollup"], lambda: [
             pct(F.col("n_order_users"), F.col("n_users")).alias("activation_rate"), F.col("avg_ttfo"),
             _cac(cfg).alias("cac")]),
-        "engagement": (["orders", "user_rollup", "periods", "sessions"], lambda: [
-            F.col("avg_dau"), F.col("avg_wau"), F.col("avg_mau"), (_d(F.col("avg_dau"), F.col("avg_mau")) * 100).alias("stickiness"),
+        "engagement": (["orders", "user_rollup", "sessions"], lambda: [
+            _avg_active("_user_days", lambda d: d).alias("avg_dau"),
+            _avg_active("_user_weeks", lambda d: week_key(d, cfg.week_key)).alias("avg_wau"),
+            _avg_active("_user_months", month_key).alias("avg_mau"),
+            (_d(_avg_active("_user_days", lambda d: d), _avg_active("_user_months", month_key)) * 100).alias("stickiness"),
             ratio(F.col("n_orders"), F.col("n_order_users")).alias("orders_per_user"),
             F.col("avg_session_frequency"), F.col("avg_session_duration_sec")]),
         "conversion": (["orders", "sessions"], lambda: [
@@ -327,7 +332,7 @@ def _families(cfg: KpiConfig) -> dict[str, tuple[list[str], Callable[[], list[Co
 def _parts(m: Marketplace, cfg: KpiConfig, names: list[str], ab: bool = False) -> DataFrame:
     builders = {
         "orders": lambda: part_orders(m), "users": lambda: part_users(m),
-        "user_rollup": lambda: part_user_rollup(m, cfg), "periods": lambda: part_periods(m, cfg),
+        "user_rollup": lambda: part_user_rollup(m, cfg),
         "sessions": lambda: part_sessions(m), "restaurants": lambda: part_restaurants(m, cfg),
         "nps": lambda: part_nps(m), "demographics": lambda: part_demographics(m),
     }
