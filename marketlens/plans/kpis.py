@@ -9,8 +9,9 @@ KPIs are computed from a few fused one-row "parts" instead of one aggregate per
 - ``sessions``, ``restaurants``, ``nps``, ``demographics``; DAU/WAU/MAU come from the user rollup
   (distinct user-period pairs) and the calendar-bounded set of order dates, with no extra pass.
 
-A family joins only the parts it needs; ``kpi_all`` joins every part once, so each base table is
-scanned a handful of times for all 61 KPIs. Nothing is collected.
+A family computes only the parts it needs; ``kpi_all`` computes every part once and combines them
+without joins, so each base table is scanned a handful of times for all 61 KPIs. Nothing is
+collected.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ DEMO_KPI_PREFIX = {"gender": "top_gender", "profession": "top_profession", "inco
 
 
 def _one(*frames: DataFrame) -> DataFrame:
-    """One-row frames side by side, as scalar subqueries (each is a global aggregate, so exactly
-    one row); subqueries over the same source are merged into one pass by Catalyst."""
+    """One-row frames side by side (each is a global aggregate, so exactly one row), combined
+    without a join: see ``operators.joins.one_row_of``."""
     return one_row_of(*frames)
 
 
