@@ -108,7 +108,9 @@ def first_order_flag(m: Marketplace) -> DataFrame:
     The per-user minimum is a partial aggregate and is joined back on user_id (AQE splits a skewed
     user's partition), instead of a row_number window that would sort a hot user in one task.
     """
-    first = m.orders.groupBy("user_id").agg(F.min(F.struct("order_placed_time", "order_id")).alias("_first"))
-    return (m.orders.select("order_id", "user_id", "order_placed_time").join(first, "user_id", "left")
-            .select("order_id", "user_id",
-                    (F.col("order_id") == F.col("_first.order_id")).alias("is_first_order")))
+    first = (m.orders.groupBy("user_id").agg(F.min(F.struct("order_placed_time", "order_id")).alias("_first"))
+             .withColumnRenamed("user_id", "_uid"))
+    o = m.orders.select("order_id", "user_id")
+    # null-safe: orders without a user form one group too, and its earliest order is flagged
+    return (o.join(first, o["user_id"].eqNullSafe(first["_uid"]), "left")
+            .select("order_id", "user_id", (F.col("order_id") == F.col("_first.order_id")).alias("is_first_order")))

@@ -650,7 +650,7 @@ def oracle_sql() -> dict[str, str]:
         "first_order_flag": q("""SELECT o.order_id, o.user_id, o.order_id = f.fid AS is_first_order FROM orders_c o
             LEFT JOIN (SELECT user_id, order_id AS fid FROM (SELECT user_id, order_id, row_number() OVER (
               PARTITION BY user_id ORDER BY order_placed_time ASC NULLS FIRST, order_id ASC NULLS FIRST) AS rn
-              FROM orders_c) WHERE rn = 1) f ON o.user_id = f.user_id"""),
+              FROM orders_c) WHERE rn = 1) f ON o.user_id IS NOT DISTINCT FROM f.user_id"""),
         **chart_sql(),
         "rfm_scores": q("SELECT user_id, recency_days, frequency, monetary, R_score, F_score, M_score, segment_label FROM rfm",
                         [("rfm", rfm_sql())]),

@@ -90,3 +90,12 @@ def test_week_key_mode(spark, mode, expected):
     assert K.kpi_engagement(m, KpiConfig(week_key=mode)).first().avg_wau == 1.0
     from marketlens.functions.dates import week_key
     assert m.orders.select(week_key("order_date", mode).alias("w")).first().w == expected
+
+
+def test_first_order_flag_for_orders_without_user(spark):
+    orders = [dict(order_id=1, user_id=None, order_placed_time="2024-01-02 10:00:00"),
+              dict(order_id=2, user_id=None, order_placed_time="2024-01-01 10:00:00"),
+              dict(order_id=3, user_id=5)]
+    m = _m(spark, users=[dict(user_id=5)], orders=orders)
+    flags = {r.order_id: r.is_first_order for r in SG.first_order_flag(m).collect()}
+    assert flags == {1: False, 2: True, 3: True}
