@@ -45,7 +45,9 @@ def user_days(orders: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         money_sum("order_value").alias("monetary"),
         F.coalesce(F.sum(net_revenue()), F.lit(0).cast("decimal(18,4)")).alias("ltv"),
-        F.max(F.col("is_scheduled_order").cast("int")).alias("sched"))
+        F.max(F.col("is_scheduled_order").cast("int")).alias("sched"),
+        money_sum(F.when(is_delivered(), F.col("order_value"))).alias("dgmv"),
+        F.sum(is_delivered().cast("int")).alias("dn"))
 
 
 def distinct_count(c: Column) -> Column:
@@ -61,7 +63,7 @@ def user_rollup_from_days(days: DataFrame, week_mode: str = "reference") -> Data
 
     Columns: user_id, n_orders, first_order_date, last_order_date, active_days, active_weeks,
     active_months, monetary (DECIMAL, all statuses), ltv (DECIMAL net revenue, all statuses),
-    has_scheduled, retained_d7, retained_d30.
+    gmv_delivered (DECIMAL), n_delivered, has_scheduled, retained_d7, retained_d30.
 
     Retention needs each user's first date before looking at later orders. Working on distinct
     (user, day) rows bounds a user's group by the calendar span of the data, so the per-user window
@@ -78,6 +80,8 @@ def user_rollup_from_days(days: DataFrame, week_mode: str = "reference") -> Data
         distinct_count(month_key("order_date")).alias("active_months"),
         F.sum("monetary").alias("monetary"),
         F.sum("ltv").alias("ltv"),
+        F.sum("dgmv").alias("gmv_delivered"),
+        F.sum("dn").alias("n_delivered"),
         F.coalesce(F.max("sched"), F.lit(0)).alias("has_scheduled"),
         F.max(offset.between(1, 7).cast("int")).alias("retained_d7"),
         F.max(offset.between(1, 30).cast("int")).alias("retained_d30"))

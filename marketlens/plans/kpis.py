@@ -33,6 +33,8 @@ from marketlens.operators.rollups import (commission, delivered, is_cancelled, i
                                           user_rollup_from_days)
 
 P_VALUE_DECIMALS = 10
+# kpi_all: carry demographic labels through the user rollup's users join (one pass fewer over orders)
+MERGE_DEMOGRAPHICS = True
 DEMO_KPI_PREFIX = {"gender": "top_gender", "profession": "top_profession", "income_bracket": "top_income",
                    "age_group": "top_age_group"}
 
@@ -95,24 +97,51 @@ def _rollup(m: Marketplace, cfg: KpiConfig = KpiConfig()) -> DataFrame:
     return user_rollup_from_days(user_days(m.orders), cfg.week_key)
 
 
-def part_user_rollup(m: Marketplace, cfg: KpiConfig) -> DataFrame:
+def _user_rollup_aggs() -> dict[str, Column]:
+    ttfo = F.datediff("first_order_date", "signup_date")
+    return {
+        "n_order_users": F.count(F.lit(1)),
+        "_d7": count_if(F.col("retained_d7") == 1), "_d30": count_if(F.col("retained_d30") == 1),
+        "_repeat": count_if(F.col("n_orders") >= 2),
+        "_ret_orders": F.coalesce(F.sum(F.when(F.col("active_months") >= 2, F.col("n_orders"))), F.lit(0)),
+        "_ret_users": count_if(F.col("active_months") >= 2),
+        "_sched": count_if(F.col("has_scheduled") == 1),
+        "_ltv": F.sum("ltv"),
+        "avg_ttfo": F.avg(F.when(ttfo >= 0, ttfo)),
+        "_subs": count_if(F.col("is_subscriber")),
+        "_user_days": F.sum("active_days"), "_user_weeks": F.sum("active_weeks"), "_user_months": F.sum("active_months"),
+    }
+
+
+def part_user_rollup(m: Marketplace, cfg: KpiConfig, demographics: bool = False) -> DataFrame:
     """Per-user rollup aggregated to one row; joined once with users (left, so every ordering user
-    counts) to also give time-to-first-order and subscriber adoption without another orders pass."""
-    users = m.users.select("user_id", "signup_date", "is_subscriber")
+    counts) to also give time-to-first-order and subscriber adoption without another orders pass.
+
+    With ``demographics`` the same join carries the four user attributes, and one grouping-sets
+    aggregate over (), (gender), (age_group), (profession), (income_bracket) gives both the global
+    row and delivered GMV per label, so the demographic KPIs need no pass of their own. Labels are
+    null only for ordering users missing from the users table; they and labels without delivered
+    orders are skipped, as the inner join of the standalone path does.
+    """
+    dims = list(DEMO_KPI_PREFIX) if demographics else []
+    users = m.users.select("user_id", "signup_date", "is_subscriber", *dims)
     ur = _rollup(m, cfg).join(users, "user_id", "left")
-    ttfo = F.datediff("first_order_date", "signup_date")
-    r = ur.agg(
-        F.count(F.lit(1)).alias("n_order_users"),
-        count_if(F.col("retained_d7") == 1).alias("_d7"), count_if(F.col("retained_d30") == 1).alias("_d30"),
-        count_if(F.col("n_orders") >= 2).alias("_repeat"),
-        F.coalesce(F.sum(F.when(F.col("active_months") >= 2, F.col("n_orders"))), F.lit(0)).alias("_ret_orders"),
-        count_if(F.col("active_months") >= 2).alias("_ret_users"),
-        count_if(F.col("has_scheduled") == 1).alias("_sched"),
-        F.sum("ltv").alias("_ltv"),
-        F.avg(F.when(ttfo >= 0, ttfo)).alias("avg_ttfo"),
-        count_if(F.col("is_subscriber")).alias("_subs"),
-        F.sum("active_days").alias("_user_days"), F.sum("active_weeks").alias("_user_weeks"),
-        F.sum("active_months").alias("_user_months"))
+    aggs = _user_rollup_aggs()
+    if not demographics:
+        r = ur.agg(*[c.alias(n) for n, c in aggs.items()])
+    else:
+        g = ur.groupingSets([[]] + [[c] for c in dims], *dims).agg(
+            *[c.alias(n) for n, c in aggs.items()], _dsum(F.col("gmv_delivered")).alias("_dgmv"),
+            F.sum("n_delivered").alias("_dn"),
+            *[F.grouping(c).alias(f"_g_{c}") for c in dims])
+        whole = reduce(lambda a, b: a & b, [F.col(f"_g_{c}") == 1 for c in dims])
+        out = [F.max(F.when(whole, F.col(n))).alias(n) for n in aggs]
+        for c, prefix in DEMO_KPI_PREFIX.items():
+            label_row = (F.col(f"_g_{c}") == 0) & F.col(c).isNotNull() & (F.col("_dn") > 0)
+            order = F.when(label_row, F.struct((-F.col("_dgmv")).alias("neg"), F.col(c).alias("label")))
+            out += [F.min_by(F.when(label_row, F.col(c)), order).alias(prefix),
+                    F.min_by(F.when(label_row, to_double(F.col("_dgmv"))), order).alias(f"_{prefix}")]
+        r = g.agg(*out)
     if cfg.ltv_delivered_only:
         ltv = user_rollup_from_days(user_days(delivered(m.orders))).agg(F.sum("ltv").alias("_ltv"),
                                                                          F.count(F.lit(1)).alias("_ltv_n"))
@@ -337,9 +366,11 @@ def _parts(m: Marketplace, cfg: KpiConfig, names: list[str], ab: bool = False) -
         "sessions": lambda: part_sessions(m), "restaurants": lambda: part_restaurants(m, cfg),
         "nps": lambda: part_nps(m), "demographics": lambda: part_demographics(m),
     }
-    heavy = ["demographics"]  # joined last: its plan is the largest to re-analyse
-    ordered = [n for n in names if n not in heavy] + [n for n in heavy if n in names]
-    row = _one(*[builders[n]() for n in ordered])
+    if MERGE_DEMOGRAPHICS and "demographics" in names and "user_rollup" in names:
+        # the user rollup already joins users once: carry the demographic labels through that join
+        builders["user_rollup"] = lambda: part_user_rollup(m, cfg, demographics=True)
+        names = [n for n in names if n != "demographics"]
+    row = _one(*[builders[n]() for n in names])
     # the A/B tests are projections of the orders aggregate's moments: no second pass over orders
     return with_ab_tests(row) if ab else row
 
