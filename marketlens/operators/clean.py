@@ -39,6 +39,8 @@ def age_band(age: Column) -> Column:
 def clean_users(users: DataFrame) -> DataFrame:
     users = add_missing(users, DEMOGRAPHIC_COLUMNS)
     users = keep_first(users, "user_id")
+    # exact median (mean of the two middle values for an even count); its aggregation buffer is a
+    # value -> count map, bounded here by the handful of distinct ages, merged map-side
     median_age = scalars(users.agg(F.median(F.col("age").cast("double")).alias("_median_age")))["_median_age"]
     users = users.withColumns({
         "city": title_case(strip_ws("city")),
