@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,15 +40,17 @@ ORDER_SLICE_COLUMNS = ["order_id", "user_id", "restaurant_id", "city", "device_t
 QUANTILES = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
 
 _CLEAN: dict[tuple[str, str], Marketplace] = {}
+_CLEAN_LOCK = threading.Lock()
 
 
 def marketplace(spark: SparkSession, sf_dir: str) -> Marketplace:
     """Cleaned tables for a data folder, built once per application and written as parquet under
     the checkpoint folder; every query reads those tables."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _CLEAN:
-        _CLEAN[key] = materialize(C.clean(load_raw(spark, sf_dir)))
-    return _CLEAN[key]
+    with _CLEAN_LOCK:  # concurrent callers wait for one materialisation instead of racing
+        if key not in _CLEAN:
+            _CLEAN[key] = materialize(C.clean(load_raw(spark, sf_dir)))
+        return _CLEAN[key]
 
 
 def _m(fn: Callable[[Marketplace], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
