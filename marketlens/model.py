@@ -37,6 +37,19 @@ DEMOGRAPHIC_COLUMNS = ["gender", "profession", "income_bracket"]
 UNKNOWN = "Unknown"
 DELIVERED = "Delivered"
 CANCELLED = "Cancelled"
+# age bands: (upper bound, exclusive; label), then the label for everything else (null age included)
+AGE_BANDS = [(25, "18-24"), (35, "25-34"), (45, "35-44"), (55, "45-54")]
+AGE_LAST_BAND = "55+"
+IQR_MULTIPLIER = 1.5  # upper fence = q3 + 1.5 * (q3 - q1), with q1, q3 the "nearest" 25 % and 75 % quantiles
+RFM_MAX_BINS = 5
+# RFM segments, first match wins, on fractions (score - 1) / (bins - 1) of the R and F scores
+SEGMENT_RULES = [
+    ("Champions", ">=", 0.75, ">=", 0.75),
+    ("New / Promising", ">=", 0.75, "<=", 0.25),
+    ("At Risk (was loyal)", "<=", 0.25, ">=", 0.75),
+    ("Lost / Hibernating", "<=", 0.25, "<=", 0.25),
+]
+OTHER_SEGMENT = "Regular"
 
 
 @dataclass(frozen=True)

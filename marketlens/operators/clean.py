@@ -10,14 +10,12 @@ from pyspark.sql import types as T
 
 from marketlens.functions.dates import lenient_date, lenient_timestamp, signup_date
 from marketlens.functions.text import strip_ws, title_case
-from marketlens.model import DEMOGRAPHIC_COLUMNS, ORDER_FLAG_COLUMNS, ORDER_TIME_COLUMNS, UNKNOWN, Marketplace
+from marketlens.model import (AGE_BANDS, AGE_LAST_BAND, DEMOGRAPHIC_COLUMNS, IQR_MULTIPLIER, ORDER_FLAG_COLUMNS,
+                              ORDER_TIME_COLUMNS, UNKNOWN, Marketplace)
 from marketlens.operators.dedup import distinct_rows, keep_first
 from marketlens.operators.joins import scalars
 from marketlens.operators.rank import quantile_nearest
 
-IQR_MULTIPLIER = 1.5
-
-
 def ensure_bool(df: DataFrame, columns: list[str]) -> DataFrame:
     """0/1 integers (or their strings) -> boolean, for present non-boolean columns; junk -> null."""
     fixes = {c: (F.col(c).try_cast(T.LongType()) != 0) for c in columns
@@ -32,8 +30,10 @@ def add_missing(df: DataFrame, columns: list[str], value: str = UNKNOWN) -> Data
 
 def age_band(age: Column) -> Column:
     """Fixed bands; a null age falls through to the last band."""
-    return (F.when(age < 25, "18-24").when(age < 35, "25-34").when(age < 45, "35-44")
-            .when(age < 55, "45-54").otherwise("55+"))
+    out = None
+    for bound, label in AGE_BANDS:
+        out = F.when(age < bound, label) if out is None else out.when(age < bound, label)
+    return out.otherwise(AGE_LAST_BAND)
 
 
 def clean_users(users: DataFrame) -> DataFrame:

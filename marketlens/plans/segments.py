@@ -7,20 +7,11 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.dates import month_key, months_between_calendar
 from marketlens.functions.numeric import round_pct, to_double
-from marketlens.model import Marketplace
+from marketlens.model import OTHER_SEGMENT, RFM_MAX_BINS, SEGMENT_RULES, Marketplace
 from marketlens.operators.joins import scalars
 from marketlens.operators.rank import equal_frequency_bins, n_bins, ordinal_rank
 from marketlens.operators.rollups import user_rollup
 
-SEGMENTS = [  # (label, R condition, F condition) on fractions (score - 1) / (bins - 1); first match wins
-    ("Champions", ">=0.75", ">=0.75"),
-    ("New / Promising", ">=0.75", "<=0.25"),
-    ("At Risk (was loyal)", "<=0.25", ">=0.75"),
-    ("Lost / Hibernating", "<=0.25", "<=0.25"),
-]
-OTHER_SEGMENT = "Regular"
-
-
 def cohort_retention(m: Marketplace) -> DataFrame:
     """T11 (long form): cohort_month, month_offset >= 0, active_users, cohort_size, retention_pct (1 dp).
 
@@ -50,22 +41,22 @@ def cohort_matrix(m: Marketplace) -> DataFrame:
 
 
 def segment_label(r: Column, f: Column, bins: Column) -> Column:
+    """First matching rule of ``model.SEGMENT_RULES`` on the R and F fractions, else ``OTHER_SEGMENT``."""
     def frac(score: Column) -> Column:
         return F.when(bins > 1, (score - 1) / (bins - 1)).otherwise(F.lit(1.0))
 
-    rf, ff = frac(r), frac(f)
-
-    def test(c: Column, rule: str) -> Column:
-        return c >= float(rule[2:]) if rule.startswith(">=") else c <= float(rule[2:])
+    def test(c: Column, op: str, bound: float) -> Column:
+        return c >= bound if op == ">=" else c <= bound
 
+    rf, ff = frac(r), frac(f)
     out = None
-    for label, r_rule, f_rule in SEGMENTS:
-        cond = test(rf, r_rule) & test(ff, f_rule)
+    for label, r_op, r_bound, f_op, f_bound in SEGMENT_RULES:
+        cond = test(rf, r_op, r_bound) & test(ff, f_op, f_bound)
         out = F.when(cond, label) if out is None else out.when(cond, label)
     return out.otherwise(OTHER_SEGMENT)
 
 
-def _rfm(m: Marketplace, max_bins: int = 5) -> DataFrame:
+def _rfm(m: Marketplace, max_bins: int = RFM_MAX_BINS) -> DataFrame:
     """Per user recency_days, frequency, monetary, R/F/M scores (1..bins) and segment_label.
 
     Each score is an equal-frequency bin of a distributed ordinal rank (ties broken by user_id;
@@ -90,7 +81,7 @@ def _rfm(m: Marketplace, max_bins: int = 5) -> DataFrame:
                          segment_label(F.col("R_score"), F.col("F_score"), F.col("_bins")).alias("segment_label"))
 
 
-def rfm_scores(m: Marketplace, max_bins: int = 5) -> DataFrame:
+def rfm_scores(m: Marketplace, max_bins: int = RFM_MAX_BINS) -> DataFrame:
     return _rfm(m, max_bins).drop("_monetary_dec")
 
 
