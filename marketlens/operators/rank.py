@@ -48,12 +48,14 @@ def nearest_index(n: int, q: float) -> int:
     return int(math.floor((n - 1) * q + 0.5))
 
 
-def quantile_nearest(df: DataFrame, column: str, qs: list[float], accuracy: int = 100_000) -> DataFrame:
+def quantile_nearest(df: DataFrame, column: str, qs: list[float], accuracy: int = 100_000,
+                     max_bracket_rows: int = MAX_BRACKET_ROWS) -> DataFrame:
     """Exact "nearest" quantiles of a numeric column: one row per q with columns (q, value).
 
     1. one pass: n, min, max and approximate quantiles at q -/+ 2/accuracy (a GK sketch, merged
        map-side, fixed size);
-    2. one pass: exact counts below / up to each bracket, proving the exact value lies inside;
+    2. one pass: exact counts below / up to each bracket, proving the exact value lies inside
+       (skipped when n <= max_bracket_rows: then the whole range is the bracket);
     3. one pass: value histogram inside the brackets (bounded by ~4n/accuracy distinct values),
        cumulative counts per bracket, pick the value at the target position.
     If a bracket cannot be proven (or is too wide), that quantile falls back to ``ordinal_rank``.
@@ -67,17 +69,24 @@ def quantile_nearest(df: DataFrame, column: str, qs: list[float], accuracy: int
     spark = df.sparkSession
     if n == 0:
         return spark.createDataFrame([(float(q), None) for q in qs], "q double, value double")
+    plan = []  # (i, lo, hi, position inside bracket)
+    if n <= max_bracket_rows:
+        # the whole value range is a proven-small bracket: skip the bracket-proof pass
+        plan = [(i, head["lo"], head["hi"], nearest_index(n, q)) for i, q in enumerate(qs)]
+        qs_left = []
+    else:
+        qs_left = list(enumerate(qs))
     brackets = [(head["p"][2 * i], head["p"][2 * i + 1]) for i in range(len(qs))]
     bounds = v.agg(*[c for lo, hi in brackets for c in (
-        F.sum(F.when(F.col("v") < lo, 1).otherwise(0)), F.sum(F.when(F.col("v") <= hi, 1).otherwise(0)))]).first()
-    plan = []  # (i, lo, hi, position inside bracket)
-    for i, q in enumerate(qs):
+        F.sum(F.when(F.col("v") < lo, 1).otherwise(0)), F.sum(F.when(F.col("v") <= hi, 1).otherwise(0)))]).first() \
+        if qs_left else None
+    for i, q in qs_left:
         k = nearest_index(n, q)
         lo, hi = brackets[i]
         below, upto = bounds[2 * i], bounds[2 * i + 1]
-        if not (below <= k < upto) or upto - below > MAX_BRACKET_ROWS:
+        if not (below <= k < upto) or upto - below > max_bracket_rows:
             lo, hi, below = head["lo"], head["hi"], 0
-            if n > MAX_BRACKET_ROWS:
+            if n > max_bracket_rows:
                 plan.append((i, None, None, k))
                 continue
         plan.append((i, lo, hi, k - below))

@@ -43,9 +43,12 @@ def test_quantile_nearest_matches_brute_force(spark, seed):
     values = [round(rnd.lognormvariate(10, 1), 2) for _ in range(5000)] + [1000.0] * 2000  # hot value
     df = spark.createDataFrame([(v,) for v in values], "v double")
     qs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = {r.q: r.value for r in quantile_nearest(df, "v", qs, accuracy=500).collect()}
     s = sorted(values)
-    assert got == {q: s[nearest_index(len(s), q)] for q in qs}
+    want = {q: s[nearest_index(len(s), q)] for q in qs}
+    # whole-range histogram (small n), proven sketch brackets, and the ordinal-rank fallback
+    for max_rows, acc in ((5_000_000, 500), (200, 500), (10, 500)):
+        got = {r.q: r.value for r in quantile_nearest(df, "v", qs, accuracy=acc, max_bracket_rows=max_rows).collect()}
+        assert got == want, (max_rows, acc)
 
 
 @pytest.mark.parametrize("n,expected", [
