@@ -43,6 +43,36 @@ def ordinal_rank(df: DataFrame, order_by: list[Column], rank_col: str = "rank",
             .drop("_mid", "_pid", "_off"))
 
 
+def ordinal_ranks(df: DataFrame, id_col: str, orderings: dict[str, tuple[str, bool]],
+                  partitions: int | None = None) -> DataFrame:
+    """Several ordinal ranks of the same rows with one range shuffle and one checkpoint.
+
+    ``orderings`` maps an output rank column to (value column, descending); ties are broken by
+    ``id_col`` ascending, and nulls sort as Spark's default for the direction (first ascending,
+    last descending). Each row is stacked once per ordering carrying only that ordering's value; the
+    ordering index leads the sort key, so values of different orderings (even of different types)
+    are never compared. The rank within an ordering is the global rank minus index * n. One
+    regroup by ``id_col`` returns one row per id with the values and all ranks. Value columns must
+    be distinct.
+    """
+    names = list(orderings)
+    keys = {name: f"_k{i}" for i, name in enumerate(names)}
+    stacked = df.select(id_col, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_m"), *[(F.col(col) if j == i else F.lit(None).cast(df.schema[col].dataType))
+                                          .alias(keys[names[j]]) for j, (col, _) in enumerate(orderings.values())])
+        for i in range(len(names))])).alias("_s")).select(id_col, "_s.*")
+    order_by = [F.asc("_m")] + [F.desc(keys[n]) if desc else F.asc(keys[n]) for n, (_, desc) in orderings.items()]
+    ranked = ordinal_rank(stacked, order_by + [F.asc(id_col)], "_g", partitions)
+    # rows per ordering, read from the checkpointed ranks (recounting ``df`` would recompute it)
+    n = ranked.where(F.col("_m") == 0).agg(F.count(F.lit(1)).alias("_n")).select(F.struct("_n").alias("_s")).scalar()["_n"]
+    ranked = ranked.withColumn("_r", F.col("_g") - n * F.col("_m"))  # projected once, then aggregated
+    aggs = []
+    for i, (name, (col, _)) in enumerate(orderings.items()):
+        aggs += [F.max(F.when(F.col("_m") == i, F.col("_r"))).alias(name),
+                 F.max(F.when(F.col("_m") == i, F.col(keys[name]))).alias(col)]
+    return ranked.groupBy(id_col).agg(*aggs)
+
+
 def nearest_index(n: int, q: float) -> int:
     """0-based position of the "nearest" quantile: round((n - 1) * q), halves rounded up."""
     return int(math.floor((n - 1) * q + 0.5))

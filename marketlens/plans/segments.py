@@ -9,7 +9,7 @@ from marketlens.functions.dates import month_key, months_between_calendar
 from marketlens.functions.numeric import round_pct, to_double
 from marketlens.model import OTHER_SEGMENT, RFM_MAX_BINS, SEGMENT_RULES, Marketplace
 from marketlens.operators.joins import scalars
-from marketlens.operators.rank import equal_frequency_bins, n_bins, ordinal_rank
+from marketlens.operators.rank import equal_frequency_bins, n_bins, ordinal_ranks
 from marketlens.operators.rollups import user_rollup
 
 def cohort_retention(m: Marketplace) -> DataFrame:
@@ -66,9 +66,9 @@ def _rfm(m: Marketplace, max_bins: int = RFM_MAX_BINS) -> DataFrame:
     base = (user_rollup(m.orders)
             .select("user_id", F.datediff(snapshot, F.col("last_order_date")).alias("recency_days"),
                     F.col("n_orders").alias("frequency"), F.col("monetary").alias("_monetary_dec")))
-    ranked = ordinal_rank(base, [F.desc("recency_days"), F.asc("user_id")], "_r_rank")
-    ranked = ordinal_rank(ranked, [F.asc("frequency"), F.asc("user_id")], "_f_rank")
-    ranked = ordinal_rank(ranked, [F.asc("_monetary_dec"), F.asc("user_id")], "_m_rank")
+    # three orderings ranked with one range shuffle and one checkpoint (ties: user_id)
+    ranked = ordinal_ranks(base, "user_id", {"_r_rank": ("recency_days", True), "_f_rank": ("frequency", False),
+                                             "_m_rank": ("_monetary_dec", False)})
     n = scalars(ranked.agg(F.count(F.lit(1)).alias("_n")))["_n"]
     scored = ranked.withColumns({
         "R_score": equal_frequency_bins(F.col("_r_rank"), n, max_bins),

@@ -85,3 +85,24 @@ def test_student_t_closed_form_df2(spark):
     for t in (0.5, 1.5, 4.0):
         got = spark.range(1).select(student_t_two_sided_p(F.lit(t), F.lit(2.0)).alias("p")).first().p
         assert abs(got - (1 - t / math.sqrt(t * t + 2))) < 1e-9
+
+
+def test_ordinal_ranks_equal_separate_orderings(spark):
+    from marketlens.operators.rank import ordinal_ranks
+
+    rnd = random.Random(3)
+    rows = [(i, rnd.choice([None, 1, 2, 2, 3]), rnd.choice([5, 5, 6]), float(rnd.randint(0, 4)) / 2) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, a int, b long, c double")
+    got = {r.id: (r.ra, r.rb, r.rc, r.a, r.b, r.c) for r in ordinal_ranks(
+        df, "id", {"ra": ("a", True), "rb": ("b", False), "rc": ("c", False)}, partitions=5).collect()}
+
+    def ranks(key, desc):
+        nulls_first = not desc  # Spark default: nulls first ascending, last descending
+        def sort_key(t):
+            v = key(t)
+            null_rank = (0 if nulls_first else 1) if v is None else (1 if nulls_first else 0)
+            return (null_rank, 0 if v is None else (-v if desc else v), t[0])
+        return {t[0]: i + 1 for i, t in enumerate(sorted(rows, key=sort_key))}
+
+    ra, rb, rc = ranks(lambda t: t[1], True), ranks(lambda t: t[2], False), ranks(lambda t: t[3], False)
+    assert got == {t[0]: (ra[t[0]], rb[t[0]], rc[t[0]], t[1], t[2], t[3]) for t in rows}
