@@ -278,13 +278,26 @@ def ab_moments() -> dict[str, Column]:
             "df": F.when(se2 > 0, _d(se2 * se2, _d(sa * sa, F.col("t_k") - 1) + _d(sb * sb, F.col("c_k") - 1)))}
 
 
+_P_VALUE_COLUMNS: dict[str, dict[str, Column]] = {}
+
+
+def _p_value_columns(spark_context) -> dict[str, Column]:
+    """The two p-value expressions over the projected columns z, t, df. They are built once per
+    SparkContext: each is a few hundred Py4J calls, and they never change."""
+    key = spark_context.applicationId  # unique per context (object ids can be reused)
+    if key not in _P_VALUE_COLUMNS:
+        _P_VALUE_COLUMNS.clear()  # a new context: earlier JVM objects are gone
+        _P_VALUE_COLUMNS[key] = {
+            "p_completion": F.when(F.col("_se") != 0, normal_two_sided_p(F.col("z"))).otherwise(F.lit(1.0)),
+            "p_aov": F.when(F.col("df").isNotNull(), student_t_two_sided_p(F.col("t"), F.col("df")))}
+    return _P_VALUE_COLUMNS[key]
+
+
 def with_ab_tests(row: DataFrame) -> DataFrame:
     """Add both tests to a one-row frame holding the c_*/t_* moments of ``part_orders``: first the
     plain statistics, then the p-value integrals, which read those projected columns only."""
     stats = row.withColumns(ab_moments())
-    return stats.withColumns({
-        "p_completion": F.when(F.col("_se") != 0, normal_two_sided_p(F.col("z"))).otherwise(F.lit(1.0)),
-        "p_aov": F.when(F.col("df").isNotNull(), student_t_two_sided_p(F.col("t"), F.col("df")))}).drop("_se")
+    return stats.withColumns(_p_value_columns(row.sparkSession.sparkContext)).drop("_se")
 
 
 def ab_tests(m: Marketplace) -> DataFrame:
