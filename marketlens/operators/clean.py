@@ -72,11 +72,8 @@ def order_value_fence(orders: DataFrame) -> DataFrame:
     return row.withColumn("upper_fence", F.col("q3") + IQR_MULTIPLIER * (F.col("q3") - F.col("q1")))
 
 
-def clean_orders(orders: DataFrame, persist: bool = True) -> DataFrame:
-    staged = dedup_orders(orders)
-    if persist:
-        # Three passes (fence sketch, fence proof, final use) read the deduplicated rows.
-        staged = staged.persist(StorageLevel.MEMORY_AND_DISK)
+def finish_orders(staged: DataFrame) -> DataFrame:
+    """Winsorise at the upper fence, add calendar columns and boolean flags."""
     fence = scalars(order_value_fence(staged).select("upper_fence"))["upper_fence"]
     capped = staged.withColumn(
         "order_value", F.when(F.col("order_value") > fence, fence).otherwise(F.col("order_value")))
@@ -87,6 +84,11 @@ def clean_orders(orders: DataFrame, persist: bool = True) -> DataFrame:
     return ensure_bool(capped, ORDER_FLAG_COLUMNS)
 
 
+def clean_orders(orders: DataFrame) -> DataFrame:
+    """Standalone order cleaning (no caching; ``clean`` persists the deduplicated stage)."""
+    return finish_orders(dedup_orders(orders))
+
+
 def clean_events(events: DataFrame) -> DataFrame:
     events = distinct_rows(events)
     return events.withColumn("event_time", lenient_timestamp(events, "event_time"))
@@ -99,6 +101,15 @@ def clean_nps(nps: DataFrame) -> DataFrame:
 
 
 def clean(raw: Marketplace, persist: bool = True) -> Marketplace:
-    """All cleaning jobs; restaurants and riders pass through unchanged."""
-    return raw.with_(users=clean_users(raw.users), orders=clean_orders(raw.orders, persist),
-                     events=clean_events(raw.events), nps=clean_nps(raw.nps))
+    """All cleaning jobs; restaurants and riders pass through unchanged.
+
+    With ``persist`` the deduplicated orders are cached (MEMORY_AND_DISK): the fence sketch, the
+    fence proof and the final use all read them. They are listed in ``persisted`` so the caller
+    can ``release()`` them once the cleaned tables are written.
+    """
+    staged = dedup_orders(raw.orders)
+    if persist:
+        staged = staged.persist(StorageLevel.MEMORY_AND_DISK)
+    return raw.with_(users=clean_users(raw.users), orders=finish_orders(staged),
+                     events=clean_events(raw.events), nps=clean_nps(raw.nps),
+                     persisted=(staged,) if persist else ())

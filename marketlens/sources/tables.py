@@ -9,11 +9,10 @@ from __future__ import annotations
 
 import uuid
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.model import Marketplace
+from marketlens.model import TABLE_NAMES, Marketplace
 from marketlens.session import checkpoint_dir
 
 
@@ -54,7 +53,7 @@ def materialize(m: Marketplace, root: str | None = None, parallel: bool = True)
         else:
             write_table(df, path)
 
-    names = [f.name for f in fields(m)]
+    names = list(TABLE_NAMES)
     if parallel:
         with ThreadPoolExecutor(max_workers=len(names)) as pool:
             list(pool.map(write, names))
@@ -62,8 +61,7 @@ def materialize(m: Marketplace, root: str | None = None, parallel: bool = True)
         for name in names:
             write(name)
     out = {name: read_table(spark, f"{root}/{name}", getattr(m, name)) for name in names}
-    for name in names:
-        getattr(m, name).unpersist()
+    m.release()  # the written tables replace the cached intermediates
     return Marketplace(**out)
 
 
@@ -78,4 +76,4 @@ def write_results(results: dict[str, DataFrame], root: str) -> dict[str, str]:
 
 def read_marketplace(spark: SparkSession, root: str) -> Marketplace:
     """Six raw tables stored as parquet folders named after the Marketplace fields."""
-    return Marketplace(**{f.name: spark.read.parquet(f"{root.rstrip('/')}/{f.name}") for f in fields(Marketplace)})
+    return Marketplace(**{name: spark.read.parquet(f"{root.rstrip('/')}/{name}") for name in TABLE_NAMES})

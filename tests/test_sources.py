@@ -71,3 +71,14 @@ def test_refresh_job_writes_every_result(spark):
     assert {"kpi", "kpi_long", "cohort_matrix", "demo_breakdown_gender", "growth_trend"} <= set(paths)
     assert spark.read.parquet(paths["kpi_long"]).count() == 61
     assert spark.read.parquet(paths["kpi"]).count() == 1
+
+
+def test_materialize_releases_cached_intermediates(spark):
+    from marketlens.operators.clean import clean
+
+    m = clean(load_raw(spark, SF_SMALL))
+    (staged,) = m.persisted
+    assert staged.is_cached
+    back = materialize(m, shared_folder(spark, "release"))
+    assert not staged.is_cached and back.persisted == ()
+    assert back.orders.count() == m.orders.count()
