@@ -15,6 +15,7 @@ from marketlens.model import (AGE_BANDS, AGE_LAST_BAND, DEMOGRAPHIC_COLUMNS, IQR
 from marketlens.operators.dedup import distinct_rows, keep_first
 from marketlens.operators.joins import scalars
 from marketlens.operators.rank import quantile_nearest
+from marketlens.session import checkpoint_dir
 
 def ensure_bool(df: DataFrame, columns: list[str]) -> DataFrame:
     """0/1 integers (or their strings) -> boolean, for present non-boolean columns; junk -> null."""
@@ -72,6 +73,14 @@ def order_value_fence(orders: DataFrame) -> DataFrame:
     return row.withColumn("upper_fence", F.col("q3") + IQR_MULTIPLIER * (F.col("q3") - F.col("q1")))
 
 
+def raw_order_value_fence(orders: DataFrame) -> DataFrame:
+    """The fence of raw orders as its own job: deduplicate once, keep only the value column in a
+    reliable checkpoint (one double per order), and let the quantile passes read that."""
+    checkpoint_dir(orders.sparkSession)
+    values = dedup_orders(orders).select("order_value").checkpoint(eager=True)
+    return order_value_fence(values)
+
+
 def finish_orders(staged: DataFrame) -> DataFrame:
     """Winsorise at the upper fence, add calendar columns and boolean flags."""
     fence = scalars(order_value_fence(staged).select("upper_fence"))["upper_fence"]

@@ -16,6 +16,8 @@ from marketlens.session import checkpoint_dir
 _ROW_BITS = 33  # monotonically_increasing_id = partition index << 33 | row index within partition
 # Most values a quantile bracket may hold before the exact refinement falls back to a full rank.
 MAX_BRACKET_ROWS = 5_000_000
+# Up to this many values, the whole range is the bracket (sorting it costs less than proving one).
+WHOLE_RANGE_ROWS = 50_000
 
 
 def ordinal_rank(df: DataFrame, order_by: list[Column], rank_col: str = "rank",
@@ -79,13 +81,13 @@ def nearest_index(n: int, q: float) -> int:
 
 
 def quantile_nearest(df: DataFrame, column: str, qs: list[float], accuracy: int = 100_000,
-                     max_bracket_rows: int = MAX_BRACKET_ROWS) -> DataFrame:
+                     max_bracket_rows: int = MAX_BRACKET_ROWS, whole_range_rows: int = WHOLE_RANGE_ROWS) -> DataFrame:
     """Exact "nearest" quantiles of a numeric column: one row per q with columns (q, value).
 
     1. one pass: n, min, max and approximate quantiles at q -/+ 2/accuracy (a GK sketch, merged
        map-side, fixed size);
     2. one pass: exact counts below / up to each bracket, proving the exact value lies inside
-       (skipped when n <= max_bracket_rows: then the whole range is the bracket);
+       (skipped when n <= whole_range_rows: then the whole range is the bracket);
     3. one pass: value histogram inside the brackets (bounded by ~4n/accuracy distinct values),
        cumulative counts per bracket, pick the value at the target position.
     If a bracket cannot be proven (or is too wide), that quantile falls back to ``ordinal_rank``.
@@ -100,7 +102,7 @@ def quantile_nearest(df: DataFrame, column: str, qs: list[float], accuracy: int
     if n == 0:
         return spark.createDataFrame([(float(q), None) for q in qs], "q double, value double")
     plan = []  # (i, lo, hi, position inside bracket)
-    if n <= max_bracket_rows:
+    if n <= min(whole_range_rows, max_bracket_rows):
         # the whole value range is a proven-small bracket: skip the bracket-proof pass
         plan = [(i, head["lo"], head["hi"], nearest_index(n, q)) for i, q in enumerate(qs)]
         qs_left = []

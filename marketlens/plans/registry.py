@@ -113,7 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_orders": _m(lambda m: m.orders),
     "clean_events": _m(lambda m: m.events),
     "clean_nps": _m(lambda m: m.nps),
-    "order_value_fence": lambda spark, sf: C.order_value_fence(C.dedup_orders(load_raw(spark, sf).orders)),
+    "order_value_fence": lambda spark, sf: C.raw_order_value_fence(load_raw(spark, sf).orders),
     # filtering
     "filter_options": _m(FL.filter_options),
     "filter_cuisine": _slice_orders("cuisine"),

@@ -46,9 +46,10 @@ def test_quantile_nearest_matches_brute_force(spark, seed):
     s = sorted(values)
     want = {q: s[nearest_index(len(s), q)] for q in qs}
     # whole-range histogram (small n), proven sketch brackets, and the ordinal-rank fallback
-    for max_rows, acc in ((5_000_000, 500), (200, 500), (10, 500)):
-        got = {r.q: r.value for r in quantile_nearest(df, "v", qs, accuracy=acc, max_bracket_rows=max_rows).collect()}
-        assert got == want, (max_rows, acc)
+    for max_rows, whole in ((5_000_000, 50_000), (5_000_000, 100), (200, 100), (10, 100)):
+        got = {r.q: r.value for r in quantile_nearest(df, "v", qs, accuracy=500, max_bracket_rows=max_rows,
+                                                      whole_range_rows=whole).collect()}
+        assert got == want, (max_rows, whole)
 
 
 @pytest.mark.parametrize("n,expected", [
