@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions.dates import month_key, week_key, whole_seconds
-from marketlens.functions.numeric import money, money_sum, n_unique, rate
+from marketlens.functions.numeric import money, money_sum, rate
 from marketlens.model import CANCELLED, DELIVERED
 
 

@@ -29,8 +29,7 @@ from marketlens.functions.stats import normal_two_sided_p, student_t_two_sided_p
 from marketlens.model import AB_GROUPS, KpiConfig, Marketplace
 from marketlens.operators.joins import one_row_of
 from marketlens.operators.rollups import (commission, delivered, is_cancelled, is_delivered, net_revenue,
-                                          delivered_by, restaurant_rollup, session_rollup, user_days,
-                                          user_rollup_from_days)
+                                          delivered_by, restaurant_rollup, user_days, user_rollup_from_days)
 
 P_VALUE_DECIMALS = 10
 # kpi_all: carry demographic labels through the user rollup's users join (one pass fewer over orders)

@@ -162,3 +162,13 @@ def test_public_api_round_trip(spark, small):
     empty = api.filter_data(small, cities=["Nowhere"])
     with pytest.raises(ValueError):
         api.compute_all_kpis(empty)
+
+
+def test_session_rollup(spark):
+    from marketlens.operators.rollups import session_rollup
+
+    ev = [(1, "s1", 1, "app_open", T0, "iOS"), (2, "s1", 1, "menu_view", T0 + dt.timedelta(seconds=75), "iOS"),
+          (3, "s2", 2, "app_open", T0, "iOS")]
+    m = _m(spark, users=[dict(user_id=1)], orders=[dict(order_id=1, user_id=1)], events=ev)
+    got = {r.session_id: r.duration_sec for r in session_rollup(m.events).collect()}
+    assert got == {"s1": 75, "s2": 0}
