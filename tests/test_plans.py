@@ -53,3 +53,13 @@ def test_window_detector_sees_global_and_partitioned_windows(spark):
     assert len(unpartitioned_windows(glob)) == 1
     assert unpartitioned_windows(part) == [] and unpartitioned_windows(whole) == []
     assert len(unpartitioned_windows(QUERIES["ordinal_rank"](spark, SF_SMALL))) == 1  # the offsets window, allowed
+
+
+@pytest.mark.parametrize("key", sorted(k for k in QUERIES if k != "clean_orders"))
+def test_orders_scans_are_pruned(spark, key):
+    """Every query but clean_orders (which returns every column) reads a narrow slice of orders."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    widths = [m.group(1).count(":") for line in physical_plan(QUERIES[key](spark, SF_SMALL)).splitlines()
+              if "marketlens-clean" in line and "/orders" in line
+              and (m := re.search(r"ReadSchema: struct<(.*?)>(\s|$)", line))]
+    assert all(w <= 20 for w in widths), widths  # of 33 columns (the fused orders aggregate reads 18)
