@@ -42,7 +42,8 @@ def compute_all_kpis(m: Marketplace, cfg: KpiConfig = KpiConfig(), check: bool =
         "channel_acq": CH.channel_acq(m), "monthly_active": CH.monthly_active(m), "funnel_counts": CH.funnel_counts(m),
         "gmv_trend": CH.gmv_trend(m), "gmv_trend_daily": CH.gmv_trend_daily(m),
         "orders_trend_daily": CH.orders_trend_daily(m), "cancel_reasons": CH.cancel_reasons(m),
-        "restaurant_gmv": CH.restaurant_gmv(m), "cuisine_perf": CH.cuisine_perf(m), "city_perf": CH.city_perf(m),
+        "restaurant_gmv": CH.restaurant_gmv(m), "restaurant_top10": CH.restaurant_top(m),
+        "cuisine_perf": CH.cuisine_perf(m), "city_perf": CH.city_perf(m),
         "cohort_retention": SG.cohort_retention(m), "cohort_matrix": SG.cohort_matrix(m),
         "rfm_scores": SG.rfm_scores(m), "segment_summary": SG.segment_summary(m), "rating_dist": CH.rating_dist(m),
         "demo_breakdown": {d: K.demo_breakdown(m, d) for d in ("gender", "age_group", "profession", "income_bracket")},
