@@ -38,6 +38,7 @@ def compute_all_kpis(m: Marketplace, cfg: KpiConfig = KpiConfig(), check: bool =
     if check:
         require_kpi_ready(m)
     kpi = K.kpi_families(m, K.FAMILY_ORDER, cfg)
+    ranked = SG.rfm_ranked(m)  # one ranking serves both RFM tables
     charts: dict[str, DataFrame | dict[str, DataFrame]] = {
         "channel_acq": CH.channel_acq(m), "monthly_active": CH.monthly_active(m), "funnel_counts": CH.funnel_counts(m),
         "gmv_trend": CH.gmv_trend(m), "gmv_trend_daily": CH.gmv_trend_daily(m),
@@ -45,7 +46,8 @@ def compute_all_kpis(m: Marketplace, cfg: KpiConfig = KpiConfig(), check: bool =
         "restaurant_gmv": CH.restaurant_gmv(m), "restaurant_top10": CH.restaurant_top(m),
         "cuisine_perf": CH.cuisine_perf(m), "city_perf": CH.city_perf(m),
         "cohort_retention": SG.cohort_retention(m), "cohort_matrix": SG.cohort_matrix(m),
-        "rfm_scores": SG.rfm_scores(m), "segment_summary": SG.segment_summary(m), "rating_dist": CH.rating_dist(m),
+        "rfm_scores": SG.rfm_scores(m, ranked=ranked), "segment_summary": SG.segment_summary(m, ranked=ranked),
+        "rating_dist": CH.rating_dist(m),
         "demo_breakdown": {d: K.demo_breakdown(m, d) for d in ("gender", "age_group", "profession", "income_bracket")},
         "gender_age_cross": CH.gender_age_cross(m), "users_by_gender": CH.users_by_gender(m),
         "users_by_profession": CH.users_by_profession(m), "users_by_income": CH.users_by_income(m),

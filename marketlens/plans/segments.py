@@ -81,13 +81,18 @@ def _rfm(m: Marketplace, max_bins: int = RFM_MAX_BINS) -> DataFrame:
                          segment_label(F.col("R_score"), F.col("F_score"), F.col("_bins")).alias("segment_label"))
 
 
-def rfm_scores(m: Marketplace, max_bins: int = RFM_MAX_BINS) -> DataFrame:
-    return _rfm(m, max_bins).drop("_monetary_dec")
+def rfm_scores(m: Marketplace, max_bins: int = RFM_MAX_BINS, ranked: DataFrame | None = None) -> DataFrame:
+    return (ranked if ranked is not None else _rfm(m, max_bins)).drop("_monetary_dec")
 
 
-def segment_summary(m: Marketplace) -> DataFrame:
+def rfm_ranked(m: Marketplace, max_bins: int = RFM_MAX_BINS) -> DataFrame:
+    """RFM scores with the exact monetary column, to share one ranking between T13 and T14."""
+    return _rfm(m, max_bins)
+
+
+def segment_summary(m: Marketplace, ranked: DataFrame | None = None) -> DataFrame:
     """Users per segment with mean spend and mean recency (0 dp)."""
-    return _rfm(m).groupBy("segment_label").agg(
+    return (ranked if ranked is not None else _rfm(m)).groupBy("segment_label").agg(
         F.count(F.lit(1)).alias("users"),
         F.round(to_double(F.sum("_monetary_dec")) / F.count("_monetary_dec"), 0).alias("avg_spend"),
         F.round(F.avg("recency_days"), 0).alias("avg_recency_days"))
