@@ -15,15 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marketlens import api
 from marketlens.model import FilterSpec, KpiConfig, Marketplace
-from marketlens.plans.kpis import FAMILY_ORDER, kpi_all
+from marketlens.plans.kpis import FAMILY_ORDER, family_of_columns, to_long
 from marketlens.sources.tables import materialize, write_table
 
 
 def results(m: Marketplace, spec: FilterSpec | None = None, cfg: KpiConfig = KpiConfig()) -> dict[str, DataFrame]:
-    """Named result tables for a slice: kpi (wide), kpi_long, and every chart (demo breakdowns flattened)."""
+    """Named result tables for a slice: kpi (wide, one row) and every chart (demo breakdowns flattened)."""
     s = api.filter_data(m, spec or FilterSpec())
     kpi, charts = api.compute_all_kpis(s, cfg)
-    out = {"kpi": kpi, "kpi_long": kpi_all(s, cfg)}
+    out = {"kpi": kpi}
     for name, chart in charts.items():
         if isinstance(chart, dict):
             out.update({f"{name}_{k}": v for k, v in chart.items()})
@@ -34,10 +34,19 @@ def results(m: Marketplace, spec: FilterSpec | None = None, cfg: KpiConfig = Kpi
 
 def refresh(raw: Marketplace, out_root: str, spec: FilterSpec | None = None, cfg: KpiConfig = KpiConfig(),
             threads: int = 8) -> dict[str, str]:
-    """Clean, materialise, compute and write all results; returns name -> path."""
+    """Clean, materialise, compute and write all results; returns name -> path.
+
+    The wide KPI row is written first; the long form is derived from that written row, so the 61
+    KPIs are computed once."""
     m = materialize(api.clean_data(raw))
     tables = results(m, spec, cfg)
-    paths = {name: f"{out_root.rstrip('/')}/{name}" for name in tables}
+    root = out_root.rstrip("/")
+    paths = {name: f"{root}/{name}" for name in tables}
+    write_table(tables.pop("kpi"), paths["kpi"])
+    spark = m.orders.sparkSession
+    wide = spark.read.parquet(paths["kpi"])
+    tables["kpi_long"] = to_long(wide, family_of_columns(cfg, wide.columns))
+    paths["kpi_long"] = f"{root}/kpi_long"
     with ThreadPoolExecutor(max_workers=threads) as pool:
         list(pool.map(lambda n: write_table(tables[n], paths[n]), tables))
     return paths

@@ -460,13 +460,18 @@ def to_long(wide: DataFrame, family_of: dict[str, str]) -> DataFrame:
     return wide.selectExpr(f"stack({len(wide.schema.fields)}, {', '.join(args)}) AS (family, kpi, value, value_text)")
 
 
-def kpi_all(m: Marketplace, cfg: KpiConfig = KpiConfig()) -> DataFrame:
-    """All 61 KPIs in long form from one wide row (every part computed once)."""
+def family_of_columns(cfg: KpiConfig, columns: list[str]) -> dict[str, str]:
+    """KPI column -> family, for the wide row of all families in FAMILY_ORDER."""
     specs = _families(cfg)
-    wide = kpi_families(m, FAMILY_ORDER, cfg)
     family_of, i = {}, 0
     for fam in FAMILY_ORDER:
         k = len(specs[fam][1]())  # cheap: plain column builders
-        family_of.update({name: fam for name in wide.columns[i:i + k]})
+        family_of.update({name: fam for name in columns[i:i + k]})
         i += k
-    return to_long(wide, family_of)
+    return family_of
+
+
+def kpi_all(m: Marketplace, cfg: KpiConfig = KpiConfig()) -> DataFrame:
+    """All 61 KPIs in long form from one wide row (every part computed once)."""
+    wide = kpi_families(m, FAMILY_ORDER, cfg)
+    return to_long(wide, family_of_columns(cfg, wide.columns))
