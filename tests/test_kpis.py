@@ -172,3 +172,19 @@ def test_session_rollup(spark):
     m = _m(spark, users=[dict(user_id=1)], orders=[dict(order_id=1, user_id=1)], events=ev)
     got = {r.session_id: r.duration_sec for r in session_rollup(m.events).collect()}
     assert got == {"s1": 75, "s2": 0}
+
+
+def test_top10_share_bucketed_matches_brute_force(spark):
+    import random as _random
+
+    rnd = _random.Random(11)
+    orders = [dict(order_id=i, user_id=1, restaurant_id=rnd.randint(1, 60), order_value=float(rnd.choice([100, 200, 200, 350])))
+              for i in range(1, 400)]
+    rest = [(r, f"r{r}", "Italian", "Pune", "2023-01-01", 0.2, 4.0) for r in range(1, 61)]
+    m = _m(spark, users=[dict(user_id=1)], orders=orders, restaurants=rest)
+    per = {}
+    for o in orders:
+        per[o["restaurant_id"]] = per.get(o["restaurant_id"], 0.0) + o["order_value"]
+    want = sum(sorted(per.values(), reverse=True)[:10]) / sum(per.values()) * 100
+    got = K.kpi_marketplace(m).first().top10_share
+    assert got == pytest.approx(want, rel=1e-12)
