@@ -99,3 +99,16 @@ def test_first_order_flag_for_orders_without_user(spark):
     m = _m(spark, users=[dict(user_id=5)], orders=orders)
     flags = {r.order_id: r.is_first_order for r in SG.first_order_flag(m).collect()}
     assert flags == {1: False, 2: True, 3: True}
+
+
+def test_filters_active_flag(spark):
+    from marketlens.operators.filters import filters_active
+
+    orders = [dict(order_id=1, user_id=1, order_placed_time="2024-01-10 10:00:00"),
+              dict(order_id=2, user_id=1, order_placed_time="2024-03-10 10:00:00")]
+    m = _m(spark, users=[dict(user_id=1)], orders=orders)
+    full = (dt.date(2024, 1, 10), dt.date(2024, 3, 10))
+    assert filters_active(m, FilterSpec()).first().filtered is False
+    assert filters_active(m, FilterSpec(date_range=full)).first().filtered is False     # the full range is no filter
+    assert filters_active(m, FilterSpec(date_range=(dt.date(2024, 2, 1), full[1]))).first().filtered is True
+    assert filters_active(m, FilterSpec(devices=["iOS"])).first().filtered is True
