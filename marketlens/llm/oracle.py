@@ -22,4 +22,32 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(l.n_removed,
 FROM d LEFT JOIN left_over l ON d.r = l.r
 """
 
-ORACLE_SQL = {"op1_substring_dedup": OP1}
+OP6 = r"""
+WITH line AS (
+  SELECT r, doc_id, n, line, chars FROM (
+    SELECT r, doc_id, generate_subscripts(ls, 1) AS n, unnest(ls) AS line, length(unnest(ls)) AS chars
+    FROM (SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
+solid AS (SELECT * FROM line WHERE regexp_matches(line, '[^ \t-\r]')),
+ranked AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS LAST, r, n) AS ord FROM solid),
+firsts AS (SELECT line, any_value(chars) AS chars, min(ord) AS ord FROM ranked GROUP BY line),
+near AS (
+  SELECT DISTINCT b.ord FROM firsts a JOIN firsts b
+    ON a.chars BETWEEN b.chars - 1 AND b.chars + 1 AND a.ord < b.ord
+   AND (left(a.line, b.chars // 2 - 1) = left(b.line, b.chars // 2 - 1) OR right(a.line, b.chars // 2 - 1) = right(b.line, b.chars // 2 - 1))
+  WHERE a.chars >= 20 AND b.chars >= 20
+    AND (a.line[:a.chars - 1] = b.line OR b.line[:b.chars - 1] = a.line OR EXISTS (
+      SELECT 1 FROM (SELECT unnest(range(1, greatest(a.chars, b.chars) + 1)) AS i)
+      WHERE (a.chars = b.chars AND left(a.line, i - 1) = left(b.line, i - 1) AND a.line[i + 1:] = b.line[i + 1:])
+         OR (a.chars = b.chars + 1 AND left(a.line, i - 1) = left(b.line, i - 1) AND a.line[i + 1:] = b.line[i:])
+         OR (a.chars + 1 = b.chars AND left(a.line, i - 1) = left(b.line, i - 1) AND a.line[i:] = b.line[i + 1:])))),
+kept AS (SELECT ord FROM firsts WHERE ord NOT IN (SELECT ord FROM near)),
+gone AS (SELECT r, n FROM ranked WHERE ord NOT IN (SELECT ord FROM kept)),
+result AS (
+  SELECT line.r, any_value(line.doc_id) AS doc_id, count(*) AS n_lines, count(gone.n) AS n_removed,
+         coalesce(string_agg(line.line, chr(10) ORDER BY line.n) FILTER (WHERE gone.n IS NULL), '') AS kept
+  FROM line LEFT JOIN gone ON line.r = gone.r AND line.n = gone.n GROUP BY line.r)
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, sha256(kept) AS kept_sha256 FROM result
+UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
+"""
+
+ORACLE_SQL = {"op6_line_dedup": OP6, "op1_substring_dedup": OP1}

@@ -8,8 +8,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, fingerprint, langid, substring_dedup
-from marketlens.llm.store import table
+from marketlens.llm import bpe, fingerprint, langid, line_dedup, mixing, substring_dedup
+from marketlens.llm.store import table, written
 
 TOKENIZER_DIR = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -31,6 +31,11 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = os.path.join(TOKENIZER_DIR, "word_bpe_49k.json")
     ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
@@ -41,5 +46,18 @@ def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sized = written(docs.select(
+        "doc_id", "source", mixing.as_sources("source").alias("sources"), mixing.token_count().alias("size"),
+        mixing.seeded_hash("doc_id", "text").alias("h")), "sized")
+    plans, sources = mixing.plan(sized)
+    mixed = mixing.with_copies(sized, plans).withColumn("taken", F.col("size") * F.col("n_copies")).alias("m")
+    own = F.broadcast(sources.alias("s"))
+    return (mixed.join(own, F.col("m.source").eqNullSafe(F.col("s.source")))
+            .select("m.doc_id", "m.size", "s.source_size", "s.target", "m.taken"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_substring_dedup, op3_language_id, op5_document_fingerprints, op7_bpe_roundtrip)}
+    op1_substring_dedup, op3_language_id, op5_document_fingerprints, op6_line_dedup, op7_bpe_roundtrip,
+    op8_source_mixing)}
