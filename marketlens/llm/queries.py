@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, embedding_dedup, fingerprint, langid, line_dedup, minhash_dedup, mixing, substring_dedup
+from marketlens.llm import bpe, embedding_dedup, fingerprint, langid, line_dedup, lm, minhash_dedup, mixing, substring_dedup
 from marketlens.llm.store import table, written
 
 TOKENIZER_DIR = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -66,6 +66,11 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("m.doc_id", "m.size", "s.source_size", "s.target", "m.taken"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(langid.fold("doc_id", 7) == 2, F.lit(False))
+    return lm.score(table(spark, sf_dir, "documents"), held_out)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_minhash_near_dedup, op3_language_id, op4_embedding_near_dedup,
-    op5_document_fingerprints, op6_line_dedup, op7_bpe_roundtrip, op8_source_mixing)}
+    op5_document_fingerprints, op6_line_dedup, op7_bpe_roundtrip, op8_source_mixing, op10_lm_scoring)}
