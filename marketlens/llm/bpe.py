@@ -7,7 +7,8 @@ symbols have changed since are skipped. Words repeat, so each worker keeps the i
 in two generations of bounded size; a word that fell out is merged again, with the same result.
 
 Defined cases: a null text counts as empty, an empty text has no ids and decodes to the empty
-string; rows that repeat, null ids and other columns pass through unchanged; special tokens written
+string; rows that repeat, null ids and other columns pass through
+unchanged, but for one that bears the result's name, which it replaces; special tokens written
 out in a text are recognised, as the vocabulary's own library does by default.
 """
 
@@ -115,6 +116,7 @@ def _spec(df: DataFrame, path: str):
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with array<int> column ``out``: the ids of the whole ``text_col``."""
+    docs = docs.drop(out)
     spec, at = _spec(docs, path), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,6 +135,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids")
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with string column ``out``: the vocabulary strings of ``ids_col``."""
+    df = df.drop(out)
     spec, at = _spec(df, path), df.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +143,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
-                texts = [model.decode(x.as_py() or []) if not isinstance(x, np.ndarray) else model.decode(x) for x in part.column(at)]
+                texts = [model.decode(ids or []) for ids in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out])
 
     return df.mapInArrow(run, _ddl(df) + f", `{out}` string")

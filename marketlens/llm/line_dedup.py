@@ -18,7 +18,8 @@ All of it is DataFrame functions. Lines travel as hashes; a common line meets as
 Defined cases: a null text has no lines and stays null; an empty text is one empty line; lines with
 no character but white space stay and match nothing; lines shorter than MIN_CHARS match only their
 equals; documents with a null id come last; rows that repeat both id and text are one document and
-get the same result; an empty table gives an empty result.
+get the same result; an empty table gives an empty result; columns named like a result are replaced,
+others pass.
 """
 
 from __future__ import annotations
@@ -95,6 +96,7 @@ def _near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "kept_text") -> DataFrame:
     """``docs`` with ``out`` (the kept lines joined by line feeds), n_lines and n_removed."""
+    docs = docs.drop(out, "n_lines", "n_removed")
     occurrences = _lines(docs, id_col, text_col)
     slim = occurrences.select("id", "k", "n", "lh", F.length("line").alias("chars"), _halves().alias("halves"))
     distinct = written(

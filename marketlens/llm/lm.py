@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.store import row_key, written
+from marketlens.llm.store import bounded_sample, row_key, written
 from marketlens.llm.words import chunked, mix, word_hashes
 
 SINGLES, SHAPES = 128, 128
@@ -189,8 +189,7 @@ def train(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Vocab
 
     spark = docs.sparkSession
     order = F.xxhash64("id", "text", F.lit(10))
-    sample = written(rows.withColumn("o", order).orderBy("o").limit(SAMPLE_DOCS)
-                     .select("text", F.pmod("o", F.lit(SHARDS)).alias("shard")), "sample")
+    sample = written(bounded_sample(rows, SAMPLE_DOCS, order).select("text", F.pmod(order, F.lit(SHARDS)).alias("shard")), "sample")
     weights = np.zeros((TABLE, CLASSES), np.float32)
     for _ in range(ROUNDS):
         shipped = spark.sparkContext.broadcast((vocabulary, weights))

@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, embedding_dedup, fingerprint, langid, line_dedup, lm, minhash_dedup, mixing, substring_dedup
+from marketlens.llm import bpe, embedding_dedup, fingerprint, langid, line_dedup, lm, minhash_dedup, mixing, quality, substring_dedup
 from marketlens.llm.store import table, written
 
 TOKENIZER_DIR = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -66,6 +66,14 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("m.doc_id", "m.size", "s.source_size", "s.target", "m.taken"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(langid.fold("doc_id", 4) == 2, F.lit(False))
+    model = quality.train(docs.filter(~held_out), labels)
+    scores = quality.score(docs, model)
+    return scores.select("doc_id", held_out.alias("held_out"), "score", "text_score", "page_score", (F.col("score") >= 0.5).alias("good"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(langid.fold("doc_id", 7) == 2, F.lit(False))
     return lm.score(table(spark, sf_dir, "documents"), held_out)
@@ -73,4 +81,5 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_minhash_near_dedup, op3_language_id, op4_embedding_near_dedup,
-    op5_document_fingerprints, op6_line_dedup, op7_bpe_roundtrip, op8_source_mixing, op10_lm_scoring)}
+    op5_document_fingerprints, op6_line_dedup, op7_bpe_roundtrip, op8_source_mixing, op9_quality_classifier,
+    op10_lm_scoring)}
