@@ -15,6 +15,7 @@ out in a text are recognised, as the vocabulary's own library does by default.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,6 +38,30 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+#: Code points that the regex module has as letters or numbers but the Unicode version
+#: of the vocabulary's library does not, and capitals it knows that Python's tables lack.
+NEWER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F),
+    (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1),
+    (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A),
+    (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686),
+    (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20),
+    (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6),
+    (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2),
+    (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E),
+    (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F))
+CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
+            **{0x10D50 + i: 0x10D70 + i for i in range(22)}, **{0x16EA0 + i: 0x16EBB + i for i in range(25)}}
+_RARE = re.compile("[^\x00-\u0557]")
+
+
+def _without_newer(pattern: str) -> str:
+    newer = "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in NEWER) + "]"
+    for kind in (r"\p{L}", r"\p{N}"):
+        pattern = pattern.replace(kind, f"[{kind}--{newer}]")
+    return pattern
+
+
 class WordBpe:
     def __init__(self, spec: str) -> None:
         data = json.loads(spec)
@@ -44,7 +69,8 @@ class WordBpe:
         steps = data["pre_tokenizer"]["pretokenizers"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"] or ""
-        self.words = regex.compile(steps[0]["pattern"]["Regex"])
+        pattern = steps[0]["pattern"]["Regex"]
+        self.words, self.rare_words = regex.compile(pattern), regex.compile(_without_newer(pattern), regex.V1)
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.strings = {i: s for s, i in (self.vocab | self.special).items()}
@@ -90,7 +116,10 @@ class WordBpe:
         # lower() spells a final capital sigma by its neighbours; the vocabulary lower-cases each letter alone
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         get, word = self.recent.get, self.word
-        found = [get(w) or word(w) for w in self.words.findall(text)]
+        split = self.words
+        if _RARE.search(text):
+            split, text = self.rare_words, text.translate(CAPITALS)
+        found = [get(w) or word(w) for w in split.findall(text)]
         return list(chain.from_iterable(found))
 
     def encode(self, text: str) -> list[int]:

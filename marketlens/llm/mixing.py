@@ -29,11 +29,13 @@ from marketlens.llm.store import written
 MAX_COPIES, MAX_PATTERNS, BITS, HASH_BITS = 2, 5_000, 8, 63
 WEIGHTS, SHARE, SEED = (5.0, 2.0, 1.0), 1.5, 20
 
+TOKEN = r"[^\x20\x09-\x0D]"
+
 Pattern = tuple[str | None, ...]
 
 
 def token_count(text_col: str = "text") -> Column:
-    return F.coalesce(F.expr(f"regexp_count(`{text_col}`, '[^\\\\x20\\\\x09-\\\\x0D]+')"), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text_col, F.lit(f"{TOKEN}+")), F.lit(0)).cast("long")
 
 
 def seeded_hash(id_col: str, text_col: str, seed: int = SEED) -> Column:
@@ -195,7 +197,7 @@ def as_sources(source_col: str) -> Column:
 
 def mix_documents(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken (not at all, once or more)."""
-    keyed = docs.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns], sources.alias("sources"),
+    keyed = docs.filter(F.col(text_col).rlike(TOKEN)).select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns], sources.alias("sources"),
                         seeded_hash(id_col, text_col).alias("h"))
     sized = written(docs.select(sources.alias("sources"), token_count(text_col).alias("size"), seeded_hash(id_col, text_col).alias("h")), "sized")
     plans, _ = plan(sized)
