@@ -26,8 +26,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line of the corpus, or differ from one by an edit, go."""
-    kept = line_dedup.dedup_lines(docs)
+    """Lines that repeat an earlier line of the corpus, or differ from one by an edit, go; so do
+    documents of which that leaves only blank lines."""
+    kept = line_dedup.dedup_lines(docs).filter((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"\S"))
     return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source",
                        F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
 
