@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 
 def keep_first(df: DataFrame, key: str, order_by: list[str] | None = None) -> DataFrame:
-    """One row per ``key``: the row that is smallest by ``order_by`` and then by every other column.
+    """One row per ``key``: the row that is smallest by ``order_by`` (such as an arrival time) and then
+    by every other column, nulls last, so a copy that lacks a value never wins over one that has it.
 
-    ``min(struct(...))`` is an ordinary aggregate, so the hash partial aggregation collapses a hot,
-    heavily duplicated key map-side before the shuffle; a ``row_number`` window would send all
-    copies of that key to one task. Null keys form one group, like any other value.
+    ``min(struct(...))`` is an ordinary aggregate (sort-based, since a struct is compared), so copies of
+    a hot key collapse map-side before the shuffle; a ``row_number`` window would send all of them to
+    one task. Null keys form one group, like any other value.
     """
     order_by = order_by or []
     rest = [c for c in df.columns if c != key and c not in order_by]
-    packed = F.struct(*[F.col(c) for c in order_by + rest]).alias("_row")
+    packed = F.struct(*[x for c in order_by + rest for x in (F.isnull(c).alias(f"_no_{c}"), F.col(c))]).alias("_row")
     kept = df.groupBy(key).agg(F.min(packed).alias("_row"))
     return kept.select(*[F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in df.columns])
 

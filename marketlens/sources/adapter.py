@@ -6,8 +6,9 @@ tables; Spark binds them to DataFrames (``spark.sql(text, **frames)``), the orac
 
 Dirt is injected deterministically from the keys: padded and lower-case cities, null devices,
 ``dd/mm/yyyy`` signup dates, null ages, lower-case genders and professions, negative fees, null and
-x20 order values, lower-case payment methods, invalid NPS scores and exact duplicate rows. No input
-row is dropped: every table is used whole.
+x20 order values, lower-case payment methods, invalid NPS scores, exact duplicate rows, copies of
+orders that lack their value, orders without a user, commission rates with six decimals. No input row
+is dropped: orders without line items have 0 items and no restaurant or city.
 """
 
 from __future__ import annotations
@@ -67,16 +68,18 @@ RAW_ORDERS = """
 WITH li AS (
   SELECT l_orderkey, count(*) AS n, min(l_suppkey) AS sk FROM {lineitem} GROUP BY l_orderkey
 ), b AS (
-  SELECT o.o_orderkey AS k, o.o_custkey AS ck, o.o_totalprice AS tp, li.n, li.sk, n.n_name,
+  SELECT o.o_orderkey AS k, o.o_custkey AS ck, o.o_totalprice AS tp, coalesce(li.n, 0) AS n, li.sk, n.n_name,
     o.o_orderdate + interval '1' minute * cast((o.o_orderkey % 24) * 60 + o.o_orderkey % 60 AS int) AS p,
     CASE WHEN o.o_orderstatus IN ('F', 'O') THEN 'Delivered' WHEN o.o_orderkey % 4 = 0 THEN 'Failed'
          ELSE 'Cancelled' END AS st
   FROM {orders} o
-  JOIN li ON li.l_orderkey = o.o_orderkey
-  JOIN {supplier} s ON s.s_suppkey = li.sk
-  JOIN {nation} n ON n.n_nationkey = s.s_nationkey
+  LEFT JOIN li ON li.l_orderkey = o.o_orderkey
+  LEFT JOIN {supplier} s ON s.s_suppkey = li.sk
+  LEFT JOIN {nation} n ON n.n_nationkey = s.s_nationkey
 ), t1 AS (
   SELECT b.*,
+    CASE k % 6 WHEN 0 THEN 'Bank Transfer' WHEN 1 THEN 'Card' WHEN 2 THEN 'Gift Voucher' WHEN 3 THEN 'Phone Wallet'
+         WHEN 4 THEN 'Cash' ELSE 'Pay Later' END AS pay,
     CASE WHEN st <> 'Failed' THEN p + interval '1' second * cast(60 * (1 + k % 8) + k % 60 AS int) END AS acc
   FROM b
 ), t2 AS (
@@ -89,7 +92,7 @@ WITH li AS (
     CASE WHEN st = 'Delivered' THEN rdy + interval '1' second * cast(60 * (2 + k % 14 + k % 40) AS int) END AS dlv
   FROM t2
 ), r AS (
-  SELECT k AS order_id, ck AS user_id, sk AS restaurant_id,
+  SELECT k AS order_id, CASE WHEN k % 97 = 5 THEN NULL ELSE ck END AS user_id, sk AS restaurant_id,
     CASE WHEN st <> 'Delivered' AND k % 2 = 0 THEN NULL ELSE 1 + k % 60 END AS delivery_partner_id,
     cast(p AS string) AS order_placed_time,
     cast(acc AS string) AS order_accepted_time,
@@ -98,9 +101,9 @@ WITH li AS (
     cast(pck AS string) AS pickup_time,
     cast(dlv AS string) AS delivered_time,
     st AS order_status,
-    CASE WHEN st = 'Failed' THEN 'Payment failed'
-         WHEN st = 'Cancelled' THEN CASE k % 5 WHEN 0 THEN 'Restaurant too busy' WHEN 1 THEN 'Customer changed mind'
-              WHEN 2 THEN 'Item unavailable' WHEN 3 THEN 'Delivery partner unavailable' ELSE 'Long wait time' END
+    CASE WHEN st = 'Failed' THEN 'card declined'
+         WHEN st = 'Cancelled' THEN CASE k % 5 WHEN 0 THEN 'kitchen closed' WHEN 1 THEN 'ordered twice'
+              WHEN 2 THEN 'sold out' WHEN 3 THEN 'no courier' ELSE 'too slow' END
     END AS cancel_reason,
     n AS items_count,
     CASE WHEN k % 200 = 1 THEN NULL WHEN k % 300 = 2 THEN tp * 20 ELSE tp END AS order_value,
@@ -109,11 +112,9 @@ WITH li AS (
     CASE WHEN k % 100 = 3 THEN -(cast(k % 6000 AS double) / 100) ELSE cast(k % 6000 AS double) / 100 END AS delivery_fee,
     cast(18 + k % 100 AS double) AS delivery_cost_to_rider,
     tp * cast(0.02 AS double) AS payment_gateway_fee,
-    cast(12 + sk % 14 AS double) / 100 AS commission_rate,
-    CASE WHEN k % 20 = 0 THEN lower(CASE k % 6 WHEN 0 THEN 'UPI' WHEN 1 THEN 'Credit Card' WHEN 2 THEN 'Debit Card'
-              WHEN 3 THEN 'Wallet' WHEN 4 THEN 'Cash on Delivery' ELSE 'Net Banking' END)
-         ELSE CASE k % 6 WHEN 0 THEN 'UPI' WHEN 1 THEN 'Credit Card' WHEN 2 THEN 'Debit Card'
-              WHEN 3 THEN 'Wallet' WHEN 4 THEN 'Cash on Delivery' ELSE 'Net Banking' END END AS payment_method,
+    CASE WHEN k % 13 = 0 THEN cast(123456 + coalesce(sk, 0) % 14 AS double) / 1000000
+         ELSE cast(12 + coalesce(sk, 0) % 14 AS double) / 100 END AS commission_rate,
+    CASE WHEN k % 20 = 0 THEN lower(pay) ELSE pay END AS payment_method,
     CASE WHEN st = 'Failed' THEN 'Failed' ELSE 'Success' END AS payment_status,
     cast(1 + k % 15 AS double) + cast(k % 10 AS double) / 10 AS distance_km,
     CASE WHEN st = 'Cancelled' THEN tp ELSE cast(0 AS double) END AS refund_amount,
@@ -128,6 +129,13 @@ WITH li AS (
   FROM t3
 )
 SELECT * FROM r UNION ALL SELECT * FROM r WHERE order_id % 100 = 50
+UNION ALL SELECT
+  order_id, user_id, restaurant_id, delivery_partner_id, order_placed_time, order_accepted_time,
+  promised_delivery_time, ready_time, pickup_time, delivered_time, order_status, cancel_reason, items_count,
+  cast(NULL AS double) AS order_value, discount_amount, delivery_fee, delivery_cost_to_rider,
+  payment_gateway_fee, commission_rate, payment_method, payment_status, distance_km, refund_amount, rating,
+  complaint_flag, wrong_item_flag, is_promo_used, is_scheduled_order, ab_test_group, device_type, city
+FROM r WHERE order_id % 400 = 11
 """
 
 RAW_EVENTS = """

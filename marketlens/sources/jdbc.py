@@ -41,7 +41,8 @@ class JdbcConfig:
     password: str
     dialect: str = "mysql"
     driver: str = "com.mysql.cj.jdbc.Driver"
-    partitions: int = 64
+    partitions: int = 64  # of a table split by a range of a numeric key, which an index serves
+    hash_partitions: int = 4  # of a table split by a hash: each is a scan of the whole table in the database
     fetch_size: int = 10_000
     numeric_keys: frozenset[str] = field(default_factory=frozenset)  # logical tables whose split key is numeric
 
@@ -57,8 +58,9 @@ def base_options(cfg: JdbcConfig, table: str) -> dict[str, str]:
 
 
 def hash_predicates(key: str, n: int) -> list[str]:
-    """One WHERE clause per partition, splitting rows by a hash of a (string) key inside MySQL."""
-    return [f"MOD(CRC32({key}), {n}) = {i}" for i in range(n)]
+    """One WHERE clause per partition, splitting rows by a hash of a (string) key inside MySQL; rows
+    without a key are read by the first."""
+    return [f"MOD(CRC32({key}), {n}) = {i}" + (f" OR {key} IS NULL" if i == 0 else "") for i in range(n)]
 
 
 def range_options(key: str, lower: int, upper: int, n: int) -> dict[str, str]:
@@ -69,9 +71,10 @@ def read_table(spark: SparkSession, cfg: JdbcConfig, logical: str, physical: str
     opts = base_options(cfg, physical)
     key = SPLIT_KEYS.get(logical)
     reader = spark.read.format("jdbc").options(**opts)
-    if key is None or cfg.partitions <= 1:
+    ranged = logical in cfg.numeric_keys
+    if key is None or (cfg.partitions if ranged else cfg.hash_partitions) <= 1:
         return reader.load()
-    if logical in cfg.numeric_keys:
+    if ranged:
         bounds = (spark.read.format("jdbc")
                   .options(**{**opts, "dbtable": f"(SELECT min({key}) AS lo, max({key}) AS hi FROM {physical}) b"})
                   .load().first())
@@ -79,7 +82,7 @@ def read_table(spark: SparkSession, cfg: JdbcConfig, logical: str, physical: str
             return reader.load()
         return reader.options(**range_options(key, int(bounds["lo"]), int(bounds["hi"]), cfg.partitions)).load()
     props = {k: v for k, v in opts.items() if k not in ("url", "dbtable")}
-    return spark.read.jdbc(cfg.url, physical, predicates=hash_predicates(key, cfg.partitions), properties=props)
+    return spark.read.jdbc(cfg.url, physical, predicates=hash_predicates(key, cfg.hash_partitions), properties=props)
 
 
 def load_from_database(spark: SparkSession, cfg: JdbcConfig, table_map: dict[str, str] | None = None) -> Marketplace:

@@ -26,7 +26,7 @@ def test_jdbc_options():
     assert cfg.url == f"jdbc:mysql://db:3306/shop?connectTimeout={CONNECT_TIMEOUT_SECONDS * 1000}"
     opts = base_options(cfg, TABLE_MAP["orders"])
     assert opts["dbtable"] == "orders_tbl" and opts["driver"] == "com.mysql.cj.jdbc.Driver"
-    assert hash_predicates("user_id", 3) == ["MOD(CRC32(user_id), 3) = 0", "MOD(CRC32(user_id), 3) = 1",
+    assert hash_predicates("user_id", 3) == ["MOD(CRC32(user_id), 3) = 0 OR user_id IS NULL", "MOD(CRC32(user_id), 3) = 1",
                                              "MOD(CRC32(user_id), 3) = 2"]
     assert range_options("order_id", 1, 99, 4) == {"partitionColumn": "order_id", "lowerBound": "1",
                                                    "upperBound": "100", "numPartitions": "4"}
@@ -82,3 +82,26 @@ def test_materialize_releases_cached_intermediates(spark):
     back = materialize(m, shared_folder(spark, "release"))
     assert not staged.is_cached and back.persisted == ()
     assert back.orders.count() == m.orders.count()
+
+
+def test_adapter_keeps_every_order(spark):
+    """Orders without line items stay, with no restaurant; copies without their value never survive."""
+    from marketlens.operators.dedup import keep_first
+
+    raw = load_raw(spark, SF_SMALL).orders
+    total = spark.read.parquet(f"{SF_SMALL}/orders.parquet").count()
+    kept = keep_first(raw, "order_id")
+    assert kept.count() == total
+    assert raw.where("restaurant_id IS NULL AND items_count = 0").count() > 0
+    assert raw.where("user_id IS NULL").count() > 0
+    without = raw.where("order_value IS NULL AND order_id % 400 = 11 AND order_id % 200 <> 1").select("order_id")
+    assert without.count() > 0
+    assert kept.join(without, "order_id").where("order_value IS NULL").count() == 0
+
+
+def test_later_copies_lose_by_arrival(spark):
+    from marketlens.operators.dedup import keep_first
+
+    df = spark.createDataFrame([(1, 2, "b"), (1, 1, "z"), (2, 5, None), (2, 6, "a")], "k long, seen long, v string")
+    assert {r.k: r.v for r in keep_first(df, "k", ["seen"]).collect()} == {1: "z", 2: None}
+    assert {r.k: r.v for r in keep_first(df.drop("seen"), "k").collect()} == {1: "b", 2: "a"}
