@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,4)"
-RATE = "decimal(9,4)"
+RATE = "decimal(9,8)"
 
 
 def _col(c: Column | str) -> Column:
@@ -18,12 +18,12 @@ def _col(c: Column | str) -> Column:
 
 
 def money(c: Column | str) -> Column:
-    """Monetary double -> DECIMAL(18,4); input amounts carry at most four decimals."""
+    """Monetary double -> DECIMAL(18,4), rounded half up beyond a hundredth of the smallest coin."""
     return _col(c).cast(MONEY)
 
 
 def rate(c: Column | str) -> Column:
-    """A rate such as a commission share -> DECIMAL(9,4) (keeps products within DECIMAL(38) exactly)."""
+    """A rate below 10 such as a commission share -> DECIMAL(9,8): eight decimals, products with money exact."""
     return _col(c).cast(RATE)
 
 

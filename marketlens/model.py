@@ -57,10 +57,11 @@ IQR_MULTIPLIER = 1.5  # upper fence = q3 + 1.5 * (q3 - q1), with q1, q3 the "nea
 RFM_MAX_BINS = 5
 # RFM segments, first match wins, on fractions (score - 1) / (bins - 1) of the R and F scores
 SEGMENT_RULES = [
-    ("Champions", ">=", 0.75, ">=", 0.75),
-    ("New / Promising", ">=", 0.75, "<=", 0.25),
-    ("At Risk (was loyal)", "<=", 0.25, ">=", 0.75),
-    ("Lost / Hibernating", "<=", 0.25, "<=", 0.25),
+    # label, least and most R fraction, least and most F fraction
+    ("Champions", 0.75, 1.0, 0.75, 1.0),
+    ("New / Promising", 0.75, 1.0, 0.0, 0.25),
+    ("At Risk (was loyal)", 0.0, 0.25, 0.75, 1.0),
+    ("Lost / Hibernating", 0.0, 0.25, 0.0, 0.25),
 ]
 OTHER_SEGMENT = "Regular"
 

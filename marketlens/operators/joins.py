@@ -1,4 +1,4 @@
-"""Join helpers: broadcast only behind a proven size bound."""
+"""Join helpers. Sides that may grow carry no broadcast hint: AQE decides from measured sizes."""
 
 from __future__ import annotations
 
@@ -7,21 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Rows a dimension side may have to be broadcast (a few MB of keys and short strings).
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (stops counting at max_rows + 1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint if the row count is proven small; otherwise leave the choice to AQE,
-    which still converts to a broadcast at runtime from measured shuffle sizes."""
-    return F.broadcast(df) if bounded(df, max_rows) else df
-
-
 def scalars(one: DataFrame) -> dict[str, Column]:
     """The columns of a one-row aggregate as scalar subqueries: computed once before the main query,
     inlined as constants (no join, nothing pairs up). Catalyst merges scalar subqueries that read

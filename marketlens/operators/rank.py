@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 from marketlens.session import checkpoint_dir
 
 _ROW_BITS = 33  # monotonically_increasing_id = partition index << 33 | row index within partition
-# Most values a quantile bracket may hold before the exact refinement falls back to a full rank.
-MAX_BRACKET_ROWS = 5_000_000
-# Up to this many values, the whole range is the bracket (sorting it costs less than proving one).
-WHOLE_RANGE_ROWS = 50_000
 
 
 def ordinal_rank(df: DataFrame, order_by: list[Column], rank_col: str = "rank",
@@ -80,67 +76,51 @@ def nearest_index(n: int, q: float) -> int:
     return int(math.floor((n - 1) * q + 0.5))
 
 
-def quantile_nearest(df: DataFrame, column: str, qs: list[float], accuracy: int = 100_000,
-                     max_bracket_rows: int = MAX_BRACKET_ROWS, whole_range_rows: int = WHOLE_RANGE_ROWS) -> DataFrame:
+def quantile_nearest(df: DataFrame, column: str, qs: list[float], accuracy: int = 100_000) -> DataFrame:
     """Exact "nearest" quantiles of a numeric column: one row per q with columns (q, value).
 
-    1. one pass: n, min, max and approximate quantiles at q -/+ 2/accuracy (a GK sketch, merged
-       map-side, fixed size);
-    2. one pass: exact counts below / up to each bracket, proving the exact value lies inside
-       (skipped when n <= whole_range_rows: then the whole range is the bracket);
-    3. one pass: value histogram inside the brackets (bounded by ~4n/accuracy distinct values),
-       cumulative counts per bracket, pick the value at the target position.
-    If a bracket cannot be proven (or is too wide), that quantile falls back to ``ordinal_rank``.
+    Every open quantile has a bracket, an open interval of values known to hold it, first all of
+    them. A round is two aggregates over the column, whatever its size: a sketch of the bracket gives
+    a value near the wanted position and one on either side, and exact counts below and up to these
+    three either settle the quantile at one of them (a value with any number of copies included) or leave
+    the interval between two, about 4 / accuracy of the rows. Brackets of fewer rows than ``accuracy``
+    have an exact sketch, so 10**15 rows take four rounds. No row is shuffled, ranked or collected.
+
+    The rounds run when the plan is built: each depends on the counts before it.
     """
     v = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    eps = 2.0 / accuracy
-    probes = [min(1.0, max(0.0, q + d)) for q in qs for d in (-eps, eps)]
-    head = v.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-                 F.percentile_approx("v", probes, accuracy).alias("p")).first()
-    n = head["n"]
     spark = df.sparkSession
-    if n == 0:
-        return spark.createDataFrame([(float(q), None) for q in qs], "q double, value double")
-    plan = []  # (i, lo, hi, position inside bracket)
-    if n <= min(whole_range_rows, max_bracket_rows):
-        # the whole value range is a proven-small bracket: skip the bracket-proof pass
-        plan = [(i, head["lo"], head["hi"], nearest_index(n, q)) for i, q in enumerate(qs)]
-        qs_left = []
-    else:
-        qs_left = list(enumerate(qs))
-    brackets = [(head["p"][2 * i], head["p"][2 * i + 1]) for i in range(len(qs))]
-    bounds = v.agg(*[c for lo, hi in brackets for c in (
-        F.sum(F.when(F.col("v") < lo, 1).otherwise(0)), F.sum(F.when(F.col("v") <= hi, 1).otherwise(0)))]).first() \
-        if qs_left else None
-    for i, q in qs_left:
-        k = nearest_index(n, q)
-        lo, hi = brackets[i]
-        below, upto = bounds[2 * i], bounds[2 * i + 1]
-        if not (below <= k < upto) or upto - below > max_bracket_rows:
-            lo, hi, below = head["lo"], head["hi"], 0
-            if n > max_bracket_rows:
-                plan.append((i, None, None, k))
-                continue
-        plan.append((i, lo, hi, k - below))
-    exact = [p for p in plan if p[1] is not None]
-    parts = []
-    if exact:
-        ids = F.filter(F.array(*[F.when(F.col("v").between(lo, hi), F.lit(i)) for i, lo, hi, _ in exact]),
-                       lambda x: x.isNotNull())
-        hist = (v.select(F.explode(ids).alias("i"), "v").groupBy("i", "v").agg(F.count(F.lit(1)).alias("c")))
-        cum = F.sum("c").over(Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-        target = F.element_at(F.create_map(*[x for i, _, _, j in exact for x in (F.lit(i), F.lit(j))]), F.col("i"))
-        picked = (hist.withColumn("cum", cum).where(F.col("cum") > target)
-                  .groupBy("i").agg(F.min("v").alias("value")))
-        qmap = F.create_map(*[x for i, _, _, _ in exact for x in (F.lit(i), F.lit(float(qs[i])))])
-        parts.append(picked.select(F.element_at(qmap, F.col("i")).alias("q"), "value"))
-    for i, _, _, k in (p for p in plan if p[1] is None):
-        ranked = ordinal_rank(v, [F.col("v")], "r")
-        parts.append(ranked.where(F.col("r") == k + 1).select(F.lit(float(qs[i])).alias("q"), F.col("v").alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    n = v.count()
+    value: dict[int, float | None] = dict.fromkeys(range(len(qs))) if n == 0 else {}
+    open_at = {} if n == 0 else {i: (None, None, 0, n, nearest_index(n, q)) for i, q in enumerate(qs)}
+    while open_at:
+        sketches = []
+        for i, (lo, hi, below, held, k) in open_at.items():
+            inside = F.lit(True) if lo is None else F.col("v") > lo
+            inside = inside if hi is None else inside & (F.col("v") < hi)
+            at = (k - below + 1) / held
+            probes = [min(1.0, max(0.0, at + d)) for d in (-2.0 / accuracy, 0.0, 2.0 / accuracy)]
+            sketches.append(F.percentile_approx(F.when(inside, F.col("v")), probes, accuracy).alias(f"p{i}"))
+        found = v.agg(*sketches).first()
+        marks = {i: sorted(set(found[f"p{i}"])) for i in open_at}
+        counts = v.agg(*[c for i in open_at for j, x in enumerate(marks[i]) for c in (
+            F.sum((F.col("v") < x).cast("long")).alias(f"b{i}_{j}"), F.sum((F.col("v") <= x).cast("long")).alias(f"u{i}_{j}"))]).first()
+        after = {}
+        for i, (lo, hi, below, held, k) in open_at.items():
+            upto = below + held
+            for j, x in enumerate(marks[i]):
+                under, to = counts[f"b{i}_{j}"], counts[f"u{i}_{j}"]
+                if under <= k < to:
+                    value[i] = x
+                    break
+                if k < under:
+                    hi, upto = x, under
+                    break
+                lo, below = x, to
+            if i not in value:
+                after[i] = (lo, hi, below, upto - below, k)
+        open_at = after
+    return spark.createDataFrame([(float(q), value[i]) for i, q in enumerate(qs)], "q double, value double")
 
 
 def equal_frequency_bins(rank: Column, n: Column, max_bins: int = 5) -> Column:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.numeric import money_sum, n_unique, round_pct, to_double
-from marketlens.model import AGE_ORDER, CANCELLED, FUNNEL_STAGES, UNKNOWN, Marketplace
-from marketlens.operators.joins import maybe_broadcast, scalars
+from marketlens.model import AGE_BANDS, AGE_LAST_BAND, CANCELLED, FUNNEL_STAGES, UNKNOWN, Marketplace
+from marketlens.operators.joins import scalars
 from marketlens.operators.rollups import delivered, delivered_by
 from marketlens.plans.kpis import demo_breakdown, stage_sessions
 
@@ -90,7 +90,7 @@ def _perf(orders: DataFrame, key: str) -> DataFrame:
 
 def cuisine_perf(m: Marketplace) -> DataFrame:
     """Delivered orders and GMV (0 dp) per cuisine."""
-    rest = maybe_broadcast(m.restaurants.select("restaurant_id", "cuisine_type"))
+    rest = m.restaurants.select("restaurant_id", "cuisine_type")
     per = delivered_by(m.orders, "restaurant_id").join(rest, "restaurant_id")
     return per.groupBy("cuisine_type").agg(F.sum("n").alias("orders"), F.round(F.sum("gmv"), 0).cast("double").alias("gmv"))
 
@@ -122,13 +122,10 @@ def demo_income_bracket(m: Marketplace) -> DataFrame:
 
 
 def gender_age_cross(m: Marketplace) -> DataFrame:
-    """Delivered GMV by gender x age band; bands in fixed order, only those present, missing = 0."""
+    """Delivered GMV by gender x age band, one column for each band in order; missing = 0."""
     d = delivered_by(m.orders, "user_id").join(m.users.select("user_id", "gender", "age_group"), "user_id")
-    # The band list is bounded (six labels), so reading which are present is a tiny action.
-    present = {r[0] for r in d.select("age_group").distinct().collect()}
-    bands = [b for b in AGE_ORDER if b in present]
-    pivot = d.groupBy("gender").pivot("age_group", bands).agg(F.sum("gmv"))
-    return pivot.select("gender", *[F.coalesce(to_double(F.col(b)), F.lit(0.0)).alias(b) for b in bands])
+    return d.groupBy("gender").agg(*[
+        F.coalesce(to_double(F.sum(F.when(F.col("age_group") == b, F.col("gmv")))), F.lit(0.0)).alias(b) for b in (*(label for _, label in AGE_BANDS), AGE_LAST_BAND)])
 
 
 def users_by(m: Marketplace, dim: str) -> DataFrame:

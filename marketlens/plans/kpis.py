@@ -27,13 +27,10 @@ from marketlens.functions.numeric import (count_if, mean_bool, money, money_sum,
                                           to_double)
 from marketlens.functions.stats import normal_two_sided_p, student_t_two_sided_p
 from marketlens.model import AB_GROUPS, KpiConfig, Marketplace
-from marketlens.operators.joins import one_row_of
+from marketlens.operators.joins import one_row_of, scalars
 from marketlens.operators.rollups import (commission, delivered, is_cancelled, is_delivered, net_revenue,
                                           delivered_by, restaurant_rollup, user_days, user_rollup_from_days)
 
-P_VALUE_DECIMALS = 10
-# kpi_all: carry demographic labels through the user rollup's users join (one pass fewer over orders)
-MERGE_DEMOGRAPHICS = True
 DEMO_KPI_PREFIX = {"gender": "top_gender", "profession": "top_profession", "income_bracket": "top_income",
                    "age_group": "top_age_group"}
 
@@ -98,11 +95,14 @@ def _rollup(m: Marketplace, cfg: KpiConfig = KpiConfig()) -> DataFrame:
 
 def _user_rollup_aggs() -> dict[str, Column]:
     ttfo = F.datediff("first_order_date", "signup_date")
+    user = F.col("user_id").isNotNull()
     return {
         "n_order_users": F.count(F.lit(1)),
-        "_d7": count_if(F.col("retained_d7") == 1), "_d30": count_if(F.col("retained_d30") == 1),
+        # orders without a user are one group in the counts of customers, but cannot return: the
+        # first-order join and the list of retained users match no null
+        "_d7": count_if(user & (F.col("retained_d7") == 1)), "_d30": count_if(user & (F.col("retained_d30") == 1)),
         "_repeat": count_if(F.col("n_orders") >= 2),
-        "_ret_orders": F.coalesce(F.sum(F.when(F.col("active_months") >= 2, F.col("n_orders"))), F.lit(0)),
+        "_ret_orders": F.coalesce(F.sum(F.when(user & (F.col("active_months") >= 2), F.col("n_orders"))), F.lit(0)),
         "_ret_users": count_if(F.col("active_months") >= 2),
         "_sched": count_if(F.col("has_scheduled") == 1),
         "_ltv": F.sum("ltv"),
@@ -112,35 +112,11 @@ def _user_rollup_aggs() -> dict[str, Column]:
     }
 
 
-def part_user_rollup(m: Marketplace, cfg: KpiConfig, demographics: bool = False) -> DataFrame:
+def part_user_rollup(m: Marketplace, cfg: KpiConfig) -> DataFrame:
     """Per-user rollup aggregated to one row; joined once with users (left, so every ordering user
-    counts) to also give time-to-first-order and subscriber adoption without another orders pass.
-
-    With ``demographics`` the same join carries the four user attributes, and one grouping-sets
-    aggregate over (), (gender), (age_group), (profession), (income_bracket) gives both the global
-    row and delivered GMV per label, so the demographic KPIs need no pass of their own. Labels are
-    null only for ordering users missing from the users table; they and labels without delivered
-    orders are skipped, as the inner join of the standalone path does.
-    """
-    dims = list(DEMO_KPI_PREFIX) if demographics else []
-    users = m.users.select("user_id", "signup_date", "is_subscriber", *dims)
-    ur = _rollup(m, cfg).join(users, "user_id", "left")
-    aggs = _user_rollup_aggs()
-    if not demographics:
-        r = ur.agg(*[c.alias(n) for n, c in aggs.items()])
-    else:
-        g = ur.groupingSets([[]] + [[c] for c in dims], *dims).agg(
-            *[c.alias(n) for n, c in aggs.items()], _dsum(F.col("gmv_delivered")).alias("_dgmv"),
-            F.sum("n_delivered").alias("_dn"),
-            *[F.grouping(c).alias(f"_g_{c}") for c in dims])
-        whole = reduce(lambda a, b: a & b, [F.col(f"_g_{c}") == 1 for c in dims])
-        out = [F.max(F.when(whole, F.col(n))).alias(n) for n in aggs]
-        for c, prefix in DEMO_KPI_PREFIX.items():
-            label_row = (F.col(f"_g_{c}") == 0) & F.col(c).isNotNull() & (F.col("_dn") > 0)
-            order = F.when(label_row, F.struct((-F.col("_dgmv")).alias("neg"), F.col(c).alias("label")))
-            out += [F.min_by(F.when(label_row, F.col(c)), order).alias(prefix),
-                    F.min_by(F.when(label_row, to_double(F.col("_dgmv"))), order).alias(f"_{prefix}")]
-        r = g.agg(*out)
+    counts) to also give time-to-first-order and subscriber adoption without another orders pass."""
+    ur = _rollup(m, cfg).join(m.users.select("user_id", "signup_date", "is_subscriber"), "user_id", "left")
+    r = ur.agg(*[c.alias(n) for n, c in _user_rollup_aggs().items()])
     if cfg.ltv_delivered_only:
         ltv = user_rollup_from_days(user_days(delivered(m.orders))).agg(F.sum("ltv").alias("_ltv"),
                                                                          F.count(F.lit(1)).alias("_ltv_n"))
@@ -157,26 +133,24 @@ KPI_STAGES = ("menu_view", "add_to_cart", "checkout_started")
 
 
 def part_sessions(m: Marketplace) -> DataFrame:
-    """Session KPIs in one pass over events.
+    """Session KPIs from one aggregate of events by (user, session).
 
-    One grouping-sets aggregate yields (a) one row per session: first and last event time and
-    whether each funnel stage occurs, and (b) one row per distinct (user, session) pair. The mean
-    number of distinct sessions per user is (distinct pairs) / (distinct users), null counted as a
-    value on both sides, which equals the mean of the per-user distinct counts.
+    Its rows are the distinct pairs; by session they give the first and last event time and the
+    stages that occur. The mean number of distinct sessions per user is pairs / distinct users, null
+    counted as a value on both sides, which equals the mean of the per-user distinct counts.
     """
-    flags = {f"_has_{st}": F.max((F.col("event_name") == st).cast("int")) for st in KPI_STAGES}
-    g = m.events.groupingSets([["session_id"], ["user_id", "session_id"]], "session_id", "user_id").agg(
+    flags = [f"_has_{st}" for st in KPI_STAGES]
+    pairs = m.events.groupBy("user_id", "session_id").agg(
         F.min("event_time").alias("_start"), F.max("event_time").alias("_end"),
-        *[c.alias(n) for n, c in flags.items()], F.grouping("user_id").alias("_session_row"))
-    session_row, pair_row = F.col("_session_row") == 1, F.col("_session_row") == 0
-    pair_user = F.when(pair_row, F.col("user_id"))
-    return g.agg(
-        F.avg(F.when(session_row, whole_seconds("_start", "_end"))).alias("avg_session_duration_sec"),
-        count_if(session_row).alias("_total_sessions"),
-        *[count_if(session_row & (F.col(f"_has_{st}") == 1)).alias(f"_{st}") for st in KPI_STAGES],
-        _d(count_if(pair_row).cast("double"),
-           (F.count_distinct(pair_user) + F.coalesce(F.max(F.when(pair_row & F.col("user_id").isNull(), 1)), F.lit(0)))
-           .cast("double")).alias("avg_session_frequency"))
+        *[F.max((F.col("event_name") == st).cast("int")).alias(f) for st, f in zip(KPI_STAGES, flags)])
+    sessions = pairs.groupBy("session_id").agg(
+        F.min("_start").alias("_start"), F.max("_end").alias("_end"), *[F.max(f).alias(f) for f in flags])
+    per_session = sessions.agg(
+        F.avg(whole_seconds("_start", "_end")).alias("avg_session_duration_sec"), F.count(F.lit(1)).alias("_total_sessions"),
+        *[count_if(F.col(f) == 1).alias(f"_{st}") for st, f in zip(KPI_STAGES, flags)])
+    users = pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("_sessions"))
+    per_user = users.agg(_d(F.sum("_sessions").cast("double"), F.count(F.lit(1)).cast("double")).alias("avg_session_frequency"))
+    return _one(per_session, per_user)
 
 
 def top_restaurant_gmv(m: Marketplace, k: int = 10) -> DataFrame:
@@ -382,9 +356,9 @@ def _families(cfg: KpiConfig) -> dict[str, tuple[list[str], Callable[[], list[Co
             F.lit(cfg.lifespan_years).alias("assumed_lifespan_years")]),
         "ab_test": (["orders"], lambda: [
             F.col("ab_available"), gated(F.col("p1"), "ab_p1"), gated(F.col("p2"), "ab_p2"),
-            gated(F.round("p_completion", P_VALUE_DECIMALS), "ab_p_value_completion"),
+            gated(F.col("p_completion"), "ab_p_value_completion"),
             gated(F.col("control_mean"), "ab_control_aov_mean"), gated(F.col("treat_mean"), "ab_treat_aov_mean"),
-            gated(F.round("p_aov", P_VALUE_DECIMALS), "ab_p_value_aov")]),
+            gated(F.col("p_aov"), "ab_p_value_aov")]),
         "demographics": (["orders", "demographics"], lambda: demo_cols),
     }
 
@@ -396,10 +370,6 @@ def _parts(m: Marketplace, cfg: KpiConfig, names: list[str], ab: bool = False) -
         "sessions": lambda: part_sessions(m), "restaurants": lambda: part_restaurants(m, cfg),
         "nps": lambda: part_nps(m), "demographics": lambda: part_demographics(m),
     }
-    if MERGE_DEMOGRAPHICS and "demographics" in names and "user_rollup" in names:
-        # the user rollup already joins users once: carry the demographic labels through that join
-        builders["user_rollup"] = lambda: part_user_rollup(m, cfg, demographics=True)
-        names = [n for n in names if n != "demographics"]
     row = _one(*[builders[n]() for n in names])
     # the A/B tests are projections of the orders aggregate's moments: no second pass over orders
     return with_ab_tests(row) if ab else row
@@ -449,19 +419,20 @@ def ab_verdict(m: Marketplace, cfg: KpiConfig = KpiConfig()) -> DataFrame:
 
 
 def demo_breakdown(m: Marketplace, dim: str) -> DataFrame:
-    """Delivered orders by a user attribute: users (distinct), orders, gmv, aov (2 dp)."""
+    """Delivered orders by a user attribute: users (distinct), orders, gmv, aov (2 dp), share of GMV in %."""
     d = delivered_by(m.orders, "user_id").join(m.users.select("user_id", dim), "user_id")
     # one row per user after the pre-aggregation, so distinct users = rows
     g = d.groupBy(dim).agg(F.count(F.lit(1)).alias("users"), F.sum("n").alias("orders"),
                            _dsum(F.col("gmv")).alias("_gmv"), F.sum("nv").alias("_n"))
+    total = scalars(g.agg(F.sum("_gmv").alias("_total")))["_total"]
     return g.select(dim, "users", "orders", to_double(F.col("_gmv")).alias("gmv"),
-                    F.round(_d(to_double(F.col("_gmv")), F.col("_n")), 2).alias("aov"))
+                    F.round(_d(to_double(F.col("_gmv")), F.col("_n")), 2).alias("aov"),
+                    F.round(_d(to_double(F.col("_gmv")), to_double(total)) * 100, 6).alias("gmv_share"))
 
 
 # ---- long form --------------------------------------------------------------------------------
 FAMILY_ORDER = ["acquisition", "engagement", "conversion", "revenue", "retention", "operations", "marketplace",
                 "product", "clv", "ab_test", "demographics"]
-FAMILIES = {name: globals()[f"kpi_{name}"] for name in FAMILY_ORDER}
 
 
 def to_long(wide: DataFrame, family_of: dict[str, str]) -> DataFrame:

@@ -57,10 +57,23 @@ def _m(fn: Callable[[Marketplace], DataFrame]) -> Callable[[SparkSession, str],
     return lambda spark, sf_dir: fn(marketplace(spark, sf_dir))
 
 
+P_VALUE_DECIMALS = 10  # both engines integrate numerically: compared to ten decimals
+
+
 def _kpi(fn) -> Callable[[SparkSession, str], DataFrame]:
     return _m(lambda m: fn(m, KPI_CONFIG))
 
 
+def _ab_rounded(m: Marketplace, cfg: KpiConfig) -> DataFrame:
+    k = K.kpi_ab_test(m, cfg)
+    return k.withColumns({c: F.round(c, P_VALUE_DECIMALS) for c in k.columns if "p_value" in c})
+
+
+def _all_rounded(m: Marketplace, cfg: KpiConfig) -> DataFrame:
+    p = F.col("kpi").contains("p_value")
+    return K.kpi_all(m, cfg).withColumn("value", F.when(p, F.round("value", P_VALUE_DECIMALS)).otherwise(F.col("value")))
+
+
 def _slice_orders(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return _m(lambda m: FL.apply_filters(m, SLICES[name]).orders.select(*ORDER_SLICE_COLUMNS))
 
@@ -83,11 +96,9 @@ def _bins(m: Marketplace) -> DataFrame:
 
 def _title_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = load_raw(spark, sf_dir)
-    parts = [raw.users.select(F.lit(c).alias("source"), F.col(c).alias("raw_value")) for c in ("city", "gender", "profession")]
-    parts.append(raw.orders.select(F.lit("payment_method").alias("source"), F.col("payment_method").alias("raw_value")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
+    of_user = F.array(*[F.struct(F.lit(c).alias("source"), F.col(c).alias("raw_value")) for c in ("city", "gender", "profession")])
+    u = raw.users.select(F.explode(of_user).alias("v")).select("v.*").unionByName(
+        raw.orders.select(F.lit("payment_method").alias("source"), F.col("payment_method").alias("raw_value")))
     return (u.where(F.col("raw_value").isNotNull()).distinct()
             .select("source", "raw_value", title_case("raw_value").alias("title")))
 
@@ -132,11 +143,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kpi_marketplace": _kpi(K.kpi_marketplace),
     "kpi_product": _kpi(K.kpi_product),
     "kpi_clv": _kpi(K.kpi_clv),
-    "kpi_ab_test": _kpi(K.kpi_ab_test),
+    "kpi_ab_test": _kpi(_ab_rounded),
     "kpi_demographics": _kpi(K.kpi_demographics),
     "kpi_filtered": _m(_kpi_filtered),
     "ab_verdict": _kpi(K.ab_verdict),
-    "kpi_all": _kpi(K.kpi_all),
+    "kpi_all": _kpi(_all_rounded),
     "first_order_flag": _m(SG.first_order_flag),
     # charts
     "channel_acq": _m(CH.channel_acq),

@@ -32,27 +32,39 @@ def cohort_retention(m: Marketplace) -> DataFrame:
                     round_pct(F.col("active_users"), F.col("cohort_size"), 1).alias("retention_pct")))
 
 
+def _by_cohort(m: Marketplace) -> DataFrame:
+    """(cohort_month, pct map by month offset, last offset of any cohort). The cohorts are few (calendar
+    months), so their maps pass through one aggregate, which leaves one pass over the orders."""
+    maps = cohort_retention(m).groupBy("cohort_month").agg(
+        F.map_from_entries(F.collect_list(F.struct("month_offset", "retention_pct"))).alias("pct"), F.max("month_offset").alias("top"))
+    whole = maps.agg(F.collect_list(F.struct("cohort_month", "pct")).alias("c"), F.max("top").alias("top"))
+    return whole.select(F.explode("c").alias("c"), "top").select("c.cohort_month", "c.pct", "top")
+
+
 def cohort_matrix(m: Marketplace) -> DataFrame:
-    """cohort_retention pivoted to one column per month offset (numeric order); missing = null."""
-    long = cohort_retention(m)
-    # Offsets are bounded by the number of calendar months in the data: a tiny list.
-    offsets = sorted(r[0] for r in long.select("month_offset").distinct().collect())
-    return long.groupBy("cohort_month").pivot("month_offset", offsets).agg(F.first("retention_pct"))
+    """T12 as a full grid: (cohort_month, month_offset, retention_pct) for every cohort and every offset
+    from 0 to the largest; missing = null."""
+    grid = _by_cohort(m).select("cohort_month", "pct", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("month_offset"))
+    return grid.select("cohort_month", "month_offset", F.expr("try_element_at(pct, month_offset)").alias("retention_pct"))
+
+
+def cohort_heat(m: Marketplace) -> DataFrame:
+    """The same, one row a cohort: heat_cols (the offsets) and heat_data (retention by offset)."""
+    columns = F.sequence(F.lit(0), F.col("top"))
+    return _by_cohort(m).select("cohort_month", columns.alias("heat_cols"),
+                                F.transform(columns, lambda i: F.try_element_at("pct", i)).alias("heat_data"))
 
 
 def segment_label(r: Column, f: Column, bins: Column) -> Column:
-    """First matching rule of ``model.SEGMENT_RULES`` on the R and F fractions, else ``OTHER_SEGMENT``."""
+    """First rule that the R and F scores meet, as fractions of their range, else ``OTHER_SEGMENT``."""
     def frac(score: Column) -> Column:
         return F.when(bins > 1, (score - 1) / (bins - 1)).otherwise(F.lit(1.0))
 
-    def test(c: Column, op: str, bound: float) -> Column:
-        return c >= bound if op == ">=" else c <= bound
-
     rf, ff = frac(r), frac(f)
     out = None
-    for label, r_op, r_bound, f_op, f_bound in SEGMENT_RULES:
-        cond = test(rf, r_op, r_bound) & test(ff, f_op, f_bound)
-        out = F.when(cond, label) if out is None else out.when(cond, label)
+    for label, least_r, most_r, least_f, most_f in SEGMENT_RULES:
+        rule = rf.between(least_r, most_r) & ff.between(least_f, most_f)
+        out = F.when(rule, label) if out is None else out.when(rule, label)
     return out.otherwise(OTHER_SEGMENT)
 
 

@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import math
 
-from marketlens.functions.stats import NORMAL_SPAN, STEPS, T_CUTOFF
-from marketlens.functions.text import WORD_OR_GAP
 from marketlens.sources.adapter import duckdb_sql
 
+# a word is a run of letters and digits; what lies between is kept as it is
+WORD_OR_GAP = r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"
+# numerical integration of the test distributions
+STEPS, NORMAL_SPAN, T_CUTOFF = 2000, 12.0, 40.0
+
 # ---------------------------------------------------------------- expression helpers
 WS = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
 DELIVERED = "order_status = 'Delivered'"
@@ -33,7 +36,7 @@ def money(x: str) -> str:
 
 
 def rate(x: str) -> str:
-    return f"cast({x} AS DECIMAL(9,4))"
+    return f"cast({x} AS DECIMAL(9,8))"
 
 
 def msum(x: str) -> str:
@@ -126,7 +129,7 @@ NPS_COLS = ["response_id", "user_id", "response_date", "nps_score"]
 
 
 def dedup(table: str, key: str, cols: list[str]) -> str:
-    order = ", ".join(f"{c} ASC NULLS FIRST" for c in cols if c != key)
+    order = ", ".join(f"{c} ASC NULLS LAST" for c in cols if c != key)
     return (f"SELECT * EXCLUDE (_rn) FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS _rn "
             f"FROM {table}) WHERE _rn = 1")
 
@@ -342,15 +345,22 @@ def kpi_revenue(o="orders_c", u="users_c", e="events_c", n="nps_c", r="restauran
 def kpi_retention(o="orders_c", u="users_c", e="events_c", n="nps_c", r="restaurants_c", **_) -> str:
     d30 = f"({dbl('d30n')} / {dbl('n_users')} * 100)"
     avg_ltv = f"({td('ltv')} / {dbl('customers')})"
+    retained = f"""(SELECT user_id FROM {o} GROUP BY user_id HAVING {nu("strftime(order_date, '%Y-%m')")} >= 2)"""
     return f"""SELECT {pct('d7n', 'n_users')} AS d7, {d30} AS d30, 100 - {d30} AS churn_d30,
       {pct('rep', 'customers')} AS repeat_rate,
       CASE WHEN ret_users = 0 THEN 0.0 ELSE {ratio('ret_orders', 'ret_users')} END AS order_frequency_retained,
       {avg_ltv} AS avg_ltv, {avg_ltv} / cac AS ltv_cac_ratio,
       CASE WHEN resp = 0 THEN 0.0 ELSE ({dbl('prom')} / {dbl('resp')} - {dbl('detr')} / {dbl('resp')}) * 100 END AS nps_score
     FROM (SELECT n_users, cac FROM ({acquisition_parts(o, u)})) a,
-      (SELECT {cnt('retained_d7 = 1')} AS d7n, {cnt('retained_d30 = 1')} AS d30n, {cnt('n_orders >= 2')} AS rep,
-        count(*) AS customers, coalesce(sum(CASE WHEN active_months >= 2 THEN n_orders END), 0) AS ret_orders,
-        {cnt('active_months >= 2')} AS ret_users, sum(ltv) AS ltv FROM ({user_roll(o)})) r,
+      (SELECT count(DISTINCT CASE WHEN days BETWEEN 1 AND 7 THEN user_id END) AS d7n,
+              count(DISTINCT CASE WHEN days BETWEEN 1 AND 30 THEN user_id END) AS d30n
+       FROM (SELECT x.user_id, date_diff('day', f.first_day, x.order_date) AS days FROM {o} x
+             JOIN (SELECT user_id, min(order_date) AS first_day FROM {o} GROUP BY user_id) f ON x.user_id = f.user_id)) back,
+      (SELECT {cnt('c >= 2')} AS rep, count(*) AS customers FROM (SELECT user_id, count(DISTINCT order_id) AS c FROM {o} GROUP BY user_id)) cust,
+      (SELECT (SELECT count(*) FROM {o} WHERE user_id IN (SELECT user_id FROM {retained})) AS ret_orders,
+              (SELECT count(*) FROM {retained}) AS ret_users
+       FROM (SELECT 1)) kept,
+      (SELECT sum(ltv) AS ltv FROM ({user_roll(o)})) r,
       (SELECT {cnt('nps_score >= 9')} AS prom, {cnt('nps_score <= 6')} AS detr, count(*) AS resp FROM {n}) p"""
 
 
@@ -549,12 +559,13 @@ def chart_sql() -> dict[str, str]:
         "cuisine_perf": q(perf("cuisine_type", f"SELECT dd.order_value, r.cuisine_type FROM ({d}) dd JOIN restaurants_c r ON dd.restaurant_id = r.restaurant_id")),
         "city_perf": q(perf("city", d)),
         "cohort_retention": q(cohort),
-        "cohort_matrix": q("PIVOT cr ON month_offset USING first(retention_pct) GROUP BY cohort_month", [("cr", cohort)]),
+        "cohort_matrix": q("""SELECT c.cohort_month, m.month_offset, cr.retention_pct
+            FROM (SELECT DISTINCT cohort_month FROM cr) c
+            CROSS JOIN (SELECT cast(unnest(range(0, (SELECT max(month_offset) FROM cr) + 1)) AS INTEGER) AS month_offset) m
+            LEFT JOIN cr ON cr.cohort_month IS NOT DISTINCT FROM c.cohort_month AND cr.month_offset = m.month_offset""", [("cr", cohort)]),
         "rating_dist": q(f"SELECT rating, count(*) AS count FROM ({d}) WHERE rating IS NOT NULL GROUP BY rating"),
-        "demo_gender": q(demo_breakdown("gender")),
-        "demo_age_group": q(demo_breakdown("age_group")),
-        "demo_profession": q(demo_breakdown("profession")),
-        "demo_income_bracket": q(demo_breakdown("income_bracket")),
+        **{f"demo_{dim}": q(f"SELECT *, round(gmv / (SELECT sum(gmv) FROM d) * 100, 6) AS gmv_share FROM d", [("d", demo_breakdown(dim))])
+           for dim in ("gender", "age_group", "profession", "income_bracket")},
         "gender_age_cross": q(f"""SELECT gender, {cross_cols} FROM (SELECT o.order_value AS ov, u.gender, u.age_group
             FROM ({d}) o JOIN users_c u ON o.user_id = u.user_id) GROUP BY gender"""),
         "users_by_gender": q("SELECT gender, count(*) AS users FROM users_c GROUP BY 1"),

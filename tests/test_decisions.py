@@ -76,11 +76,26 @@ def test_split_date_is_a_parameter(spark):
     assert K.kpi_marketplace(m, KpiConfig(split_date=dt.date(2024, 1, 1))).first().restaurant_churn_rate == 0.0
 
 
-def test_cohort_matrix_columns_in_numeric_order(spark):
+def test_cohort_matrix_is_a_full_grid(spark):
     orders = [dict(order_id=i, user_id=1, order_placed_time=f"2024-{m:02d}-10 10:00:00") for i, m in enumerate([1, 3, 11], 1)]
     m = _m(spark, users=[dict(user_id=1, signup_date="2024-01-01")], orders=orders)
-    cols = SG.cohort_matrix(m).columns
-    assert cols == ["cohort_month", "0", "2", "10"]  # numeric order (lexical would put "10" before "2")
+    grid = {r.month_offset: r.retention_pct for r in SG.cohort_matrix(m).collect()}
+    assert grid == {i: 100.0 if i in (0, 2, 10) else None for i in range(11)}
+    heat = SG.cohort_heat(m).first()
+    assert heat.heat_cols == list(range(11)) and heat.heat_data == [grid[i] for i in range(11)]
+
+
+def test_orders_without_user_cannot_return(spark):
+    """30 guest orders over two months: a customer in the counts, but neither retained nor frequent."""
+    orders = [dict(order_id=i, user_id=None, order_placed_time=f"2024-01-{i % 28 + 1:02d} 10:00:00") for i in range(1, 31)]
+    orders += [dict(order_id=100, user_id=None, order_placed_time="2024-02-10 10:00:00")]
+    orders += [dict(order_id=101, user_id=1, order_placed_time="2024-01-01 10:00:00"),
+               dict(order_id=102, user_id=1, order_placed_time="2024-03-01 10:00:00"),
+               dict(order_id=103, user_id=2, order_placed_time="2024-01-01 10:00:00")]
+    m = _m(spark, users=[dict(user_id=1), dict(user_id=2)], orders=orders)
+    k = K.kpi_retention(m).first()
+    assert k.d7 == 0 and k.d30 == 0 and k.churn_d30 == 100
+    assert k.order_frequency_retained == 1.0  # two orders of user 1 over two retained groups, one without a user
 
 
 @pytest.mark.parametrize("mode,expected", [("reference", "2024-W01"), ("iso", "2025-W01")])

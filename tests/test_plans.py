@@ -25,8 +25,13 @@ def test_date_slice_prunes_month_folders(spark):
 
 
 def test_projection_reaches_scan(spark):
-    lines = scan_lines(QUERIES["quantile_nearest"](spark, SF_SMALL))
-    assert lines and all("ReadSchema: struct<order_value:double>" in l for l in lines)
+    lines = scan_lines(QUERIES["rating_dist"](spark, SF_SMALL))
+    assert lines and all("ReadSchema: struct<order_status:string,rating:" in l for l in lines)
+
+
+def test_events_are_not_expanded(spark):
+    for key in ("kpi_engagement", "kpi_conversion"):
+        assert "Expand" not in physical_plan(QUERIES[key](spark, SF_SMALL))
 
 
 def test_dedup_is_an_aggregate_not_a_window(spark):
@@ -37,9 +42,8 @@ def test_dedup_is_an_aggregate_not_a_window(spark):
     assert "Window" not in plan and ("HashAggregate" in plan or "SortAggregate" in plan or "ObjectHashAggregate" in plan)
 
 
-def test_cuisine_filter_broadcasts_bounded_dimension(spark):
-    plan = physical_plan(QUERIES["filter_cuisine"](spark, SF_SMALL))
-    assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+def test_cuisine_filter_is_a_semi_join(spark):
+    assert "LeftSemi" in physical_plan(QUERIES["filter_cuisine"](spark, SF_SMALL))
 
 
 def test_window_detector_sees_global_and_partitioned_windows(spark):

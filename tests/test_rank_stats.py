@@ -45,11 +45,16 @@ def test_quantile_nearest_matches_brute_force(spark, seed):
     qs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
     s = sorted(values)
     want = {q: s[nearest_index(len(s), q)] for q in qs}
-    # whole-range histogram (small n), proven sketch brackets, and the ordinal-rank fallback
-    for max_rows, whole in ((5_000_000, 50_000), (5_000_000, 100), (200, 100), (10, 100)):
-        got = {r.q: r.value for r in quantile_nearest(df, "v", qs, accuracy=500, max_bracket_rows=max_rows,
-                                                      whole_range_rows=whole).collect()}
-        assert got == want, (max_rows, whole)
+    for accuracy in (5, 50, 500, 100_000):  # many rounds, few, one
+        assert {r.q: r.value for r in quantile_nearest(df, "v", qs, accuracy=accuracy).collect()} == want, accuracy
+
+
+def test_quantile_nearest_of_few_or_no_values(spark):
+    for values in ([], [None], [3.0], [2.0, 2.0, 2.0, None], [5.0, -1.0]):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        s = sorted(v for v in values if v is not None)
+        want = {q: s[nearest_index(len(s), q)] if s else None for q in (0.0, 0.5, 1.0)}
+        assert {r.q: r.value for r in quantile_nearest(df, "v", [0.0, 0.5, 1.0]).collect()} == want
 
 
 @pytest.mark.parametrize("n,expected", [
