@@ -55,21 +55,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-MAX_SHUFFLE_PARTITIONS = 100_000
-
-
 def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
     """Settings for a large cluster, sized from the input volume and the core count.
 
-    Shuffle partitions start at max(input / 256 MB, 3 x cores), capped at 100k, so no reducer must
+    Shuffle partitions start at max(input / 256 MB, 3 x cores), so no reducer must
     hold more than a few hundred MB (spill-free on a few GB per core); AQE then coalesces small partitions and splits
     skewed ones (a partition 5x the median and above 512 MB is split, on both sort-merge and
     shuffled-hash joins). Files are read in 256 MB splits. Broadcasts stay under 64 MB: the only
-    explicit broadcasts are one-row aggregates, rank offsets (one row per partition) and dimension
-    sides proven small by ``operators.joins.maybe_broadcast``.
+    explicit broadcasts are one-row aggregates and rank offsets (one row per partition).
     """
-    # capped: map x reduce shuffle blocks grow with the product; AQE splits what is still skewed
-    partitions = min(max(input_bytes // target_partition_bytes, 3 * total_cores, 200), MAX_SHUFFLE_PARTITIONS)
+    partitions = max(input_bytes // target_partition_bytes, 3 * total_cores, 200)
     return {
         "spark.sql.shuffle.partitions": str(int(partitions)),
         "spark.sql.adaptive.enabled": "true",

@@ -43,20 +43,6 @@ def daily_trends(raw_orders: DataFrame, fence: float | None = None, watermark: s
                         F.round("_gmv", 4).cast("double").alias("gmv"))
 
 
-def start_daily_trends(spark: SparkSession, source_dir: str, schema: T.StructType, sink_table: str,
-                       checkpoint: str, fence: float | None = None, available_now: bool = True):
-    """Run the stream over parquet order files into an in-memory table (``update`` output mode).
-
-    ``checkpoint`` must be shared storage on a cluster (the stream's offsets and state live there),
-    so a restarted driver or lost executor resumes without double counting.
-    """
-    stream = spark.readStream.schema(schema).parquet(source_dir)
-    writer = (daily_trends(stream, fence).writeStream.outputMode("update").format("memory")
-              .queryName(sink_table).option("checkpointLocation", checkpoint))
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
-    return writer.start()
-
-
 def write_epoch(table_dir: str):
     """foreachBatch sink: each micro-batch (the updated days with their current totals) goes to its
     own folder ``epoch=<id>``. A retried epoch overwrites the same folder, so output is exactly-once

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from marketlens.sources.adapter import load_raw
 from marketlens.sources.tables import shared_folder
-from marketlens.streaming.trends import daily_trends, start_daily_trends
+from marketlens.streaming.trends import daily_trends, read_daily_trends, start_daily_trends_table
 from tests.conftest import SF_SMALL
 
 
@@ -14,17 +14,15 @@ def test_stream_matches_batch(spark):
     # two arrivals; the second also re-delivers some orders (exact duplicates)
     raw.where(F.col("order_id") % 2 == 0).write.parquet(f"{folder}/part=1")
     raw.where((F.col("order_id") % 2 == 1) | (F.col("order_id") % 10 == 0)).write.parquet(f"{folder}/part=2")
-    q = start_daily_trends(spark, f"{folder}/part=*", raw.schema, "trend_test", shared_folder(spark, "stream-ckpt"))
-    q.awaitTermination(300)
-    got = {(r.order_date, r.orders, r.gmv) for r in spark.table("trend_test").collect()}
+    table = shared_folder(spark, "stream-trends")
+    start_daily_trends_table(spark, f"{folder}/part=*", raw.schema, table, shared_folder(spark, "stream-ckpt")).awaitTermination(300)
+    got = {(r.order_date, r.orders, r.gmv) for r in read_daily_trends(spark, table).collect()}
     batch = daily_trends(raw.dropDuplicates(["order_id"]))
     want = {(r.order_date, r.orders, r.gmv) for r in batch.collect()}
     assert got == want and len(want) > 100
 
 
 def test_stream_table_survives_restart(spark):
-    from marketlens.streaming.trends import read_daily_trends, start_daily_trends_table
-
     raw = load_raw(spark, SF_SMALL).orders
     placed = F.to_date(F.col("order_placed_time").try_cast("timestamp_ntz"))
     split = F.lit("1999-01-01").cast("date")
