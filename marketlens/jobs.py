@@ -3,7 +3,12 @@
 raw tables -> clean -> materialise -> every KPI and chart table for one filter selection ->
 parquet, one folder per result. Writes are independent jobs and are submitted together.
 
-    python -m marketlens.jobs --sf-dir /root/testdata/sf0.1 --out /shared/marketlens/2026-12-02
+    spark-submit ... -m marketlens.jobs --tables /shared/raw --out /shared/marketlens/2026-12-02
+    python -m marketlens.jobs --sf-dir /root/testdata/sf0.1 --out /tmp/marketlens
+
+Raw tables come from Parquet folders named after the six tables (--tables), from a database
+(--jdbc-host and the like; the password from --jdbc-password-file), or from the star-schema test
+tables (--sf-dir). Under spark-submit the session is the cluster's; otherwise it is a local one.
 """
 
 from __future__ import annotations
@@ -11,18 +16,22 @@ from __future__ import annotations
 import argparse
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlens import api
 from marketlens.model import FilterSpec, KpiConfig, Marketplace
 from marketlens.plans.kpis import FAMILY_ORDER, family_of_columns, to_long
-from marketlens.sources.tables import materialize, write_table
+from marketlens.session import build_session
+from marketlens.sources.adapter import load_raw
+from marketlens.sources.jdbc import JdbcConfig, load_from_database
+from marketlens.sources.tables import materialize, read_marketplace, write_table
 
 
 def results(m: Marketplace, spec: FilterSpec | None = None, cfg: KpiConfig = KpiConfig()) -> dict[str, DataFrame]:
-    """Named result tables for a slice: kpi (wide, one row) and every chart (demo breakdowns flattened)."""
-    s = api.filter_data(m, spec or FilterSpec())
-    kpi, charts = api.compute_all_kpis(s, cfg)
+    """Named result tables for a slice: kpi (wide, one row) and every chart (demo breakdowns flattened).
+    The slice is written once; every chart reads it instead of filtering the tables again."""
+    kpi, charts = api.compute_all_kpis(m if spec is None else materialize(api.filter_data(m, spec)), cfg)
     out = {"kpi": kpi}
     for name, chart in charts.items():
         if isinstance(chart, dict):
@@ -52,16 +61,39 @@ def refresh(raw: Marketplace, out_root: str, spec: FilterSpec | None = None, cfg
     return paths
 
 
-def main() -> None:
+def raw_tables(spark: SparkSession, args: argparse.Namespace) -> Marketplace:
+    if args.tables:
+        return read_marketplace(spark, args.tables)
+    if args.jdbc_host:
+        with open(args.jdbc_password_file, encoding="utf-8") as f:
+            password = f.read().strip()
+        return load_from_database(spark, JdbcConfig(host=args.jdbc_host, port=args.jdbc_port, database=args.jdbc_database,
+                                                    user=args.jdbc_user, password=password))
+    return load_raw(spark, args.sf_dir)
+
+
+def session() -> SparkSession:
+    """That of spark-submit where it names a master, else a local one."""
+    return SparkSession.builder.getOrCreate() if SparkConf().contains("spark.master") else build_session()
+
+
+def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     ap = argparse.ArgumentParser(description=__doc__.splitlines()[0])
-    ap.add_argument("--sf-dir", required=True, help="folder with the star-schema parquet tables")
+    source = ap.add_mutually_exclusive_group(required=True)
+    source.add_argument("--tables", help="folder with the six raw tables as Parquet")
+    source.add_argument("--jdbc-host", help="database host")
+    source.add_argument("--sf-dir", help="folder with the star-schema parquet tables")
+    ap.add_argument("--jdbc-port", type=int, default=3306)
+    ap.add_argument("--jdbc-database", default="")
+    ap.add_argument("--jdbc-user", default="")
+    ap.add_argument("--jdbc-password-file", default="")
     ap.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
-    args = ap.parse_args()
-    from marketlens.session import build_session
-    from marketlens.sources.adapter import load_raw
+    return ap.parse_args(argv)
+
 
-    spark: SparkSession = build_session()
-    paths = refresh(load_raw(spark, args.sf_dir), args.out)
+def main(argv: list[str] | None = None) -> None:
+    args = arguments(argv)
+    paths = refresh(raw_tables(session(), args), args.out)
     print(f"wrote {len(paths)} tables ({', '.join(FAMILY_ORDER)} KPIs and charts) under {args.out}")
 
 

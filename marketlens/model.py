@@ -18,8 +18,6 @@ class Marketplace:
     orders: DataFrame
     events: DataFrame
     nps: DataFrame
-    # intermediate frames persisted while building these tables; ``release`` drops them
-    persisted: tuple[DataFrame, ...] = field(default=(), compare=False, repr=False)
 
     def with_(self, **tables: DataFrame) -> "Marketplace":
         return replace(self, **tables)
@@ -27,11 +25,6 @@ class Marketplace:
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in TABLE_NAMES}
 
-    def release(self) -> None:
-        """Unpersist the intermediates (call once the tables are written or no longer needed)."""
-        for df in self.persisted:
-            df.unpersist()
-
 
 TABLE_NAMES = ("users", "restaurants", "riders", "orders", "events", "nps")
 

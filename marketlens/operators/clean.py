@@ -3,7 +3,6 @@ median imputation, upper-fence winsorising)."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +15,7 @@ from marketlens.operators.dedup import distinct_rows, keep_first
 from marketlens.operators.joins import scalars
 from marketlens.operators.rank import quantile_nearest
 from marketlens.session import checkpoint_dir
+from marketlens.sources.tables import staged
 
 def ensure_bool(df: DataFrame, columns: list[str]) -> DataFrame:
     """0/1 integers (or their strings) -> boolean, for present non-boolean columns; junk -> null."""
@@ -37,9 +37,16 @@ def age_band(age: Column) -> Column:
     return out.otherwise(AGE_LAST_BAND)
 
 
+def dedup_users(users: DataFrame) -> DataFrame:
+    return keep_first(add_missing(users, DEMOGRAPHIC_COLUMNS), "user_id")
+
+
 def clean_users(users: DataFrame) -> DataFrame:
-    users = add_missing(users, DEMOGRAPHIC_COLUMNS)
-    users = keep_first(users, "user_id")
+    """Standalone user cleaning (``clean`` stages the deduplicated users)."""
+    return finish_users(dedup_users(users))
+
+
+def finish_users(users: DataFrame) -> DataFrame:
     # exact median (mean of the two middle values for an even count); its aggregation buffer is a
     # value -> count map, bounded here by the handful of distinct ages, merged map-side
     median_age = scalars(users.agg(F.median(F.col("age").cast("double")).alias("_median_age")))["_median_age"]
@@ -94,7 +101,7 @@ def finish_orders(staged: DataFrame) -> DataFrame:
 
 
 def clean_orders(orders: DataFrame) -> DataFrame:
-    """Standalone order cleaning (no caching; ``clean`` persists the deduplicated stage)."""
+    """Standalone order cleaning (``clean`` stages the deduplicated orders)."""
     return finish_orders(dedup_orders(orders))
 
 
@@ -109,16 +116,15 @@ def clean_nps(nps: DataFrame) -> DataFrame:
             .where(F.col("nps_score").between(0, 10)))
 
 
-def clean(raw: Marketplace, persist: bool = True) -> Marketplace:
+def clean(raw: Marketplace, stage: bool = True) -> Marketplace:
     """All cleaning jobs; restaurants and riders pass through unchanged.
 
-    With ``persist`` the deduplicated orders are cached (MEMORY_AND_DISK): the fence sketch, the
-    fence proof and the final use all read them. They are listed in ``persisted`` so the caller
-    can ``release()`` them once the cleaned tables are written.
+    With ``stage`` the deduplicated orders and users are written once to the shared folder: the fence
+    and the median then read one column of them, and the final pass only caps and fills. Nothing is
+    cached on executors, so a lost one costs no second deduplication.
     """
-    staged = dedup_orders(raw.orders)
-    if persist:
-        staged = staged.persist(StorageLevel.MEMORY_AND_DISK)
-    return raw.with_(users=clean_users(raw.users), orders=finish_orders(staged),
-                     events=clean_events(raw.events), nps=clean_nps(raw.nps),
-                     persisted=(staged,) if persist else ())
+    orders, users = dedup_orders(raw.orders), dedup_users(raw.users)
+    if stage:
+        orders, users = staged(orders, "orders-dedup"), staged(users, "users-dedup")
+    return raw.with_(users=finish_users(users), orders=finish_orders(orders),
+                     events=clean_events(raw.events), nps=clean_nps(raw.nps))

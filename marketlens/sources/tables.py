@@ -33,6 +33,13 @@ def read_table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.read.schema(like.schema).parquet(path).select(*like.columns)
 
 
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back, its lineage cut there."""
+    path = shared_folder(df.sparkSession, label)
+    write_table(df, path)
+    return read_table(df.sparkSession, path, df)
+
+
 def materialize(m: Marketplace, root: str | None = None, parallel: bool = True) -> Marketplace:
     """Write every table of ``m`` as parquet and return the tables read back.
 
@@ -60,9 +67,7 @@ def materialize(m: Marketplace, root: str | None = None, parallel: bool = True)
     else:
         for name in names:
             write(name)
-    out = {name: read_table(spark, f"{root}/{name}", getattr(m, name)) for name in names}
-    m.release()  # the written tables replace the cached intermediates
-    return Marketplace(**out)
+    return Marketplace(**{name: read_table(spark, f"{root}/{name}", getattr(m, name)) for name in names})
 
 
 def write_results(results: dict[str, DataFrame], root: str) -> dict[str, str]:

@@ -12,7 +12,7 @@ from tests.builders import raw_marketplace
 def test_keep_first_uses_declared_order(spark):
     df = spark.createDataFrame([(1, "b", 2), (1, "a", 9), (2, None, 1), (2, "z", 0)], "k long, s string, v long")
     out = {r.k: (r.s, r.v) for r in keep_first(df, "k").collect()}
-    assert out == {1: ("a", 9), 2: (None, 1)}  # smallest by remaining columns, nulls first
+    assert out == {1: ("a", 9), 2: ("z", 0)}  # smallest by remaining columns, nulls last
     out = {r.k: (r.s, r.v) for r in keep_first(df, "k", ["v"]).collect()}
     assert out == {1: ("b", 2), 2: ("z", 0)}
 

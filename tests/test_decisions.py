@@ -13,7 +13,7 @@ from tests.builders import raw_marketplace
 
 
 def _m(spark, **kw):
-    return clean(raw_marketplace(spark, **kw), persist=False)
+    return clean(raw_marketplace(spark, **kw), stage=False)
 
 
 def test_population_always_narrowed_but_kpis_callable_unfiltered(spark):

@@ -16,7 +16,7 @@ T0 = dt.datetime(2024, 1, 1, 10, 0, 0)
 
 
 def _m(spark, **kw):
-    return clean(raw_marketplace(spark, **kw), persist=False)
+    return clean(raw_marketplace(spark, **kw), stage=False)
 
 
 def test_revenue_and_operations(spark):

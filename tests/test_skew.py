@@ -20,7 +20,7 @@ HOT = 1
 def skewed(spark):
     raw = load_raw(spark, SF_SMALL)
     orders = raw.orders.withColumn("user_id", F.when(F.col("order_id") % 3 == 0, F.lit(HOT)).otherwise(F.col("user_id")))
-    return clean(raw.with_(orders=orders), persist=False)
+    return clean(raw.with_(orders=orders), stage=False)
 
 
 @pytest.fixture(scope="module")

@@ -71,16 +71,26 @@ def test_refresh_job_writes_every_result(spark):
     assert {"kpi", "kpi_long", "cohort_matrix", "demo_breakdown_gender", "growth_trend"} <= set(paths)
     assert spark.read.parquet(paths["kpi_long"]).count() == 61
     assert spark.read.parquet(paths["kpi"]).count() == 1
+    shown = [r.new_users for r in spark.read.parquet(paths["channel_acq"]).collect()]
+    assert shown == sorted(shown, reverse=True)
 
 
-def test_materialize_releases_cached_intermediates(spark):
+def test_refresh_reads_stored_tables(spark):
+    from marketlens.jobs import arguments, raw_tables
+
+    raw, root = load_raw(spark, SF_SMALL), shared_folder(spark, "raw")
+    for name in ("users", "restaurants", "riders", "orders", "events", "nps"):
+        getattr(raw, name).write.parquet(f"{root}/{name}")
+    got = raw_tables(spark, arguments(["--tables", root, "--out", "unused"]))
+    assert got.orders.count() == raw.orders.count() and got.nps.columns == raw.nps.columns
+
+
+def test_cleaning_caches_nothing(spark):
     from marketlens.operators.clean import clean
 
     m = clean(load_raw(spark, SF_SMALL))
-    (staged,) = m.persisted
-    assert staged.is_cached
-    back = materialize(m, shared_folder(spark, "release"))
-    assert not staged.is_cached and back.persisted == ()
+    assert not any(df.is_cached for df in (m.orders, m.users, m.events, m.nps))
+    back = materialize(m, shared_folder(spark, "cleaned"))
     assert back.orders.count() == m.orders.count()
 
 
