@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions.dates import month_key, week_key, whole_minutes, whole_seconds
-from marketlens.functions.numeric import (count_if, mean_bool, money, money_sum, n_unique, pct, pct_or_zero, ratio,
+from marketlens.functions.numeric import (count_if, money, money_sum, n_unique, pct, pct_or_zero, ratio,
                                           to_double)
 from marketlens.functions.stats import normal_two_sided_p, student_t_two_sided_p
 from marketlens.model import AB_GROUPS, KpiConfig, Marketplace
@@ -52,37 +52,50 @@ def _dsum(c: Column) -> Column:
 
 # ---- parts -------------------------------------------------------------------------------------
 def part_orders(m: Marketplace) -> DataFrame:
+    """One hash aggregate of orders by day, whose rows (as many as days) are then summed up; the set of
+    days is collected from those rows, not from orders."""
     d = is_delivered()
 
     def when_d(c: Column) -> Column:
         return F.when(d, c)
 
-    aggs = [
-        F.count(F.lit(1)).alias("n_orders"), count_if(d).alias("n_delivered"), count_if(is_cancelled()).alias("n_cancelled"),
-        _dsum(when_d(money("order_value"))).alias("_gmv"), _dsum(when_d(commission())).alias("_commission"),
-        _dsum(when_d(money("delivery_fee"))).alias("_fees"),
-        F.sum(when_d(net_revenue())).alias("_margin"), F.count(when_d(net_revenue())).alias("_n_margin"),
-        F.count(when_d(F.col("order_value"))).alias("_n_value"),
-        F.avg(when_d(whole_minutes("order_placed_time", "delivered_time"))).alias("avg_delivery_time"),
-        mean_bool(when_d(F.col("delivered_time") <= F.col("promised_delivery_time"))).alias("_on_time"),
-        F.avg(when_d(whole_minutes("order_accepted_time", "ready_time"))).alias("avg_prep_time"),
-        mean_bool(when_d(F.col("wrong_item_flag"))).alias("_wrong"),
-        _dsum(when_d(money("delivery_cost_to_rider"))).alias("_rider"),
-        F.avg(when_d(F.col("rating"))).alias("overall_avg_rating"),
-        count_if(F.col("is_promo_used")).alias("_promo"), F.avg("items_count").alias("avg_basket_size"),
-        F.datediff(F.max("order_date"), F.min("order_date")).alias("_days"),
-        # distinct order dates: bounded by the calendar span, the denominators of DAU/WAU/MAU
-        F.collect_set("order_date").alias("_dates"),
-        F.coalesce(F.max(F.col("order_date").isNull().cast("int")), F.lit(0)).alias("_null_date"),
-    ]
+    def both(c: Column, name: str) -> dict[str, Column]:
+        """Sum and count, for a mean over all days."""
+        return {f"{name}_s": F.sum(c), f"{name}_n": F.count(c)}
+
+    daily = {
+        "n_orders": F.count(F.lit(1)), "n_delivered": count_if(d), "n_cancelled": count_if(is_cancelled()),
+        "_gmv": F.sum(when_d(money("order_value"))), "_commission": F.sum(when_d(commission())),
+        "_fees": F.sum(when_d(money("delivery_fee"))), "_margin": F.sum(when_d(net_revenue())),
+        "_n_margin": F.count(when_d(net_revenue())), "_n_value": F.count(when_d(F.col("order_value"))),
+        "_rider": F.sum(when_d(money("delivery_cost_to_rider"))), "_promo": count_if(F.col("is_promo_used")),
+    }
+    means = {
+        "avg_delivery_time": when_d(whole_minutes("order_placed_time", "delivered_time")),
+        "_on_time": when_d(F.col("delivered_time") <= F.col("promised_delivery_time")).cast("int"),
+        "avg_prep_time": when_d(whole_minutes("order_accepted_time", "ready_time")),
+        "_wrong": when_d(F.col("wrong_item_flag")).cast("int"), "overall_avg_rating": when_d(F.col("rating")),
+        "avg_basket_size": F.col("items_count"),
+    }
+    for name, c in means.items():
+        daily |= both(c, name)
     for prefix, group in zip(("c", "t"), AB_GROUPS):
         g = F.col("ab_test_group") == group
         dv = g & d
-        aggs += [count_if(g).alias(f"{prefix}_n"), count_if(dv).alias(f"{prefix}_x"),
-                 F.count(F.when(dv, F.col("order_value"))).alias(f"{prefix}_k"),
-                 _dsum(F.when(dv, money("order_value"))).alias(f"{prefix}_s1"),
-                 F.coalesce(F.sum(F.when(dv, money("order_value") * money("order_value"))), F.lit(0)).alias(f"{prefix}_s2")]
-    return m.orders.agg(*aggs)
+        daily |= {f"{prefix}_n": count_if(g), f"{prefix}_x": count_if(dv), f"{prefix}_k": F.count(F.when(dv, F.col("order_value"))),
+                  f"{prefix}_s1": F.sum(F.when(dv, money("order_value"))),
+                  f"{prefix}_s2": F.sum(F.when(dv, money("order_value") * money("order_value")))}
+    days = m.orders.groupBy("order_date").agg(*[c.alias(n) for n, c in daily.items()])
+    counts = {n for n in daily if n[0] == "n" or n in ("_n_margin", "_n_value", "_promo") or n[2:] in ("n", "x", "k")}
+    zeros = {"_gmv", "_commission", "_fees", "_rider", "c_s1", "t_s1", "c_s2", "t_s2"}  # an empty sum is 0
+    whole = {n: F.sum(n) for n in daily if not n.endswith(("_s", "_n")) or n in counts}
+    whole = {n: F.coalesce(c, F.lit(0)) if n in counts else F.coalesce(c, F.lit(0).cast("decimal(18,4)")) if n in zeros else c
+             for n, c in whole.items()}
+    whole |= {n: _d(F.sum(f"{n}_s").cast("double"), F.sum(f"{n}_n").cast("double")) for n in means}
+    return days.agg(
+        *[c.alias(n) for n, c in whole.items()], F.datediff(F.max("order_date"), F.min("order_date")).alias("_days"),
+        F.collect_set("order_date").alias("_dates"),  # the denominators of DAU / WAU / MAU
+        F.coalesce(F.max(F.col("order_date").isNull().cast("int")), F.lit(0)).alias("_null_date"))
 
 
 def part_users(m: Marketplace) -> DataFrame:
