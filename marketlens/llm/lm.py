@@ -73,7 +73,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(shape.astype(np.int32)), pa.array(n)], names=["h", "shape", "n"])
 
     for batch in batches:
-        for _, raws in chunked(batch.column(0).to_pylist()):
+        for _, raws in chunked(batch.column(0)):
             hashes, shape, _ = tokens(raws)
             held.append(hashes)
             shapes.append(shape)
@@ -178,13 +178,26 @@ def _train_shard(texts: list[str | None], vocabulary: Vocabulary, weights: np.nd
     return np.clip(weights, -LIMIT, LIMIT), seen
 
 
+def commonest(counts: DataFrame, most: int) -> DataFrame:
+    """The tokens of the highest counts, as many as fit in ``most`` without parting equal counts (or, from
+    4096 on, counts within a sixteenth of a power of two): a histogram of counts gives the least of them."""
+    level = F.when(F.col("c") < 4096, F.col("c")).otherwise(F.floor(F.log2("c") * 16) + 4096)
+    total, least = 0, None
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):
+        total += r["n"]
+        if total > most:
+            break
+        least = r["level"]
+    return counts.filter(level >= F.lit(least)) if least is not None else counts.limit(0)
+
+
 def train(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Vocabulary, np.ndarray]:
     """(all counts as (h, c), vocabulary, weight table) of the training documents."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counts = written(rows.select("text").mapInArrow(_counts, "h long, shape int, n long")
                      .groupBy("h").agg(F.sum("n").alias("c"), F.first("shape").alias("shape")), "counts")
     sizes = {r["shape"]: (r["n"], r["v"]) for r in counts.groupBy("shape").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
-    head = counts.orderBy(F.desc("c"), "h").limit(HEAD).toPandas()
+    head = commonest(counts, HEAD).toPandas()
     vocabulary = Vocabulary(head, sizes, sum(n for n, _ in sizes.values()), sum(v for _, v in sizes.values()))
 
     spark = docs.sparkSession
@@ -211,7 +224,7 @@ def train(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Vocab
 def _score(batches: Iterator[pa.RecordBatch], shipped) -> Iterator[pa.RecordBatch]:
     vocabulary, weights = shipped.value
     for batch in batches:
-        for first, raws in chunked(batch.column(3).to_pylist()):
+        for first, raws in chunked(batch.column(3)):
             hashes, shape, bounds = tokens(raws)
             rank, count = vocabulary.look_up(hashes)
             kind, rows = features(rank, shape, bounds)

@@ -299,6 +299,14 @@ def test_rare_tokens_are_counted_by_join(awkward, monkeypatch):
         assert r.n_known == known == r.n_tokens and r.base_score == pytest.approx(base, rel=1e-9)
 
 
+def test_commonest_tokens_by_histogram(spark):
+    counts = [(i, c) for i, c in enumerate([1] * 30 + [2] * 10 + [7, 7, 5000, 5001, 9000, 70_000])]
+    df = spark.createDataFrame(counts, "h long, c long")
+    for most, want in ((46, 46), (45, 16), (16, 16), (6, 6), (5, 4), (1, 1), (0, 0)):
+        got = [r.c for r in lm.commonest(df, most).collect()]
+        assert len(got) == want and sorted(got, reverse=True) == sorted((c for _, c in counts), reverse=True)[:want]
+
+
 def test_class_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     weights = rng.normal(size=(lm.TABLE, lm.CLASSES)).astype(np.float32)
