@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
 _MULT = 0x9E3779B97F4A7C15 | 1
@@ -49,10 +50,17 @@ def span(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[start]) * powers(_INVERSE, len(sums))[start] + (end - start).astype(np.uint64))
 
 
-def chunked(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+def _each(texts: list[str | None] | pa.Array) -> Iterator[str | None]:
+    """The texts, a few hundred of an Arrow column at a time as Python strings."""
+    for i in range(0, len(texts), 256):
+        part = texts[i : i + 256]
+        yield from part.to_pylist() if isinstance(part, pa.Array) else part
+
+
+def chunked(texts: list[str | None] | pa.Array) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first, UTF-8 texts) of runs of about CHUNK_BYTES; a null counts as empty."""
     first, size, held = 0, 0, []
-    for i, text in enumerate(texts):
+    for i, text in enumerate(_each(texts)):
         raw = text.encode() if text else b""
         if held and size + len(raw) > CHUNK_BYTES:
             yield first, held
