@@ -11,7 +11,8 @@ meet. Within a group no pairs are formed: each replacement group is compared wit
 each insertion group with the one line that the variant is. Matches are verified by edit distance.
 
 Two lines one edit apart also share their first or their second half, so a line whose halves are
-unique cannot match and sends no variants. That costs four hashes a line instead of one a character.
+unique cannot match and sends no variants; one that shares a half sends those of the other half.
+That costs four hashes a line instead of one a character.
 
 All of it is DataFrame functions. Lines travel as hashes; a common line meets as one count per task.
 
@@ -45,42 +46,43 @@ def _place(*names: str) -> Column:
     return F.struct(F.isnull("id").alias("no_id"), *names)
 
 
-def _halves() -> Column:
-    """Hashes of the prefixes and suffixes that a line one edit away must share one of."""
+def _halves(side: str) -> Column:
+    """Hashes of the prefixes (head) or suffixes (tail) of half the length, rounded either way."""
     n = F.length("line")
-    sizes = (F.floor(n / 2), F.floor((n + 1) / 2))
-    keys = [F.xxhash64(F.lit(side), F.expr("line").substr(F.lit(1), s.cast("int")) if side == "head"
-                       else F.expr("line").substr((n - s + 1).cast("int"), s.cast("int")), s.cast("int"))
-            for side in ("head", "tail") for s in sizes]
-    return F.array_distinct(F.array(*keys))
+    line = F.col("line")
+    sizes = [F.floor(n / 2).cast("int"), F.floor((n + 1) / 2).cast("int")]
+    parts = [line.substr(F.lit(1), s) if side == "head" else line.substr(n - s + 1, s) for s in sizes]
+    return F.array_distinct(F.array(*[F.xxhash64(F.lit(side), p, s) for p, s in zip(parts, sizes, strict=True)]))
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """(vh, place, ord): every deletion variant, and the line itself at place 0."""
-    places = F.sequence(F.lit(0), F.length("line"))
-    shape = F.transform(places, lambda i: F.struct(
-        F.when(i == 0, F.xxhash64("line")).otherwise(
-            F.xxhash64(F.concat(F.expr("line").substr(F.lit(1), i - 1), F.expr("line").substr(i + 1, F.length("line"))))).alias("vh"),
-        i.alias("place")))
-    return lines.select("ord", F.explode(shape).alias("v")).select("v.vh", "v.place", "ord")
+    """(vh, place, ord): the line itself at place 0, and its deletion variants at the places that the
+    shared halves leave for an edit: behind a shared head, before a shared tail."""
+    n = F.length("line")
+    behind = F.when(F.col("head"), F.sequence(F.floor(n / 2).cast("int") + 1, n)).otherwise(F.array().cast("array<int>"))
+    ahead = F.when(F.col("tail"), F.sequence(F.lit(1), F.floor(n / 2).cast("int") + 1)).otherwise(F.array().cast("array<int>"))
+    shape = F.transform(F.array_union(behind, ahead), lambda i: F.struct(
+        F.xxhash64(F.concat(F.expr("line").substr(F.lit(1), i - 1), F.expr("line").substr(i + 1, n))).alias("vh"), i.alias("place")))
+    itself = F.array(F.struct(F.xxhash64("line").alias("vh"), F.lit(0).alias("place")))
+    return lines.select("ord", F.explode(F.concat(itself, shape)).alias("v")).select("v.vh", "v.place", "ord")
 
 
 def _near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """lh of the distinct lines that an earlier line is one edit away from."""
-    long = distinct.filter(F.col("chars") >= MIN_CHARS)
-    halves = long.select("lh", F.explode("halves").alias("half"))
+    halves = distinct.filter(F.col("chars") >= MIN_CHARS).select("lh", "first", F.explode(F.concat(
+        F.transform("head", lambda x: F.struct(x.alias("half"), F.lit(True).alias("head"))),
+        F.transform("tail", lambda x: F.struct(x.alias("half"), F.lit(False).alias("head"))))).alias("h"))
+    halves = halves.select("lh", "first", "h.half", "h.head")
     shared = halves.groupBy("half").agg(F.min("lh").alias("a"), F.max("lh").alias("b")).filter("a < b").select("half")
-    able = halves.join(written(shared, "halves").hint("shuffle_hash"), "half", "left_semi").select("lh").distinct()
-    able = written(long.join(able, "lh", "left_semi").select("lh", "first"), "able")
+    able = (halves.join(written(shared, "halves").hint("shuffle_hash"), "half", "left_semi")
+            .groupBy("lh").agg(F.first("first").alias("first"), F.max("head").alias("head"), F.max(~F.col("head")).alias("tail")))
     same = (F.col("first.id").eqNullSafe(F.col("id"))) & (F.col("first.k") == F.col("k")) & (F.col("first.n") == F.col("n"))
-    texts = _lines(docs, id_col, text_col).join(able.hint("shuffle_hash"), "lh").filter(same)
-    texts = texts.dropDuplicates(["lh"]).select("lh", "first", "line")
+    texts = _lines(docs, id_col, text_col).join(able.hint("shuffle_hash"), "lh").filter(same).dropDuplicates(["lh"])
     # ordered once by place: the id that Spark numbers the ordered rows with is then their order
-    ordered = texts.repartitionByRange("first").sortWithinPartitions("first").select(
-        "lh", "line", F.monotonically_increasing_id().alias("ord"))
-    lines = written(ordered, "lines")
+    ordered = texts.select("lh", "first", "line", "head", "tail").repartitionByRange("first").sortWithinPartitions("first")
+    lines = written(ordered.select("lh", "line", "head", "tail", F.monotonically_increasing_id().alias("ord")), "lines")
 
-    variants = _variants(lines)
+    variants = written(_variants(lines), "variants")  # read twice; a row costs more to make than to store
     met = variants.groupBy("vh").agg(F.min("ord").alias("a"), F.max("ord").alias("b")).filter("a < b").select("vh")
     meeting = written(variants.join(written(met, "met").hint("shuffle_hash"), "vh", "left_semi"), "meeting")
     deleted, itself = meeting.filter("place > 0"), meeting.filter("place = 0")
@@ -89,7 +91,7 @@ def _near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str
     inserted = (deleted.join(itself.select("vh", F.col("ord").alias("other")), "vh")
                 .select(F.greatest("ord", "other").alias("ord"), F.least("ord", "other").alias("early")))
     pairs = replaced.unionByName(inserted).filter("early < ord").distinct()
-    return (pairs.join(lines, "ord")
+    return (pairs.join(lines.select("lh", "line", "ord"), "ord")
             .join(lines.select(F.col("ord").alias("early"), F.col("line").alias("early_line")), "early")
             .filter(F.levenshtein("line", "early_line", 1).between(0, 1)).select("lh").distinct())
 
@@ -98,17 +100,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with ``out`` (the kept lines joined by line feeds), n_lines and n_removed."""
     docs = docs.drop(out, "n_lines", "n_removed")
     occurrences = _lines(docs, id_col, text_col)
-    slim = occurrences.select("id", "k", "n", "lh", F.length("line").alias("chars"), _halves().alias("halves"))
-    distinct = written(
-        slim.groupBy("lh").agg(F.min(_place("id", "k", "n")).alias("first"), F.first("chars").alias("chars"), F.first("halves").alias("halves")),
-        "distinct")
-    near = written(_near_lines(docs, distinct, id_col, text_col), "near")
+    slim = occurrences.select("id", "k", "n", "lh", F.length("line").alias("chars"), _halves("head").alias("head"), _halves("tail").alias("tail"))
+    distinct = written(slim.groupBy("lh").agg(
+        F.min(_place("id", "k", "n")).alias("first"), *[F.first(c).alias(c) for c in ("chars", "head", "tail")]), "distinct")
+    near = _near_lines(docs, distinct, id_col, text_col)
     fate = written(distinct.select("lh", "first").join(near.withColumn("near", F.lit(True)), "lh", "left"), "fate")
     stays = (F.col("near").isNull() & F.col("first.k").eqNullSafe(F.col("k")) & (F.col("first.n") == F.col("n"))
              & F.col("first.id").eqNullSafe(F.col("id")))
     gone = (occurrences.select("id", "k", "n", "lh").join(fate.hint("shuffle_hash"), "lh").filter(~stays)
             .groupBy("k").agg(F.sort_array(F.collect_set("n")).alias("gone")))
-    gone = written(gone, "gone")
 
     lines = F.split(F.col(text_col), "\n")
     cols = [F.col(f"d.`{c}`") for c in docs.columns]
