@@ -10,11 +10,23 @@ SAMPLES = BANDS * ROWS consistent weighted samples (Ioffe's scheme: per shingle
 Gamma(2, 1), b uniform) agree with that similarity as probability; documents that agree on a whole
 band are candidates: at 0.8 with probability 0.995, at 0.9 with 0.99997.
 
-Documents of the same words are one class and are searched once. Candidates are verified in rounds
-that form no more pairs than the links need: first each class of a band bucket against the
-bucket's smallest, then against its largest, and last, within buckets that are still not one
-component, those of different components. A group of thousands of near copies is settled by the
-first round, and pairs within a component need no check, since the result is the components.
+Documents of the same words are one class and are searched once. Candidates are verified in rounds that
+form few more pairs than the links need, since pairs within a component need no check: first each
+class of a band bucket against the bucket's smallest; then, within buckets that are still not one
+component, classes of different components that fall in the same random part of about PART; last,
+those of different components that are left. From the second round on the classes of a bucket meet in
+cells (a part, or two blocks of at most BLOCK of a large bucket), where sketches are compared, then
+the shingles of pairs that could be near, as long as the pair's sides are not joined yet; a cell returns
+no more links than join its components, so that groups whose members are all a little less alike than
+the threshold leave no pairs behind. A pair could be near, and is asked for in the first band it shares, if
+
+- at least AGREEING of all SAMPLES agree (a byte each): missed at a similarity of 0.8 with
+  probability 0.002, at 0.85 with 0.00001;
+- at least LIKELY of the bins agree that either fills, of BINS smallest hashes of the shingles with
+  their occurrence numbers (whose similarity is that of the bare counts, 0.8 or a little less or
+  more where the weighted one is 0.8): missed at 0.8 with 0.002.
+
+At a similarity of 0.64 about one pair in fifteen passes both, and at 0.5 one in thousands.
 
 Defined cases: a null text, and one without words, is near nothing and kept; documents are named by
 their integer id, rows that share an id are one document; a null id is replaced by a number
@@ -24,6 +36,7 @@ past all ids, made from the text; an empty table gives an empty result; other co
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +51,7 @@ WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 4
 SAMPLES = BANDS * ROWS
 DF_BUCKETS, SEED = 1 << 16, 2
+AGREEING, BINS, LIKELY, PART, BLOCK = 26, 128, 0.7, 16, 512
 #: Bits of a shingle hash that remain beside the document's number in a chunk.
 _BITS = 48
 _DOC_LIMIT = 1 << (64 - _BITS)
@@ -69,7 +83,7 @@ def shingle_counts(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return both & np.uint64((1 << _BITS) - 1), counts, np.searchsorted(doc, np.arange(len(raws) + 1)), whole
 
 
-def _runs(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+def _runs(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
     for first, raws in chunked(texts):
         for i in range(0, len(raws), _DOC_LIMIT):
             yield first + i, raws[i : i + _DOC_LIMIT]
@@ -79,7 +93,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: documents by shingle bucket; bucket -1 counts the documents."""
     total, documents = np.zeros(DF_BUCKETS, np.int64), 0
     for batch in batches:
-        for _, raws in _runs(batch.column(0).to_pylist()):
+        for _, raws in _runs(batch.column(0)):
             shingles, _, bounds, _ = shingle_counts(raws)
             total += np.bincount((shingles % np.uint64(DF_BUCKETS)).astype(np.int64), minlength=DF_BUCKETS)
             documents += int((np.diff(bounds) > 0).sum())
@@ -123,34 +137,57 @@ def consistent_samples(shingles: np.ndarray, weights: np.ndarray, bounds: np.nda
     return out
 
 
+def binned_minima(shingles: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A byte for each of BINS bins of each document that holds shingles: of its smallest hash, 0 if empty."""
+    full = np.flatnonzero(np.diff(bounds))
+    owner = np.repeat(np.repeat(np.arange(len(full)), np.diff(bounds)[full]), counts)
+    turn = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    hashes = mix(np.repeat(shingles, counts) + turn.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    at = owner * BINS + (hashes % np.uint64(BINS)).astype(np.int64)
+    least = np.full(len(full) * BINS, np.iinfo(np.int64).max)
+    np.minimum.at(least, at, (hashes >> np.uint64(8)).astype(np.int64))
+    byte = (mix(least.astype(np.uint64)) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+    byte[least == np.iinfo(np.int64).max] = 0
+    return byte.reshape(len(full), BINS)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], shipped) -> Iterator[pa.RecordBatch]:
     weight_of = shipped.value
     for batch in batches:
-        for first, raws in _runs(batch.column(1).to_pylist()):
+        for first, raws in _runs(batch.column(1)):
             shingles, counts, bounds, whole = shingle_counts(raws)
             full = np.flatnonzero(np.diff(bounds))
             if not len(full):
                 continue
             weights = weight_of[(shingles % np.uint64(DF_BUCKETS)).astype(np.int64)] * counts
-            samples = consistent_samples(shingles, weights, bounds).reshape(len(full), BANDS, ROWS)
+            samples = consistent_samples(shingles, weights, bounds)
+            bytes_ = np.hstack([mix(samples).astype(np.uint8), binned_minima(shingles, counts, bounds)])
+            sketch = np.ascontiguousarray(bytes_).view(np.int64)
+            samples = samples.reshape(len(full), BANDS, ROWS)
             key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(full), 1))
             for i in range(ROWS):
                 key = mix(key ^ samples[:, :, i])
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * BANDS), pa.array(key.reshape(-1).view(np.int64)))
+            listed = [pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1)))
+                      for x in (key.view(np.int64), sketch)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(first + full)), pa.array(whole[full].view(np.int64)), listed], names=["node", "class", "bands"])
+                [batch.column(0).take(pa.array(first + full)), pa.array(whole[full].view(np.int64)), *listed],
+                names=["node", "class", "bands", "sketch"])
+
+
+def weighted_shingles(text: str, weight_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    shingles, counts, _, _ = shingle_counts([text.encode()])
+    return shingles, weight_of[(shingles % np.uint64(DF_BUCKETS)).astype(np.int64)].astype(np.float64) * counts
+
+
+def similarity(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two sets of distinct shingles with weights."""
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    shared = np.minimum(wx[i], wy[j]).sum()
+    return float(shared / (wx.sum() + wy.sum() - shared))
 
 
 def weighted_jaccard(a: str, b: str, weight_of: np.ndarray) -> float:
-    (x, y), total = ({}, {}), 0.0
-    for found, raw in ((x, a), (y, b)):
-        shingles, counts, _, _ = shingle_counts([raw.encode()])
-        weights = weight_of[(shingles % np.uint64(DF_BUCKETS)).astype(np.int64)].astype(np.float64) * counts
-        found["s"], found["w"] = shingles, weights
-        total += weights.sum()
-    _, i, j = np.intersect1d(x["s"], y["s"], assume_unique=True, return_indices=True)
-    shared = np.minimum(x["w"][i], y["w"][j]).sum()
-    return float(shared / (total - shared))
+    return similarity(*weighted_shingles(a, weight_of), *weighted_shingles(b, weight_of))
 
 
 def _verify(batches: Iterator[pa.RecordBatch], shipped, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -160,46 +197,123 @@ def _verify(batches: Iterator[pa.RecordBatch], shipped, threshold: float) -> Ite
         yield pa.RecordBatch.from_arrays([batch.column(i).take(keep) for i in range(2)], names=["a", "b"])
 
 
+def _cells(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """The rows of one cell at a time: rows come sorted by the first ``keys`` columns."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(c).to_numpy() for c in range(keys)])
+        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+        for first, end in zip(cuts[:-1], cuts[1:], strict=True):
+            piece = batch.slice(first, end - first)
+            if held and any(held[-1].column(c)[-1] != piece.column(c)[0] for c in range(keys)):
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            held.append(piece)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _settle(cell: pa.RecordBatch, weight_of: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links that join the components within a cell (columns lo, hi, band, block, at, rep, component,
+    bands, sketch, text); a pair is asked for in the first band it shares, if its sketches agree
+    well enough, and only while its two sides are not joined yet."""
+    block, rep, component = (cell.column(c).to_numpy() for c in (3, 5, 6))
+    at, m = int(cell.column(4)[0].as_py()), cell.num_rows
+    bands = cell.column(7).flatten().to_numpy().reshape(m, BANDS)
+    sketch = np.ascontiguousarray(cell.column(8).flatten().to_numpy()).view(np.uint8).reshape(m, SAMPLES + BINS)
+    samples, bins = sketch[:, :SAMPLES], sketch[:, SAMPLES:]
+    _, group = np.unique(component, return_inverse=True)
+    parent = list(range(m))
+
+    def root(g: int) -> int:
+        while parent[g] != g:
+            parent[g] = parent[parent[g]]
+            g = parent[g]
+        return g
+
+    @lru_cache(maxsize=2 * BLOCK)
+    def vector(i: int) -> tuple[np.ndarray, np.ndarray]:
+        return weighted_shingles(cell.column(9)[i].as_py(), weight_of)
+
+    between = block.min() != block.max()
+    found = []
+    for i in range(m - 1):
+        j = np.arange(i + 1, m)
+        j = j[group[j] != group[i]]
+        if between:
+            j = j[block[j] != block[i]]
+        j = j[~(bands[j, :at] == bands[i, :at]).any(axis=1)]
+        j = j[(samples[j] == samples[i]).sum(axis=1) >= AGREEING]
+        filled = ((bins[j] | bins[i]) > 0).sum(axis=1)
+        j = j[(bins[j] != bins[i]).sum(axis=1) <= (1 - LIKELY) * filled]
+        for k in j:
+            x, y = root(group[i]), root(group[k])
+            if x != y and similarity(*vector(i), *vector(int(k))) >= threshold:
+                parent[x] = y
+                found.append((int(rep[i]), int(rep[k])))
+    return found
+
+
+def _settled(batches: Iterator[pa.RecordBatch], shipped, threshold: float) -> Iterator[pa.RecordBatch]:
+    for cell in _cells(batches, 3):
+        if cell.num_rows > 1 and (found := _settle(cell, shipped.value, threshold)):
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``id_col``, component (the smallest id reachable by near pairs, the document itself included)
     and kept (whether it is that one), a row for each row of ``docs``."""
     node = F.coalesce(F.col(id_col).cast("long"), F.shiftrightunsigned(row_key(id_col, text_col), 2) + F.lit(1 << 62))
     rows = docs.select(F.col(id_col).alias("id"), node.alias("node"), F.col(text_col).alias("text"))
     shipped = docs.sparkSession.sparkContext.broadcast(shingle_weights(rows, "text"))
-    signed = written(rows.select("node", "text").mapInArrow(lambda b: _signatures(b, shipped), "node long, class long, bands array<long>"), "signed")
-    classes = written(signed.groupBy("class").agg(F.min("node").alias("rep"), F.max("node").alias("last"), F.first("bands").alias("bands")), "classes")
-    copies = signed.select("node", "class").join(classes.filter("rep < last").select("class", "rep"), "class").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-
-    members = classes.select("rep", F.explode("bands").alias("band"))
-    ends = members.groupBy("band").agg(F.min("rep").alias("small"), F.max("rep").alias("large")).filter("small < large")
+    signed = written(rows.select("node", "text").mapInArrow(
+        lambda b: _signatures(b, shipped), "node long, class long, bands array<long>, sketch array<long>"), "signed")
+    classes = written(signed.groupBy("class").agg(F.min("node").alias("rep"), F.max("node").alias("last"),
+                                                  F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    copies = (signed.select("node", "class").join(classes.filter("rep < last").select("class", "rep"), "class")
+              .select(F.col("node").alias("a"), F.col("rep").alias("b")))
+
+    members = classes.select("rep", F.posexplode("bands").alias("at", "band"))
+    ends = (members.groupBy("band").agg(F.min("rep").alias("small"), F.max("rep").alias("large"), F.count("*").alias("size"))
+            .filter("small < large").select("band", "small", F.ceil(F.col("size") / PART).alias("parts")))
     shared = written(members.join(written(ends, "ends").hint("shuffle_hash"), "band"), "shared")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        pairs = written(pairs, f"{name}-pairs")
-        asked = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
+        pairs = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{name}-pairs")
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         texts = written(rows.select("node", "text").join(asked, "node").dropDuplicates(["node"]), f"{name}-texts")
         both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
                 .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b"))
         return written(both.mapInArrow(lambda x: _verify(x, shipped, threshold), "a long, b long"), f"{name}-links")
 
-    def labelled(links: DataFrame) -> DataFrame:
-        names = connected(links)
-        return shared.join(names.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "band", "rep", "small", "large", F.coalesce("component", "rep").alias("component"))
+    def unsettled(rows: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """``rows`` of buckets that are not one component yet, with theirs and the smallest of the bucket."""
+        named = rows.join(connected(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        named = written(named, f"{name}-named")
+        apart = named.groupBy("band").agg(F.min("component").alias("main"), F.max("component").alias("other")).filter("main < other")
+        return written(named.join(apart.select("band", "main"), "band"), f"{name}-unsettled")
+
+    def settled(rows: DataFrame, name: str) -> DataFrame:
+        cells = rows.select("lo", "hi", "band", "block", "at", "rep", "component", "bands", "sketch", "text")
+        return written(cells.repartition("lo", "hi", "band").sortWithinPartitions("lo", "hi", "band")
+                       .mapInArrow(lambda x: _settled(x, shipped, threshold), "a long, b long"), f"{name}-links")
 
     links = verified(shared.select(F.col("rep").alias("a"), F.col("small").alias("b")), "first")
-    state = labelled(links)
-    apart = state.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("band")
-    state = written(state.join(apart, "band", "left_semi"), "apart")
-    links = links.union(verified(state.select(F.col("rep").alias("a"), F.col("large").alias("b")), "second"))
-    state = labelled(links).join(state.select("band").distinct(), "band", "left_semi")
-    state = written(state, "last")
-    other = state.select("band", F.col("rep").alias("b"), F.col("component").alias("component_b"))
-    done = (F.col("a") == F.col("small")) | (F.col("b") == F.col("small")) | (F.col("a") == F.col("large")) | (F.col("b") == F.col("large"))
-    rest = (state.withColumnRenamed("rep", "a").join(other, "band")
-            .filter((F.col("a") > F.col("b")) & (F.col("component") != F.col("component_b")) & ~done).select("a", "b"))
-    links = links.union(verified(rest, "third"))
+    state = unsettled(shared, links, "first")
+    if not state.isEmpty():
+        asked = state.select(F.col("rep").alias("node")).distinct()
+        texts = rows.select("node", "text").join(asked, "node").dropDuplicates(["node"]).withColumnRenamed("node", "rep")
+        open_classes = written(classes.select("rep", "bands", "sketch").dropDuplicates(["rep"]).join(texts, "rep"), "open")
+        part = F.pmod(F.xxhash64("rep", "band"), F.col("parts")).cast("int")
+        links = links.union(settled(state.withColumns({"lo": part, "hi": part, "block": F.lit(0)}).join(open_classes, "rep"), "second"))
+        state = unsettled(state.drop("component", "main"), links, "second")
+        sizes = state.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        placed = (state.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+                  .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                  .withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}))
+        links = links.union(settled(placed.join(open_classes, "rep"), "third"))
 
     whole = connected(links.union(copies))
     return (rows.select("id", "node").join(whole, "node", "left")

@@ -79,6 +79,24 @@ def test_a_chain_that_its_bucket_end_does_not_link(spark):
     assert (11, 0) not in links and got == components_of(range(12), links) == dict.fromkeys(range(12), 0)
 
 
+def test_many_documents_a_little_less_alike_than_the_threshold(spark):
+    """Copies of one text with an edit each at different places: no pair is near, and few leave the join;
+    with one pair of equal edits that must be found among them."""
+    base, docs = prose(88, 60), []
+    for i in range(40):
+        text = list(base)
+        text[3 + i % 50] = f"own{i}"
+        text[(30 + 7 * i) % 60] = f"more{i}"
+        docs.append((i, " ".join(text)))
+    docs.append((100, docs[17][1] + " end"))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    links = near_links(docs, minhash_dedup.shingle_weights(df, "text"))
+    assert links and (100, 17) in links
+    got = {r.doc_id: r.component for r in minhash_dedup.near_duplicates(df).collect()}
+    want = components_of([i for i, _ in docs], links)
+    assert got == want
+
+
 def test_near_duplicates_of_awkward_rows(awkward, nothing):
     got = minhash_dedup.near_duplicates(awkward).collect()
     assert len(got) == len(rows())
