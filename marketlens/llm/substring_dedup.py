@@ -6,7 +6,7 @@ takes both into the set. So two equal windows of ``window`` words always share a
 
 1. hash anchors at cover positions only; an anchor hash that occurs once cannot lie in a repeat;
 2. extend: in documents that hold repeated anchors, hash every whole window that contains one at
-   an offset the cover allows (128 bits), and count those;
+   an offset the cover allows (96 bits), and count those;
 3. remove the words that a repeated window covers.
 
 Every step counts by key with map-side combining and joins back, so a passage that fills a third of
@@ -45,7 +45,7 @@ def _words_before(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _anchors(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = batch.column(0).to_numpy(zero_copy_only=False)
-        for first, raws in chunked(batch.column(1).to_pylist()):
+        for first, raws in chunked(batch.column(1)):
             hashes, bounds = word_hashes(raws)
             doc, pos = _words_before(bounds)
             at = np.flatnonzero(_IN_COVER[pos % PERIOD] & (pos + width <= np.diff(bounds)[doc]))
@@ -58,7 +58,7 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
     """All windows around repeated anchors: starts s with a repeated anchor at s .. s + PERIOD - 1."""
     for batch in batches:
         keys, marks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
-        for first, raws in chunked(batch.column(1).to_pylist()):
+        for first, raws in chunked(batch.column(1)):
             hashes, bounds = word_hashes(raws)
             near = np.zeros(bounds[-1] + 1, np.int32)
             for i in range(len(raws)):
@@ -68,9 +68,9 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             doc, pos = _words_before(bounds)
             at = np.flatnonzero((np.cumsum(near)[:-1] > 0) & (pos + window <= np.diff(bounds)[doc]))
             h1 = span(prefix(hashes), at, at + window)
-            h2 = span(prefix(mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5))), at, at + window)
+            h2 = (span(prefix(mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5))), at, at + window) >> np.uint64(32)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(keys[first + doc[at]]),
+                [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int32)), pa.array(keys[first + doc[at]]),
                  pa.array(pos[at].astype(np.int32))], names=["h1", "h2", "k", "pos"])
 
 
@@ -116,7 +116,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = written(marked.groupBy("k").agg(F.collect_set("pos").alias("marks")), "marks")
     windows = written(
         keyed.join(marks, "k").select("k", "text", "marks")
-        .mapInArrow(lambda b: _windows(b, window), "h1 long, h2 long, k long, pos int"), "windows")
+        .mapInArrow(lambda b: _windows(b, window), "h1 long, h2 int, k long, pos int"), "windows")
     twice = written(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2"), "twice")
     starts = written(
         windows.join(twice.hint("shuffle_hash"), ["h1", "h2"], "left_semi")
