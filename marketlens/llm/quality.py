@@ -8,8 +8,8 @@ labelled documents that neither was trained on, combined there by one more logis
 their two logits, and every document is scored.
 
 Bounds: the classifiers are fitted on at most LABELLED labelled documents and a POOL of unlabelled
-ones, those with the smallest seeded hashes, WORDS_MAX words of each entering as features; FEATURES + 2 *
-META_SIZE weights go to all tasks. Scores use whole texts of all documents.
+ones, those with the smallest seeded hashes, with their whole texts; FEATURES + 2 * META_SIZE weights go
+to all tasks. Scores use whole texts of all documents.
 
 Defined cases: a null text counts as empty and is scored by the page view's features; null source or
 language are values of their own; null or conflicting labels are left out; with labels of only one
@@ -33,8 +33,8 @@ from marketlens.llm.words import chunked, mix, word_hashes
 FEATURES, SOURCES = 1 << 15, 64
 KINDS = ("upper", "lower", "digit", "space", "other", "beyond")
 META_SIZE = 2 * SOURCES + 6 + 2 * len(KINDS)
-LABELLED, POOL, ROUNDS, GAIN, CALIBRATION = 4_000, 4_000, 5, 0.03, 4
-WORDS_MAX, STEPS, DECAY = 2_000, 300, 1e-4
+LABELLED, POOL, ROUNDS, GAIN, CALIBRATION = 2_500, 2_500, 5, 0.03, 4
+STEPS, DECAY = 300, 1e-4
 
 _KIND = np.full(256, KINDS.index("other"))
 _KIND[65:91], _KIND[97:123], _KIND[48:58] = 0, 1, 2
@@ -88,7 +88,7 @@ def _descend(gradient, size: int) -> np.ndarray:
 
 
 def fit_text(rows: np.ndarray, bounds: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    owner, share = np.repeat(np.arange(len(y)), np.diff(bounds)), 1 / np.diff(bounds)
+    owner, share = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(bounds)), 1 / np.diff(bounds)
 
     def gradient(w: np.ndarray) -> np.ndarray:
         error = (_sigmoid(np.add.reduceat(w[rows], bounds[:-1]) * share) - y) * weight
@@ -134,7 +134,7 @@ def co_train(pdf: pd.DataFrame) -> TwoViews:
         return TwoViews(float(label[known].mean()) if known.any() else 0.5)
     model = TwoViews(float(label[known].mean()))
     bounds = np.cumsum([0, *map(len, pdf["rows"])])
-    rows, page = np.concatenate(pdf["rows"].tolist()).astype(np.int64), np.stack(pdf["page"].tolist())
+    rows, page = np.concatenate(pdf["rows"].tolist()), np.stack(pdf["page"].tolist())
     model.center, model.scale = page.mean(axis=0), page.std(axis=0) + 1e-3
     model.center[2 * SOURCES] = 0  # the constant stays one
     model.scale[2 * SOURCES] = 1
@@ -172,7 +172,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, sources, langs = (batch.column(i).to_pylist() for i in range(3))
         for first, raws in chunked(texts):
             end = first + len(raws)
-            rows, bounds = word_rows([b" ".join(r.split(None, WORDS_MAX)[:WORDS_MAX]) for r in raws])
+            rows, bounds = word_rows(raws)
             page = page_rows(raws, sources[first:end], langs[first:end])
             yield pa.RecordBatch.from_arrays(
                 [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(rows)),
