@@ -6,8 +6,8 @@ P(token | history) = P(class | history) * P(token | class).
   seen or not, belongs to one of SHAPES classes by its last two bytes.
 - P(class | history) is a softmax over hashed features: the last token, the skips to the second and
   third last, and the last two together. Rare context tokens count as their shape. Weights are trained by
-  distributed gradient updates: each shard of a bounded training sample takes Adagrad steps from
-  the common weights, and the weights' changes are averaged, ROUNDS times.
+  distributed gradient updates over all training documents: each shard of them takes Adagrad steps from
+  the common weights, and the changes of a weight row are averaged over the shards that met it, ROUNDS times.
 - P(token | class) = (c + 1) / (N_class + V_class + 1), with one unseen token a class: what the base
   model does with the whole vocabulary, so both treat unseen tokens alike, and each sums to 1.
 
@@ -15,8 +15,10 @@ Counts cover every training token. Counts of the HEAD commonest tokens go to all
 the occurrences of the others are joined with their counts. Scores are computed a block of tokens at
 a time over whole texts.
 
-Bounds: HEAD (hash, count) pairs, TABLE x CLASSES weights, SAMPLE_DOCS training documents for the
-weights, SHARDS weight tables a round. Nothing else is sent to the driver or to all tasks.
+Bounds: HEAD (hash, count) pairs and the weights, ``table_rows`` x CLASSES, whose rows grow with the square
+root of the training tokens (TABLE at least). Nothing else is sent to the driver or to all tasks. A shard
+streams its documents and sends its changed rows once a round; there is one for about SHARE tokens a weight
+row (a partition of the input at least), and the changes are added up by blocks of weight rows.
 
 Defined cases: a null text counts as empty; every text ends with one end token, so an empty one has
 one token; a null id belongs to the training part; rows that repeat are scored alike; without
@@ -33,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.store import bounded_sample, row_key, written
+from marketlens.llm.store import row_key, written
 from marketlens.llm.words import chunked, mix, word_hashes
 
 SINGLES, SHAPES = 128, 128
 CLASSES = SINGLES + SHAPES
 HEAD, CONTEXT = 1 << 18, 4096
 TABLE, FEATURES = 1 << 13, 4
-SAMPLE_DOCS, SHARDS, ROUNDS, EPOCHS = 1200, 4, 2, 1
+SHARE, ROUNDS, EPOCHS, ROW_BLOCK, FEW = 256, 2, 1, 256, 4
 BATCH, BLOCK, RATE, FIRST, LIMIT = 512, 1024, 0.2, 0.1, 12.0
 COUNT_FLUSH = 4_000_000
 
@@ -114,8 +116,13 @@ class Vocabulary:
         return np.where(known, self.ranks[at], HEAD), np.where(known, self.counts[at], 0)
 
 
-def features(rank: np.ndarray, shape: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each token, its FEATURES rows of the weight table)."""
+def table_rows(tokens: int) -> int:
+    """Rows of the weight table for so many training tokens: the power of two from their square root up."""
+    return max(TABLE, 1 << int(np.ceil(np.log2(max(tokens, 1)) / 2)))
+
+
+def features(rank: np.ndarray, shape: np.ndarray, bounds: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each token, its FEATURES rows of a weight table of ``table`` rows)."""
     kind = np.where(rank < SINGLES, rank, SINGLES + shape.astype(np.int64))
     symbol = np.where(rank < CONTEXT, rank, CONTEXT + shape.astype(np.int64)).astype(np.uint64)
     place = np.arange(len(rank)) - np.repeat(bounds[:-1], np.diff(bounds))
@@ -126,7 +133,7 @@ def features(rank: np.ndarray, shape: np.ndarray, bounds: np.ndarray) -> tuple[n
         past[place < distance] = 0xFFFF
         back.append(past)
     keys = [back[0], back[1], back[2], back[0] << np.uint64(20) | back[1]]
-    rows = [(mix(k << np.uint64(2) | np.uint64(i)) & np.uint64(TABLE - 1)).astype(np.int32) for i, k in enumerate(keys)]
+    rows = [(mix(k << np.uint64(2) | np.uint64(i)) & np.uint64(table - 1)).astype(np.int32) for i, k in enumerate(keys)]
     return kind, np.stack(rows)
 
 
@@ -148,34 +155,75 @@ def class_logs(kind: np.ndarray, rows: np.ndarray, weights: np.ndarray, prior: n
     return out
 
 
-def _train_shard(texts: list[str | None], vocabulary: Vocabulary, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """EPOCHS of Adagrad steps over a shard; (changed weights, rows that were touched)."""
-    weights, seen = weights.copy(), np.zeros(TABLE, bool)
-    gathered = np.full(TABLE, FIRST, np.float32)
-    pieces = []
-    for _, raws in chunked(texts):
-        hashes, shape, bounds = tokens(raws)
-        pieces.append(features(vocabulary.look_up(hashes)[0], shape, bounds))
-    if not pieces:
-        return weights, seen
-    kind, rows = np.concatenate([p[0] for p in pieces]), np.concatenate([p[1] for p in pieces], axis=1)
-    rng = np.random.default_rng(len(kind))
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(kind))
-        for a in range(0, len(order), BATCH):
-            at = order[a : a + BATCH]
-            logits = weights[rows[:, at]].sum(axis=0) + vocabulary.ln_class
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(at)), kind[at]] -= 1
-            flat = rows[:, at].reshape(-1)
-            by_row = np.argsort(flat, kind="stable")
-            used, starts = np.unique(flat[by_row], return_index=True)
-            gradient = np.add.reduceat(p[by_row % len(at)], starts, axis=0)
-            gathered[used] += (gradient * gradient).mean(axis=1)
-            weights[used] -= RATE / np.sqrt(gathered[used])[:, None] * gradient
-            seen[used] = True
-    return np.clip(weights, -LIMIT, LIMIT), seen
+def _train_shard(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """EPOCHS of Adagrad steps over each run of a shard's texts; the changes of the rows that were met."""
+    weights, seen = common.copy(), np.zeros(len(common), bool)
+    gathered = np.full(len(common), FIRST, np.float32)
+    for batch in batches:
+        for _, raws in chunked(batch.column(0)):
+            hashes, shape, bounds = tokens(raws)
+            kind, rows = features(vocabulary.look_up(hashes)[0], shape, bounds, len(common))
+            rng = np.random.default_rng(len(kind))
+            for _ in range(EPOCHS):
+                order = rng.permutation(len(kind))
+                for a in range(0, len(order), BATCH):
+                    at = order[a : a + BATCH]
+                    _step(kind[at], rows[:, at], weights, gathered, vocabulary.ln_class)
+            seen[rows.reshape(-1)] = True
+    np.clip(weights, -LIMIT, LIMIT, out=weights)
+    met = np.flatnonzero(seen)
+    for part in np.split(met, np.flatnonzero(np.diff(met // ROW_BLOCK)) + 1) if len(met) else []:
+        change = (weights[part] - common[part]).astype(np.float16)
+        yield pa.RecordBatch.from_arrays([pa.array([int(part[0]) // ROW_BLOCK], pa.int32()), pa.array([part.astype(np.int32).tobytes()]), pa.array([change.tobytes()])],
+                                         names=["block", "rows", "change"])
+
+
+def _step(kind: np.ndarray, rows: np.ndarray, weights: np.ndarray, gathered: np.ndarray, prior: np.ndarray) -> None:
+    """An Adagrad step over a batch of tokens, on ``weights`` and ``gathered`` themselves."""
+    n = len(kind)
+    p, part = np.empty((2, n, CLASSES), np.float32)
+    np.take(weights, rows[0], axis=0, out=p, mode="clip")
+    for i in range(1, FEATURES):
+        p += np.take(weights, rows[i], axis=0, out=part, mode="clip")
+    p += prior
+    p -= p.max(axis=1, keepdims=True)
+    np.exp(p, out=p)
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(n), kind] -= 1
+    flat = rows.reshape(-1)
+    by_row = np.argsort(flat, kind="stable")
+    used, starts, times = np.unique(flat[by_row], return_index=True, return_counts=True)
+    token = by_row % n
+    # a row's gradient is the sum of p over its tokens: one by one for most rows, as a product for frequent ones
+    gradient = p[token[starts]]
+    for turn in range(1, FEW):
+        more = np.flatnonzero((times > turn) & (times <= FEW))
+        gradient[more] += p[token[starts[more] + turn]]
+    often = np.flatnonzero(times > FEW)
+    place = np.repeat(np.arange(len(often)), times[often]) * n + token[np.repeat(times > FEW, times)]
+    gradient[often] = np.bincount(place, minlength=len(often) * n).reshape(-1, n).astype(np.float32) @ p
+    gathered[used] += np.einsum("ij,ij->i", gradient, gradient) / CLASSES
+    gradient *= (RATE / np.sqrt(gathered[used]))[:, None]
+    weights[used] -= gradient
+
+
+def _mean_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean change of each weight row over the shards that met it. Sums of half-precision numbers are
+    exact in double precision, so their order does not matter."""
+    change: dict[int, np.ndarray] = {}
+    times: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, rows, part in zip(*(batch.column(c) for c in range(3)), strict=True):
+            block, at = block.as_py(), np.frombuffer(rows.as_py(), np.int32) % ROW_BLOCK
+            if block not in change:
+                change[block], times[block] = np.zeros((ROW_BLOCK, CLASSES)), np.zeros(ROW_BLOCK, np.int64)
+            change[block][at] += np.frombuffer(part.as_py(), np.float16).reshape(-1, CLASSES)
+            times[block][at] += 1
+    for block, n in times.items():
+        at = np.flatnonzero(n)
+        mean = (change[block][at] / n[at][:, None]).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([(block * ROW_BLOCK + at).astype(np.int32).tobytes()]), pa.array([mean.tobytes()])],
+                                         names=["block", "rows", "change"])
 
 
 def commonest(counts: DataFrame, most: int) -> DataFrame:
@@ -200,24 +248,21 @@ def train(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Vocab
     head = commonest(counts, HEAD).toPandas()
     vocabulary = Vocabulary(head, sizes, sum(n for n, _ in sizes.values()), sum(v for _, v in sizes.values()))
 
-    spark = docs.sparkSession
-    order = F.xxhash64("id", "text", F.lit(10))
-    sample = written(bounded_sample(rows, SAMPLE_DOCS, order).select("text", F.pmod(order, F.lit(SHARDS)).alias("shard")), "sample")
-    weights = np.zeros((TABLE, CLASSES), np.float32)
+    context = docs.sparkSession.sparkContext
+    known = context.broadcast(vocabulary)
+    weights = np.zeros((table_rows(vocabulary.total), CLASSES), np.float32)
+    shards = rows.select("text").coalesce(vocabulary.total // (SHARE * len(weights)) + 1)
+    blocks = len(weights) // ROW_BLOCK
     for _ in range(ROUNDS):
-        shipped = spark.sparkContext.broadcast((vocabulary, weights))
-
-        def shard(pdf: pd.DataFrame) -> pd.DataFrame:
-            new, seen = _train_shard(pdf["text"].tolist(), *shipped.value)
-            change = (new - shipped.value[1])[seen]
-            return pd.DataFrame({"rows": [np.flatnonzero(seen).astype(np.int32).tobytes()], "change": [change.astype(np.float16).tobytes()]})
-
-        change, times = np.zeros_like(weights), np.zeros(TABLE, np.float32)
-        for r in sample.groupBy("shard").applyInPandas(shard, "rows binary, change binary").collect():
+        common = context.broadcast(weights)
+        changes = shards.mapInArrow(lambda b, common=common: _train_shard(b, known.value, common.value), "block int, rows binary, change binary")
+        means = written(changes.repartition(blocks, "block").mapInArrow(_mean_changes, "block int, rows binary, change binary"), "changes")
+        weights = weights.copy()
+        for r in means.toLocalIterator():
             at = np.frombuffer(bytes(r["rows"]), np.int32)
-            change[at] += np.frombuffer(bytes(r["change"]), np.float16).reshape(-1, CLASSES)
-            times[at] += 1
-        weights = np.clip(weights + change / np.maximum(times, 1)[:, None], -LIMIT, LIMIT)
+            weights[at] += np.frombuffer(bytes(r["change"]), np.float32).reshape(-1, CLASSES)
+        np.clip(weights, -LIMIT, LIMIT, out=weights)
+        common.unpersist()
     return counts.select("h", "c"), vocabulary, weights
 
 
@@ -227,7 +272,7 @@ def _score(batches: Iterator[pa.RecordBatch], shipped) -> Iterator[pa.RecordBatc
         for first, raws in chunked(batch.column(3)):
             hashes, shape, bounds = tokens(raws)
             rank, count = vocabulary.look_up(hashes)
-            kind, rows = features(rank, shape, bounds)
+            kind, rows = features(rank, shape, bounds, len(weights))
             logs = class_logs(kind, rows, weights, vocabulary.ln_class) / np.log(10) - vocabulary.log_room[kind]
             out = rank == HEAD
             tail_bounds = np.concatenate([[0], np.cumsum(out)])[bounds].astype(np.int32)

@@ -326,3 +326,37 @@ def test_model_beats_counts_on_held_out_documents(spark):
 def test_scores_of_nothing(nothing):
     from pyspark.sql import functions as F
     assert lm.score(nothing, F.lit(False)).count() == 0
+
+
+def test_every_training_document_moves_the_weights(spark):
+    """1,500 documents, each with a word of its own: the weights after each of them must have been trained."""
+    own = [f"own{i}x" for i in range(1500)]
+    docs = spark.createDataFrame([(i, f"{w} then {w} there {w}") for i, w in enumerate(own)], "doc_id long, text string").repartition(3)
+    _, vocabulary, weights = lm.train(docs, "doc_id", "text")
+    hashes, shape, bounds = lm.tokens([f"{w} {w} {w} {w}".encode() for w in own])
+    rank, count = vocabulary.look_up(hashes)
+    _, met = lm.features(rank, shape, bounds, len(weights))
+    assert (count[bounds[:-1]] == 3).all() and (rank[bounds[:-1]] < lm.CONTEXT).all()
+    assert weights[met[0, bounds[:-1] + 1]].any(axis=1).all()
+
+
+def test_weight_table_grows_with_the_corpus():
+    sizes = [lm.table_rows(n) for n in (0, 1, 10**6, 10**9, 10**10)]
+    assert sizes[:3] == [lm.TABLE] * 3 and lm.TABLE < sizes[3] < sizes[4] and all(n & (n - 1) == 0 for n in sizes)
+
+
+def test_a_step_is_the_gradient_of_each_row():
+    rng = np.random.default_rng(2)
+    kind, rows_ = rng.integers(0, lm.CLASSES, 300), rng.integers(0, 40, (lm.FEATURES, 300)).astype(np.int32)
+    rows_[0, :200] = 7
+    weights, prior = rng.normal(size=(64, lm.CLASSES)).astype(np.float32), np.zeros(lm.CLASSES, np.float32)
+    p = np.exp(weights[rows_].sum(axis=0).astype(float))
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(300), kind] -= 1
+    want = np.zeros((64, lm.CLASSES))
+    for r in rows_:
+        np.add.at(want, r, p)
+    gathered = lm.FIRST + (want**2).mean(axis=1)
+    moved, sums = weights.copy(), np.full(64, lm.FIRST, np.float32)
+    lm._step(kind, rows_, moved, sums, prior)
+    assert np.allclose(weights - moved, lm.RATE / np.sqrt(gathered)[:, None] * want, atol=1e-4) and np.allclose(sums, gathered, rtol=1e-3)
