@@ -2,8 +2,8 @@
 
 A document is the weighted set of its shingles (WIDTH words; all of them for a shorter document). A
 shingle's weight is its count times 1 + idf, with idf = ln((N + 1) / (df + 1)) / ln(N + 1) from the
-whole corpus. df is counted per hash bucket (DF_BUCKETS of them), so the table that tasks receive
-has a fixed size whatever the vocabulary. Two documents are near if the weighted Jaccard similarity
+whole corpus. df is counted for each shingle; the HEAD commonest go to all tasks (a fixed size), the others
+that more than one row holds are joined and travel with their rows. Two documents are near if the weighted Jaccard similarity
 sum(min) / sum(max) of their sets is at least ``threshold``.
 
 SAMPLES = BANDS * ROWS consistent weighted samples (Ioffe's scheme: per shingle and sample r and c from
@@ -44,13 +44,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm.components import connected
+from marketlens.llm.lm import commonest
 from marketlens.llm.store import row_key, written
 from marketlens.llm.words import chunked, mix, prefix, span, word_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 4
 SAMPLES = BANDS * ROWS
-DF_BUCKETS, SEED = 1 << 16, 2
+HEAD, COUNT_FLUSH, SEED = 1 << 18, 4_000_000, 2
 AGREEING, BINS, LIKELY, PART, BLOCK = 26, 128, 0.7, 16, 512
 #: Bits of a shingle hash that remain beside the document's number in a chunk.
 _BITS = 48
@@ -90,30 +91,94 @@ def _runs(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: documents by shingle bucket; bucket -1 counts the documents."""
-    total, documents = np.zeros(DF_BUCKETS, np.int64), 0
+    """Partial counts of a task's documents by shingle, combined before they are sent; shingle -1 counts them all."""
+    held: list[np.ndarray] = []
+    size, documents = 0, 0
+
+    def flush() -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["h", "n"])
+
     for batch in batches:
         for _, raws in _runs(batch.column(0)):
             shingles, _, bounds, _ = shingle_counts(raws)
-            total += np.bincount((shingles % np.uint64(DF_BUCKETS)).astype(np.int64), minlength=DF_BUCKETS)
+            held.append(shingles)
+            size += len(shingles)
             documents += int((np.diff(bounds) > 0).sum())
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], documents))], names=["bucket", "n"])
+            if size >= COUNT_FLUSH:
+                yield flush()
+                held, size = [], 0
+    if held:
+        yield flush()
+    yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([documents])], names=["h", "n"])
+
+
+class Weights:
+    """1 + idf of shingles, from the commonest ones' frequencies and those that come with a row. A shingle in
+    neither is in one row only."""
+
+    def __init__(self, documents: int, hashes: np.ndarray, counts: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        self.documents, self.hashes, self.counts = documents, hashes[order], counts[order]
+
+    def common(self, shingles: np.ndarray) -> np.ndarray:
+        """Whether each shingle is one of the commonest."""
+        return _found(shingles, self.hashes)[0]
+
+    def __call__(self, shingles: np.ndarray, own: np.ndarray, own_counts: np.ndarray) -> np.ndarray:
+        df = np.ones(len(shingles))
+        for hashes, counts in ((self.hashes, self.counts), (own, own_counts)):
+            known, at = _found(shingles, hashes)
+            df[known] = counts[at[known]]
+        return (1 + np.log((self.documents + 1) / (df + 1)) / np.log(self.documents + 1)).astype(np.float32)
+
+
+NO_SHINGLES = np.zeros(0, np.uint64)
+
+
+def _found(shingles: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each shingle is in the ascending ``among``, its place there)."""
+    if not len(among):
+        return np.zeros(len(shingles), bool), np.zeros(len(shingles), np.int64)
+    at = np.minimum(np.searchsorted(among, shingles), len(among) - 1)
+    return among[at] == shingles, at
 
 
-def shingle_weights(docs: DataFrame, text_col: str) -> np.ndarray:
-    """1 + idf of each shingle bucket, from all documents; DF_BUCKETS numbers reach the driver."""
-    counts = docs.select(text_col).mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    df, documents = np.zeros(DF_BUCKETS), 0
-    for r in counts:
-        if r["bucket"] < 0:
-            documents = r["n"]
-        else:
-            df[r["bucket"]] = r["n"]
-    if not documents:
-        return np.ones(DF_BUCKETS, np.float32)
-    idf = np.log((documents + 1) / (np.minimum(df, documents) + 1)) / np.log(documents + 1)
-    return (1 + idf).astype(np.float32)
+def frequencies(docs: DataFrame, text_col: str) -> tuple[DataFrame, Weights]:
+    """(h, c) of every shingle in more than one document but the commonest, and the weights from those."""
+    partial = docs.select(text_col).mapInArrow(_frequencies, "h long, n long")
+    counts = written(partial.groupBy("h").agg(F.sum("n").alias("c")).filter("c > 1 OR h < 0"), "frequencies")
+    documents = counts.filter("h < 0").agg(F.max("c")).first()[0] or 0
+    repeated = counts.filter("h >= 0")
+    head = commonest(repeated, HEAD).toPandas()
+    least = int(head["c"].min()) if len(head) else None
+    rest = repeated.filter(F.col("c") < F.lit(least)) if least is not None else repeated
+    return rest, Weights(documents, head["h"].to_numpy(np.int64).view(np.uint64), head["c"].to_numpy(np.int64))
+
+
+def shingle_weights(docs: DataFrame, text_col: str) -> Weights:
+    """1 + idf of the HEAD commonest shingles of all documents; the others count as in one."""
+    return frequencies(docs, text_col)[1]
+
+
+def _rare_shingles(batches: Iterator[pa.RecordBatch], shipped) -> Iterator[pa.RecordBatch]:
+    """(k, h) of each row's shingles that are not among the commonest."""
+    for batch in batches:
+        for first, raws in _runs(batch.column(1)):
+            shingles, _, bounds, _ = shingle_counts(raws)
+            at = np.flatnonzero(~shipped.value.common(shingles))
+            row = first + np.searchsorted(bounds, at, side="right") - 1
+            for i in range(0, len(at), 1 << 16):
+                part = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[part])), pa.array(shingles[at[part]].view(np.int64))], names=["k", "h"])
+
+
+def with_frequencies(rows: DataFrame, rest: DataFrame, shipped) -> DataFrame:
+    """``rows`` (k, text, ..) with ``own`` (ascending) and ``own_counts``: the document frequencies of its shingles in ``rest``."""
+    held = (rows.select("k", "text").mapInArrow(lambda b: _rare_shingles(b, shipped), "k long, h long")
+            .join(rest.hint("shuffle_hash"), "h").groupBy("k").agg(F.sort_array(F.collect_set(F.struct("h", "c"))).alias("own")))
+    held = held.select("k", F.col("own.h").alias("own"), F.col("own.c").alias("own_counts"))
+    return rows.join(held, "k", "left")
 
 
 def consistent_samples(shingles: np.ndarray, weights: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -152,14 +217,14 @@ def binned_minima(shingles: np.ndarray, counts: np.ndarray, bounds: np.ndarray)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], shipped) -> Iterator[pa.RecordBatch]:
-    weight_of = shipped.value
     for batch in batches:
         for first, raws in _runs(batch.column(1)):
             shingles, counts, bounds, whole = shingle_counts(raws)
             full = np.flatnonzero(np.diff(bounds))
             if not len(full):
                 continue
-            weights = weight_of[(shingles % np.uint64(DF_BUCKETS)).astype(np.int64)] * counts
+            weights = np.concatenate([shipped.value(shingles[a:b], *own_frequencies(batch, 2, first + i))
+                                      for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]) * counts
             samples = consistent_samples(shingles, weights, bounds)
             bytes_ = np.hstack([mix(samples).astype(np.uint8), binned_minima(shingles, counts, bounds)])
             sketch = np.ascontiguousarray(bytes_).view(np.int64)
@@ -174,9 +239,15 @@ def _signatures(batches: Iterator[pa.RecordBatch], shipped) -> Iterator[pa.Recor
                 names=["node", "class", "bands", "sketch"])
 
 
-def weighted_shingles(text: str, weight_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def own_frequencies(batch: pa.RecordBatch, column: int, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of ``own`` (at ``column``) of row i, and their ``own_counts`` from the column after it."""
+    own, counts = batch.column(column)[i].values, batch.column(column + 1)[i].values
+    return (own.to_numpy().view(np.uint64), counts.to_numpy()) if own is not None else (NO_SHINGLES, NO_SHINGLES)
+
+
+def weighted_shingles(text: str, weights: Weights, own: np.ndarray = NO_SHINGLES, own_counts: np.ndarray = NO_SHINGLES) -> tuple[np.ndarray, np.ndarray]:
     shingles, counts, _, _ = shingle_counts([text.encode()])
-    return shingles, weight_of[(shingles % np.uint64(DF_BUCKETS)).astype(np.int64)].astype(np.float64) * counts
+    return shingles, weights(shingles, own, own_counts).astype(np.float64) * counts
 
 
 def similarity(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) -> float:
@@ -186,13 +257,14 @@ def similarity(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) ->
     return float(shared / (wx.sum() + wy.sum() - shared))
 
 
-def weighted_jaccard(a: str, b: str, weight_of: np.ndarray) -> float:
-    return similarity(*weighted_shingles(a, weight_of), *weighted_shingles(b, weight_of))
+def weighted_jaccard(a: str, b: str, weights: Weights) -> float:
+    return similarity(*weighted_shingles(a, weights), *weighted_shingles(b, weights))
 
 
 def _verify(batches: Iterator[pa.RecordBatch], shipped, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        alike = np.array([weighted_jaccard(a, b, shipped.value) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)])
+        sides = [[weighted_shingles(batch.column(c)[i].as_py(), shipped.value, *own_frequencies(batch, c + 1, i)) for c in (2, 5)] for i in range(batch.num_rows)]
+        alike = np.array([similarity(*x, *y) for x, y in sides])
         keep = pa.array(np.flatnonzero(alike >= threshold))
         yield pa.RecordBatch.from_arrays([batch.column(i).take(keep) for i in range(2)], names=["a", "b"])
 
@@ -215,9 +287,9 @@ def _cells(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBa
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _settle(cell: pa.RecordBatch, weight_of: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+def _settle(cell: pa.RecordBatch, weights: Weights, threshold: float) -> list[tuple[int, int]]:
     """Links that join the components within a cell (columns lo, hi, band, block, at, rep, component,
-    bands, sketch, text); a pair is asked for in the first band it shares, if its sketches agree
+    bands, sketch, text, own, own_counts); a pair is asked for in the first band it shares, if its sketches agree
     well enough, and only while its two sides are not joined yet."""
     block, rep, component = (cell.column(c).to_numpy() for c in (3, 5, 6))
     at, m = int(cell.column(4)[0].as_py()), cell.num_rows
@@ -235,7 +307,7 @@ def _settle(cell: pa.RecordBatch, weight_of: np.ndarray, threshold: float) -> li
 
     @lru_cache(maxsize=2 * BLOCK)
     def vector(i: int) -> tuple[np.ndarray, np.ndarray]:
-        return weighted_shingles(cell.column(9)[i].as_py(), weight_of)
+        return weighted_shingles(cell.column(9)[i].as_py(), weights, *own_frequencies(cell, 10, i))
 
     between = block.min() != block.max()
     found = []
@@ -266,9 +338,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``id_col``, component (the smallest id reachable by near pairs, the document itself included)
     and kept (whether it is that one), a row for each row of ``docs``."""
     node = F.coalesce(F.col(id_col).cast("long"), F.shiftrightunsigned(row_key(id_col, text_col), 2) + F.lit(1 << 62))
-    rows = docs.select(F.col(id_col).alias("id"), node.alias("node"), F.col(text_col).alias("text"))
-    shipped = docs.sparkSession.sparkContext.broadcast(shingle_weights(rows, "text"))
-    signed = written(rows.select("node", "text").mapInArrow(
+    rows = docs.select(F.col(id_col).alias("id"), node.alias("node"), row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
+    rest, weights = frequencies(rows, "text")
+    shipped = docs.sparkSession.sparkContext.broadcast(weights)
+    weighed = written(with_frequencies(rows.select("node", "k", "text").filter("text IS NOT NULL"), rest, shipped).drop("k"), "weighed")
+    signed = written(weighed.mapInArrow(
         lambda b: _signatures(b, shipped), "node long, class long, bands array<long>, sketch array<long>"), "signed")
     classes = written(signed.groupBy("class").agg(F.min("node").alias("rep"), F.max("node").alias("last"),
                                                   F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
@@ -283,9 +357,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{name}-pairs")
         asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        texts = written(rows.select("node", "text").join(asked, "node").dropDuplicates(["node"]), f"{name}-texts")
-        both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-                .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b"))
+        texts = written(weighed.join(asked, "node").dropDuplicates(["node"]), f"{name}-texts")
+        a, b = (texts.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("text", "own", "own_counts"))) for x in "ab")
+        both = pairs.join(a, "a").join(b, "b").select("a", "b", *(f"{c}_{x}" for x in "ab" for c in ("text", "own", "own_counts")))
         return written(both.mapInArrow(lambda x: _verify(x, shipped, threshold), "a long, b long"), f"{name}-links")
 
     def unsettled(rows: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -296,7 +370,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return written(named.join(apart.select("band", "main"), "band"), f"{name}-unsettled")
 
     def settled(rows: DataFrame, name: str) -> DataFrame:
-        cells = rows.select("lo", "hi", "band", "block", "at", "rep", "component", "bands", "sketch", "text")
+        cells = rows.select("lo", "hi", "band", "block", "at", "rep", "component", "bands", "sketch", "text", "own", "own_counts")
         return written(cells.repartition("lo", "hi", "band").sortWithinPartitions("lo", "hi", "band")
                        .mapInArrow(lambda x: _settled(x, shipped, threshold), "a long, b long"), f"{name}-links")
 
@@ -304,7 +378,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     state = unsettled(shared, links, "first")
     if not state.isEmpty():
         asked = state.select(F.col("rep").alias("node")).distinct()
-        texts = rows.select("node", "text").join(asked, "node").dropDuplicates(["node"]).withColumnRenamed("node", "rep")
+        texts = weighed.join(asked, "node").dropDuplicates(["node"]).withColumnRenamed("node", "rep")
         open_classes = written(classes.select("rep", "bands", "sketch").dropDuplicates(["rep"]).join(texts, "rep"), "open")
         part = F.pmod(F.xxhash64("rep", "band"), F.col("parts")).cast("int")
         links = links.union(settled(state.withColumns({"lo": part, "hi": part, "block": F.lit(0)}).join(open_classes, "rep"), "second"))

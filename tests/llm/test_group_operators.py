@@ -236,3 +236,28 @@ def test_mix_of_awkward_rows(awkward, nothing):
 def test_registered_mix(spark):
     got = QUERIES["op8_source_mixing"](spark, "/root/testdata/sf0.001").toPandas()
     assert (got.taken <= 2 * got["size"]).all() and len(got) == 200
+
+
+# ---- 2, 10: what a shingle weighs
+
+def test_shingles_weigh_by_their_own_document_frequency(spark, monkeypatch):
+    """3,000 documents of which a third hold one passage: weights against counts of the shingles themselves."""
+    monkeypatch.setattr(minhash_dedup, "HEAD", 50)
+    passage = " ".join(prose(3, 20))
+    docs = [(i, " ".join(prose(1000 + i - i % 2, 60)) + (" " + passage if i % 3 == 0 else "")) for i in range(3000)]
+    df = spark.createDataFrame([(i, i, t) for i, t in docs], "node long, k long, text string").repartition(3)
+    held = {i: set(minhash_dedup.shingle_counts([t.encode()])[0].tolist()) for i, t in docs}
+    want = defaultdict(int)
+    for x in held.values():
+        for h in x:
+            want[h] += 1
+    rest, weights = minhash_dedup.frequencies(df, "text")
+    assert 0 < len(weights.hashes) <= 50 and weights.documents == 3000
+    shipped = spark.sparkContext.broadcast(weights)
+    rows_ = minhash_dedup.with_frequencies(df, rest, shipped).collect()
+    assert len(rows_) == len(docs)
+    for r in rows_:
+        own = np.array(r.own or [], np.int64).view(np.uint64), np.array(r.own_counts or [], np.int64)
+        got = minhash_dedup.weighted_shingles(r.text, weights, *own)
+        idf = [1 + np.log(3001 / (want[h] + 1)) / np.log(3001) for h in got[0].tolist()]
+        assert np.allclose(got[1], idf, rtol=1e-5)
