@@ -1,7 +1,9 @@
 import random
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -261,3 +263,20 @@ def test_shingles_weigh_by_their_own_document_frequency(spark, monkeypatch):
         got = minhash_dedup.weighted_shingles(r.text, weights, *own)
         idf = [1 + np.log(3001 / (want[h] + 1)) / np.log(3001) for h in got[0].tolist()]
         assert np.allclose(got[1], idf, rtol=1e-5)
+
+
+def test_pairs_that_differ_by_a_frequent_passage_in_a_cell_of_many_classes():
+    """Their bare counts are less alike than the weighted ones: 40 pairs near by weight in one cell of 80 classes."""
+    passage = prose(8, 76)
+    common = minhash_dedup.shingle_counts([" ".join(passage).encode()])[0]
+    weights = minhash_dedup.Weights(10_000, common, np.full(len(common), 3333))
+    texts = [" ".join(prose(2000 + i // 2, 200) + passage * (i % 2)) for i in range(80)]
+    assert all(0.8 <= minhash_dedup.weighted_jaccard(a, b, weights) < 0.83 for a, b in zip(texts[::2], texts[1::2], strict=True))
+    none = pa.array([None] * 80, pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(80)), pa.array(texts), none, none], names=["node", "text", "own", "own_counts"])
+    signed = pa.Table.from_batches(minhash_dedup._signatures(iter([batch]), SimpleNamespace(value=weights))).combine_chunks().to_batches()[0]
+    zero, ids = pa.array(np.zeros(80, np.int64)), signed.column(0)
+    cell = pa.RecordBatch.from_arrays([zero, zero, zero, zero, zero, ids, ids, signed.column(2), signed.column(3), batch.column(1), none, none],
+                                      names=["lo", "hi", "band", "block", "at", "rep", "component", "bands", "sketch", "text", "own", "own_counts"])
+    found = minhash_dedup._settle(cell, weights, 0.8)
+    assert {(a, b) for a, b in found} <= {(i, i + 1) for i in range(0, 80, 2)} and len(found) >= 39
