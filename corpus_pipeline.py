@@ -34,12 +34,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that with the smallest id. A row that
-    repeats its id and text stays once."""
-    found = minhash_dedup.near_duplicates(docs.select("doc_id", "text"))
-    kept = found.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return (docs.withColumn("__k", row_key("doc_id", "text")).dropDuplicates(["__k"])
-            .join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS))
+    """One document of each group of near duplicates stays: that with the smallest id, a null one last. Rows are told
+    apart by id and text, so ids may be null or repeat; a row that repeats both stays once."""
+    keyed = docs.withColumn("__k", row_key("doc_id", "text"))
+    found = minhash_dedup.near_duplicates(keyed.select("__k", "text"), id_col="__k").select("__k", "component").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__k"))
+    kept = keyed.select("__k", "doc_id").distinct().join(found, "__k").groupBy("component").agg(first.alias("first")).select("first.__k")
+    return keyed.dropDuplicates(["__k"]).join(kept, "__k", "left_semi").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

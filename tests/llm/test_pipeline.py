@@ -2,7 +2,7 @@ import corpus_pipeline as pipeline
 from marketlens.llm import line_dedup, minhash_dedup
 from marketlens.llm.queries import QUERIES
 from marketlens.llm.store import written
-from tests.llm.conftest import rows
+from tests.llm.conftest import prose, rows
 
 
 def stages_of(spark, docs):
@@ -45,3 +45,16 @@ def test_empty_table_passes(spark, nothing):
 
 def test_every_query_is_registered_once():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    """Each row is judged by itself: near copies with null ids, and one id with two unlike texts."""
+    base, other, third = prose(21, 120), prose(22, 120), prose(23, 120)
+    near = lambda text: " ".join([*text[:60], "changed", *text[61:]])
+    texts = [(None, " ".join(base)), (None, near(base)), (None, " ".join(other)),
+             (5, " ".join(third)), (7, near(third)), (7, " ".join(prose(24, 120))), (7, " ".join(prose(24, 120))), (9, near(prose(24, 120)))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in pipeline.near_duplicates(spark, docs, "unused").collect()), key=repr)
+    nulls = [t for i, t in got if i is None]
+    assert len(nulls) == 2 and texts[2][1] in nulls
+    assert [x for x in got if x[0] is not None] == [texts[3], texts[5]]
