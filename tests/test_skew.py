@@ -34,14 +34,16 @@ def test_hot_user_holds_a_third(pdf):
 
 def test_first_order_flag_exact(skewed, pdf):
     got = {r.order_id for r in SG.first_order_flag(skewed).where("is_first_order").collect()}
-    first = pdf.sort_values(["user_id", "order_placed_time", "order_id"]).groupby("user_id").head(1)
+    # orders without a user form one group, whose earliest order is flagged too
+    first = pdf.sort_values(["user_id", "order_placed_time", "order_id"]).groupby("user_id", dropna=False).head(1)
     assert got == set(first.order_id)
 
 
 def test_retention_exact(skewed, pdf):
-    firsts = pdf.groupby("user_id").order_date.transform("min")
-    offset = (pdf.order_date - firsts).apply(lambda d: d.days)
-    d7 = pdf[(offset >= 1) & (offset <= 7)].user_id.nunique()
+    named = pdf[pdf.user_id.notna()]  # orders without a user cannot return
+    firsts = named.groupby("user_id").order_date.transform("min")
+    offset = (named.order_date - firsts).apply(lambda d: d.days)
+    d7 = named[(offset >= 1) & (offset <= 7)].user_id.nunique()
     n_users = skewed.users.count()
     r = K.kpi_retention(skewed, KpiConfig()).first()
     assert r.d7 == d7 / n_users * 100
@@ -49,12 +51,17 @@ def test_retention_exact(skewed, pdf):
 
 def test_rfm_frequency_bins_follow_ranks(skewed, pdf):
     rfm = SG.rfm_scores(skewed).toPandas()
-    counts = pdf.groupby("user_id").size()
-    assert dict(zip(rfm.user_id, rfm.frequency)) == counts.to_dict()
-    order = sorted(counts.items(), key=lambda kv: (kv[1], kv[0]))
+    def users(ids):
+        return [None if u != u else int(u) for u in ids]
+
+    sizes = pdf.groupby("user_id", dropna=False).size()
+    counts = dict(zip(users(sizes.index), sizes))
+    assert None in counts  # orders without a user are one group, ranked before the ids it ties with
+    assert dict(zip(users(rfm.user_id), rfm.frequency)) == counts
+    order = sorted(counts.items(), key=lambda kv: (kv[1], kv[0] is not None, kv[0] or 0))
     n = len(order)
     expected = {u: max(1, ((i * 5) + n - 2) // (n - 1)) for i, (u, _) in enumerate(order)}
-    assert dict(zip(rfm.user_id, rfm.F_score)) == expected
+    assert dict(zip(users(rfm.user_id), rfm.F_score)) == expected
 
 
 def test_range_partitioning_splits_the_hot_value(spark):
@@ -74,6 +81,6 @@ def test_hot_duplicate_key_is_collapsed_map_side(spark):
 
 
 def test_periods_exact_under_skew(skewed, pdf):
-    dau = pdf.groupby("order_date").user_id.nunique().mean()
+    dau = pdf.groupby("order_date").user_id.nunique(dropna=False).mean()  # null counts as one value
     r = K.kpi_engagement(skewed, KpiConfig()).first()
     assert r.avg_dau == pytest.approx(dau, rel=1e-12)

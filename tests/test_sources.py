@@ -56,7 +56,7 @@ def test_cluster_conf_scales_partitions():
     from marketlens.session import cluster_conf
 
     big = cluster_conf(100 * 10**12, 8000)
-    assert int(big["spark.sql.shuffle.partitions"]) == 100_000
+    assert int(big["spark.sql.shuffle.partitions"]) == 100 * 10**12 // (256 << 20) == 372_529
     mid = cluster_conf(10 * 10**12, 8000)
     assert int(mid["spark.sql.shuffle.partitions"]) == 10 * 10**12 // (256 << 20)
     small = cluster_conf(10**9, 64)
