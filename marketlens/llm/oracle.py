@@ -50,4 +50,39 @@ SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS
 UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
 """
 
-ORACLE_SQL = {"op6_line_dedup": OP6, "op1_substring_dedup": OP1}
+#: kind, expression, value group, least characters of it: the base rules as they are defined, then the added ones.
+OP13_RULES = [
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24),
+    ("private_key", "-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----", 0, 1), ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1), ("google", "AIza[A-Za-z0-9_-]{35}", 0, 1),
+    ("stripe", "[sr]k_(?:live|test)_[A-Za-z0-9]{16,}", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1)]
+
+
+def _op13() -> str:
+    def of(kind, name, pattern, group, least):
+        p = "'" + pattern.replace("'", "''") + "'"
+        return (f"SELECT r, {kind} AS kind, '{name}' AS name, {least} AS least, generate_subscripts(regexp_extract_all(text, {p}), 1) AS n,"
+                f" unnest(string_split_regex(text, {p})) AS gap, unnest(regexp_extract_all(text, {p})) AS whole,"
+                f" unnest(regexp_extract_all(text, {p}, {group})) AS val FROM d")
+
+    rules = " UNION ALL ".join(of(i, *rule) for i, rule in enumerate(OP13_RULES))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({rules}),
+placed AS (
+  SELECT r, kind, name, least, val, length(whole) AS long,
+         CAST(sum(length(gap) + length(whole)) OVER (PARTITION BY r, kind ORDER BY n ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop
+  FROM m WHERE whole IS NOT NULL),
+span AS (SELECT r, kind, stop - long AS start, name || ':' || CAST(stop - long AS VARCHAR) || ':' || CAST(stop AS VARCHAR) AS t
+         FROM placed WHERE length(val) >= least)
+SELECT d.doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,
+       count(*) FILTER (WHERE kind = 2) AS n_hex,
+       sha256(coalesce(string_agg(t, ',' ORDER BY start, kind) FILTER (WHERE kind < 3), '')) AS base_sha256,
+       coalesce(string_agg(t, ',' ORDER BY start, kind), '') AS spans
+FROM d LEFT JOIN span ON d.r = span.r GROUP BY d.r, d.doc_id
+"""
+
+
+ORACLE_SQL = {"op13_secret_scans": _op13(), "op6_line_dedup": OP6, "op1_substring_dedup": OP1}

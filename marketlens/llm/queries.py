@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, embedding_dedup, fingerprint, langid, line_dedup, lm, minhash_dedup, mixing, quality, substring_dedup
+from marketlens.llm import bpe, embedding_dedup, fingerprint, langid, line_dedup, lm, minhash_dedup, mixing, quality, secret_scan, substring_dedup
 from marketlens.llm.store import table, written
 
 TOKENIZER_DIR = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -79,7 +79,15 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), held_out)
 
 
+def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_documents(table(spark, sf_dir, "documents"))
+    n_base = len(secret_scan.BASE_RULES)
+    base = F.filter("spans", lambda s: s["kind"] < n_base)
+    count = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(secret_scan.BASE_RULES)]
+    return found.select("doc_id", *count, F.sha2(secret_scan.as_text(base), 256).alias("base_sha256"), secret_scan.as_text(F.col("spans")).alias("spans"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_minhash_near_dedup, op3_language_id, op4_embedding_near_dedup,
     op5_document_fingerprints, op6_line_dedup, op7_bpe_roundtrip, op8_source_mixing, op9_quality_classifier,
-    op10_lm_scoring)}
+    op10_lm_scoring, op13_secret_scans)}
