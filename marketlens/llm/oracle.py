@@ -85,4 +85,62 @@ FROM d LEFT JOIN span ON d.r = span.r GROUP BY d.r, d.doc_id
 """
 
 
-ORACLE_SQL = {"op13_secret_scans": _op13(), "op6_line_dedup": OP6, "op1_substring_dedup": OP1}
+OP11 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pair AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+         CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positive AS (
+  SELECT anchor_id, other_id, score FROM pair WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+negative AS (
+  SELECT p.anchor_id, p.other_id AS positive_id, n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY n.score DESC, n.other_id) AS rank
+  FROM positive p JOIN pair n ON n.anchor_id = p.anchor_id AND NOT n.same
+   AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM negative WHERE rank <= 5
+"""
+
+OP12 = r"""
+WITH piece AS (
+  SELECT row_number() OVER () AS r, lang, p FROM (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+    FROM documents)),
+split AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM piece),
+gram AS (
+  SELECT lang, 1 AS k, unnest(w) AS phrase FROM split
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM split
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM split),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM gram GROUP BY lang, k, phrase),
+total AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+cut AS (
+  SELECT lang, phrase, a, k, i, array_to_string(w[1:i], ' ') AS first, array_to_string(w[i + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS i FROM cand)),
+scored AS (
+  SELECT cut.lang, cut.phrase, cut.a, cut.k, l.a AS l, r.a AS r,
+         CAST((1000000::HUGEINT * cut.a * cut.a) // (l.a::HUGEINT * r.a) AS BIGINT) AS score, i
+  FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = cut.first AND l.k = cut.i
+           JOIN f r ON r.lang = cut.lang AND r.phrase = cut.rest AND r.k = cut.k - cut.i
+  QUALIFY row_number() OVER (PARTITION BY cut.lang, cut.phrase ORDER BY score, i) = 1),
+covered AS (
+  SELECT lang, part, max(a) AS a FROM (
+    SELECT lang, array_to_string(w[1:2], ' ') AS part, a FROM cand WHERE k = 3
+    UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM cand WHERE k = 3) GROUP BY lang, part),
+kept AS (
+  SELECT s.* FROM scored s LEFT JOIN covered c ON c.lang = s.lang AND c.part = s.phrase
+  WHERE c.a IS NULL OR 100 * c.a < 50 * s.a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank,
+       phrase, a, l, r, n, score
+FROM kept JOIN total ON total.lang = kept.lang
+QUALIFY rank <= 2000
+"""
+
+
+ORACLE_SQL = {"op11_hard_negatives": OP11, "op12_phrase_collocations": OP12, "op13_secret_scans": _op13(), "op6_line_dedup": OP6, "op1_substring_dedup": OP1}

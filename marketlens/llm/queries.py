@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, embedding_dedup, fingerprint, langid, line_dedup, lm, minhash_dedup, mixing, quality, secret_scan, substring_dedup
+from marketlens.llm import bpe, collocations, embedding_dedup, fingerprint, hard_negatives, langid, line_dedup, lm, minhash_dedup, mixing, quality, secret_scan, substring_dedup
 from marketlens.llm.store import table, written
 
 TOKENIZER_DIR = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -79,6 +79,18 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), held_out)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id = F.col("vec_id")
+    label = F.when(vec_id % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.prepared(vec_id, label, F.col("embedding"), table(spark, sf_dir, "embeddings"))
+    return hard_negatives.mine_hard_negatives(rows, F.col("id") % 100 == 0).select(
+        "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(table(spark, sf_dir, "documents"), k=2000, least=10)
+
+
 def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_documents(table(spark, sf_dir, "documents"))
     n_base = len(secret_scan.BASE_RULES)
@@ -90,4 +102,4 @@ def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_minhash_near_dedup, op3_language_id, op4_embedding_near_dedup,
     op5_document_fingerprints, op6_line_dedup, op7_bpe_roundtrip, op8_source_mixing, op9_quality_classifier,
-    op10_lm_scoring, op13_secret_scans)}
+    op10_lm_scoring, op11_hard_negatives, op12_phrase_collocations, op13_secret_scans)}

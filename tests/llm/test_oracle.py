@@ -12,7 +12,8 @@ SF = "/root/testdata/sf0.001"
 def test_operator_matches_sql(spark, key):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for name in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SF}/{name}.parquet')")
     con.execute(f"CREATE VIEW result AS {ORACLE_SQL[key]}")
     got = QUERIES[key](spark, SF)
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM result").fetchall()
