@@ -95,7 +95,11 @@ def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_documents(table(spark, sf_dir, "documents"))
     n_base = len(secret_scan.BASE_RULES)
     base = F.filter("spans", lambda s: s["kind"] < n_base)
-    count = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(secret_scan.BASE_RULES)]
+
+    def of(kind: int):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    count = [of(i).alias(f"n_{r.kind}") for i, r in enumerate(secret_scan.BASE_RULES)]
     return found.select("doc_id", *count, F.sha2(secret_scan.as_text(base), 256).alias("base_sha256"), secret_scan.as_text(F.col("spans")).alias("spans"))
 
 
