@@ -7,10 +7,13 @@ into one task. These operators keep the work spread over all executors instead.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketlens.operators.select import BUCKETS, double_of, ordered_long, select_keys
 from marketlens.session import checkpoint_dir
 
 _ROW_BITS = 33  # monotonically_increasing_id = partition index << 33 | row index within partition
@@ -41,86 +44,45 @@ def ordinal_rank(df: DataFrame, order_by: list[Column], rank_col: str = "rank",
             .drop("_mid", "_pid", "_off"))
 
 
-def ordinal_ranks(df: DataFrame, id_col: str, orderings: dict[str, tuple[str, bool]],
-                  partitions: int | None = None) -> DataFrame:
-    """Several ordinal ranks of the same rows with one range shuffle and one checkpoint.
-
-    ``orderings`` maps an output rank column to (value column, descending); ties are broken by
-    ``id_col`` ascending, and nulls sort as Spark's default for the direction (first ascending,
-    last descending). Each row is stacked once per ordering carrying only that ordering's value; the
-    ordering index leads the sort key, so values of different orderings (even of different types)
-    are never compared. The rank within an ordering is the global rank minus index * n. One
-    regroup by ``id_col`` returns one row per id with the values and all ranks. Value columns must
-    be distinct.
-    """
-    names = list(orderings)
-    keys = {name: f"_k{i}" for i, name in enumerate(names)}
-    stacked = df.select(id_col, F.explode(F.array(*[
-        F.struct(F.lit(i).alias("_m"), *[(F.col(col) if j == i else F.lit(None).cast(df.schema[col].dataType))
-                                          .alias(keys[names[j]]) for j, (col, _) in enumerate(orderings.values())])
-        for i in range(len(names))])).alias("_s")).select(id_col, "_s.*")
-    order_by = [F.asc("_m")] + [F.desc(keys[n]) if desc else F.asc(keys[n]) for n, (_, desc) in orderings.items()]
-    ranked = ordinal_rank(stacked, order_by + [F.asc(id_col)], "_g", partitions)
-    # rows per ordering, read from the checkpointed ranks (recounting ``df`` would recompute it)
-    n = ranked.where(F.col("_m") == 0).agg(F.count(F.lit(1)).alias("_n")).select(F.struct("_n").alias("_s")).scalar()["_n"]
-    ranked = ranked.withColumn("_r", F.col("_g") - n * F.col("_m"))  # projected once, then aggregated
-    aggs = []
-    for i, (name, (col, _)) in enumerate(orderings.items()):
-        aggs += [F.max(F.when(F.col("_m") == i, F.col("_r"))).alias(name),
-                 F.max(F.when(F.col("_m") == i, F.col(keys[name]))).alias(col)]
-    return ranked.groupBy(id_col).agg(*aggs)
-
-
 def nearest_index(n: int, q: float) -> int:
     """0-based position of the "nearest" quantile: round((n - 1) * q), halves rounded up."""
     return int(math.floor((n - 1) * q + 0.5))
 
 
-def quantile_nearest(df: DataFrame, column: str, qs: list[float], accuracy: int = 100_000) -> DataFrame:
+def quantile_nearest(df: DataFrame, column: str, qs: list[float], buckets: int = BUCKETS) -> DataFrame:
     """Exact "nearest" quantiles of a numeric column: one row per q with columns (q, value).
 
-    Every open quantile has a bracket, an open interval of values known to hold it, first all of
-    them. A round is two aggregates over the column, whatever its size: a sketch of the bracket gives
-    a value near the wanted position and one on either side, and exact counts below and up to these
-    three either settle the quantile at one of them (a value with any number of copies included) or leave
-    the interval between two, about 4 / accuracy of the rows. Brackets of fewer rows than ``accuracy``
-    have an exact sketch, so 10**15 rows take four rounds. No row is shuffled, ranked or collected.
+    All of them are found together by ``select.select_keys``: hash aggregates over the column, at most six
+    at any size, whatever values it holds; NaN is the largest value. They run when the plan is built, since
+    each depends on the counts before it.
+    """
+    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
+    found, n, _ = select_keys(values, [ordered_long(F.col("v"))], lambda n: [nearest_index(n, q) for q in qs], buckets)
+    picked = [double_of(k[0]) for k in found] if n else [None] * len(qs)
+    return df.sparkSession.createDataFrame([(float(q), v) for q, v in zip(qs, picked, strict=True)], "q double, value double")
+
 
-    The rounds run when the plan is built: each depends on the counts before it.
+def frequency_bins(df: DataFrame, orderings: dict[str, list[Column]], max_bins: int = 5) -> tuple[DataFrame, int]:
+    """(``df`` with one equal-frequency bin column per ordering, number of bins).
+
+    An ordering is a list of longs that no two rows share (end it with the id). The bins of ``equal_frequency_bins``
+    are cut at fixed ranks, so the b - 1 rows at those ranks are all that has to be found (``select_keys``); a
+    row's bin is then one more than the number of cuts it lies beyond. No row is sorted, joined or moved. The
+    orderings are searched at the same time, when the plan is built: ``df`` should be a stored table.
     """
-    v = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    spark = df.sparkSession
-    n = v.count()
-    value: dict[int, float | None] = dict.fromkeys(range(len(qs))) if n == 0 else {}
-    open_at = {} if n == 0 else {i: (None, None, 0, n, nearest_index(n, q)) for i, q in enumerate(qs)}
-    while open_at:
-        sketches = []
-        for i, (lo, hi, below, held, k) in open_at.items():
-            inside = F.lit(True) if lo is None else F.col("v") > lo
-            inside = inside if hi is None else inside & (F.col("v") < hi)
-            at = (k - below + 1) / held
-            probes = [min(1.0, max(0.0, at + d)) for d in (-2.0 / accuracy, 0.0, 2.0 / accuracy)]
-            sketches.append(F.percentile_approx(F.when(inside, F.col("v")), probes, accuracy).alias(f"p{i}"))
-        found = v.agg(*sketches).first()
-        marks = {i: sorted(set(found[f"p{i}"])) for i in open_at}
-        counts = v.agg(*[c for i in open_at for j, x in enumerate(marks[i]) for c in (
-            F.sum((F.col("v") < x).cast("long")).alias(f"b{i}_{j}"), F.sum((F.col("v") <= x).cast("long")).alias(f"u{i}_{j}"))]).first()
-        after = {}
-        for i, (lo, hi, below, held, k) in open_at.items():
-            upto = below + held
-            for j, x in enumerate(marks[i]):
-                under, to = counts[f"b{i}_{j}"], counts[f"u{i}_{j}"]
-                if under <= k < to:
-                    value[i] = x
-                    break
-                if k < under:
-                    hi, upto = x, under
-                    break
-                lo, below = x, to
-            if i not in value:
-                after[i] = (lo, hi, below, upto - below, k)
-        open_at = after
-    return spark.createDataFrame([(float(q), value[i]) for i, q in enumerate(qs)], "q double, value double")
+    def cuts(keys: list[Column]) -> tuple[list[tuple[int, ...]], int]:
+        found, n, _ = select_keys(df, keys, lambda n: [(n - 1) * j // min(max_bins, max(n, 1)) for j in range(1, min(max_bins, n))])
+        return found, n
+
+    with ThreadPoolExecutor(max_workers=max(1, len(orderings))) as pool:
+        found = list(pool.map(cuts, orderings.values()))
+    columns = {}
+    for (name, keys), (at, _) in zip(orderings.items(), found, strict=True):
+        row = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
+        beyond = [(row > F.struct(*[F.lit(v).cast("long").alias(f"k{i}") for i, v in enumerate(cut)])).cast("long") for cut in at]
+        columns[name] = reduce(lambda a, b: a + b, beyond, F.lit(1).cast("long"))
+    n = found[0][1] if found else 0
+    return df.withColumns(columns), max(min(max_bins, n), 1)
 
 
 def equal_frequency_bins(rank: Column, n: Column, max_bins: int = 5) -> Column:
@@ -134,7 +96,3 @@ def equal_frequency_bins(rank: Column, n: Column, max_bins: int = 5) -> Column:
     num = (rank.cast("long") - 1) * b + n.cast("long") - 2
     return F.when(n <= 1, F.lit(1).cast("long")).otherwise(
         F.greatest(F.lit(1).cast("long"), F.call_function("div", num, n.cast("long") - 1)))
-
-
-def n_bins(n: Column, max_bins: int = 5) -> Column:
-    return F.greatest(F.least(F.lit(max_bins), n), F.lit(1)).cast("long")

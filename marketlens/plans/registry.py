@@ -12,15 +12,14 @@ from pyspark.sql import functions as F
 from marketlens.model import FilterSpec, KpiConfig, Marketplace
 from marketlens.operators import clean as C
 from marketlens.operators import filters as FL
-from marketlens.operators.joins import scalars
-from marketlens.operators.rank import equal_frequency_bins, ordinal_rank, quantile_nearest
+from marketlens.operators.rank import frequency_bins, ordinal_rank, quantile_nearest
 from marketlens.functions.dates import week_key
 from marketlens.functions.text import title_case
 from marketlens.plans import charts as CH
 from marketlens.plans import kpis as K
 from marketlens.plans import segments as SG
 from marketlens.sources.adapter import load_raw
-from marketlens.sources.tables import materialize
+from marketlens.sources.tables import materialize, staged
 
 # Fixed arguments of the registered queries.
 KPI_CONFIG = KpiConfig(split_date=dt.date(2001, 5, 1))
@@ -88,10 +87,9 @@ def _ordinal_rank(m: Marketplace) -> DataFrame:
 
 
 def _bins(m: Marketplace) -> DataFrame:
-    freq = m.orders.groupBy("user_id").agg(F.count(F.lit(1)).alias("frequency"))
-    ranked = ordinal_rank(freq, [F.asc("frequency"), F.asc("user_id")], "_r")
-    n = scalars(ranked.agg(F.count(F.lit(1)).alias("_n")))["_n"]
-    return ranked.select("user_id", "frequency", equal_frequency_bins(F.col("_r"), n).alias("bin"))
+    freq = staged(m.orders.groupBy("user_id").agg(F.count(F.lit(1)).alias("frequency")), "frequency")
+    binned, _ = frequency_bins(freq, {"bin": [*SG.order_keys("frequency"), *SG.order_keys("user_id")]})
+    return binned.select("user_id", "frequency", "bin")
 
 
 def _title_case(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ from marketlens.functions.dates import month_key, months_between_calendar
 from marketlens.functions.numeric import round_pct, to_double
 from marketlens.model import OTHER_SEGMENT, RFM_MAX_BINS, SEGMENT_RULES, Marketplace
 from marketlens.operators.joins import scalars
-from marketlens.operators.rank import equal_frequency_bins, n_bins, ordinal_ranks
+from marketlens.operators.rank import frequency_bins
 from marketlens.operators.rollups import user_rollup
+from marketlens.sources.tables import staged
 
 def cohort_retention(m: Marketplace) -> DataFrame:
     """T11 (long form): cohort_month, month_offset >= 0, active_users, cohort_size, retention_pct (1 dp).
@@ -68,29 +69,38 @@ def segment_label(r: Column, f: Column, bins: Column) -> Column:
     return out.otherwise(OTHER_SEGMENT)
 
 
+def order_keys(c: str, descending: bool = False) -> list[Column]:
+    """A long column as keys of an ordering, nulls before all values (after them if descending)."""
+    flag, value = F.col(c).isNotNull().cast("long"), F.coalesce(F.col(c).cast("long"), F.lit(0))
+    return [-flag, -value] if descending else [flag, value]
+
+
+def decimal_keys(c: str) -> list[Column]:
+    """The same for an exact sum of money: whole 10^8 first, then what is left in 10^-4."""
+    amount = F.col(c).cast("decimal(38,4)")
+    high = F.floor(amount / F.lit(10 ** 8)).cast("long")
+    low = ((amount - high.cast("decimal(30,0)") * F.lit(10 ** 8)) * F.lit(10 ** 4)).cast("long")
+    return [F.col(c).isNotNull().cast("long"), F.coalesce(high, F.lit(0)), F.coalesce(low, F.lit(0))]
+
+
 def _rfm(m: Marketplace, max_bins: int = RFM_MAX_BINS) -> DataFrame:
     """Per user recency_days, frequency, monetary, R/F/M scores (1..bins) and segment_label.
 
-    Each score is an equal-frequency bin of a distributed ordinal rank (ties broken by user_id;
-    recency ranked descending so recent buyers score high).
+    Each score is an equal-frequency bin (ties broken by user_id; recency ranked descending so recent
+    buyers score high), found from its cut rows: the per-user table is written once, the cuts are
+    selected from it, and the scores are plain expressions over it.
     """
     snapshot = scalars(m.orders.agg(F.max("order_date").alias("_snapshot")))["_snapshot"]
-    base = (user_rollup(m.orders)
-            .select("user_id", F.datediff(snapshot, F.col("last_order_date")).alias("recency_days"),
-                    F.col("n_orders").alias("frequency"), F.col("monetary").alias("_monetary_dec")))
-    # three orderings ranked with one range shuffle and one checkpoint (ties: user_id)
-    ranked = ordinal_ranks(base, "user_id", {"_r_rank": ("recency_days", True), "_f_rank": ("frequency", False),
-                                             "_m_rank": ("_monetary_dec", False)})
-    n = scalars(ranked.agg(F.count(F.lit(1)).alias("_n")))["_n"]
-    scored = ranked.withColumns({
-        "R_score": equal_frequency_bins(F.col("_r_rank"), n, max_bins),
-        "F_score": equal_frequency_bins(F.col("_f_rank"), n, max_bins),
-        "M_score": equal_frequency_bins(F.col("_m_rank"), n, max_bins),
-        "_bins": n_bins(n, max_bins),
-    })
+    base = staged(user_rollup(m.orders)
+                  .select("user_id", F.datediff(snapshot, F.col("last_order_date")).alias("recency_days"),
+                          F.col("n_orders").alias("frequency"), F.col("monetary").alias("_monetary_dec")), "rfm")
+    user = order_keys("user_id")
+    scored, bins = frequency_bins(base, {
+        "R_score": [*order_keys("recency_days", descending=True), *user], "F_score": [*order_keys("frequency"), *user],
+        "M_score": [*decimal_keys("_monetary_dec"), *user]}, max_bins)
     return scored.select("user_id", "recency_days", "frequency", "_monetary_dec",
                          to_double(F.col("_monetary_dec")).alias("monetary"), "R_score", "F_score", "M_score",
-                         segment_label(F.col("R_score"), F.col("F_score"), F.col("_bins")).alias("segment_label"))
+                         segment_label(F.col("R_score"), F.col("F_score"), F.lit(bins)).alias("segment_label"))
 
 
 def rfm_scores(m: Marketplace, max_bins: int = RFM_MAX_BINS, ranked: DataFrame | None = None) -> DataFrame:
@@ -111,14 +121,13 @@ def segment_summary(m: Marketplace, ranked: DataFrame | None = None) -> DataFram
 
 
 def first_order_flag(m: Marketplace) -> DataFrame:
-    """is_first_order per order = earliest (placed time, order_id) of its user.
+    """is_first_order per order = earliest (placed time, order_id) of its user; orders without a user are one group.
 
-    The per-user minimum is a partial aggregate and is joined back on user_id (AQE splits a skewed
-    user's partition), instead of a row_number window that would sort a hot user in one task.
+    The per-user minimum is a partial aggregate. Its order ids are joined back on order_id, which no two orders
+    share, so a user with a third of all orders is no hot key.
     """
     first = (m.orders.groupBy("user_id").agg(F.min(F.struct("order_placed_time", "order_id")).alias("_first"))
-             .withColumnRenamed("user_id", "_uid"))
-    o = m.orders.select("order_id", "user_id")
-    # null-safe: orders without a user form one group too, and its earliest order is flagged
-    return (o.join(first, o["user_id"].eqNullSafe(first["_uid"]), "left")
-            .select("order_id", "user_id", (F.col("order_id") == F.col("_first.order_id")).alias("is_first_order")))
+             .select(F.col("_first.order_id").alias("_oid"), F.lit(True).alias("_is")))
+    orders = m.orders.select("order_id", "user_id")
+    return orders.join(first, orders["order_id"].eqNullSafe(first["_oid"]), "left").select(
+        "order_id", "user_id", F.coalesce("_is", F.lit(False)).alias("is_first_order"))

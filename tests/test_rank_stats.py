@@ -8,7 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketlens.functions.stats import normal_two_sided_p, student_t_two_sided_p
-from marketlens.operators.rank import equal_frequency_bins, nearest_index, ordinal_rank, quantile_nearest
+from marketlens.operators.rank import equal_frequency_bins, frequency_bins, nearest_index, ordinal_rank, quantile_nearest
+from marketlens.operators.select import double_of, ordered_long, select_keys
+from marketlens.plans.inspect import physical_plan
+from marketlens.plans.segments import decimal_keys, order_keys
 
 
 def test_ordinal_rank_equals_global_window(spark):
@@ -45,8 +48,8 @@ def test_quantile_nearest_matches_brute_force(spark, seed):
     qs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
     s = sorted(values)
     want = {q: s[nearest_index(len(s), q)] for q in qs}
-    for accuracy in (5, 50, 500, 100_000):  # many rounds, few, one
-        assert {r.q: r.value for r in quantile_nearest(df, "v", qs, accuracy=accuracy).collect()} == want, accuracy
+    for buckets in (2, 64, 4096):  # many passes, few
+        assert {r.q: r.value for r in quantile_nearest(df, "v", qs, buckets=buckets).collect()} == want, buckets
 
 
 def test_quantile_nearest_of_few_or_no_values(spark):
@@ -93,22 +96,79 @@ def test_student_t_closed_form_df2(spark):
         assert abs(got - (1 - t / math.sqrt(t * t + 2))) < 1e-9
 
 
-def test_ordinal_ranks_equal_separate_orderings(spark):
-    from marketlens.operators.rank import ordinal_ranks
+AWKWARD = [0.0, -0.0, 1.0, -1.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308,
+           -1.7976931348623157e308, math.inf, -math.inf, 0.1, 1 - 2 ** -53, 1 + 2 ** -52, 2.0 ** 52, 2.0 ** 53 - 1, 1e22, 123456.78, 1e-300]
 
+
+def test_ordered_long_orders_and_returns_every_double(spark):
+    rnd = random.Random(11)
+    values = AWKWARD + [rnd.uniform(-1, 1) * 10.0 ** rnd.randint(-320, 308) for _ in range(3000)] + [2.0 ** e for e in range(-1074, 1024, 7)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", ordered_long(F.col("v")).alias("k")).collect()
+    assert all(double_of(r.k) == r.v for r in got)
+    assert [r.k for r in sorted(got, key=lambda r: r.v)] == sorted(r.k for r in got)
+    nan = spark.createDataFrame([(math.nan,)], "v double").select(ordered_long(F.col("v")).alias("k")).first().k
+    assert nan > max(r.k for r in got) and math.isnan(double_of(nan))
+
+
+def test_selection_of_awkward_values_takes_few_passes(spark):
+    rnd = random.Random(5)
+    values = AWKWARD + [math.nan] * 2 + [rnd.uniform(-1, 1) * 10.0 ** rnd.randint(-320, 308) for _ in range(4000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    order = sorted(values, key=lambda v: (math.isnan(v), v if v == v else 0))
+    ranks = [0, 1, 17, 2000, len(values) // 2, len(values) - 3, len(values) - 1]
+    keys, n, passes = select_keys(df, [ordered_long(F.col("v"))], ranks)
+    assert n == len(values) and [repr(double_of(k)) for k, in keys] == [repr(order[r] + 0.0) for r in ranks]
+    assert passes <= 7  # the bounds, then six times twelve bits at most
+    # a full 64-bit spread of integers
+    wide = [-(2 ** 63), 2 ** 63 - 1, 0, -1, 1] + [rnd.randint(-(2 ** 63), 2 ** 63 - 1) for _ in range(2000)]
+    keys, _, passes = select_keys(spark.createDataFrame([(v,) for v in wide], "v long"), [F.col("v")], range(0, 2005, 401))
+    assert [k for k, in keys] == sorted(wide)[::401] and passes <= 7
+
+
+def test_selection_settles_ties_by_the_next_key(spark):
+    rows = [(5 if i % 3 else i, i * 7919 % 3001) for i in range(3000)]  # two thirds share one value
+    df = spark.createDataFrame(rows, "a long, b long")
+    ranks = [0, 500, 1500, 2500, 2999]
+    for buckets in (2, 4096):
+        keys, _, _ = select_keys(df, [F.col("a"), F.col("b")], ranks, buckets)
+        assert keys == [sorted(rows)[r] for r in ranks]
+
+
+def test_selection_is_planned_as_hash_aggregates(spark):
+    rows = spark.createDataFrame([(1.5,)], "v double").select(ordered_long(F.col("v")).alias("k"))
+    plan = physical_plan(rows.groupBy(F.shiftright("k", 40).alias("bucket")).agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")))
+    assert "HashAggregate" in plan and "Sort" not in plan and "ObjectHash" not in plan
+
+
+def test_frequency_bins_equal_bins_of_ranks(spark):
     rnd = random.Random(3)
-    rows = [(i, rnd.choice([None, 1, 2, 2, 3]), rnd.choice([5, 5, 6]), float(rnd.randint(0, 4)) / 2) for i in range(600)]
-    df = spark.createDataFrame(rows, "id long, a int, b long, c double")
-    got = {r.id: (r.ra, r.rb, r.rc, r.a, r.b, r.c) for r in ordinal_ranks(
-        df, "id", {"ra": ("a", True), "rb": ("b", False), "rc": ("c", False)}, partitions=5).collect()}
-
-    def ranks(key, desc):
-        nulls_first = not desc  # Spark default: nulls first ascending, last descending
-        def sort_key(t):
-            v = key(t)
-            null_rank = (0 if nulls_first else 1) if v is None else (1 if nulls_first else 0)
-            return (null_rank, 0 if v is None else (-v if desc else v), t[0])
-        return {t[0]: i + 1 for i, t in enumerate(sorted(rows, key=sort_key))}
-
-    ra, rb, rc = ranks(lambda t: t[1], True), ranks(lambda t: t[2], False), ranks(lambda t: t[3], False)
-    assert got == {t[0]: (ra[t[0]], rb[t[0]], rc[t[0]], t[1], t[2], t[3]) for t in rows}
+    rows = [(i, rnd.choice([None, 1, 2, 2, 3]), rnd.choice([5, 5, 5, 5, 6])) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, a long, b long")
+    ids = order_keys("id")
+    binned, bins = frequency_bins(df, {"ra": [*order_keys("a", descending=True), *ids], "rb": [*order_keys("b"), *ids]})
+    got = {r.id: (r.ra, r.rb) for r in binned.collect()}
+    n = len(rows)
+
+    def expected(order):
+        return {i: max(1, (rank * 5 + n - 2) // (n - 1)) for rank, (i, _, _) in enumerate(order)}
+
+    ra = expected(sorted(rows, key=lambda t: (t[1] is None, -(t[1] or 0), t[0])))
+    rb = expected(sorted(rows, key=lambda t: (t[2], t[0])))
+    assert bins == 5 and got == {i: (ra[i], rb[i]) for i, _, _ in rows}
+    assert "Exchange" not in physical_plan(binned) and "Sort" not in physical_plan(binned)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7])
+def test_frequency_bins_of_few_rows(spark, n):
+    df = spark.range(n).select(F.col("id").alias("v"))
+    binned, bins = frequency_bins(df, {"b": [F.col("v")]})
+    assert bins == max(1, min(5, n))
+    assert [r.b for r in binned.orderBy("v").collect()] == [max(1, (i * min(5, n) + n - 2) // (n - 1)) if n > 1 else 1 for i in range(n)]
+
+
+def test_decimal_keys_order_exact_sums(spark):
+    values = ["-123456789012345678901.2345", "-1.0001", "-1.0000", "0.0000", "0.0001", "99999999.9999", "100000000.0000", "123456789012345678901.2345", None]
+    df = spark.createDataFrame([(v,) for v in values], "s string").select(F.col("s").cast("decimal(38,4)").alias("d"))
+    keys = [tuple(r) for r in df.select("d", *[k.alias(f"k{i}") for i, k in enumerate(decimal_keys("d"))]).collect()]
+    order = sorted(keys, key=lambda r: (r[0] is not None, r[0] or 0))
+    assert [r[1:] for r in order] == sorted(r[1:] for r in keys) and len({r[1:] for r in keys}) == len(values)
