@@ -72,12 +72,6 @@ def month_key(d: Column | str) -> Column:
     return F.date_format(_col(d), "yyyy-MM")
 
 
-def months_between_calendar(later: Column | str, earlier: Column | str) -> Column:
-    """Calendar month difference: 12 * year delta + month delta (days ignored)."""
-    later, earlier = _col(later), _col(earlier)
-    return (F.year(later) - F.year(earlier)) * 12 + (F.month(later) - F.month(earlier))
-
-
 def local_now(tz: str = "Asia/Kolkata") -> Column:
     """Wall-clock now in the dashboard's zone (used for the 'as of' stamp)."""
     # the NTZ cast renders the instant in the session zone, so convert from that zone

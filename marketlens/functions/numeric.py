@@ -2,6 +2,10 @@
 
 Money is summed as DECIMAL (exact, order-independent) and only turned into a double at the end;
 rounded percentages of counts use integer arithmetic, so the half-way rule is exact half-up.
+
+Dirty amounts have a defined result and never end a query: what is no amount (NaN, infinite, 10^16 and more, a
+rate of 10,000 and more) counts as missing, and ``rejected`` tells how many there are; a sum that passes 24
+digits is null.
 """
 
 from __future__ import annotations
@@ -9,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,4)"
-RATE = "decimal(9,8)"
+MONEY = "decimal(22,6)"
+RATE = "decimal(12,8)"  # MONEY x RATE has 35 digits and MONEY x MONEY 32 before the point: both fit 38
 
 
 def _col(c: Column | str) -> Column:
@@ -18,18 +22,33 @@ def _col(c: Column | str) -> Column:
 
 
 def money(c: Column | str) -> Column:
-    """Monetary double -> DECIMAL(18,4), rounded half up beyond a hundredth of the smallest coin."""
-    return _col(c).cast(MONEY)
+    """Monetary double -> DECIMAL(22,6): six decimals, rounded half up beyond; null if it is no amount."""
+    return _col(c).try_cast(MONEY)
 
 
 def rate(c: Column | str) -> Column:
-    """A rate below 10 such as a commission share -> DECIMAL(9,8): eight decimals, products with money exact."""
-    return _col(c).cast(RATE)
+    """A rate such as a commission share -> DECIMAL(12,8): eight decimals, products with money exact; null if it is none."""
+    return _col(c).try_cast(RATE)
+
+
+def rejected(c: Column | str, kind: str = MONEY) -> Column:
+    """Number of rows whose value is present but no amount."""
+    return count_if(_col(c).isNotNull() & _col(c).try_cast(kind).isNull())
+
+
+def exact_sum(c: Column) -> Column:
+    """Exact sum of a DECIMAL; null for an empty input or beyond 38 digits."""
+    return F.try_sum(c)
 
 
 def money_sum(c: Column | str) -> Column:
     """Exact sum of a monetary column; 0 for an empty input (as an empty sum is 0, not null)."""
-    return F.coalesce(F.sum(money(c)), F.lit(0).cast(MONEY))
+    return sum_or_zero(money(c))
+
+
+def sum_or_zero(c: Column) -> Column:
+    """Exact sum of a DECIMAL; 0 where there is nothing to add, null beyond 38 digits."""
+    return F.when(F.count(c) == 0, F.lit(0).cast(MONEY)).otherwise(exact_sum(c))
 
 
 def to_double(dec: Column) -> Column:

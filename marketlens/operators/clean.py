@@ -64,12 +64,13 @@ def finish_users(users: DataFrame) -> DataFrame:
 
 
 def dedup_orders(orders: DataFrame) -> DataFrame:
-    """Dedup, parse and fix signs; rows without an order value are dropped (before the fence)."""
+    """Dedup, parse and fix signs; rows without an order value (or with one that is not a number) are dropped
+    (before the fence)."""
     orders = keep_first(orders, "order_id")
     fixes = {c: lenient_timestamp(orders, c) for c in ORDER_TIME_COLUMNS if c in orders.columns}
     fixes["payment_method"] = title_case("payment_method")
     fixes["delivery_fee"] = F.abs("delivery_fee")
-    return orders.withColumns(fixes).where(F.col("order_value").isNotNull())
+    return orders.withColumns(fixes).where(F.col("order_value").isNotNull() & ~F.isnan(F.col("order_value").cast("double")))
 
 
 def order_value_fence(orders: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Shared rollups: per-order facts, per-user, per-session and per-restaurant aggregates.
+"""Shared rollups: per-order facts, per-(user, year), per-user, per-session and per-restaurant aggregates.
 
 Every KPI family reads one of these instead of re-scanning orders once per metric. All of them are
 plain ``groupBy`` aggregates, so partial aggregation shrinks a hot key map-side before any shuffle.
@@ -7,12 +7,13 @@ plain ``groupBy`` aggregates, so partial aggregation shrinks a hot key map-side
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.dates import month_key, week_key, whole_seconds
-from marketlens.functions.numeric import money, money_sum, rate
+from marketlens.functions.dates import whole_seconds
+from marketlens.functions.numeric import exact_sum, money, money_sum, rate, sum_or_zero
 from marketlens.model import CANCELLED, DELIVERED
 
 
@@ -30,65 +31,125 @@ def commission() -> Column:
 
 
 def net_revenue() -> Column:
-    """Commission + delivery fee - rider cost - gateway fee - discount, exact (DECIMAL)."""
-    return (commission() + money("delivery_fee") - money("delivery_cost_to_rider")
-            - money("payment_gateway_fee") - money("discount_amount"))
+    """Commission + delivery fee - rider cost - gateway fee - discount, exact (DECIMAL): the amounts of six
+    decimals first, so the one addition with the commission keeps its fourteen."""
+    return commission() + ((money("delivery_fee") - money("delivery_cost_to_rider"))
+                           - (money("payment_gateway_fee") + money("discount_amount")))
 
 
 def delivered(orders: DataFrame) -> DataFrame:
     return orders.where(is_delivered())
 
 
-def user_days(orders: DataFrame) -> DataFrame:
-    """Distinct (user, day) rows with the day's order count and exact money sums."""
-    return orders.groupBy("user_id", "order_date").agg(
+#: Days of a year in words of DAY_BITS bits; the sign bit is never set, so bit arithmetic cannot overflow.
+DAY_WORDS, DAY_BITS = 6, 62
+
+
+def _day_words(c: Column) -> list[Column]:
+    """One BIGINT a word with the bit of the date's day of the year, 0 in the other words."""
+    day = F.dayofyear(c) - 1
+    word, bit = F.floor(day / DAY_BITS), F.pmod(day, F.lit(DAY_BITS))
+    return [F.when(word == i, F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))).otherwise(F.lit(0).cast("long")) for i in range(DAY_WORDS)]
+
+
+def calendar_bitmaps(c: str = "order_date") -> dict[str, Column]:
+    """Aggregates for a group of one calendar year: the days (b0 to b5), the ISO week numbers (weeks) and the months
+    that occur, each as a bitmap. A bitmap merges with ``bit_or``, so rows may be combined in any order."""
+    one, date = F.lit(1).cast("long"), F.col(c)
+    marks = {f"b{i}": w for i, w in enumerate(_day_words(date))}
+    marks["weeks"] = F.call_function("shiftleft", one, F.weekofyear(date))
+    marks["months"] = F.call_function("shiftleft", one, F.month(date))
+    return {name: F.coalesce(F.bit_or(F.coalesce(mark, F.lit(0).cast("long"))), F.lit(0).cast("long")) for name, mark in marks.items()}
+
+
+def bits(*names: str) -> Column:
+    """Set bits of several bitmaps."""
+    return reduce(lambda a, b: a + b, [F.bit_count(F.col(n)).cast("long") for n in names])
+
+
+DAYS = tuple(f"b{i}" for i in range(DAY_WORDS))
+
+
+def user_years(orders: DataFrame) -> DataFrame:
+    """One row per (user, calendar year): bitmaps of active days, weeks and months, order counts and exact money sums.
+    A year without a date is a row of its own, null."""
+    return orders.groupBy("user_id", F.year("order_date").alias("year")).agg(
+        *[c.alias(n) for n, c in calendar_bitmaps().items()],
+        F.min("order_date").alias("first_date"), F.max("order_date").alias("last_date"),
         F.count(F.lit(1)).alias("n"),
         money_sum("order_value").alias("monetary"),
-        F.coalesce(F.sum(net_revenue()), F.lit(0).cast("decimal(18,4)")).alias("ltv"),
+        sum_or_zero(net_revenue()).alias("ltv"),
         F.max(F.col("is_scheduled_order").cast("int")).alias("sched"),
         money_sum(F.when(is_delivered(), F.col("order_value"))).alias("dgmv"),
         F.sum(is_delivered().cast("int")).alias("dn"))
 
 
-def distinct_count(c: Column) -> Column:
-    """Distinct values of a calendar-derived column within a group, null counted as a value.
+def second_day() -> Column:
+    """Day of the year (from 0) of the second active day of a ``user_years`` row; null if there is none."""
+    words = [F.col(n) for n in DAYS]
+    before = [F.lit(0).cast("long")]
+    for w in words[:-1]:
+        before.append(before[-1].bitwiseOR(w))
+    # the first non-empty word loses its lowest bit
+    rest = [F.when((b == 0) & (w != 0), w.bitwiseAND(w - 1)).otherwise(w) for b, w in zip(before, words)]
+    lowest = [F.when(r != 0, F.bit_count(r.bitwiseAND(-r) - 1) + DAY_BITS * i) for i, r in enumerate(rest)]
+    return F.coalesce(*lowest)
 
-    Uses a set (bounded by the calendar span of the data) instead of a DISTINCT aggregate, so
-    several such counts in one groupBy need no Expand of the input rows."""
-    return F.size(F.collect_set(c)) + F.coalesce(F.max(F.when(c.isNull(), 1)), F.lit(0))
 
+NEVER = 1 << 20  # days, longer than any window asked for
 
-def user_rollup_from_days(days: DataFrame, week_mode: str = "reference") -> DataFrame:
-    """One row per ordering user (null user included as a group).
 
-    Columns: user_id, n_orders, first_order_date, last_order_date, active_days, active_weeks,
-    active_months, monetary (DECIMAL, all statuses), ltv (DECIMAL net revenue, all statuses),
-    gmv_delivered (DECIMAL), n_delivered, has_scheduled, retained_d7, retained_d30.
+def days_to_return() -> Column:
+    """Aggregate over a user's ``user_years``: days from the first active day to the next one, NEVER or more if none.
 
-    Retention needs each user's first date before looking at later orders. Working on distinct
-    (user, day) rows bounds a user's group by the calendar span of the data, so the per-user window
-    that finds the first day never sees an unbounded group, however many orders a user has.
+    Within the first year it is the gap to the second bit. A next day in the following year is the first day of
+    the earliest year of the other parity: a year of that parity that is no neighbour lies over a year away,
+    beyond any window. All minima of numbers: no set, no window, no sort.
     """
-    first = F.min("order_date").over(Window.partitionBy("user_id"))
-    offset = F.datediff(F.col("order_date"), F.col("_first"))
-    return days.withColumn("_first", first).groupBy("user_id").agg(
+    first = F.datediff("first_date", F.lit(dt.date(1970, 1, 1))).cast("long")
+    gap = F.coalesce(second_day() - (F.dayofyear("first_date") - 1), F.lit(NEVER)).cast("long")
+    odd = F.pmod(F.col("year"), F.lit(2)) == 1
+    a, b = F.min(F.when(odd, first)), F.min(F.when(~odd, first))
+    earliest = F.min(F.when(first.isNotNull(), first * (2 * NEVER) + gap))  # the first year's gap comes with its day
+    return F.least(F.pmod(earliest, F.lit(2 * NEVER)), F.coalesce(F.abs(a - b), F.lit(NEVER)))
+
+
+def user_rollup_from_years(years: DataFrame) -> DataFrame:
+    """One row per ordering user (null user included as a group).
+
+    Columns: user_id, n_orders, first_order_date, last_order_date, active_days, active_weeks (calendar year and ISO
+    week), active_months, monetary (DECIMAL, all statuses), ltv (DECIMAL net revenue, all statuses),
+    gmv_delivered (DECIMAL), n_delivered, has_scheduled, retained_d7, retained_d30. An undated order is one more
+    day, week and month.
+    """
+    undated = F.col("year").isNull().cast("long")
+    back = days_to_return()
+    return years.groupBy("user_id").agg(
         F.sum("n").alias("n_orders"),
-        F.min("order_date").alias("first_order_date"),
-        F.max("order_date").alias("last_order_date"),
-        F.count(F.lit(1)).alias("active_days"),  # input rows are distinct (user, day)
-        distinct_count(week_key("order_date", week_mode)).alias("active_weeks"),
-        distinct_count(month_key("order_date")).alias("active_months"),
-        F.sum("monetary").alias("monetary"),
-        F.sum("ltv").alias("ltv"),
-        F.sum("dgmv").alias("gmv_delivered"),
+        F.min("first_date").alias("first_order_date"),
+        F.max("last_date").alias("last_order_date"),
+        F.sum(bits(*DAYS) + undated).alias("active_days"),
+        F.sum(bits("weeks") + undated).alias("active_weeks"),
+        F.sum(bits("months") + undated).alias("active_months"),
+        exact_sum(F.col("monetary")).alias("monetary"),
+        exact_sum(F.col("ltv")).alias("ltv"),
+        exact_sum(F.col("dgmv")).alias("gmv_delivered"),
         F.sum("dn").alias("n_delivered"),
         F.coalesce(F.max("sched"), F.lit(0)).alias("has_scheduled"),
-        F.max(offset.between(1, 7).cast("int")).alias("retained_d7"),
-        F.max(offset.between(1, 30).cast("int")).alias("retained_d30"))
+        (back <= 7).cast("int").alias("retained_d7"),
+        (back <= 30).cast("int").alias("retained_d30"))
 
 
 def user_rollup(orders: DataFrame) -> DataFrame:
-    return user_rollup_from_days(user_days(orders))
+    return user_rollup_from_years(user_years(orders))
+
+
+def iso_weeks(orders: DataFrame, *keys: str) -> DataFrame:
+    """Distinct ISO weeks (ISO year and week) per ``keys``, as bitmaps by ISO year: keys, iso_weeks."""
+    d = F.col("order_date")
+    iso_year = F.year(F.date_add(d, F.lit(3) - F.weekday(d)))
+    years = orders.groupBy(*keys, iso_year.alias("year")).agg(calendar_bitmaps()["weeks"].alias("weeks"))
+    return years.groupBy(*keys).agg(F.sum(bits("weeks") + F.col("year").isNull().cast("long")).alias("iso_weeks"))
 
 
 def delivered_by(orders: DataFrame, key: str) -> DataFrame:
@@ -97,7 +158,7 @@ def delivered_by(orders: DataFrame, key: str) -> DataFrame:
     Used before joining a dimension (users, restaurants): the join then moves one row per key
     instead of one row per order, and partial aggregation has already collapsed hot keys.
     """
-    return delivered(orders).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count("order_value").alias("nv"),
+    return delivered(orders).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count(money("order_value")).alias("nv"),
                                               money_sum("order_value").alias("gmv"))
 
 
@@ -112,7 +173,7 @@ def restaurant_rollup(orders: DataFrame, split_date: dt.date) -> DataFrame:
     """One row per restaurant with orders: delivered GMV (DECIMAL) and first/second-half activity."""
     first_half = F.col("order_date") < F.lit(split_date)
     return orders.groupBy("restaurant_id").agg(
-        F.coalesce(F.sum(F.when(is_delivered(), money("order_value"))), F.lit(0).cast("decimal(18,4)")).alias("gmv"),
+        money_sum(F.when(is_delivered(), F.col("order_value"))).alias("gmv"),
         F.max(F.when(is_delivered(), 1).otherwise(0)).alias("has_delivered"),
         F.max(F.when(first_half, 1).otherwise(0)).alias("in_h1"),
         F.max(F.when(first_half, 0).otherwise(1)).alias("in_h2"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.numeric import money_sum, n_unique, round_pct, to_double
-from marketlens.model import AGE_BANDS, AGE_LAST_BAND, CANCELLED, FUNNEL_STAGES, UNKNOWN, Marketplace
+from marketlens.model import AGE_BANDS, AGE_LAST_BAND, CANCELLED, DELIVERED, FUNNEL_STAGES, UNKNOWN, Marketplace
 from marketlens.operators.joins import scalars
 from marketlens.operators.rollups import delivered, delivered_by
 from marketlens.plans.kpis import demo_breakdown, stage_sessions
@@ -163,8 +163,8 @@ def growth_trend(m: Marketplace, metric: str | None = None, grain: str | None =
     if not chosen:
         raise ValueError(f"unknown trend {metric!r}/{grain!r}")
     g = m.orders.groupingSets([["order_date"], ["order_month"]], "order_date", "order_month").agg(
-        _count("orders"), F.sum(F.when(F.col("order_status") == "Delivered", 1).otherwise(0)).alias("_nd"),
-        money_sum(F.when(F.col("order_status") == "Delivered", F.col("order_value"))).alias("_gmv"),
+        _count("orders"), F.sum(F.when(F.col("order_status") == DELIVERED, 1).otherwise(0)).alias("_nd"),
+        money_sum(F.when(F.col("order_status") == DELIVERED, F.col("order_value"))).alias("_gmv"),
         F.grouping("order_date").alias("_by_month"))
     g = g.select(F.when(F.col("_by_month") == 0, F.lit("Daily")).otherwise(F.lit("Monthly")).alias("grain"),
                  F.when(F.col("_by_month") == 0, F.col("order_date").cast("string")).otherwise(F.col("order_month")).alias("period"),

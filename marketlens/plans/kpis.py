@@ -6,8 +6,8 @@ KPIs are computed from a few fused one-row "parts" instead of one aggregate per
   A/B moments): serves revenue, operations, product, conversion, A/B and most of marketplace;
 - ``users`` / ``user_rollup``: one pass over users, one over the per-user rollup (retention, LTV,
   scheduled adoption, distinct ordering users);
-- ``sessions``, ``restaurants``, ``nps``, ``demographics``; DAU/WAU/MAU come from the user rollup
-  (distinct user-period pairs) and the calendar-bounded set of order dates, with no extra pass.
+- ``sessions``, ``restaurants``, ``nps``, ``demographics``; DAU/WAU/MAU come from the calendar bitmaps of the
+  user rollup (distinct user-period pairs) and of the orders aggregate (periods), with no extra pass.
 
 A family computes only the parts it needs; ``kpi_all`` computes every part once and combines them
 without joins, so each base table is scanned a handful of times for all 61 KPIs. Nothing is
@@ -22,14 +22,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.functions.dates import month_key, week_key, whole_minutes, whole_seconds
-from marketlens.functions.numeric import (count_if, money, money_sum, n_unique, pct, pct_or_zero, ratio,
-                                          to_double)
+from marketlens.functions.dates import month_key, whole_minutes, whole_seconds
+from marketlens.functions.numeric import (count_if, exact_sum, money, money_sum, n_unique, pct, pct_or_zero, ratio,
+                                          sum_or_zero, to_double)
 from marketlens.functions.stats import normal_two_sided_p, student_t_two_sided_p
 from marketlens.model import AB_GROUPS, KpiConfig, Marketplace
 from marketlens.operators.joins import one_row_of, scalars
-from marketlens.operators.rollups import (commission, delivered, is_cancelled, is_delivered, net_revenue,
-                                          delivered_by, restaurant_rollup, user_days, user_rollup_from_days)
+from marketlens.operators.rollups import (DAYS, bits, calendar_bitmaps, commission, delivered, delivered_by, is_cancelled,
+                                          is_delivered, iso_weeks, net_revenue, restaurant_rollup, user_rollup)
 
 DEMO_KPI_PREFIX = {"gender": "top_gender", "profession": "top_profession", "income_bracket": "top_income",
                    "age_group": "top_age_group"}
@@ -47,13 +47,13 @@ def _d(a: Column, b: Column) -> Column:
 
 
 def _dsum(c: Column) -> Column:
-    return F.coalesce(F.sum(c), F.lit(0).cast("decimal(18,4)"))
+    return sum_or_zero(c)
 
 
 # ---- parts -------------------------------------------------------------------------------------
-def part_orders(m: Marketplace) -> DataFrame:
-    """One hash aggregate of orders by day, whose rows (as many as days) are then summed up; the set of
-    days is collected from those rows, not from orders."""
+def part_orders(m: Marketplace, cfg: KpiConfig = KpiConfig()) -> DataFrame:
+    """One hash aggregate of orders by calendar year, whose rows (as many as years) are then summed up. The
+    days, weeks and months with orders are bitmaps of the year, so nothing is collected."""
     d = is_delivered()
 
     def when_d(c: Column) -> Column:
@@ -63,12 +63,12 @@ def part_orders(m: Marketplace) -> DataFrame:
         """Sum and count, for a mean over all days."""
         return {f"{name}_s": F.sum(c), f"{name}_n": F.count(c)}
 
-    daily = {
+    yearly = {
         "n_orders": F.count(F.lit(1)), "n_delivered": count_if(d), "n_cancelled": count_if(is_cancelled()),
-        "_gmv": F.sum(when_d(money("order_value"))), "_commission": F.sum(when_d(commission())),
-        "_fees": F.sum(when_d(money("delivery_fee"))), "_margin": F.sum(when_d(net_revenue())),
-        "_n_margin": F.count(when_d(net_revenue())), "_n_value": F.count(when_d(F.col("order_value"))),
-        "_rider": F.sum(when_d(money("delivery_cost_to_rider"))), "_promo": count_if(F.col("is_promo_used")),
+        "_gmv": exact_sum(when_d(money("order_value"))), "_commission": exact_sum(when_d(commission())),
+        "_fees": exact_sum(when_d(money("delivery_fee"))), "_margin": exact_sum(when_d(net_revenue())),
+        "_n_margin": F.count(when_d(net_revenue())), "_n_value": F.count(when_d(money("order_value"))),
+        "_rider": exact_sum(when_d(money("delivery_cost_to_rider"))), "_promo": count_if(F.col("is_promo_used")),
     }
     means = {
         "avg_delivery_time": when_d(whole_minutes("order_placed_time", "delivered_time")),
@@ -78,24 +78,30 @@ def part_orders(m: Marketplace) -> DataFrame:
         "avg_basket_size": F.col("items_count"),
     }
     for name, c in means.items():
-        daily |= both(c, name)
+        yearly |= both(c, name)
     for prefix, group in zip(("c", "t"), AB_GROUPS):
         g = F.col("ab_test_group") == group
         dv = g & d
-        daily |= {f"{prefix}_n": count_if(g), f"{prefix}_x": count_if(dv), f"{prefix}_k": F.count(F.when(dv, F.col("order_value"))),
-                  f"{prefix}_s1": F.sum(F.when(dv, money("order_value"))),
-                  f"{prefix}_s2": F.sum(F.when(dv, money("order_value") * money("order_value")))}
-    days = m.orders.groupBy("order_date").agg(*[c.alias(n) for n, c in daily.items()])
-    counts = {n for n in daily if n[0] == "n" or n in ("_n_margin", "_n_value", "_promo") or n[2:] in ("n", "x", "k")}
-    zeros = {"_gmv", "_commission", "_fees", "_rider", "c_s1", "t_s1", "c_s2", "t_s2"}  # an empty sum is 0
-    whole = {n: F.sum(n) for n in daily if not n.endswith(("_s", "_n")) or n in counts}
-    whole = {n: F.coalesce(c, F.lit(0)) if n in counts else F.coalesce(c, F.lit(0).cast("decimal(18,4)")) if n in zeros else c
-             for n, c in whole.items()}
+        yearly |= {f"{prefix}_n": count_if(g), f"{prefix}_x": count_if(dv), f"{prefix}_k": F.count(F.when(dv, money("order_value"))),
+                  f"{prefix}_s1": exact_sum(F.when(dv, money("order_value"))),
+                  f"{prefix}_s2": exact_sum(F.when(dv, money("order_value") * money("order_value")))}
+    exact = {"_gmv", "_commission", "_fees", "_margin", "_rider", "c_s1", "t_s1", "c_s2", "t_s2"}
+    years = m.orders.groupBy(F.year("order_date").alias("year")).agg(
+        *[c.alias(n) for n, c in {**yearly, **calendar_bitmaps()}.items()],
+        F.min("order_date").alias("_first"), F.max("order_date").alias("_last"))
+    counts = {n for n in yearly if n[0] == "n" or n in ("_n_margin", "_n_value", "_promo") or n[2:] in ("n", "x", "k")}
+    whole = {n: sum_or_zero(F.col(n)) if n in exact - {"_margin"} else exact_sum(F.col(n)) if n in exact else F.coalesce(F.sum(n), F.lit(0))
+             for n in yearly if n in counts or n in exact}
     whole |= {n: _d(F.sum(f"{n}_s").cast("double"), F.sum(f"{n}_n").cast("double")) for n in means}
-    return days.agg(
-        *[c.alias(n) for n, c in whole.items()], F.datediff(F.max("order_date"), F.min("order_date")).alias("_days"),
-        F.collect_set("order_date").alias("_dates"),  # the denominators of DAU / WAU / MAU
-        F.coalesce(F.max(F.col("order_date").isNull().cast("int")), F.lit(0)).alias("_null_date"))
+    # periods with orders, an undated order being one more: the denominators of DAU / WAU / MAU
+    undated = F.col("year").isNull().cast("long")
+    periods = {"_day_periods": bits(*DAYS), "_week_periods": bits("weeks"), "_month_periods": bits("months")}
+    row = years.agg(
+        *[c.alias(n) for n, c in whole.items()], F.datediff(F.max("_last"), F.min("_first")).alias("_days"),
+        *[F.sum(c + undated).alias(n) for n, c in periods.items()])
+    if cfg.week_key == "iso":
+        return _one(row.drop("_week_periods"), iso_weeks(m.orders).withColumnRenamed("iso_weeks", "_week_periods"))
+    return row
 
 
 def part_users(m: Marketplace) -> DataFrame:
@@ -103,7 +109,14 @@ def part_users(m: Marketplace) -> DataFrame:
 
 
 def _rollup(m: Marketplace, cfg: KpiConfig = KpiConfig()) -> DataFrame:
-    return user_rollup_from_days(user_days(m.orders), cfg.week_key)
+    rollup = user_rollup(m.orders)
+    if cfg.week_key == "reference":
+        return rollup
+    if cfg.week_key != "iso":
+        raise ValueError(f"unknown week key mode {cfg.week_key!r}")
+    weeks = iso_weeks(m.orders, "user_id").select(F.col("user_id").alias("_u"), "iso_weeks")
+    return (rollup.join(weeks, F.col("user_id").eqNullSafe(F.col("_u")), "left").drop("_u")
+            .withColumn("active_weeks", F.col("iso_weeks")).drop("iso_weeks"))
 
 
 def _user_rollup_aggs() -> dict[str, Column]:
@@ -118,7 +131,7 @@ def _user_rollup_aggs() -> dict[str, Column]:
         "_ret_orders": F.coalesce(F.sum(F.when(user & (F.col("active_months") >= 2), F.col("n_orders"))), F.lit(0)),
         "_ret_users": count_if(F.col("active_months") >= 2),
         "_sched": count_if(F.col("has_scheduled") == 1),
-        "_ltv": F.sum("ltv"),
+        "_ltv": exact_sum(F.col("ltv")),
         "avg_ttfo": F.avg(F.when(ttfo >= 0, ttfo)),
         "_subs": count_if(F.col("is_subscriber")),
         "_user_days": F.sum("active_days"), "_user_weeks": F.sum("active_weeks"), "_user_months": F.sum("active_months"),
@@ -131,8 +144,7 @@ def part_user_rollup(m: Marketplace, cfg: KpiConfig) -> DataFrame:
     ur = _rollup(m, cfg).join(m.users.select("user_id", "signup_date", "is_subscriber"), "user_id", "left")
     r = ur.agg(*[c.alias(n) for n, c in _user_rollup_aggs().items()])
     if cfg.ltv_delivered_only:
-        ltv = user_rollup_from_days(user_days(delivered(m.orders))).agg(F.sum("ltv").alias("_ltv"),
-                                                                         F.count(F.lit(1)).alias("_ltv_n"))
+        ltv = user_rollup(delivered(m.orders)).agg(exact_sum(F.col("ltv")).alias("_ltv"), F.count(F.lit(1)).alias("_ltv_n"))
         return _one(r.drop("_ltv"), ltv)
     return r.withColumn("_ltv_n", F.col("n_order_users"))
 
@@ -193,7 +205,7 @@ def part_restaurants(m: Marketplace, cfg: KpiConfig) -> DataFrame:
         count_if((F.col("in_h1") == 1) & (F.col("in_h2") == 0)).alias("_lost"),
         F.collect_list(cand).alias("_cands"))
     best = F.slice(F.array_sort(F.col("_cands")), 1, TOP_K)
-    top = F.aggregate(best, F.lit(0).cast("decimal(38,4)"), lambda acc, x: (acc - x["neg"]).cast("decimal(38,4)"))
+    top = F.aggregate(best, F.lit(0).cast("decimal(38,6)"), lambda acc, x: (acc - x["neg"]).cast("decimal(38,6)"))
     counts = agg.select("active_restaurants", "_h1", "_lost", top.alias("_top"))
     total = m.restaurants.agg(n_unique("restaurant_id").alias("total_restaurants"))
     return _one(counts, total)
@@ -255,11 +267,10 @@ def _avg_ltv() -> Column:
     return ratio(to_double(F.col("_ltv")), F.col("_ltv_n"))
 
 
-def _avg_active(pairs: str, period) -> Column:
-    """Mean distinct ordering users per period = distinct (user, period) pairs / distinct periods.
-    Pairs come from the user rollup; periods from the calendar-bounded set of order dates."""
-    periods = F.size(F.array_distinct(F.transform(F.col("_dates"), period))) + F.col("_null_date")
-    return _d(F.col(pairs).cast("double"), periods.cast("double"))
+def _avg_active(period: str) -> Column:
+    """Mean distinct ordering users per period = distinct (user, period) pairs / distinct periods, both counted from
+    bitmaps: the pairs by the user rollup, the periods by the orders aggregate."""
+    return _d(F.col(f"_user_{period}s").cast("double"), F.col(f"_{period}_periods").cast("double"))
 
 
 def ab_moments() -> dict[str, Column]:
@@ -325,10 +336,8 @@ def _families(cfg: KpiConfig) -> dict[str, tuple[list[str], Callable[[], list[Co
             pct(F.col("n_order_users"), F.col("n_users")).alias("activation_rate"), F.col("avg_ttfo"),
             _cac(cfg).alias("cac")]),
         "engagement": (["orders", "user_rollup", "sessions"], lambda: [
-            _avg_active("_user_days", lambda d: d).alias("avg_dau"),
-            _avg_active("_user_weeks", lambda d: week_key(d, cfg.week_key)).alias("avg_wau"),
-            _avg_active("_user_months", month_key).alias("avg_mau"),
-            (_d(_avg_active("_user_days", lambda d: d), _avg_active("_user_months", month_key)) * 100).alias("stickiness"),
+            _avg_active("day").alias("avg_dau"), _avg_active("week").alias("avg_wau"), _avg_active("month").alias("avg_mau"),
+            (_d(_avg_active("day"), _avg_active("month")) * 100).alias("stickiness"),
             ratio(F.col("n_orders"), F.col("n_order_users")).alias("orders_per_user"),
             F.col("avg_session_frequency"), F.col("avg_session_duration_sec")]),
         "conversion": (["orders", "sessions"], lambda: [
@@ -378,7 +387,7 @@ def _families(cfg: KpiConfig) -> dict[str, tuple[list[str], Callable[[], list[Co
 
 def _parts(m: Marketplace, cfg: KpiConfig, names: list[str], ab: bool = False) -> DataFrame:
     builders = {
-        "orders": lambda: part_orders(m), "users": lambda: part_users(m),
+        "orders": lambda: part_orders(m, cfg), "users": lambda: part_users(m),
         "user_rollup": lambda: part_user_rollup(m, cfg),
         "sessions": lambda: part_sessions(m), "restaurants": lambda: part_restaurants(m, cfg),
         "nps": lambda: part_nps(m), "demographics": lambda: part_demographics(m),

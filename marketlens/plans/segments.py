@@ -5,55 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.dates import month_key, months_between_calendar
-from marketlens.functions.numeric import round_pct, to_double
+from marketlens.functions.dates import month_key
+from marketlens.functions.numeric import exact_sum, round_pct, to_double
 from marketlens.model import OTHER_SEGMENT, RFM_MAX_BINS, SEGMENT_RULES, Marketplace
 from marketlens.operators.joins import scalars
 from marketlens.operators.rank import frequency_bins
-from marketlens.operators.rollups import user_rollup
+from marketlens.operators.rollups import calendar_bitmaps, user_rollup
 from marketlens.sources.tables import staged
 
 def cohort_retention(m: Marketplace) -> DataFrame:
     """T11 (long form): cohort_month, month_offset >= 0, active_users, cohort_size, retention_pct (1 dp).
 
-    Orders are first reduced to distinct (user, order month): the cohort maths only needs that, and
-    the reduction happens map-side, so the join with users moves a fraction of the order rows.
+    Orders are first reduced to one bitmap of active months per (user, year), map-side; the join with users moves
+    only those. Active users of a month are then the sum of one bit, twelve sums per (cohort, year).
     """
-    months = (m.orders.select("user_id", F.trunc("order_date", "month").alias("order_month_start"))
-              .distinct())
+    active = m.orders.groupBy("user_id", F.year("order_date").alias("year")).agg(calendar_bitmaps()["months"].alias("months"))
     signups = m.users.select("user_id", "signup_date")
-    active = (months.join(signups, "user_id")
-              .select("user_id", month_key("signup_date").alias("cohort_month"),
-                      months_between_calendar("order_month_start", "signup_date").alias("month_offset"))
-              .where(F.col("month_offset") >= 0)
-              .groupBy("cohort_month", "month_offset").agg(F.count(F.lit(1)).alias("active_users")))
+    per_month = {i: F.sum(F.call_function("shiftright", F.col("months"), F.lit(i)).bitwiseAND(F.lit(1))) for i in range(1, 13)}
+    cohorts = active.join(signups, "user_id").groupBy(F.trunc("signup_date", "month").alias("cohort"), "year").agg(
+        *[c.alias(f"m{i}") for i, c in per_month.items()])
+    months = F.array(*[F.struct(F.lit(i).alias("month"), F.col(f"m{i}").alias("active_users")) for i in per_month])
+    each = (cohorts.select("cohort", "year", F.explode(months).alias("m"))
+            .select(F.date_format("cohort", "yyyy-MM").alias("cohort_month"), "m.active_users",
+                    ((F.col("year") - F.year("cohort")) * 12 + F.col("m.month") - F.month("cohort")).alias("month_offset"))
+            .where((F.col("month_offset") >= 0) & (F.col("active_users") > 0)))
     sizes = m.users.groupBy(month_key("signup_date").alias("cohort_month")).agg(F.count(F.lit(1)).alias("cohort_size"))
-    return (active.join(sizes, "cohort_month")
+    return (each.join(sizes, "cohort_month")
             .select("cohort_month", "month_offset", "active_users", "cohort_size",
                     round_pct(F.col("active_users"), F.col("cohort_size"), 1).alias("retention_pct")))
 
 
-def _by_cohort(m: Marketplace) -> DataFrame:
-    """(cohort_month, pct map by month offset, last offset of any cohort). The cohorts are few (calendar
-    months), so their maps pass through one aggregate, which leaves one pass over the orders."""
-    maps = cohort_retention(m).groupBy("cohort_month").agg(
-        F.map_from_entries(F.collect_list(F.struct("month_offset", "retention_pct"))).alias("pct"), F.max("month_offset").alias("top"))
-    whole = maps.agg(F.collect_list(F.struct("cohort_month", "pct")).alias("c"), F.max("top").alias("top"))
-    return whole.select(F.explode("c").alias("c"), "top").select("c.cohort_month", "c.pct", "top")
-
-
 def cohort_matrix(m: Marketplace) -> DataFrame:
     """T12 as a full grid: (cohort_month, month_offset, retention_pct) for every cohort and every offset
-    from 0 to the largest; missing = null."""
-    grid = _by_cohort(m).select("cohort_month", "pct", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("month_offset"))
-    return grid.select("cohort_month", "month_offset", F.expr("try_element_at(pct, month_offset)").alias("retention_pct"))
+    from 0 to the largest; missing = null. The long form, one row per cohort and month, is written once, so
+    the grid reads no order again."""
+    long = staged(cohort_retention(m), "cohorts")
+    top = scalars(long.agg(F.max("month_offset").alias("_top")))["_top"]
+    grid = long.select("cohort_month").distinct().select("cohort_month", F.explode(F.sequence(F.lit(0), top)).alias("month_offset"))
+    return grid.join(long.select("cohort_month", "month_offset", "retention_pct"), ["cohort_month", "month_offset"], "left")
 
 
 def cohort_heat(m: Marketplace) -> DataFrame:
     """The same, one row a cohort: heat_cols (the offsets) and heat_data (retention by offset)."""
-    columns = F.sequence(F.lit(0), F.col("top"))
-    return _by_cohort(m).select("cohort_month", columns.alias("heat_cols"),
-                                F.transform(columns, lambda i: F.try_element_at("pct", i)).alias("heat_data"))
+    cells = F.sort_array(F.collect_list(F.struct("month_offset", "retention_pct")))
+    return cohort_matrix(m).groupBy("cohort_month").agg(cells.alias("c")).select(
+        "cohort_month", F.col("c.month_offset").alias("heat_cols"), F.col("c.retention_pct").alias("heat_data"))
 
 
 def segment_label(r: Column, f: Column, bins: Column) -> Column:
@@ -76,10 +72,10 @@ def order_keys(c: str, descending: bool = False) -> list[Column]:
 
 
 def decimal_keys(c: str) -> list[Column]:
-    """The same for an exact sum of money: whole 10^8 first, then what is left in 10^-4."""
-    amount = F.col(c).cast("decimal(38,4)")
+    """The same for an exact sum of money: whole 10^8 first, then what is left in 10^-6."""
+    amount = F.col(c).cast("decimal(38,6)")
     high = F.floor(amount / F.lit(10 ** 8)).cast("long")
-    low = ((amount - high.cast("decimal(30,0)") * F.lit(10 ** 8)) * F.lit(10 ** 4)).cast("long")
+    low = ((amount - high.cast("decimal(30,0)") * F.lit(10 ** 8)) * F.lit(10 ** 6)).cast("long")
     return [F.col(c).isNotNull().cast("long"), F.coalesce(high, F.lit(0)), F.coalesce(low, F.lit(0))]
 
 
@@ -116,7 +112,7 @@ def segment_summary(m: Marketplace, ranked: DataFrame | None = None) -> DataFram
     """Users per segment with mean spend and mean recency (0 dp)."""
     return (ranked if ranked is not None else _rfm(m)).groupBy("segment_label").agg(
         F.count(F.lit(1)).alias("users"),
-        F.round(to_double(F.sum("_monetary_dec")) / F.count("_monetary_dec"), 0).alias("avg_spend"),
+        F.round(to_double(exact_sum(F.col("_monetary_dec"))) / F.count("_monetary_dec"), 0).alias("avg_spend"),
         F.round(F.avg("recency_days"), 0).alias("avg_recency_days"))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens.functions.numeric import money
+from marketlens.functions.numeric import money_sum
 from marketlens.model import DELIVERED
 
 
@@ -38,7 +38,7 @@ def daily_trends(raw_orders: DataFrame, fence: float | None = None, watermark: s
     # one state row per calendar day: bounded by the calendar, not by the number of orders
     daily = orders.groupBy(F.to_date("order_placed_time").alias("order_date")).agg(
         F.count(F.lit(1)).alias("orders"),
-        F.coalesce(F.sum(F.when(F.col("order_status") == DELIVERED, money(value))), F.lit(0).cast("decimal(18,4)")).alias("_gmv"))
+        money_sum(F.when(F.col("order_status") == DELIVERED, value)).alias("_gmv"))
     return daily.select("order_date", "orders",
                         F.round("_gmv", 4).cast("double").alias("gmv"))
 
