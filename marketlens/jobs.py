@@ -1,6 +1,6 @@
 """Batch refresh job: the Spark counterpart of the dashboard's daily reload.
 
-raw tables -> clean -> materialise -> every KPI and chart table for one filter selection ->
+raw tables -> cleaned, stored tables -> every KPI and chart table for one filter selection ->
 parquet, one folder per result. Writes are independent jobs and are submitted together.
 
     spark-submit ... -m marketlens.jobs --tables /shared/raw --out /shared/marketlens/2026-12-02
@@ -43,11 +43,11 @@ def results(m: Marketplace, spec: FilterSpec | None = None, cfg: KpiConfig = Kpi
 
 def refresh(raw: Marketplace, out_root: str, spec: FilterSpec | None = None, cfg: KpiConfig = KpiConfig(),
             threads: int = 8) -> dict[str, str]:
-    """Clean, materialise, compute and write all results; returns name -> path.
+    """Clean and store the tables, compute and write all results; returns name -> path.
 
     The wide KPI row is written first; the long form is derived from that written row, so the 61
     KPIs are computed once."""
-    m = materialize(api.clean_data(raw))
+    m = api.clean_data(raw)
     tables = results(m, spec, cfg)
     root = out_root.rstrip("/")
     paths = {name: f"{root}/{name}" for name in tables}

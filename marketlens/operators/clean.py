@@ -3,6 +3,9 @@ median imputation, upper-fence winsorising)."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,12 +13,12 @@ from pyspark.sql import types as T
 from marketlens.functions.dates import lenient_date, lenient_timestamp, signup_date
 from marketlens.functions.text import strip_ws, title_case
 from marketlens.model import (AGE_BANDS, AGE_LAST_BAND, DEMOGRAPHIC_COLUMNS, IQR_MULTIPLIER, ORDER_FLAG_COLUMNS,
-                              ORDER_TIME_COLUMNS, UNKNOWN, Marketplace)
+                              ORDER_TIME_COLUMNS, TABLE_NAMES, UNKNOWN, Marketplace)
 from marketlens.operators.dedup import distinct_rows, keep_first
 from marketlens.operators.joins import scalars
 from marketlens.operators.rank import quantile_nearest
-from marketlens.session import checkpoint_dir
-from marketlens.sources.tables import staged
+from marketlens.sources.tables import shared_folder, staged, stored
+
 
 def ensure_bool(df: DataFrame, columns: list[str]) -> DataFrame:
     """0/1 integers (or their strings) -> boolean, for present non-boolean columns; junk -> null."""
@@ -46,23 +49,34 @@ def clean_users(users: DataFrame) -> DataFrame:
     return finish_users(dedup_users(users))
 
 
+def median_age(users: DataFrame) -> DataFrame:
+    """One row: the exact median (mean of the two middle values for an even count). Its aggregation buffer is a
+    value -> count map, bounded here by the handful of distinct ages, merged map-side."""
+    return users.agg(F.median(F.col("age").cast("double")).alias("_median_age"))
+
+
 def finish_users(users: DataFrame) -> DataFrame:
-    # exact median (mean of the two middle values for an even count); its aggregation buffer is a
-    # value -> count map, bounded here by the handful of distinct ages, merged map-side
-    median_age = scalars(users.agg(F.median(F.col("age").cast("double")).alias("_median_age")))["_median_age"]
+    return fill_ages(conform_users(users), scalars(median_age(users))["_median_age"])
+
+
+def conform_users(users: DataFrame) -> DataFrame:
+    """Everything that needs the row alone."""
     users = users.withColumns({
         "city": title_case(strip_ws("city")),
         "signup_date": signup_date(users),
         "device_type": F.coalesce(F.col("device_type"), F.lit(UNKNOWN)),
-        "age": F.coalesce(F.col("age").cast("double"), median_age),
+        "age": F.col("age").cast("double"),
         "gender": F.coalesce(title_case(strip_ws("gender")), F.lit(UNKNOWN)),
         "profession": F.coalesce(title_case(strip_ws("profession")), F.lit(UNKNOWN)),
         "income_bracket": F.coalesce(F.col("income_bracket"), F.lit(UNKNOWN)),
     })
-    users = users.withColumn("age_group", age_band(F.col("age")))
     return ensure_bool(users, ["is_subscriber"])
 
 
+def fill_ages(users: DataFrame, median: Column) -> DataFrame:
+    return users.withColumn("age", F.coalesce("age", median)).withColumn("age_group", age_band(F.col("age")))
+
+
 def dedup_orders(orders: DataFrame) -> DataFrame:
     """Dedup, parse and fix signs; rows without an order value (or with one that is not a number) are dropped
     (before the fence)."""
@@ -81,24 +95,23 @@ def order_value_fence(orders: DataFrame) -> DataFrame:
     return row.withColumn("upper_fence", F.col("q3") + IQR_MULTIPLIER * (F.col("q3") - F.col("q1")))
 
 
-def raw_order_value_fence(orders: DataFrame) -> DataFrame:
-    """The fence of raw orders as its own job: deduplicate once, keep only the value column in a
-    reliable checkpoint (one double per order), and let the quantile passes read that."""
-    checkpoint_dir(orders.sparkSession)
-    values = dedup_orders(orders).select("order_value").checkpoint(eager=True)
-    return order_value_fence(values)
+def finish_orders(deduplicated: DataFrame) -> DataFrame:
+    """Calendar columns and boolean flags, values capped at the upper fence."""
+    return cap_values(dated(deduplicated), scalars(order_value_fence(deduplicated).select("upper_fence"))["upper_fence"])
 
 
-def finish_orders(staged: DataFrame) -> DataFrame:
-    """Winsorise at the upper fence, add calendar columns and boolean flags."""
-    fence = scalars(order_value_fence(staged).select("upper_fence"))["upper_fence"]
-    capped = staged.withColumn(
-        "order_value", F.when(F.col("order_value") > fence, fence).otherwise(F.col("order_value")))
-    capped = capped.withColumns({
+def dated(orders: DataFrame) -> DataFrame:
+    """Everything that needs the row alone."""
+    orders = orders.withColumns({
         "order_date": F.to_date("order_placed_time"),
         "order_month": F.date_format("order_placed_time", "yyyy-MM"),
     })
-    return ensure_bool(capped, ORDER_FLAG_COLUMNS)
+    return ensure_bool(orders, ORDER_FLAG_COLUMNS)
+
+
+def cap_values(orders: DataFrame, fence: Column) -> DataFrame:
+    """Winsorise at the upper fence."""
+    return orders.withColumn("order_value", F.when(F.col("order_value") > fence, fence).otherwise(F.col("order_value")))
 
 
 def clean_orders(orders: DataFrame) -> DataFrame:
@@ -117,15 +130,52 @@ def clean_nps(nps: DataFrame) -> DataFrame:
             .where(F.col("nps_score").between(0, 10)))
 
 
-def clean(raw: Marketplace, stage: bool = True) -> Marketplace:
-    """All cleaning jobs; restaurants and riders pass through unchanged.
+@dataclass(frozen=True)
+class Cleaned:
+    """Stored clean tables, and the one-row table of the fence they were capped at."""
 
-    With ``stage`` the deduplicated orders and users are written once to the shared folder: the fence
-    and the median then read one column of them, and the final pass only caps and fills. Nothing is
-    cached on executors, so a lost one costs no second deduplication.
-    """
-    orders, users = dedup_orders(raw.orders), dedup_users(raw.users)
+    tables: Marketplace
+    fence: DataFrame
+
+
+def clean(raw: Marketplace, stage: bool = True) -> Marketplace:
+    """All cleaning jobs; restaurants and riders pass through unchanged. With ``stage`` the tables are stored
+    (``clean_stored``), otherwise they stay plans."""
     if stage:
-        orders, users = staged(orders, "orders-dedup"), staged(users, "users-dedup")
-    return raw.with_(users=finish_users(users), orders=finish_orders(orders),
+        return clean_stored(raw).tables
+    return raw.with_(users=clean_users(raw.users), orders=clean_orders(raw.orders),
                      events=clean_events(raw.events), nps=clean_nps(raw.nps))
+
+
+def clean_stored(raw: Marketplace, root: str | None = None, land: bool = False) -> Cleaned:
+    """All cleaning jobs, every table written once under ``root``.
+
+    Orders are deduplicated, dated and written by month; the fence is then selected from that one column, and the
+    cap is an expression over the stored rows, as is a missing age over stored users, so neither is written
+    again. Nothing is cached on executors: a lost one costs no second deduplication. ``land`` stores raw orders and
+    users first, for sources that are costly to read three times (views over other tables).
+    """
+    spark = raw.orders.sparkSession
+    root = root or shared_folder(spark, "clean")
+
+    def landed(name: str) -> DataFrame:
+        return staged(getattr(raw, name), f"raw-{name}") if land else getattr(raw, name)
+
+    def users() -> DataFrame:
+        kept = stored("users", conform_users(dedup_users(landed("users"))), root)
+        return fill_ages(kept, F.lit(median_age(kept).first()[0]).cast("double"))
+
+    def orders() -> tuple[DataFrame, DataFrame]:
+        kept = stored("orders", dated(dedup_orders(landed("orders"))), root)
+        fence = stored("order_value_fence", order_value_fence(kept), root)
+        return cap_values(kept, F.lit(fence.first()["upper_fence"]).cast("double")), fence
+
+    def other(name: str, df: DataFrame) -> DataFrame:
+        return stored(name, df, root)
+
+    with ThreadPoolExecutor(max_workers=len(TABLE_NAMES)) as pool:  # independent jobs, submitted together
+        capped, adults = pool.submit(orders), pool.submit(users)
+        rest = {name: pool.submit(other, name, df) for name, df in (
+            ("events", clean_events(raw.events)), ("nps", clean_nps(raw.nps)), ("restaurants", raw.restaurants), ("riders", raw.riders))}
+        order_table, fence = capped.result()
+        return Cleaned(Marketplace(users=adults.result(), orders=order_table, **{n: f.result() for n, f in rest.items()}), fence)

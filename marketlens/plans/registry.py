@@ -18,8 +18,8 @@ from marketlens.functions.text import title_case
 from marketlens.plans import charts as CH
 from marketlens.plans import kpis as K
 from marketlens.plans import segments as SG
-from marketlens.sources.adapter import load_raw
-from marketlens.sources.tables import materialize, staged
+from marketlens.sources.adapter import SOURCE_TABLES, load_raw
+from marketlens.sources.tables import source_version, staged
 
 # Fixed arguments of the registered queries.
 KPI_CONFIG = KpiConfig(split_date=dt.date(2001, 5, 1))
@@ -38,18 +38,23 @@ ORDER_SLICE_COLUMNS = ["order_id", "user_id", "restaurant_id", "city", "device_t
                        "order_status", "order_value"]
 QUANTILES = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
 
-_CLEAN: dict[tuple[str, str], Marketplace] = {}
+_CLEAN: dict[tuple[str, str], tuple[tuple, C.Cleaned]] = {}
 _CLEAN_LOCK = threading.Lock()
 
 
-def marketplace(spark: SparkSession, sf_dir: str) -> Marketplace:
-    """Cleaned tables for a data folder, built once per application and written as parquet under
-    the checkpoint folder; every query reads those tables."""
+def cleaned(spark: SparkSession, sf_dir: str) -> C.Cleaned:
+    """Cleaned tables for a data folder, written as parquet under the checkpoint folder; every query reads those.
+    They are built once per application and state of the source files: a changed file is cleaned anew."""
     key = (spark.sparkContext.applicationId, sf_dir)
+    version = source_version(spark, [f"{sf_dir}/{name}.parquet" for name in SOURCE_TABLES])
     with _CLEAN_LOCK:  # concurrent callers wait for one materialisation instead of racing
-        if key not in _CLEAN:
-            _CLEAN[key] = materialize(C.clean(load_raw(spark, sf_dir)))
-        return _CLEAN[key]
+        if key not in _CLEAN or _CLEAN[key][0] != version:
+            _CLEAN[key] = version, C.clean_stored(load_raw(spark, sf_dir), land=True)
+        return _CLEAN[key][1]
+
+
+def marketplace(spark: SparkSession, sf_dir: str) -> Marketplace:
+    return cleaned(spark, sf_dir).tables
 
 
 def _m(fn: Callable[[Marketplace], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -122,7 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_orders": _m(lambda m: m.orders),
     "clean_events": _m(lambda m: m.events),
     "clean_nps": _m(lambda m: m.nps),
-    "order_value_fence": lambda spark, sf: C.raw_order_value_fence(load_raw(spark, sf).orders),
+    "order_value_fence": lambda spark, sf: cleaned(spark, sf).fence,
     # filtering
     "filter_options": _m(FL.filter_options),
     "filter_cuisine": _slice_orders("cuisine"),

@@ -40,34 +40,45 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return read_table(df.sparkSession, path, df)
 
 
-def materialize(m: Marketplace, root: str | None = None, parallel: bool = True) -> Marketplace:
-    """Write every table of ``m`` as parquet and return the tables read back.
+def stored(name: str, df: DataFrame, root: str) -> DataFrame:
+    """``df`` written as table ``name`` under ``root`` and read back.
 
-    Orders are range-partitioned on (order_date, order_id) before the write, so each task holds a
+    Dated orders are range-partitioned on (order_date, order_id) before the write, so each task holds a
     contiguous date range and writes few month folders (no small-file explosion), and a hot day is
-    split across tasks by the order_id tie-break. The six writes are independent jobs and are
-    submitted together, so small tables do not wait behind orders.
+    split across tasks by the order_id tie-break.
     """
-    spark = m.orders.sparkSession
-    root = root or shared_folder(spark, "clean")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def write(name: str) -> None:
-        df = getattr(m, name)
-        path = f"{root}/{name}"
-        if name == "orders" and "order_month" in df.columns:
-            write_table(df.repartitionByRange(n, "order_date", "order_id"), path, ["order_month"])
-        else:
-            write_table(df, path)
-
-    names = list(TABLE_NAMES)
-    if parallel:
-        with ThreadPoolExecutor(max_workers=len(names)) as pool:
-            list(pool.map(write, names))
+    spark, path = df.sparkSession, f"{root}/{name}"
+    if name == "orders" and "order_month" in df.columns:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        write_table(df.repartitionByRange(n, "order_date", "order_id"), path, ["order_month"])
     else:
-        for name in names:
-            write(name)
-    return Marketplace(**{name: read_table(spark, f"{root}/{name}", getattr(m, name)) for name in names})
+        write_table(df, path)
+    return read_table(spark, path, df)
+
+
+def materialize(m: Marketplace, root: str | None = None) -> Marketplace:
+    """Write every table of ``m`` as parquet and return the tables read back. The six writes are independent
+    jobs and are submitted together, so small tables do not wait behind orders."""
+    root = root or shared_folder(m.orders.sparkSession, "clean")
+    with ThreadPoolExecutor(max_workers=len(TABLE_NAMES)) as pool:
+        tables = pool.map(lambda name: stored(name, getattr(m, name), root), TABLE_NAMES)
+        return Marketplace(**dict(zip(TABLE_NAMES, tables, strict=True)))
+
+
+def source_version(spark: SparkSession, paths: list[str]) -> tuple:
+    """(path, length, modification time) of every file under ``paths``, by one listing: changes when a source does."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found = []
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(conf)
+        if not fs.exists(path):
+            continue
+        files = fs.listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def write_results(results: dict[str, DataFrame], root: str) -> dict[str, str]:
