@@ -18,6 +18,7 @@ from marketlens.functions.text import title_case
 from marketlens.plans import charts as CH
 from marketlens.plans import kpis as K
 from marketlens.plans import segments as SG
+from marketlens.plans.quality import money_quality
 from marketlens.sources.adapter import SOURCE_TABLES, load_raw
 from marketlens.sources.tables import source_version, staged
 
@@ -87,6 +88,26 @@ def _kpi_filtered(m: Marketplace) -> DataFrame:
     return K.kpi_families(s, ["revenue", "retention"], KPI_CONFIG)
 
 
+def with_dirty_money(m: Marketplace) -> Marketplace:
+    """The clean tables with amounts that are none, or awkward ones, put into some orders: rates of 12 and 20,000, a fee of
+    10^15, NaN, an infinity and amounts of six decimals."""
+    k = F.pmod(F.col("order_id"), F.lit(1009))
+
+    def some(remainder: int, value: float, column: str):
+        return F.when(k == remainder, F.lit(value)).otherwise(F.col(column))
+
+    rate = F.when(k == 3, F.lit(12.0)).when(k == 9, F.lit(20000.0)).otherwise(F.col("commission_rate"))
+    return m.with_(orders=m.orders.withColumns({
+        "commission_rate": rate, "delivery_fee": some(5, 1e15, "delivery_fee"),
+        "discount_amount": some(7, float("nan"), "discount_amount"),
+        "delivery_cost_to_rider": some(11, float("inf"), "delivery_cost_to_rider"),
+        "payment_gateway_fee": F.when(k % 11 == 1, F.lit(1.234567)).otherwise(F.col("payment_gateway_fee"))}))
+
+
+def _dirty_money(m: Marketplace) -> DataFrame:
+    return K.kpi_families(with_dirty_money(m), ["revenue", "retention", "clv"], KPI_CONFIG)
+
+
 def _ordinal_rank(m: Marketplace) -> DataFrame:
     return ordinal_rank(m.orders.select("order_id", "order_value"), [F.asc("order_value"), F.asc("order_id")], "rank")
 
@@ -149,6 +170,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kpi_ab_test": _kpi(_ab_rounded),
     "kpi_demographics": _kpi(K.kpi_demographics),
     "kpi_filtered": _m(_kpi_filtered),
+    "kpi_dirty_money": _m(_dirty_money),
+    "money_quality": _m(lambda m: money_quality(with_dirty_money(m))),
     "ab_verdict": _kpi(K.ab_verdict),
     "kpi_all": _kpi(_all_rounded),
     "first_order_flag": _m(SG.first_order_flag),

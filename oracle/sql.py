@@ -32,11 +32,11 @@ def strip(x: str) -> str:
 
 
 def money(x: str) -> str:
-    return f"cast({x} AS DECIMAL(18,4))"
+    return f"try_cast({x} AS DECIMAL(22,6))"
 
 
 def rate(x: str) -> str:
-    return f"cast({x} AS DECIMAL(9,8))"
+    return f"try_cast({x} AS DECIMAL(12,8))"
 
 
 def msum(x: str) -> str:
@@ -519,6 +519,31 @@ def kpi_filtered_sql() -> str:
     return q(f"SELECT * FROM ({kpi_revenue(**tables)}) CROSS JOIN ({kpi_retention(**tables)})", ctes)
 
 
+# ---------------------------------------------------------------- dirty money
+DIRTY_ORDERS = """SELECT * REPLACE (
+    CASE order_id % 1009 WHEN 3 THEN cast(12 AS DOUBLE) WHEN 9 THEN cast(20000 AS DOUBLE) ELSE commission_rate END AS commission_rate,
+    CASE WHEN order_id % 1009 = 5 THEN cast(1e15 AS DOUBLE) ELSE delivery_fee END AS delivery_fee,
+    CASE WHEN order_id % 1009 = 7 THEN cast('nan' AS DOUBLE) ELSE discount_amount END AS discount_amount,
+    CASE WHEN order_id % 1009 = 11 THEN cast('inf' AS DOUBLE) ELSE delivery_cost_to_rider END AS delivery_cost_to_rider,
+    CASE WHEN (order_id % 1009) % 11 = 1 THEN cast(1.234567 AS DOUBLE) ELSE payment_gateway_fee END AS payment_gateway_fee)
+  FROM orders_c"""
+
+
+def dirty_money_sql() -> str:
+    of = [f"({fn(o='orders_x')})" for fn in (kpi_revenue, kpi_retention, kpi_clv)]
+    return q(f"SELECT * FROM {' CROSS JOIN '.join(of)}", [("orders_x", DIRTY_ORDERS)])
+
+
+def money_quality_sql() -> str:
+    def of(c: str, kind) -> str:
+        return (f"SELECT '{c}' AS column_name, count(*) AS rows, cast({cnt(f'{c} IS NULL')} AS BIGINT) AS missing, "
+                f"cast({cnt(f'{c} IS NOT NULL AND {kind(c)} IS NULL')} AS BIGINT) AS rejected, "
+                f"cast({cnt(f'{money(c)} < 0')} AS BIGINT) AS negative FROM orders_x")
+
+    amounts = ["order_value", "discount_amount", "delivery_fee", "delivery_cost_to_rider", "payment_gateway_fee", "refund_amount"]
+    return q("\nUNION ALL\n".join([*[of(c, money) for c in amounts], of("commission_rate", rate)]), [("orders_x", DIRTY_ORDERS)])
+
+
 # ---------------------------------------------------------------- charts
 def chart_sql() -> dict[str, str]:
     d = f"SELECT * FROM orders_c WHERE {DELIVERED}"
@@ -656,6 +681,8 @@ def oracle_sql() -> dict[str, str]:
         "scope": scope_sql(cuisines=SLICE["cuisines"], dates=SLICE["dates"]),
         **fam,
         "kpi_filtered": kpi_filtered_sql(),
+        "kpi_dirty_money": dirty_money_sql(),
+        "money_quality": money_quality_sql(),
         "ab_verdict": ab_verdict_sql(),
         "kpi_all": kpi_all_sql(),
         "first_order_flag": q("""SELECT o.order_id, o.user_id, o.order_id = f.fid AS is_first_order FROM orders_c o
