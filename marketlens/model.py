@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 
 @dataclass(frozen=True)
 class Marketplace:
-    """The six tables, by name. Raw before ``clean``, clean after it."""
+    """The six tables, by name. Raw before ``clean``, clean after it. ``cube``, where it is stored, holds the orders
+    summed up by the dimensions they can be filtered by (``operators.cube``)."""
 
     users: DataFrame
     restaurants: DataFrame
@@ -18,8 +19,12 @@ class Marketplace:
     orders: DataFrame
     events: DataFrame
     nps: DataFrame
+    cube: DataFrame | None = None
 
     def with_(self, **tables: DataFrame) -> "Marketplace":
+        """Other tables for some; a cube is kept only where the orders it sums up stay."""
+        if "orders" in tables:
+            tables.setdefault("cube", None)
         return replace(self, **tables)
 
     def tables(self) -> dict[str, DataFrame]:

@@ -14,6 +14,7 @@ from marketlens.functions.dates import lenient_date, lenient_timestamp, signup_d
 from marketlens.functions.text import strip_ws, title_case
 from marketlens.model import (AGE_BANDS, AGE_LAST_BAND, DEMOGRAPHIC_COLUMNS, IQR_MULTIPLIER, ORDER_FLAG_COLUMNS,
                               ORDER_TIME_COLUMNS, TABLE_NAMES, UNKNOWN, Marketplace)
+from marketlens.operators.cube import order_cube
 from marketlens.operators.dedup import distinct_rows, keep_first
 from marketlens.operators.joins import scalars
 from marketlens.operators.rank import quantile_nearest
@@ -80,7 +81,11 @@ def fill_ages(users: DataFrame, median: Column) -> DataFrame:
 def dedup_orders(orders: DataFrame) -> DataFrame:
     """Dedup, parse and fix signs; rows without an order value (or with one that is not a number) are dropped
     (before the fence)."""
-    orders = keep_first(orders, "order_id")
+    return parse_orders(keep_first(orders, "order_id"))
+
+
+def parse_orders(orders: DataFrame) -> DataFrame:
+    """Parse and fix signs of deduplicated orders; those without a value go."""
     fixes = {c: lenient_timestamp(orders, c) for c in ORDER_TIME_COLUMNS if c in orders.columns}
     fixes["payment_method"] = title_case("payment_method")
     fixes["delivery_fee"] = F.abs("delivery_fee")
@@ -152,7 +157,7 @@ def clean_stored(raw: Marketplace, root: str | None = None, land: bool = False)
 
     Orders are deduplicated, dated and written by month; the fence is then selected from that one column, and the
     cap is an expression over the stored rows, as is a missing age over stored users, so neither is written
-    again. Nothing is cached on executors: a lost one costs no second deduplication. ``land`` stores raw orders and
+    again. The cube of the capped orders is stored beside them. Nothing is cached on executors: a lost one costs no second deduplication. ``land`` stores raw orders and
     users first, for sources that are costly to read three times (views over other tables).
     """
     spark = raw.orders.sparkSession
@@ -165,10 +170,11 @@ def clean_stored(raw: Marketplace, root: str | None = None, land: bool = False)
         kept = stored("users", conform_users(dedup_users(landed("users"))), root)
         return fill_ages(kept, F.lit(median_age(kept).first()[0]).cast("double"))
 
-    def orders() -> tuple[DataFrame, DataFrame]:
+    def orders() -> tuple[DataFrame, DataFrame, DataFrame]:
         kept = stored("orders", dated(dedup_orders(landed("orders"))), root)
         fence = stored("order_value_fence", order_value_fence(kept), root)
-        return cap_values(kept, F.lit(fence.first()["upper_fence"]).cast("double")), fence
+        capped = cap_values(kept, F.lit(fence.first()["upper_fence"]).cast("double"))
+        return capped, fence, stored("cube", order_cube(capped), root)
 
     def other(name: str, df: DataFrame) -> DataFrame:
         return stored(name, df, root)
@@ -177,5 +183,5 @@ def clean_stored(raw: Marketplace, root: str | None = None, land: bool = False)
         capped, adults = pool.submit(orders), pool.submit(users)
         rest = {name: pool.submit(other, name, df) for name, df in (
             ("events", clean_events(raw.events)), ("nps", clean_nps(raw.nps)), ("restaurants", raw.restaurants), ("riders", raw.riders))}
-        order_table, fence = capped.result()
-        return Cleaned(Marketplace(users=adults.result(), orders=order_table, **{n: f.result() for n, f in rest.items()}), fence)
+        order_table, fence, cube = capped.result()
+        return Cleaned(Marketplace(users=adults.result(), orders=order_table, cube=cube, **{n: f.result() for n, f in rest.items()}), fence)

@@ -1,4 +1,4 @@
-"""Shared rollups: per-order facts, per-(user, year), per-user, per-session and per-restaurant aggregates.
+"""Shared rollups of fact rows (``operators.cube``) and events: per-(user, year), per-user, per-session and per-restaurant.
 
 Every KPI family reads one of these instead of re-scanning orders once per metric. All of them are
 plain ``groupBy`` aggregates, so partial aggregation shrinks a hot key map-side before any shuffle.
@@ -13,30 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.dates import whole_seconds
-from marketlens.functions.numeric import exact_sum, money, money_sum, rate, sum_or_zero
-from marketlens.model import CANCELLED, DELIVERED
+from marketlens.functions.numeric import exact_sum, sum_or_zero
+from marketlens.model import DELIVERED
 
 
 def is_delivered() -> Column:
     return F.col("order_status") == DELIVERED
 
 
-def is_cancelled() -> Column:
-    return F.col("order_status") == CANCELLED
-
-
-def commission() -> Column:
-    """Commission earned on an order, exact (DECIMAL)."""
-    return money("order_value") * rate("commission_rate")
-
-
-def net_revenue() -> Column:
-    """Commission + delivery fee - rider cost - gateway fee - discount, exact (DECIMAL): the amounts of six
-    decimals first, so the one addition with the commission keeps its fourteen."""
-    return commission() + ((money("delivery_fee") - money("delivery_cost_to_rider"))
-                           - (money("payment_gateway_fee") + money("discount_amount")))
-
-
 def delivered(orders: DataFrame) -> DataFrame:
     return orders.where(is_delivered())
 
@@ -70,18 +54,15 @@ def bits(*names: str) -> Column:
 DAYS = tuple(f"b{i}" for i in range(DAY_WORDS))
 
 
-def user_years(orders: DataFrame) -> DataFrame:
-    """One row per (user, calendar year): bitmaps of active days, weeks and months, order counts and exact money sums.
-    A year without a date is a row of its own, null."""
-    return orders.groupBy("user_id", F.year("order_date").alias("year")).agg(
+def user_years(facts: DataFrame) -> DataFrame:
+    """One row per (user, calendar year) of fact rows: bitmaps of active days, weeks and months, order counts and exact
+    money sums. A year without a date is a row of its own, null."""
+    return facts.groupBy("user_id", F.year("order_date").alias("year")).agg(
         *[c.alias(n) for n, c in calendar_bitmaps().items()],
         F.min("order_date").alias("first_date"), F.max("order_date").alias("last_date"),
-        F.count(F.lit(1)).alias("n"),
-        money_sum("order_value").alias("monetary"),
-        sum_or_zero(net_revenue()).alias("ltv"),
-        F.max(F.col("is_scheduled_order").cast("int")).alias("sched"),
-        money_sum(F.when(is_delivered(), F.col("order_value"))).alias("dgmv"),
-        F.sum(is_delivered().cast("int")).alias("dn"))
+        F.sum("n").alias("n"), F.sum("n_delivered").alias("dn"),
+        sum_or_zero(F.col("value")).alias("monetary"), sum_or_zero(F.col("net")).alias("ltv"), sum_or_zero(F.col("gmv")).alias("dgmv"),
+        F.max((F.col("n_scheduled") > 0).cast("int")).alias("sched"))
 
 
 def second_day() -> Column:
@@ -140,8 +121,8 @@ def user_rollup_from_years(years: DataFrame) -> DataFrame:
         (back <= 30).cast("int").alias("retained_d30"))
 
 
-def user_rollup(orders: DataFrame) -> DataFrame:
-    return user_rollup_from_years(user_years(orders))
+def user_rollup(facts: DataFrame) -> DataFrame:
+    return user_rollup_from_years(user_years(facts))
 
 
 def iso_weeks(orders: DataFrame, *keys: str) -> DataFrame:
@@ -152,14 +133,14 @@ def iso_weeks(orders: DataFrame, *keys: str) -> DataFrame:
     return years.groupBy(*keys).agg(F.sum(bits("weeks") + F.col("year").isNull().cast("long")).alias("iso_weeks"))
 
 
-def delivered_by(orders: DataFrame, key: str) -> DataFrame:
+def delivered_by(facts: DataFrame, key: str) -> DataFrame:
     """Delivered orders pre-aggregated per key: n (orders), nv (orders with a value), gmv (DECIMAL).
 
     Used before joining a dimension (users, restaurants): the join then moves one row per key
     instead of one row per order, and partial aggregation has already collapsed hot keys.
     """
-    return delivered(orders).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count(money("order_value")).alias("nv"),
-                                              money_sum("order_value").alias("gmv"))
+    return facts.where(F.col("n_delivered") > 0).groupBy(key).agg(
+        F.sum("n_delivered").alias("n"), F.sum("n_value").alias("nv"), sum_or_zero(F.col("gmv")).alias("gmv"))
 
 
 def session_rollup(events: DataFrame) -> DataFrame:
@@ -169,11 +150,11 @@ def session_rollup(events: DataFrame) -> DataFrame:
             .withColumn("duration_sec", whole_seconds("start", "end")))
 
 
-def restaurant_rollup(orders: DataFrame, split_date: dt.date) -> DataFrame:
+def restaurant_rollup(facts: DataFrame, split_date: dt.date) -> DataFrame:
     """One row per restaurant with orders: delivered GMV (DECIMAL) and first/second-half activity."""
     first_half = F.col("order_date") < F.lit(split_date)
-    return orders.groupBy("restaurant_id").agg(
-        money_sum(F.when(is_delivered(), F.col("order_value"))).alias("gmv"),
-        F.max(F.when(is_delivered(), 1).otherwise(0)).alias("has_delivered"),
+    return facts.groupBy("restaurant_id").agg(
+        sum_or_zero(F.col("gmv")).alias("gmv"),
+        F.max(F.when(F.col("n_delivered") > 0, 1).otherwise(0)).alias("has_delivered"),
         F.max(F.when(first_half, 1).otherwise(0)).alias("in_h1"),
         F.max(F.when(first_half, 0).otherwise(1)).alias("in_h2"))

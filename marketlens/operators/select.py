@@ -83,25 +83,23 @@ def select_keys(df: DataFrame, keys: list[Column], ranks, buckets: int = BUCKETS
         t.descend()
     while some := [t for t in targets if t.bounds]:
         intervals = {t.interval: t for t in some}
-        which, bucket, shifts = F.lit(None).cast("int"), F.lit(None).cast("long"), {}
-        for i, (interval, t) in enumerate(intervals.items()):
+        place = F.lit(None).cast("long")  # interval * buckets + bucket; rows of no open interval share the group null
+        for i, t in enumerate(intervals.values()):
             level, (low, high) = len(t.path), t.bounds[0]
             shift = 0
             while (high >> shift) - (low >> shift) >= buckets:
                 shift += 1
-            shifts[i] = interval
             key = F.col(names[level])
             inside = key.between(low, high)
             for name, settled in zip(names, t.path, strict=False):
                 inside = inside & (F.col(name) == settled)
-            which = F.when(inside, i).otherwise(which)
-            bucket = F.when(inside, F.shiftright(key, shift) - (low >> shift)).otherwise(bucket)
-        found = rows.withColumns({"which": which, "bucket": bucket}).filter("which is not null").groupBy("which", "bucket").agg(
-            F.count(F.lit(1)).alias("rows"), *ends).collect()
+            place = F.when(inside, F.shiftright(key, shift) - (low >> shift) + i * buckets).otherwise(place)
+        found = rows.withColumn("place", place).groupBy("place").agg(F.count(F.lit(1)).alias("rows"), *ends).collect()
         passes += 1
         counted: dict[tuple, list] = {}
-        for r in sorted(found, key=lambda r: (r["which"], r["bucket"])):
-            counted.setdefault(shifts[r["which"]], []).append(r)
+        order = list(intervals)
+        for r in sorted((r for r in found if r["place"] is not None), key=lambda r: r["place"]):
+            counted.setdefault(order[r["place"] // buckets], []).append(r)
         for t in some:
             for r in counted[t.interval]:
                 if t.rank < r["rows"]:

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.numeric import money_sum, n_unique, round_pct, to_double
-from marketlens.model import AGE_BANDS, AGE_LAST_BAND, CANCELLED, DELIVERED, FUNNEL_STAGES, UNKNOWN, Marketplace
+from marketlens.functions.numeric import n_unique, round_pct, sum_or_zero, to_double
+from marketlens.model import AGE_BANDS, AGE_LAST_BAND, CANCELLED, FUNNEL_STAGES, UNKNOWN, Marketplace
+from marketlens.operators.cube import facts_of
 from marketlens.operators.joins import scalars
 from marketlens.operators.rollups import delivered, delivered_by
 from marketlens.plans.kpis import demo_breakdown, stage_sessions
@@ -27,7 +28,7 @@ def channel_acq(m: Marketplace) -> DataFrame:
 
 def monthly_active(m: Marketplace) -> DataFrame:
     """Distinct ordering users per month."""
-    return m.orders.groupBy("order_month").agg(n_unique("user_id").alias("mau"))
+    return facts_of(m).groupBy("order_month").agg(n_unique("user_id").alias("mau"))
 
 
 def funnel_counts(m: Marketplace) -> DataFrame:
@@ -44,7 +45,7 @@ def funnel_counts(m: Marketplace) -> DataFrame:
 
 
 def gmv_by(m: Marketplace, period: str) -> DataFrame:
-    return delivered(m.orders).groupBy(period).agg(to_double(money_sum("order_value")).alias("gmv"))
+    return delivered_by(facts_of(m), period).select(period, to_double(F.col("gmv")).alias("gmv"))
 
 
 def gmv_trend(m: Marketplace) -> DataFrame:
@@ -59,7 +60,7 @@ def gmv_trend_daily(m: Marketplace) -> DataFrame:
 
 def orders_trend_daily(m: Marketplace) -> DataFrame:
     """Orders (all statuses) per day."""
-    return m.orders.groupBy("order_date").agg(_count("orders"))
+    return facts_of(m).groupBy("order_date").agg(F.sum("n").alias("orders"))
 
 
 def cancel_reasons(m: Marketplace) -> DataFrame:
@@ -69,7 +70,7 @@ def cancel_reasons(m: Marketplace) -> DataFrame:
 
 def restaurant_gmv(m: Marketplace) -> DataFrame:
     """Delivered GMV per restaurant (the page shows the top 10)."""
-    return delivered(m.orders).groupBy("restaurant_id").agg(to_double(money_sum("order_value")).alias("restaurant_gmv"))
+    return delivered_by(facts_of(m), "restaurant_id").select("restaurant_id", to_double(F.col("gmv")).alias("restaurant_gmv"))
 
 
 def restaurant_top(m: Marketplace, k: int = 10) -> DataFrame:
@@ -84,20 +85,16 @@ def restaurant_top(m: Marketplace, k: int = 10) -> DataFrame:
         (F.col("pos") + 1).cast("long").alias("rank"))
 
 
-def _perf(orders: DataFrame, key: str) -> DataFrame:
-    return orders.groupBy(key).agg(_count("orders"), F.round(money_sum("order_value"), 0).cast("double").alias("gmv"))
-
-
 def cuisine_perf(m: Marketplace) -> DataFrame:
     """Delivered orders and GMV (0 dp) per cuisine."""
     rest = m.restaurants.select("restaurant_id", "cuisine_type")
-    per = delivered_by(m.orders, "restaurant_id").join(rest, "restaurant_id")
+    per = delivered_by(facts_of(m), "restaurant_id").join(rest, "restaurant_id")
     return per.groupBy("cuisine_type").agg(F.sum("n").alias("orders"), F.round(F.sum("gmv"), 0).cast("double").alias("gmv"))
 
 
 def city_perf(m: Marketplace) -> DataFrame:
     """Delivered orders and GMV (0 dp) per order city."""
-    return _perf(delivered(m.orders), "city")
+    return delivered_by(facts_of(m), "city").select("city", F.col("n").alias("orders"), F.round("gmv", 0).cast("double").alias("gmv"))
 
 
 def rating_dist(m: Marketplace) -> DataFrame:
@@ -123,7 +120,7 @@ def demo_income_bracket(m: Marketplace) -> DataFrame:
 
 def gender_age_cross(m: Marketplace) -> DataFrame:
     """Delivered GMV by gender x age band, one column for each band in order; missing = 0."""
-    d = delivered_by(m.orders, "user_id").join(m.users.select("user_id", "gender", "age_group"), "user_id")
+    d = delivered_by(facts_of(m), "user_id").join(m.users.select("user_id", "gender", "age_group"), "user_id")
     return d.groupBy("gender").agg(*[
         F.coalesce(to_double(F.sum(F.when(F.col("age_group") == b, F.col("gmv")))), F.lit(0.0)).alias(b) for b in (*(label for _, label in AGE_BANDS), AGE_LAST_BAND)])
 
@@ -162,9 +159,8 @@ def growth_trend(m: Marketplace, metric: str | None = None, grain: str | None =
               if (metric is None or mt == metric) and (grain is None or gr == grain)]
     if not chosen:
         raise ValueError(f"unknown trend {metric!r}/{grain!r}")
-    g = m.orders.groupingSets([["order_date"], ["order_month"]], "order_date", "order_month").agg(
-        _count("orders"), F.sum(F.when(F.col("order_status") == DELIVERED, 1).otherwise(0)).alias("_nd"),
-        money_sum(F.when(F.col("order_status") == DELIVERED, F.col("order_value"))).alias("_gmv"),
+    g = facts_of(m).groupingSets([["order_date"], ["order_month"]], "order_date", "order_month").agg(
+        F.sum("n").alias("orders"), F.sum("n_delivered").alias("_nd"), sum_or_zero(F.col("gmv")).alias("_gmv"),
         F.grouping("order_date").alias("_by_month"))
     g = g.select(F.when(F.col("_by_month") == 0, F.lit("Daily")).otherwise(F.lit("Monthly")).alias("grain"),
                  F.when(F.col("_by_month") == 0, F.col("order_date").cast("string")).otherwise(F.col("order_month")).alias("period"),

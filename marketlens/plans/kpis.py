@@ -2,7 +2,7 @@
 
 KPIs are computed from a few fused one-row "parts" instead of one aggregate per metric:
 
-- ``orders``: one pass over orders with conditional aggregates (counts, exact money sums, times,
+- ``orders``: one pass over fact rows, of the stored cube where there is one (counts, exact money sums, times,
   A/B moments): serves revenue, operations, product, conversion, A/B and most of marketplace;
 - ``users`` / ``user_rollup``: one pass over users, one over the per-user rollup (retention, LTV,
   scheduled adoption, distinct ordering users);
@@ -22,14 +22,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.functions.dates import month_key, whole_minutes, whole_seconds
-from marketlens.functions.numeric import (count_if, exact_sum, money, money_sum, n_unique, pct, pct_or_zero, ratio,
-                                          sum_or_zero, to_double)
+from marketlens.functions.dates import month_key, whole_seconds
+from marketlens.functions.numeric import count_if, exact_sum, n_unique, pct, pct_or_zero, ratio, sum_or_zero, to_double
 from marketlens.functions.stats import normal_two_sided_p, student_t_two_sided_p
 from marketlens.model import AB_GROUPS, KpiConfig, Marketplace
+from marketlens.operators.cube import MEANS, facts_of
 from marketlens.operators.joins import one_row_of, scalars
-from marketlens.operators.rollups import (DAYS, bits, calendar_bitmaps, commission, delivered, delivered_by, is_cancelled,
-                                          is_delivered, iso_weeks, net_revenue, restaurant_rollup, user_rollup)
+from marketlens.operators.rollups import DAYS, bits, calendar_bitmaps, delivered_by, iso_weeks, restaurant_rollup, user_rollup
 
 DEMO_KPI_PREFIX = {"gender": "top_gender", "profession": "top_profession", "income_bracket": "top_income",
                    "age_group": "top_age_group"}
@@ -52,47 +51,26 @@ def _dsum(c: Column) -> Column:
 
 # ---- parts -------------------------------------------------------------------------------------
 def part_orders(m: Marketplace, cfg: KpiConfig = KpiConfig()) -> DataFrame:
-    """One hash aggregate of orders by calendar year, whose rows (as many as years) are then summed up. The
+    """One hash aggregate of fact rows by calendar year, whose rows (as many as years) are then summed up. The
     days, weeks and months with orders are bitmaps of the year, so nothing is collected."""
-    d = is_delivered()
-
-    def when_d(c: Column) -> Column:
-        return F.when(d, c)
-
-    def both(c: Column, name: str) -> dict[str, Column]:
-        """Sum and count, for a mean over all days."""
-        return {f"{name}_s": F.sum(c), f"{name}_n": F.count(c)}
-
-    yearly = {
-        "n_orders": F.count(F.lit(1)), "n_delivered": count_if(d), "n_cancelled": count_if(is_cancelled()),
-        "_gmv": exact_sum(when_d(money("order_value"))), "_commission": exact_sum(when_d(commission())),
-        "_fees": exact_sum(when_d(money("delivery_fee"))), "_margin": exact_sum(when_d(net_revenue())),
-        "_n_margin": F.count(when_d(net_revenue())), "_n_value": F.count(when_d(money("order_value"))),
-        "_rider": exact_sum(when_d(money("delivery_cost_to_rider"))), "_promo": count_if(F.col("is_promo_used")),
-    }
-    means = {
-        "avg_delivery_time": when_d(whole_minutes("order_placed_time", "delivered_time")),
-        "_on_time": when_d(F.col("delivered_time") <= F.col("promised_delivery_time")).cast("int"),
-        "avg_prep_time": when_d(whole_minutes("order_accepted_time", "ready_time")),
-        "_wrong": when_d(F.col("wrong_item_flag")).cast("int"), "overall_avg_rating": when_d(F.col("rating")),
-        "avg_basket_size": F.col("items_count"),
-    }
-    for name, c in means.items():
-        yearly |= both(c, name)
+    facts = facts_of(m)
+    counts = {"n_orders": "n", "n_delivered": "n_delivered", "n_cancelled": "n_cancelled", "_n_margin": "n_margin",
+              "_n_value": "n_value", "_promo": "n_promo"}
+    amounts = {"_gmv": "gmv", "_commission": "commission", "_fees": "fees", "_margin": "margin", "_rider": "rider"}
+    sums = {name: F.col(c) for name, c in {**counts, **amounts}.items()}
     for prefix, group in zip(("c", "t"), AB_GROUPS):
         g = F.col("ab_test_group") == group
-        dv = g & d
-        yearly |= {f"{prefix}_n": count_if(g), f"{prefix}_x": count_if(dv), f"{prefix}_k": F.count(F.when(dv, money("order_value"))),
-                  f"{prefix}_s1": exact_sum(F.when(dv, money("order_value"))),
-                  f"{prefix}_s2": exact_sum(F.when(dv, money("order_value") * money("order_value")))}
-    exact = {"_gmv", "_commission", "_fees", "_margin", "_rider", "c_s1", "t_s1", "c_s2", "t_s2"}
-    years = m.orders.groupBy(F.year("order_date").alias("year")).agg(
-        *[c.alias(n) for n, c in {**yearly, **calendar_bitmaps()}.items()],
+        for name, c in {"n": "n", "x": "n_delivered", "k": "n_value", "s1": "gmv", "s2": "square"}.items():
+            sums[f"{prefix}_{name}"] = F.when(g, F.col(c))
+    sums |= {f"{name}_{x}": F.col(f"{name}_{x}") for name in MEANS for x in "sn"}
+    exact = {*amounts, "c_s1", "c_s2", "t_s1", "t_s2"}
+    years = facts.groupBy(F.year("order_date").alias("year")).agg(
+        *[(exact_sum(c) if n in exact else F.sum(c)).alias(n) for n, c in sums.items()],
+        *[c.alias(n) for n, c in calendar_bitmaps().items()],
         F.min("order_date").alias("_first"), F.max("order_date").alias("_last"))
-    counts = {n for n in yearly if n[0] == "n" or n in ("_n_margin", "_n_value", "_promo") or n[2:] in ("n", "x", "k")}
-    whole = {n: sum_or_zero(F.col(n)) if n in exact - {"_margin"} else exact_sum(F.col(n)) if n in exact else F.coalesce(F.sum(n), F.lit(0))
-             for n in yearly if n in counts or n in exact}
-    whole |= {n: _d(F.sum(f"{n}_s").cast("double"), F.sum(f"{n}_n").cast("double")) for n in means}
+    whole = {n: exact_sum(F.col(n)) if n == "_margin" else sum_or_zero(F.col(n)) if n in exact else F.coalesce(F.sum(n), F.lit(0))
+             for n in sums if not n.startswith(MEANS)}
+    whole |= {n: _d(F.sum(f"{n}_s").cast("double"), F.sum(f"{n}_n").cast("double")) for n in MEANS}
     # periods with orders, an undated order being one more: the denominators of DAU / WAU / MAU
     undated = F.col("year").isNull().cast("long")
     periods = {"_day_periods": bits(*DAYS), "_week_periods": bits("weeks"), "_month_periods": bits("months")}
@@ -100,7 +78,7 @@ def part_orders(m: Marketplace, cfg: KpiConfig = KpiConfig()) -> DataFrame:
         *[c.alias(n) for n, c in whole.items()], F.datediff(F.max("_last"), F.min("_first")).alias("_days"),
         *[F.sum(c + undated).alias(n) for n, c in periods.items()])
     if cfg.week_key == "iso":
-        return _one(row.drop("_week_periods"), iso_weeks(m.orders).withColumnRenamed("iso_weeks", "_week_periods"))
+        return _one(row.drop("_week_periods"), iso_weeks(facts).withColumnRenamed("iso_weeks", "_week_periods"))
     return row
 
 
@@ -109,12 +87,12 @@ def part_users(m: Marketplace) -> DataFrame:
 
 
 def _rollup(m: Marketplace, cfg: KpiConfig = KpiConfig()) -> DataFrame:
-    rollup = user_rollup(m.orders)
+    rollup = user_rollup(facts_of(m))
     if cfg.week_key == "reference":
         return rollup
     if cfg.week_key != "iso":
         raise ValueError(f"unknown week key mode {cfg.week_key!r}")
-    weeks = iso_weeks(m.orders, "user_id").select(F.col("user_id").alias("_u"), "iso_weeks")
+    weeks = iso_weeks(facts_of(m), "user_id").select(F.col("user_id").alias("_u"), "iso_weeks")
     return (rollup.join(weeks, F.col("user_id").eqNullSafe(F.col("_u")), "left").drop("_u")
             .withColumn("active_weeks", F.col("iso_weeks")).drop("iso_weeks"))
 
@@ -144,7 +122,8 @@ def part_user_rollup(m: Marketplace, cfg: KpiConfig) -> DataFrame:
     ur = _rollup(m, cfg).join(m.users.select("user_id", "signup_date", "is_subscriber"), "user_id", "left")
     r = ur.agg(*[c.alias(n) for n, c in _user_rollup_aggs().items()])
     if cfg.ltv_delivered_only:
-        ltv = user_rollup(delivered(m.orders)).agg(exact_sum(F.col("ltv")).alias("_ltv"), F.count(F.lit(1)).alias("_ltv_n"))
+        users = facts_of(m).where(F.col("n_delivered") > 0).groupBy("user_id").agg(exact_sum(F.col("margin")).alias("ltv"))
+        ltv = users.agg(exact_sum(F.col("ltv")).alias("_ltv"), F.count(F.lit(1)).alias("_ltv_n"))
         return _one(r.drop("_ltv"), ltv)
     return r.withColumn("_ltv_n", F.col("n_order_users"))
 
@@ -179,7 +158,7 @@ def part_sessions(m: Marketplace) -> DataFrame:
 
 
 def top_restaurant_gmv(m: Marketplace, k: int = 10) -> DataFrame:
-    per = delivered(m.orders).groupBy("restaurant_id").agg(money_sum("order_value").alias("gmv"))
+    per = delivered_by(facts_of(m), "restaurant_id").select("restaurant_id", "gmv")
     return per.orderBy(F.desc("gmv"), F.asc("restaurant_id")).limit(k)
 
 
@@ -195,7 +174,7 @@ def part_restaurants(m: Marketplace, cfg: KpiConfig) -> DataFrame:
     each bucket's best 10 are collected (at most 10 x TOP_BUCKETS candidates, a fixed bound), and
     the global best 10 of those are summed exactly. Ties at the 10th place cannot change the sum.
     """
-    rest = restaurant_rollup(m.orders, cfg.split_date).withColumn(
+    rest = restaurant_rollup(facts_of(m), cfg.split_date).withColumn(
         "_b", F.pmod(F.xxhash64("restaurant_id"), F.lit(TOP_BUCKETS)))
     in_bucket = F.row_number().over(Window.partitionBy("_b").orderBy(F.desc("gmv"), F.asc("restaurant_id")))
     ranked = rest.withColumn("_rb", in_bucket)
@@ -218,7 +197,7 @@ def part_nps(m: Marketplace) -> DataFrame:
 
 def demo_long(m: Marketplace) -> DataFrame:
     """Delivered GMV per (dimension, value) for the four user attributes in one grouping-sets pass."""
-    d = delivered_by(m.orders, "user_id").join(m.users.select("user_id", *DEMO_KPI_PREFIX), "user_id")
+    d = delivered_by(facts_of(m), "user_id").join(m.users.select("user_id", *DEMO_KPI_PREFIX), "user_id")
     g = d.groupingSets([[c] for c in DEMO_KPI_PREFIX], *DEMO_KPI_PREFIX).agg(
         _dsum(F.col("gmv")).alias("_gmv"), *[F.grouping(c).alias(f"_g_{c}") for c in DEMO_KPI_PREFIX])
     dim = reduce(lambda acc, c: acc.when(F.col(f"_g_{c}") == 0, F.lit(c)), list(DEMO_KPI_PREFIX)[1:],
@@ -442,7 +421,7 @@ def ab_verdict(m: Marketplace, cfg: KpiConfig = KpiConfig()) -> DataFrame:
 
 def demo_breakdown(m: Marketplace, dim: str) -> DataFrame:
     """Delivered orders by a user attribute: users (distinct), orders, gmv, aov (2 dp), share of GMV in %."""
-    d = delivered_by(m.orders, "user_id").join(m.users.select("user_id", dim), "user_id")
+    d = delivered_by(facts_of(m), "user_id").join(m.users.select("user_id", dim), "user_id")
     # one row per user after the pre-aggregation, so distinct users = rows
     g = d.groupBy(dim).agg(F.count(F.lit(1)).alias("users"), F.sum("n").alias("orders"),
                            _dsum(F.col("gmv")).alias("_gmv"), F.sum("nv").alias("_n"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketlens.functions.dates import month_key
 from marketlens.functions.numeric import exact_sum, round_pct, to_double
 from marketlens.model import OTHER_SEGMENT, RFM_MAX_BINS, SEGMENT_RULES, Marketplace
+from marketlens.operators.cube import facts_of
 from marketlens.operators.joins import scalars
 from marketlens.operators.rank import frequency_bins
 from marketlens.operators.rollups import calendar_bitmaps, user_rollup
@@ -19,7 +20,7 @@ def cohort_retention(m: Marketplace) -> DataFrame:
     Orders are first reduced to one bitmap of active months per (user, year), map-side; the join with users moves
     only those. Active users of a month are then the sum of one bit, twelve sums per (cohort, year).
     """
-    active = m.orders.groupBy("user_id", F.year("order_date").alias("year")).agg(calendar_bitmaps()["months"].alias("months"))
+    active = facts_of(m).groupBy("user_id", F.year("order_date").alias("year")).agg(calendar_bitmaps()["months"].alias("months"))
     signups = m.users.select("user_id", "signup_date")
     per_month = {i: F.sum(F.call_function("shiftright", F.col("months"), F.lit(i)).bitwiseAND(F.lit(1))) for i in range(1, 13)}
     cohorts = active.join(signups, "user_id").groupBy(F.trunc("signup_date", "month").alias("cohort"), "year").agg(
@@ -86,8 +87,8 @@ def _rfm(m: Marketplace, max_bins: int = RFM_MAX_BINS) -> DataFrame:
     buyers score high), found from its cut rows: the per-user table is written once, the cuts are
     selected from it, and the scores are plain expressions over it.
     """
-    snapshot = scalars(m.orders.agg(F.max("order_date").alias("_snapshot")))["_snapshot"]
-    base = staged(user_rollup(m.orders)
+    snapshot = scalars(facts_of(m).agg(F.max("order_date").alias("_snapshot")))["_snapshot"]
+    base = staged(user_rollup(facts_of(m))
                   .select("user_id", F.datediff(snapshot, F.col("last_order_date")).alias("recency_days"),
                           F.col("n_orders").alias("frequency"), F.col("monetary").alias("_monetary_dec")), "rfm")
     user = order_keys("user_id")

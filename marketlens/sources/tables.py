@@ -40,17 +40,20 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return read_table(df.sparkSession, path, df)
 
 
+TIES = {"orders": ("order_id",), "cube": ("user_id", "restaurant_id")}
+
+
 def stored(name: str, df: DataFrame, root: str) -> DataFrame:
     """``df`` written as table ``name`` under ``root`` and read back.
 
-    Dated orders are range-partitioned on (order_date, order_id) before the write, so each task holds a
-    contiguous date range and writes few month folders (no small-file explosion), and a hot day is
-    split across tasks by the order_id tie-break.
+    Dated orders, and their cube, are range-partitioned on the date and a tie-break before the write, so each task
+    holds a contiguous date range and writes few month folders (no small-file explosion), and a hot day is
+    split across tasks.
     """
     spark, path = df.sparkSession, f"{root}/{name}"
-    if name == "orders" and "order_month" in df.columns:
+    if name in TIES and "order_month" in df.columns:
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        write_table(df.repartitionByRange(n, "order_date", "order_id"), path, ["order_month"])
+        write_table(df.repartitionByRange(n, "order_date", *TIES[name]), path, ["order_month"])
     else:
         write_table(df, path)
     return read_table(spark, path, df)
@@ -62,7 +65,8 @@ def materialize(m: Marketplace, root: str | None = None) -> Marketplace:
     root = root or shared_folder(m.orders.sparkSession, "clean")
     with ThreadPoolExecutor(max_workers=len(TABLE_NAMES)) as pool:
         tables = pool.map(lambda name: stored(name, getattr(m, name), root), TABLE_NAMES)
-        return Marketplace(**dict(zip(TABLE_NAMES, tables, strict=True)))
+        out = Marketplace(**dict(zip(TABLE_NAMES, tables, strict=True)))
+    return out if m.cube is None else out.with_(cube=stored("cube", m.cube, root))
 
 
 def source_version(spark: SparkSession, paths: list[str]) -> tuple:

@@ -20,11 +20,11 @@ EDGES = [dt.date(y, 1, 1) + dt.timedelta(days=d) for y in (1969, 1970, 2000, 201
 
 
 def orders_of(spark, days: dict):
+    """Fact rows of plain orders."""
     rows = [(u, d) for u, dates in days.items() for d in dates]
     return spark.createDataFrame(rows, "user_id long, order_date date").select(
-        F.monotonically_increasing_id().alias("order_id"), "user_id", "order_date", F.lit("Delivered").alias("order_status"),
-        *[F.lit(1.0).alias(c) for c in ("order_value", "commission_rate", "delivery_fee", "delivery_cost_to_rider", "payment_gateway_fee", "discount_amount")],
-        F.lit(False).alias("is_scheduled_order"))
+        "user_id", "order_date", F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("n_delivered"), F.lit(0).cast("long").alias("n_scheduled"),
+        *[F.lit(1).cast("decimal(22,6)").alias(c) for c in ("value", "net", "gmv")])
 
 
 def expected(dates):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marketlens.functions.numeric import exact_sum, money, money_sum, rate, rejected, sum_or_zero
 from marketlens.model import KpiConfig
 from marketlens.operators.clean import clean
-from marketlens.operators.rollups import commission, net_revenue
+from marketlens.operators.cube import commission, net_revenue
 from marketlens.plans import kpis as K
 from marketlens.plans.quality import money_quality
 from tests.builders import raw_marketplace
