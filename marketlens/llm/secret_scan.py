@@ -106,10 +106,10 @@ def _matches(rule: Rule) -> Column:
 
 def find_spans(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(k1, k2, kind int, start, end) of every secret in ``rows`` (from ``keyed``); kind counts the rules from 0."""
-    chosen = candidates(rows, rules)
-    indexed = [c for c in chosen.columns if c not in ("k1", "k2")]
+    indexed = [r.kind for r in rules if trigram_query(r.pattern) is not None]
     scanned = [r for r in rules if r.kind not in indexed]
-    looked = rows.join(chosen, ["k1", "k2"], "left").select(
+    joined = rows.join(candidates(rows, rules), ["k1", "k2"], "left") if indexed else rows
+    looked = joined.select(
         "k1", "k2", "text", *[F.coalesce(F.col(k), F.lit(False)).alias(k) for k in indexed],
         *[F.col("text").rlike(r.pattern).alias(r.kind) for r in scanned])
     likely = looked.filter(reduce(lambda a, b: a | b, [F.col(r.kind) for r in rules])).dropDuplicates(["k1", "k2"])
