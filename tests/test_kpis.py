@@ -119,7 +119,7 @@ def test_empty_slice_guard(spark):
     with pytest.raises(ValueError, match="delivered"):
         require_kpi_ready(m)
     s = apply_filters(m, FilterSpec(cities=["Nowhere"]))
-    with pytest.raises(ValueError, match="No data"):
+    with pytest.raises(ValueError, match="no order or no user"):
         require_kpi_ready(s)
 
 
