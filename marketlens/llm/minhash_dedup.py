@@ -2,15 +2,20 @@
 
 A document is the weighted set of its shingles (WIDTH words; all of them for a shorter document). A
 shingle's weight is its count times 1 + idf, with idf = ln((N + 1) / (df + 1)) / ln(N + 1) from the
-whole corpus. df is counted for each shingle; the HEAD commonest go to all tasks (a fixed size), the others
-that more than one row holds are joined and travel with their rows. Two documents are near if the weighted Jaccard similarity
+whole corpus. Two documents are near if the weighted Jaccard similarity
 sum(min) / sum(max) of their sets is at least ``threshold``.
 
+df is counted for each shingle by ranges. Texts lie in chunks of about CHUNK bytes, and there are as many ranges
+of shingles; a chunk sends each range its shingles as one sorted run, packed as differences, and gets back
+those that more than one row of the corpus holds, with their df. A shingle is sent once a chunk, so the commonest weigh no
+more than others; up to HEAD of them go to all tasks (a fixed size) and not back to the chunks.
+
 SAMPLES = BANDS * ROWS consistent weighted samples (Ioffe's scheme: per shingle and sample r and c from
 Gamma(2, 1), b uniform) agree with that similarity as probability; documents that agree on a whole
 band are candidates: at 0.8 with probability 0.995, at 0.9 with 0.99997.
 
-Documents of the same words are one class and are searched once. Candidates are verified in rounds that
+Documents of the same words are one class: one text of it is kept, which counts as often as the class has rows, and
+is searched once. Candidates are verified in rounds that
 form few more pairs than the links need, since pairs within a component need no check: first each
 class of a band bucket against the bucket's smallest; then, within buckets that are still not one
 component, classes of different components that fall in the same random part of about PART; last,
@@ -29,27 +34,29 @@ past all ids, made from the text; an empty table gives an empty result; other co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm.components import connected
-from marketlens.llm.lm import commonest
 from marketlens.llm.store import row_key, written
 from marketlens.llm.words import chunked, mix, prefix, span, word_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 4
 SAMPLES = BANDS * ROWS
-HEAD, COUNT_FLUSH, SEED = 1 << 18, 4_000_000, 2
+HEAD, COUNT_FLUSH, CHUNK, SEED = 1 << 18, 4_000_000, 8 << 20, 2
 AGREEING, PART, BLOCK = 26, 16, 512
 #: Bits of a shingle hash that remain beside the document's number in a chunk.
 _BITS = 48
 _DOC_LIMIT = 1 << (64 - _BITS)
+#: Bytes of a number in a packed run.
+_BYTES = 6
 
 
 def _random_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,40 +91,101 @@ def _runs(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
             yield first + i, raws[i : i + _DOC_LIMIT]
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of a task's documents by shingle, combined before they are sent; shingle -1 counts them all."""
-    held: list[np.ndarray] = []
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**48, all their lowest bytes first, then all the next, which compress well where they are small."""
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES].T.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // _BYTES, 8), np.uint8)
+    out[:, :_BYTES] = np.frombuffer(raw, np.uint8).reshape(_BYTES, -1).T
+    return out.reshape(-1).view("<u8")
+
+
+def packed_run(ascending: np.ndarray) -> bytes:
+    return packed(np.diff(ascending, prepend=np.uint64(0)))
+
+
+def unpacked_run(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(raw), dtype=np.uint64)
+
+
+RUN = "chunk long, bucket long, h binary, c binary"
+#: The range, and the chunk, of rows that count documents or go to all tasks.
+ALL = -1
+
+
+def _runs_of(rows: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
+                                      names=["chunk", "bucket", "h", "c"])
+
+
+def _sums(shingles: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles, ascending, and the sum of ``copies`` of each."""
+    order = np.argsort(shingles)
+    ascending = shingles[order]
+    starts = np.flatnonzero(np.diff(ascending, prepend=~ascending[:1]))
+    return ascending[starts], np.add.reduceat(copies[order], starts)
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Runs of a chunk's shingles (chunk, copies, text), one for each range, with the rows that hold each."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
     size, documents = 0, 0
+    cuts = np.array([(i << _BITS) // buckets for i in range(1, buckets)], np.uint64)
 
-    def flush() -> pa.RecordBatch:
-        found, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["h", "n"])
+    def flush() -> Iterator[pa.RecordBatch]:
+        for chunk, parts in held.items():
+            found, n = _sums(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            edges = [0, *np.searchsorted(found, cuts).tolist(), len(found)]
+            yield _runs_of([(chunk, i, packed_run(found[a:b]), packed(n[a:b])) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b])
+        held.clear()
 
     for batch in batches:
-        for _, raws in _runs(batch.column(0)):
+        chunk, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for first, raws in _runs(batch.column(2)):
             shingles, _, bounds, _ = shingle_counts(raws)
-            held.append(shingles)
+            sizes, own = np.diff(bounds), slice(first, first + len(raws))
+            documents += int(copies[own][sizes > 0].sum())
+            of, n = np.repeat(chunk[own], sizes), np.repeat(copies[own], sizes)
+            for x in np.unique(of):
+                held[int(x)].append((shingles[of == x], n[of == x]))
             size += len(shingles)
-            documents += int((np.diff(bounds) > 0).sum())
             if size >= COUNT_FLUSH:
-                yield flush()
-                held, size = [], 0
-    if held:
-        yield flush()
-    yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([documents])], names=["h", "n"])
+                yield from flush()
+                size = 0
+    yield from flush()
+    yield _runs_of([(ALL, ALL, b"", packed(np.array([documents])))])
+
+
+def _replies(runs: pa.Table, head: int) -> pa.Table:
+    """What each chunk is told of a range: its shingles that several rows hold, but for the ``head`` commonest, which go to all."""
+    chunk, bucket = runs.column("chunk").to_pylist(), runs.column("bucket")[0].as_py()
+    counts = [unpacked(x.as_py()).astype(np.int64) for x in runs.column("c")]
+    if bucket == ALL:
+        return pa.Table.from_batches([_runs_of([(ALL, ALL, b"", packed(sum((x.sum() for x in counts), np.zeros(1, np.int64))))])])
+    shingles = [unpacked_run(x.as_py()) for x in runs.column("h")]
+    found, total = _sums(np.concatenate(shingles), np.concatenate(counts))
+    repeated = np.flatnonzero(total > 1)
+    common = np.sort(repeated[np.argsort(-total[repeated], kind="stable")[:head]])
+    told = total > 1
+    told[common] = False
+    rows = [(ALL, bucket, packed_run(found[common]), packed(total[common]))] if len(common) else []
+    for i, own in enumerate(shingles):
+        at = np.searchsorted(found, own)
+        if len(at := at[told[at]]):
+            rows.append((chunk[i], bucket, packed_run(found[at]), packed(total[at])))
+    return pa.Table.from_batches([_runs_of(rows)])
 
 
 class Weights:
     """1 + idf of shingles, from the commonest ones' frequencies and those that come with a row. A shingle in
     neither is in one row only."""
 
-    def __init__(self, documents: int, hashes: np.ndarray, counts: np.ndarray) -> None:
+    def __init__(self, documents: int, hashes: np.ndarray, counts: np.ndarray, chunks: int = 1) -> None:
         order = np.argsort(hashes)
-        self.documents, self.hashes, self.counts = documents, hashes[order], counts[order]
-
-    def common(self, shingles: np.ndarray) -> np.ndarray:
-        """Whether each shingle is one of the commonest."""
-        return _found(shingles, self.hashes)[0]
+        self.documents, self.hashes, self.counts, self.chunks = documents, hashes[order], counts[order], chunks
 
     def __call__(self, shingles: np.ndarray, own: np.ndarray, own_counts: np.ndarray) -> np.ndarray:
         df = np.ones(len(shingles))
@@ -138,16 +206,24 @@ def _found(shingles: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndar
     return among[at] == shingles, at
 
 
-def frequencies(docs: DataFrame, text_col: str) -> tuple[DataFrame, Weights]:
-    """(h, c) of every shingle in more than one document but the commonest, and the weights from those."""
-    partial = docs.select(text_col).mapInArrow(_frequencies, "h long, n long")
-    counts = written(partial.groupBy("h").agg(F.sum("n").alias("c")).filter("c > 1 OR h < 0"), "frequencies")
-    documents = counts.filter("h < 0").agg(F.max("c")).first()[0] or 0
-    repeated = counts.filter("h >= 0")
-    head = commonest(repeated, HEAD).toPandas()
-    least = int(head["c"].min()) if len(head) else None
-    rest = repeated.filter(F.col("c") < F.lit(least)) if least is not None else repeated
-    return rest, Weights(documents, head["h"].to_numpy(np.int64).view(np.uint64), head["c"].to_numpy(np.int64))
+def _chunk(text_col: str, chunks: int) -> Column:
+    return F.pmod(F.xxhash64(text_col), F.lit(chunks)).alias("chunk")
+
+
+def frequencies(docs: DataFrame, text_col: str, copies: Column | None = None) -> tuple[DataFrame, Weights]:
+    """What each chunk of texts is told of its shingles, and the weights from the commonest ones. A row counts
+    ``copies`` times; texts of a chunk meet in one task, so equal ones should be one row."""
+    rows = docs.select(F.col(text_col).alias("text"), (F.lit(1) if copies is None else copies).cast("long").alias("copies")).filter("text IS NOT NULL")
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    chunks = max(1, -(-size // CHUNK))
+    runs = rows.select(_chunk("text", chunks), "copies", "text").repartition("chunk").mapInArrow(lambda b: _frequencies(b, chunks), RUN)
+    head = HEAD // chunks
+    replies = written(runs.groupBy("bucket").applyInArrow(lambda t: _replies(t, head), RUN), "replies")
+    shared = replies.filter(F.col("chunk") == ALL).collect()
+    documents = sum(int(unpacked(r["c"])[0]) for r in shared if r["bucket"] == ALL)
+    common = [(unpacked_run(r["h"]), unpacked(r["c"])) for r in shared if r["bucket"] != ALL]
+    hashes, counts = (np.concatenate(x) for x in zip(*common, strict=True)) if common else (NO_SHINGLES, NO_SHINGLES)
+    return replies.filter(F.col("chunk") != ALL), Weights(documents, hashes, counts.astype(np.int64), chunks)
 
 
 def shingle_weights(docs: DataFrame, text_col: str) -> Weights:
@@ -155,24 +231,39 @@ def shingle_weights(docs: DataFrame, text_col: str) -> Weights:
     return frequencies(docs, text_col)[1]
 
 
-def _rare_shingles(batches: Iterator[pa.RecordBatch], shipped) -> Iterator[pa.RecordBatch]:
-    """(k, h) of each row's shingles that are not among the commonest."""
-    for batch in batches:
-        for first, raws in _runs(batch.column(1)):
-            shingles, _, bounds, _ = shingle_counts(raws)
-            at = np.flatnonzero(~shipped.value.common(shingles))
-            row = first + np.searchsorted(bounds, at, side="right") - 1
-            for i in range(0, len(at), 1 << 16):
-                part = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[part])), pa.array(shingles[at[part]].view(np.int64))], names=["k", "h"])
+def _own(rows: pa.Table, replies: pa.Table) -> pa.RecordBatch:
+    """``rows`` of one chunk with ``own`` (ascending) and ``own_counts``, from what the chunk was told."""
+    told = [(unpacked_run(h.as_py()), unpacked(c.as_py())) for h, c in zip(replies.column("h"), replies.column("c"), strict=True)]
+    known, counts = (np.concatenate(x) for x in zip(*told, strict=True)) if told else (NO_SHINGLES, NO_SHINGLES)
+    known, at = np.unique(known, return_index=True)
+    counts = counts[at]
+    own, own_counts, sizes = [NO_SHINGLES], [NO_SHINGLES], []
+    for _, raws in _runs(rows.column("text").combine_chunks()):
+        shingles, _, bounds, _ = shingle_counts(raws)
+        held, at = _found(shingles, known)
+        own.append(shingles[held])
+        own_counts.append(counts[at[held]])
+        sizes.append(np.diff(np.searchsorted(np.flatnonzero(held), bounds)))
+    edges = pa.array(np.concatenate([[0], np.cumsum(np.concatenate([[0], *sizes])[1:])]).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(edges, pa.array(np.concatenate(x).view(np.int64))) for x in (own, own_counts)]
+    columns = [rows.column(c).combine_chunks() for c in rows.column_names]
+    return pa.RecordBatch.from_arrays([*columns, *lists], names=[*rows.column_names, "own", "own_counts"])
+
+
+def per_chunk(rows: DataFrame, rest: DataFrame, chunks: int, run: Callable[[pa.RecordBatch], pa.Table], schema: str) -> DataFrame:
+    """``run`` of the rows (.., text) of each chunk with ``own`` and ``own_counts`` added."""
+    names = rows.columns
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        return run(_own(left.select(names), right))
+
+    return rows.withColumn("chunk", _chunk("text", chunks)).groupBy("chunk").cogroup(rest.groupBy("chunk")).applyInArrow(meet, schema)
 
 
 def with_frequencies(rows: DataFrame, rest: DataFrame, shipped) -> DataFrame:
-    """``rows`` (k, text, ..) with ``own`` (ascending) and ``own_counts``: the document frequencies of its shingles in ``rest``."""
-    held = (rows.select("k", "text").mapInArrow(lambda b: _rare_shingles(b, shipped), "k long, h long")
-            .join(rest.hint("shuffle_hash"), "h").groupBy("k").agg(F.sort_array(F.collect_set(F.struct("h", "c"))).alias("own")))
-    held = held.select("k", F.col("own.h").alias("own"), F.col("own.c").alias("own_counts"))
-    return rows.join(held, "k", "left")
+    """``rows`` (.., text) with ``own`` (ascending) and ``own_counts``: the document frequencies of its shingles in ``rest``."""
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return per_chunk(rows, rest, shipped.value.chunks, lambda b: pa.Table.from_batches([b]), f"{ddl}, own array<long>, own_counts array<long>")
 
 
 def consistent_samples(shingles: np.ndarray, weights: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -218,6 +309,21 @@ def _signatures(batches: Iterator[pa.RecordBatch], shipped) -> Iterator[pa.Recor
                 names=["node", "class", "bands", "sketch"])
 
 
+SIGNATURE = pa.schema([("node", pa.int64()), ("class", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+
+
+def _classes(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
+    """(node, class) or (node, class, text) of the rows (node, text) that hold words."""
+    for batch in batches:
+        for first, raws in chunked(batch.column(1)):
+            hashes, bounds = word_hashes(raws)
+            full = np.flatnonzero(np.diff(bounds))
+            at = pa.array(first + full)
+            whole = span(prefix(hashes), bounds[:-1], bounds[1:])[full].view(np.int64)
+            text = {"text": batch.column(1).take(at)} if keep_text else {}
+            yield pa.RecordBatch.from_pydict({"node": batch.column(0).take(at), "class": pa.array(whole), **text})
+
+
 def own_frequencies(batch: pa.RecordBatch, column: int, i: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles of ``own`` (at ``column``) of row i, and their ``own_counts`` from the column after it."""
     own, counts = batch.column(column)[i].values, batch.column(column + 1)[i].values
@@ -314,17 +420,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``id_col``, component (the smallest id reachable by near pairs, the document itself included)
     and kept (whether it is that one), a row for each row of ``docs``."""
     node = F.coalesce(F.col(id_col).cast("long"), F.shiftrightunsigned(row_key(id_col, text_col), 2) + F.lit(1 << 62))
-    rows = docs.select(F.col(id_col).alias("id"), node.alias("node"), row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
-    rest, weights = frequencies(rows, "text")
+    rows = docs.select(F.col(id_col).alias("id"), node.alias("node"), F.col(text_col).alias("text"))
+    filled = rows.select("node", "text").filter("text IS NOT NULL")
+    distinct = written(filled.mapInArrow(lambda b: _classes(b, True), "node long, class long, text string").groupBy("class")
+                       .agg(F.min("node").alias("rep"), F.max("node").alias("last"), F.count("*").alias("copies"), F.first("text").alias("text")), "distinct")
+    rest, weights = frequencies(distinct, "text", F.col("copies"))
     shipped = docs.sparkSession.sparkContext.broadcast(weights)
-    weighed = written(with_frequencies(rows.select("node", "k", "text").filter("text IS NOT NULL"), rest, shipped).drop("k"), "weighed")
-    signed = written(weighed.mapInArrow(
-        lambda b: _signatures(b, shipped), "node long, class long, bands array<long>, sketch array<long>"), "signed")
-    classes = written(signed.groupBy("class").agg(F.min("node").alias("rep"), F.max("node").alias("last"),
-                                                  F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
-    copies = (signed.select("node", "class").join(classes.filter("rep < last").select("class", "rep"), "class")
+
+    def signatures(batch: pa.RecordBatch) -> pa.Table:
+        return pa.Table.from_batches(list(_signatures(iter([batch]), shipped)), SIGNATURE)
+
+    signed = written(per_chunk(distinct.select(F.col("rep").alias("node"), "text"), rest, weights.chunks, signatures,
+                               "node long, class long, bands array<long>, sketch array<long>"), "signed")
+    classes = signed.withColumnRenamed("node", "rep")
+    copies = (filled.mapInArrow(lambda b: _classes(b, False), "node long, class long")
+              .join(distinct.filter("rep < last").select("class", "rep"), "class")
               .select(F.col("node").alias("a"), F.col("rep").alias("b")))
 
+    def texts_of(asked: DataFrame) -> DataFrame:
+        found = distinct.select(F.col("rep").alias("node"), "text").join(asked, "node").dropDuplicates(["node"])
+        return with_frequencies(found, rest, shipped)
+
     members = classes.select("rep", F.posexplode("bands").alias("at", "band"))
     ends = (members.groupBy("band").agg(F.min("rep").alias("small"), F.max("rep").alias("large"), F.count("*").alias("size"))
             .filter("small < large").select("band", "small", F.ceil(F.col("size") / PART).alias("parts")))
@@ -333,7 +449,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{name}-pairs")
         asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        texts = written(weighed.join(asked, "node").dropDuplicates(["node"]), f"{name}-texts")
+        texts = written(texts_of(asked), f"{name}-texts")
         a, b = (texts.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("text", "own", "own_counts"))) for x in "ab")
         both = pairs.join(a, "a").join(b, "b").select("a", "b", *(f"{c}_{x}" for x in "ab" for c in ("text", "own", "own_counts")))
         return written(both.mapInArrow(lambda x: _verify(x, shipped, threshold), "a long, b long"), f"{name}-links")
@@ -354,7 +470,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     state = unsettled(shared, links, "first")
     if not state.isEmpty():
         asked = state.select(F.col("rep").alias("node")).distinct()
-        texts = weighed.join(asked, "node").dropDuplicates(["node"]).withColumnRenamed("node", "rep")
+        texts = texts_of(asked).withColumnRenamed("node", "rep")
         open_classes = written(classes.select("rep", "bands", "sketch").dropDuplicates(["rep"]).join(texts, "rep"), "open")
         part = F.pmod(F.xxhash64("rep", "band"), F.col("parts")).cast("int")
         links = links.union(settled(state.withColumns({"lo": part, "hi": part, "block": F.lit(0)}).join(open_classes, "rep"), "second"))
