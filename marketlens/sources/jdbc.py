@@ -2,7 +2,8 @@
 
 Each table is read with Spark's JDBC data source. Large tables are read in parallel: a numeric
 key is split into ``numPartitions`` ranges (bounds from one pushed-down min/max query), any other
-key is split by hash predicates evaluated in the database, so no single task pulls a whole table.
+key into ranges between sampled keys, which its index serves, so no single task pulls a whole table and
+no part scans more than its own rows.
 Filters and column pruning of later queries are pushed into the database by Spark.
 """
 
@@ -10,11 +11,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 from marketlens.model import Marketplace
 
-# logical table -> physical table name (overridable per call)
+# Logical table -> physical table name of the database (overridable per call)
 TABLE_MAP = {
     "users": "users_tbl",
     "restaurants": "restaurants_tbl",
@@ -42,6 +43,8 @@ class JdbcConfig:
     dialect: str = "mysql"
     driver: str = "com.mysql.cj.jdbc.Driver"
     partitions: int = 64  # of a table split by a range of a numeric key, which an index serves
+    sample_per_part: int = 200  # keys drawn for each part of a table split by ranges of a string key
+    keyset: bool = True  # False where the database has no window functions: string keys are then split by a hash
     hash_partitions: int = 4  # of a table split by a hash: each is a scan of the whole table in the database
     fetch_size: int = 10_000
     numeric_keys: frozenset[str] = field(default_factory=frozenset)  # logical tables whose split key is numeric
@@ -63,6 +66,38 @@ def hash_predicates(key: str, n: int) -> list[str]:
     return [f"MOD(CRC32({key}), {n}) = {i}" + (f" OR {key} IS NULL" if i == 0 else "") for i in range(n)]
 
 
+def key_literal(key: str | int, dialect: str) -> str:
+    """``key`` as a literal: a number as it is, a string in quotes; MySQL also reads backslashes as escapes."""
+    if isinstance(key, int):
+        return str(key)
+    return "'" + (key.replace("\\", "\\\\") if dialect == "mysql" else key).replace("'", "''") + "'"
+
+
+def key_sample_query(key: str, table: str, share: float, dialect: str) -> str:
+    """About that share of the keys, read from the key's index alone, with their place in the database's own
+    order: only its collation tells which key is smaller."""
+    draw = "RANDOM()" if dialect == "postgresql" else "RAND()"
+    return (f"(SELECT {key} AS k, ROW_NUMBER() OVER (ORDER BY {key}) AS place FROM {table} "
+            f"WHERE {key} IS NOT NULL AND {draw} < {share:.12f}) s")
+
+
+def split_points(ordered: list[str], n: int) -> list[str]:
+    """At most n - 1 keys that cut ``ordered`` into n parts of about one size; a key that is more than
+    a part of its own cuts once."""
+    cuts = [ordered[i * len(ordered) // n] for i in range(1, n)] if ordered else []
+    return list(dict.fromkeys(cuts))
+
+
+def keyset_predicates(key: str, cuts: list[str], dialect: str = "mysql") -> list[str]:
+    """One WHERE clause per range between neighbouring cuts. Every row meets exactly one of them, as long as
+    the cuts ascend in the database's order; rows without a key are read by the first."""
+    if not cuts:
+        return []
+    at = [key_literal(c, dialect) for c in cuts]
+    return [f"{key} < {at[0]} OR {key} IS NULL", *(f"{key} >= {a} AND {key} < {b}" for a, b in zip(at[:-1], at[1:], strict=True)),
+            f"{key} >= {at[-1]}"]
+
+
 def range_options(key: str, lower: int, upper: int, n: int) -> dict[str, str]:
     return {"partitionColumn": key, "lowerBound": str(lower), "upperBound": str(upper + 1), "numPartitions": str(n)}
 
@@ -72,7 +107,7 @@ def read_table(spark: SparkSession, cfg: JdbcConfig, logical: str, physical: str
     key = SPLIT_KEYS.get(logical)
     reader = spark.read.format("jdbc").options(**opts)
     ranged = logical in cfg.numeric_keys
-    if key is None or (cfg.partitions if ranged else cfg.hash_partitions) <= 1:
+    if key is None or (cfg.partitions if ranged or cfg.keyset else cfg.hash_partitions) <= 1:
         return reader.load()
     if ranged:
         bounds = (spark.read.format("jdbc")
@@ -81,8 +116,22 @@ def read_table(spark: SparkSession, cfg: JdbcConfig, logical: str, physical: str
         if bounds is None or bounds["lo"] is None:
             return reader.load()
         return reader.options(**range_options(key, int(bounds["lo"]), int(bounds["hi"]), cfg.partitions)).load()
+    predicates = sampled_ranges(spark, cfg, opts, key, physical) if cfg.keyset else hash_predicates(key, cfg.hash_partitions)
+    if not predicates:
+        return reader.load()
     props = {k: v for k, v in opts.items() if k not in ("url", "dbtable")}
-    return spark.read.jdbc(cfg.url, physical, predicates=hash_predicates(key, cfg.hash_partitions), properties=props)
+    return spark.read.jdbc(cfg.url, physical, predicates=predicates, properties=props)
+
+
+def sampled_ranges(spark: SparkSession, cfg: JdbcConfig, opts: dict[str, str], key: str, physical: str) -> list[str]:
+    """Ranges of a string key from a sample of about ``partitions * sample_per_part`` keys."""
+    def ask(query: str) -> list[Row]:
+        return spark.read.format("jdbc").options(**{**opts, "dbtable": query}).load().collect()
+
+    keys = ask(f"(SELECT count({key}) AS n FROM {physical}) c")[0]["n"]
+    share = min(1.0, cfg.partitions * cfg.sample_per_part / max(1, keys))
+    drawn = sorted(ask(key_sample_query(key, physical, share, cfg.dialect)), key=lambda r: r["place"])
+    return keyset_predicates(key, split_points([r["k"] for r in drawn], cfg.partitions), cfg.dialect)
 
 
 def load_from_database(spark: SparkSession, cfg: JdbcConfig, table_map: dict[str, str] | None = None) -> Marketplace:

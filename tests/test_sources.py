@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from marketlens.sources.adapter import load_raw
+from marketlens.sources import jdbc
 from marketlens.sources.jdbc import (CONNECT_TIMEOUT_SECONDS, TABLE_MAP, JdbcConfig, base_options, hash_predicates,
-                                     range_options)
+                                     key_literal, key_sample_query, keyset_predicates, range_options, split_points)
 from marketlens.sources.tables import materialize, read_marketplace, shared_folder, write_results, write_table
 from tests.conftest import SF_SMALL
 
@@ -32,6 +33,80 @@ def test_jdbc_options():
                                                    "upperBound": "100", "numPartitions": "4"}
 
 
+def parts_of(df, key, predicates):
+    """How many predicates each row meets, and the rows of each."""
+    met = [F.expr(p) for p in predicates]
+    times = df.select(sum(F.coalesce(m, F.lit(False)).cast("int") for m in met).alias("n")).groupBy("n").count().collect()
+    sizes = df.agg(*[F.count_if(m).alias(f"p{i}") for i, m in enumerate(met)]).first()
+    return {r["n"]: r["count"] for r in times}, list(sizes)
+
+
+def test_ranges_of_a_string_key_meet_every_row_once(spark):
+    orders = load_raw(spark, SF_SMALL).orders.select(F.concat(F.lit("O-"), "order_id").alias("order_id"))
+    ordered = sorted(r.order_id for r in orders.collect() if r.order_id is not None)
+    predicates = keyset_predicates("order_id", split_points(ordered[::7], 8))
+    times, sizes = parts_of(orders, "order_id", predicates)
+    assert len(predicates) == 8 and times == {1: orders.count()}
+    assert max(sizes) < 2 * min(sizes)
+
+
+def test_ranges_with_nulls_quotes_and_a_hot_key(spark):
+    keys = ["it's", "back\\slash", "", "a", "A", "é", "~", None, None] + ["hot"] * 40 + [f"k{i:03d}" for i in range(40)]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    ordered = sorted((k for k in keys if k is not None), key=str.encode)
+    for n in (2, 5, 30, 200):
+        predicates = keyset_predicates("k", split_points(ordered, n))
+        times, sizes = parts_of(df, "k", predicates)
+        assert times == {1: len(keys)} and len(predicates) <= n
+        assert n < 5 or sum(size >= 40 for size in sizes) == 1  # the hot key is one range and cannot be split
+    assert split_points([], 4) == [] and keyset_predicates("k", []) == []
+    assert split_points(["same"] * 9, 4) == ["same"]
+
+
+def test_keys_as_literals_and_the_sample():
+    assert key_literal(17, "mysql") == "17" and key_literal("it's", "mysql") == "'it''s'"
+    assert key_literal("a\\", "mysql") == "'a\\\\'" and key_literal("a\\", "postgresql") == "'a\\'"
+    query = key_sample_query("order_id", "orders_tbl", 0.25, "mysql")
+    assert "ORDER BY order_id" in query and "IS NOT NULL AND RAND() < 0.25" in query
+    assert "RANDOM() < " in key_sample_query("order_id", "orders_tbl", 0.25, "postgresql")
+
+
+class Answers:
+    """Stands in for a session: answers the two queries of a split, the sample out of order."""
+
+    def __init__(self, keys):
+        self.keys, self.asked = keys, []
+
+    @property
+    def read(self):
+        return self
+
+    def format(self, name):
+        return self
+
+    def options(self, **options):
+        self.asked.append(options["dbtable"])
+        return self
+
+    def load(self):
+        return self
+
+    def collect(self):
+        if "count(" in self.asked[-1]:
+            return [{"n": len(self.keys)}]
+        return [{"k": k, "place": i + 1} for i, k in enumerate(self.keys)][::-1]
+
+
+def test_ranges_keep_the_order_of_the_database():
+    """Under a collation that ignores case, b stands before C: cuts follow the places, not the code points."""
+    cfg = JdbcConfig(host="db", port=3306, database="shop", user="u", password="p", partitions=2)
+    session = Answers(["a", "b", "C", "d"])
+    assert jdbc.sampled_ranges(session, cfg, base_options(cfg, "orders_tbl"), "order_id", "orders_tbl") == [
+        "order_id < 'C' OR order_id IS NULL", "order_id >= 'C'"]
+    assert "RAND() < 1.0" in session.asked[1]
+    assert jdbc.sampled_ranges(Answers([]), cfg, base_options(cfg, "orders_tbl"), "order_id", "orders_tbl") == []
+
+
 def test_materialize_round_trip(spark, small):
     again = materialize(small, shared_folder(spark, "test"))
     for name in ("users", "orders", "events", "nps"):
