@@ -7,13 +7,11 @@ return the columns of documents; n_chars follows the text where a stage changes
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.llm import bpe, langid, line_dedup, minhash_dedup, mixing
-from marketlens.llm.queries import TOKENIZER_DIR
 from marketlens.llm.store import row_key, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -50,7 +48,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether decoding them gives the same ids' strings again."""
-    path = os.path.join(TOKENIZER_DIR, "word_bpe_49k.json")
+    path = public_tokenizers.path("word_bpe_49k.json")
     coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), path).drop("text"), path)
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
