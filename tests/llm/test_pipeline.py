@@ -44,7 +44,7 @@ def test_empty_table_passes(spark, nothing):
 
 
 def test_every_query_is_registered_once():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_near_duplicates_of_null_and_repeated_ids(spark):
