@@ -265,6 +265,40 @@ def test_shingles_weigh_by_their_own_document_frequency(spark, monkeypatch):
         assert np.allclose(got[1], idf, rtol=1e-5)
 
 
+@pytest.mark.parametrize("head", [0, 400])
+def test_frequencies_of_many_chunks_and_ranges(spark, monkeypatch, head):
+    """Rows that count several times, over dozens of chunks, told their shingles by dozens of ranges."""
+    monkeypatch.setattr(minhash_dedup, "CHUNK", 4000)
+    monkeypatch.setattr(minhash_dedup, "HEAD", head)
+    passage = " ".join(prose(3, 20))
+    docs = [(i, " ".join(prose(500 + i - i % 2, 40)) + f" end{i}" + (" " + passage if i % 3 == 0 else ""), 1 + 4 * (i % 5 == 0)) for i in range(400)]
+    docs += [(1000, "", 7), (1001, None, 1)]
+    df = spark.createDataFrame(docs, "node long, text string, copies long").repartition(3)
+    held = {i: minhash_dedup.shingle_counts([(t or "").encode()])[0].tolist() for i, t, _ in docs}
+    want = defaultdict(int)
+    for i, _, n in docs:
+        for h in held[i]:
+            want[h] += n
+    rest, weights = minhash_dedup.frequencies(df, "text", F.col("copies"))
+    assert weights.chunks > 20 and weights.documents == sum(n for i, _, n in docs if held[i])
+    common = dict(zip(weights.hashes.tolist(), weights.counts.tolist(), strict=True))
+    assert len(common) <= head and all(want[h] == n for h, n in common.items())
+    got = minhash_dedup.with_frequencies(df, rest, spark.sparkContext.broadcast(weights)).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        told = dict(zip(np.array(r.own, np.int64).view(np.uint64).tolist(), r.own_counts, strict=True))
+        assert told == {h: want[h] for h in held[r.node] if want[h] > 1 and h not in common}
+
+
+def test_packed_runs():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 1000):
+        run = np.unique(rng.integers(0, 1 << 48, n, dtype=np.uint64))
+        assert (minhash_dedup.unpacked_run(minhash_dedup.packed_run(run)) == run).all()
+    counts = np.array([1, 255, 256, (1 << 48) - 1], np.int64)
+    assert minhash_dedup.unpacked(minhash_dedup.packed(counts)).tolist() == counts.tolist()
+
+
 def test_pairs_that_differ_by_a_frequent_passage_in_a_cell_of_many_classes():
     """Their bare counts are less alike than the weighted ones: 40 pairs near by weight in one cell of 80 classes."""
     passage = prose(8, 76)
