@@ -3,13 +3,15 @@
 The vocabulary file (its path is a parameter) is read on the driver and broadcast; its size is that
 of the file, whatever the corpus. A word is merged by a priority queue of merge ranks over a doubly
 linked list of symbols: the lowest rank is joined first (the leftmost on a tie), entries whose
-symbols have changed since are skipped. Words repeat, so each worker keeps the ids of recent words
-in two generations of bounded size; a word that fell out is merged again, with the same result.
+symbols have changed since are skipped. Words repeat, and so do the runs between white space that hold
+them, so each worker keeps the ids of recent runs and words of up to CACHE_CHARS characters in two
+generations of bounded size; one that fell out is merged again, with the same result.
 
 Defined cases: a null text counts as empty, an empty text has no ids and decodes to the empty
 string; rows that repeat, null ids and other columns pass through
 unchanged, but for one that bears the result's name, which it replaces; special tokens written
-out in a text are recognised, as the vocabulary's own library does by default.
+out in a text are recognised, as the vocabulary's own library does by default; null ids decode to the
+empty string, and an id outside the vocabulary adds nothing to the decoded text.
 """
 
 from __future__ import annotations
@@ -17,18 +19,23 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-#: Words kept per generation of a worker's cache; two generations are alive at a time.
-CACHE_WORDS = 1 << 17
+#: Runs and words kept per generation of a worker's cache; two generations are alive at a time.
+CACHE_WORDS = 1 << 18
+#: A longer run of characters is not kept.
+CACHE_CHARS = 64
+ID_BITS, PLACE_BITS = 24, 32
+ID_MASK, PLACE_MASK = (1 << ID_BITS) - 1, (1 << PLACE_BITS) - 1
 
 
 def byte_symbols() -> list[str]:
@@ -53,6 +60,7 @@ NEWER = (
 CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
             **{0x10D50 + i: 0x10D70 + i for i in range(22)}, **{0x16EA0 + i: 0x16EBB + i for i in range(25)}}
 _RARE = re.compile("[^\x00-\u0557]")
+_CONTROL = re.compile("[\x1c-\x1f]")
 
 
 def _without_newer(pattern: str) -> str:
@@ -73,64 +81,103 @@ class WordBpe:
         self.words, self.rare_words = regex.compile(pattern), regex.compile(_without_newer(pattern), regex.V1)
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.strings = {i: s for s, i in (self.vocab | self.special).items()}
+        named = {i: s for s, i in (self.vocab | self.special).items()}
+        self.strings = pa.array([named.get(i) for i in range(max(named) + 1)], pa.string())
         ids = self.vocab
-        self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(model["merges"])}
-        self.symbols = byte_symbols()
-        self.recent: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-
-    def merge(self, word: str) -> tuple[int, ...]:
-        symbols = [self.symbols[b] for b in word.encode()]
-        symbols[-1] += self.end
-        ids = [self.vocab[s] for s in symbols if s in self.vocab]
-        n, merges = len(ids), self.merges
+        # a pair and its merge are one integer each: left and right id, rank and new id
+        self.merges = {ids[a] << ID_BITS | ids[b]: rank << ID_BITS | ids[a + b] for rank, (a, b) in enumerate(model["merges"])}
+        self.inner = [ids.get(s, -1) for s in byte_symbols()]
+        self.last = [ids.get(s + self.end, -1) for s in byte_symbols()]
+        self.complete = min(self.inner + self.last) >= 0
+        self.pairs = [self.merges.get(a << ID_BITS | b, 0) if a >= 0 and b >= 0 else 0 for a in self.inner for b in self.inner]
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def merge(self, word: str) -> bytes:
+        raw, merges = word.encode(), self.merges
+        ids = [*map(self.inner.__getitem__, raw)]
+        ids[-1] = self.last[raw[-1]]
+        if not self.complete:
+            ids = [x for x in ids if x >= 0]
+        n = len(ids)
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        queue = [(*found, i, ids[i], ids[i + 1]) for i in range(n - 1) if (found := merges.get((ids[i], ids[i + 1])))]
-        queue = [(rank, i, left, right, new) for rank, new, i, left, right in queue]
+        # a queued merge is one integer too: rank, new id and place of the left symbol, in this order
+        if n == len(raw):
+            # pairs of single bytes have a table of their own
+            pairs = self.pairs
+            queue = [found << PLACE_BITS | i for i in range(n - 2) if (found := pairs[raw[i] << 8 | raw[i + 1]])]
+            if n > 1 and (found := merges.get(ids[n - 2] << ID_BITS | ids[n - 1])):
+                queue.append(found << PLACE_BITS | n - 2)
+        else:
+            queue = [found << PLACE_BITS | i for i in range(n - 1) if (found := merges.get(ids[i] << ID_BITS | ids[i + 1]))]
         heapify(queue)
         while queue:
-            _, i, left, right, new = heappop(queue)
-            j = after[i]
-            if ids[i] != left or j < 0 or ids[j] != right:
+            top = heappop(queue)
+            i, merge = top & PLACE_MASK, top >> PLACE_BITS
+            left, j = ids[i], after[i]
+            if left < 0 or j < 0 or merges.get(left << ID_BITS | ids[j]) != merge:
                 continue  # stale: one of the two has been merged since
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = new, _ = merge & ID_MASK, -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if found := merges.get((new, ids[k])):
-                    heappush(queue, (found[0], i, new, ids[k], found[1]))
-            if (h := before[i]) >= 0 and (found := merges.get((ids[h], new))):
-                heappush(queue, (found[0], h, ids[h], new, found[1]))
-        return tuple(x for x in ids if x >= 0)
-
-    def word(self, word: str) -> tuple[int, ...]:
-        if (ids := self.older.get(word)) is None:
-            ids = self.merge(word)
-        if len(self.recent) >= CACHE_WORDS:
-            self.older, self.recent = self.recent, {}
-        self.recent[word] = ids
+                if found := merges.get(new << ID_BITS | ids[k]):
+                    heappush(queue, found << PLACE_BITS | i)
+            if (h := before[i]) >= 0 and (found := merges.get(ids[h] << ID_BITS | new)):
+                heappush(queue, found << PLACE_BITS | h)
+        return array("i", [x for x in ids if x >= 0]).tobytes()
+
+    def keep(self, key: str, ids: bytes) -> bytes:
+        if len(key) <= CACHE_CHARS:
+            if len(self.recent) >= CACHE_WORDS:
+                self.older, self.recent = self.recent, {}
+            self.recent[key] = ids
         return ids
 
-    def plain(self, text: str) -> list[int]:
-        # lower() spells a final capital sigma by its neighbours; the vocabulary lower-cases each letter alone
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        get, word = self.recent.get, self.word
-        split = self.words
-        if _RARE.search(text):
-            split, text = self.rare_words, text.translate(CAPITALS)
-        found = [get(w) or word(w) for w in split.findall(text)]
-        return list(chain.from_iterable(found))
-
-    def encode(self, text: str) -> list[int]:
-        if not self.split_special or not any(s in text for s in self.special):
+    def word(self, word: str) -> bytes:
+        ids = self.recent.get(word) or self.older.get(word)
+        return self.keep(word, self.merge(word) if ids is None else ids)
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of a run without white space, which holds one word or several."""
+        if (ids := self.older.get(piece)) is None:
+            split, text = self.words, piece
+            if _RARE.search(piece):
+                split, text = self.rare_words, piece.translate(CAPITALS)
+            ids = b"".join(map(self.word, split.findall(text)))
+        return self.keep(piece, ids)
+
+    def plain(self, text: str) -> bytes:
+        if not text.isascii():
+            # lower() spells a final capital sigma by its neighbours; the vocabulary lower-cases each letter alone
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        text = text.lower()
+        # words hold no white space, so a cut there parts none; split() also cuts at four control characters that words may hold
+        pieces = [text] if _CONTROL.search(text) else text.split()
+        get, piece = self.recent.get, self.piece
+        return b"".join([get(p) or piece(p) for p in pieces])
+
+    def coded(self, text: str) -> bytes:
+        """Ids as the bytes of 32-bit integers."""
+        if not any(s in text for s in self.special):
             return self.plain(text)
         parts = self.split_special.split(text)
-        return [i for part in parts for i in ([self.special[part]] if part in self.special else self.plain(part))]
+        return b"".join([np.int32(self.special[part]).tobytes() if part in self.special else self.plain(part) for part in parts])
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.coded(text), np.int32).tolist()
 
-    def decode(self, ids: list[int]) -> str:
-        """Vocabulary strings joined by a space: the file names no decoder that would do more."""
-        return " ".join(map(self.strings.__getitem__, ids))
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """Vocabulary strings joined by a space (the file names no decoder that would do more); ids outside
+        the vocabulary have none and are left out, as the vocabulary's library does."""
+        flat = ids.flatten()
+        bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])
+        known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(self.strings)))
+        strings = self.strings.take(pc.if_else(known, flat, None))
+        if strings.null_count:
+            kept = np.concatenate([[0], np.cumsum(strings.is_valid().to_numpy(zero_copy_only=False))])
+            bounds, strings = kept[bounds], strings.drop_null()
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), strings), " ")
 
 
 @lru_cache(maxsize=2)
@@ -153,11 +200,11 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids")
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
-                rows = [model.encode(t) if t else [] for t in part.column(at).to_pylist()]
-                bounds = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-                flat = np.fromiter(chain.from_iterable(rows), np.int32, int(bounds[-1]))
+                rows = [model.coded(t) if t else b"" for t in part.column(at).to_pylist()]
+                bounds = np.cumsum([0, *map(len, rows)], dtype=np.int64) // 4
+                flat = np.frombuffer(b"".join(rows), np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], names=[*part.schema.names, out])
+                    [*part.columns, pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))], names=[*part.schema.names, out])
 
     return docs.mapInArrow(run, _ddl(docs) + f", `{out}` array<int>")
 
@@ -172,8 +219,8 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
-                texts = [model.decode(ids or []) for ids in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out])
+                texts = model.decode(part.column(at))
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, out])
 
     return df.mapInArrow(run, _ddl(df) + f", `{out}` string")
 
