@@ -1,24 +1,31 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
-P(token | history) = P(class | history) * P(token | class).
-
-- The class of a token: one of the SINGLES commonest tokens is a class of its own; any other token,
-  seen or not, belongs to one of SHAPES classes by its last two bytes.
-- P(class | history) is a softmax over hashed features: the last token, the skips to the second and
-  third last, and the last two together. Rare context tokens count as their shape. Weights are trained by
-  distributed gradient updates over all training documents: each shard of them takes Adagrad steps from
-  the common weights, and the changes of a weight row are averaged over the shards that met it, ROUNDS times.
-- P(token | class) = (c + 1) / (N_class + V_class + 1), with one unseen token a class: what the base
+P(token | history) = P(class | history) * P(symbol | class, history) * P(token | symbol).
+
+- The symbol of a token: one of the SINGLES commonest tokens is a symbol of its own; any other token,
+  seen or not, belongs to one of SHAPES symbols by its last two bytes. Symbols are classes of WIDTH members.
+- P(class | history) and P(symbol | class, history) are softmaxes of WIDTH sums over hashed features: the last
+  token, the skips to the second and third last, and the last two together, hashed with the class for the
+  second factor. Rare context tokens count as their shape. Each factor of a token is a line: its goal, its
+  rows of the weight table, and the logarithms of its counts, which the sums start from.
+- Weights are trained by distributed gradient updates over all training documents: each shard of them takes
+  Adagrad steps from the common weights, and the changes of a weight row are averaged over the shards that
+  met it, ROUNDS times.
+- P(token | symbol) = (c + 1) / (N_symbol + V_symbol + 1), with one unseen token a symbol: what the base
   model does with the whole vocabulary, so both treat unseen tokens alike, and each sums to 1.
 
 Counts cover every training token. Counts of the HEAD commonest tokens go to all tasks (a fixed size);
 the occurrences of the others are joined with their counts. Scores are computed a block of tokens at
 a time over whole texts.
 
-Bounds: HEAD (hash, count) pairs and the weights, ``table_rows`` x CLASSES, whose rows grow with the square
-root of the training tokens (TABLE at least). Nothing else is sent to the driver or to all tasks. A shard
+A document's shard follows from a hash of its id and text, and a shard is read in the order of that hash, so
+the model does not depend on the files' layout. Copies of a document beyond SAME are counted by their hash,
+and each goes to a shard of its own choice, so that no shard holds a hot one.
+
+Bounds: HEAD (hash, count) pairs and the weights, ``table_rows`` x WIDTH, whose rows grow with the square
+root of the training tokens (TABLE at least); the changes pass through the driver once a round. A shard
 streams its documents and sends its changed rows once a round; there is one for about SHARE tokens a weight
-row (a partition of the input at least), and the changes are added up by blocks of weight rows.
+row, and the changes are added up by blocks of weight rows.
 
 Defined cases: a null text counts as empty; every text ends with one end token, so an empty one has
 one token; a null id belongs to the training part; rows that repeat are scored alike; without
@@ -38,14 +45,16 @@ from pyspark.sql import functions as F
 from marketlens.llm.store import row_key, written
 from marketlens.llm.words import chunked, mix, word_hashes
 
-SINGLES, SHAPES = 128, 128
-CLASSES = SINGLES + SHAPES
+WIDTH = 32
+SINGLES, SHAPES = 896, 128
+SYMBOLS = SINGLES + SHAPES
 HEAD, CONTEXT = 1 << 18, 4096
-TABLE, FEATURES = 1 << 13, 4
-SHARE, ROUNDS, EPOCHS, ROW_BLOCK, FEW = 256, 2, 1, 256, 4
-BATCH, BLOCK, RATE, FIRST, LIMIT = 512, 1024, 0.2, 0.1, 12.0
+TABLE, FEATURES = 1 << 16, 4
+SHARE, ROUNDS, EPOCHS, ROW_BLOCK, FEW, SAME = 32, 2, 1, 2048, 6, 1000
+BATCH, BLOCK, RATE, FIRST, LIMIT, EXTREME = 2048, 2048, 0.2, 0.1, 12.0, 80.0
 COUNT_FLUSH = 4_000_000
 
+SPREAD = np.uint64(0x9FB21C651E98DF25)
 END = np.uint64(0xE5D0C1B2A3948576)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -97,15 +106,18 @@ class Vocabulary:
         self.hashes = head["h"].to_numpy().view(np.uint64)[order]
         self.counts, self.ranks = head["c"].to_numpy()[order], rank[order]
         self.total, self.distinct = total, distinct
-        tokens_of, types_of = np.zeros(CLASSES), np.zeros(CLASSES)
+        tokens_of, types_of = np.zeros(SYMBOLS), np.zeros(SYMBOLS)
         for shape, (n, v) in shape_sizes.items():
             tokens_of[SINGLES + shape], types_of[SINGLES + shape] = n, v
         for i, row in enumerate(head.head(SINGLES).itertuples()):
             tokens_of[i], types_of[i] = row.c, 1
             tokens_of[SINGLES + row.shape] -= row.c
             types_of[SINGLES + row.shape] -= 1
-        self.ln_class = np.log((tokens_of + types_of + 1) / (total + distinct + CLASSES)).astype(np.float32)
-        self.log_room = np.log10(tokens_of + types_of + 1)
+        room = (tokens_of + types_of + 1).reshape(-1, WIDTH)
+        self.log_room = np.log10(room.reshape(-1))
+        # row 0: the classes; row 1 + c: the symbols of class c
+        by_class = room.sum(axis=1)
+        self.prior = np.log(np.vstack([by_class / by_class.sum(), room / by_class[:, None]])).astype(np.float32)
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, count) of each token; rank is HEAD for one outside the head."""
@@ -117,13 +129,18 @@ class Vocabulary:
 
 
 def table_rows(tokens: int) -> int:
-    """Rows of the weight table for so many training tokens: the power of two from their square root up."""
-    return max(TABLE, 1 << int(np.ceil(np.log2(max(tokens, 1)) / 2)))
+    """Rows of the weight table for so many training tokens: eight times the power of two from their square root up."""
+    return max(TABLE, 8 << int(np.ceil(np.log2(max(tokens, 1)) / 2)))
+
+
+def symbols(rank: np.ndarray, shape: np.ndarray) -> np.ndarray:
+    return np.where(rank < SINGLES, rank, SINGLES + shape.astype(np.int64))
 
 
-def features(rank: np.ndarray, shape: np.ndarray, bounds: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each token, its FEATURES rows of a weight table of ``table`` rows)."""
-    kind = np.where(rank < SINGLES, rank, SINGLES + shape.astype(np.int64))
+def features(rank: np.ndarray, shape: np.ndarray, bounds: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lines of each token, first its class's, then (from the middle on) its symbol's within the class: the
+    goal of each, its row of the prior, and its FEATURES rows of a weight table of ``table`` rows."""
+    group, member = np.divmod(symbols(rank, shape), WIDTH)
     symbol = np.where(rank < CONTEXT, rank, CONTEXT + shape.astype(np.int64)).astype(np.uint64)
     place = np.arange(len(rank)) - np.repeat(bounds[:-1], np.diff(bounds))
     back = []
@@ -132,24 +149,26 @@ def features(rank: np.ndarray, shape: np.ndarray, bounds: np.ndarray, table: int
         past[distance:] = symbol[:-distance]
         past[place < distance] = 0xFFFF
         back.append(past)
+    base = np.concatenate([np.zeros(len(rank), np.int64), group + 1])
     keys = [back[0], back[1], back[2], back[0] << np.uint64(20) | back[1]]
-    rows = [(mix(k << np.uint64(2) | np.uint64(i)) & np.uint64(table - 1)).astype(np.int32) for i, k in enumerate(keys)]
-    return kind, np.stack(rows)
+    of_class = mix(np.arange(WIDTH, dtype=np.uint64))[group]
+    hashes = [mix(k << np.uint64(2) | np.uint64(i)) for i, k in enumerate(keys)]
+    rows = [(np.concatenate([h, (h ^ of_class) * SPREAD >> np.uint64(24)]) & np.uint64(table - 1)).astype(np.int32) for h in hashes]
+    return np.concatenate([group, member]), base, np.stack(rows)
 
 
-def class_logs(kind: np.ndarray, rows: np.ndarray, weights: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    """Natural log of P(class | history) of each token, in blocks. Weights are within +-LIMIT, so the
+def line_logs(goal: np.ndarray, base: np.ndarray, rows: np.ndarray, weights: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Natural log of the probability of each line's goal, in blocks. Weights are within +-LIMIT, so the
     exponentials cannot overflow."""
-    out = np.empty(len(kind))
-    total, part = np.empty((2, BLOCK, CLASSES), np.float32)
-    for a in range(0, len(kind), BLOCK):
-        n = min(BLOCK, len(kind) - a)
-        np.take(weights, rows[0, a : a + n], axis=0, out=total[:n], mode="clip")
-        for i in range(1, FEATURES):
+    out = np.empty(len(goal))
+    total, part = np.empty((2, BLOCK, WIDTH), np.float32)
+    for a in range(0, len(goal), BLOCK):
+        n = min(BLOCK, len(goal) - a)
+        np.take(prior, base[a : a + n], axis=0, out=total[:n], mode="clip")
+        for i in range(FEATURES):
             np.take(weights, rows[i, a : a + n], axis=0, out=part[:n], mode="clip")
             total[:n] += part[:n]
-        total[:n] += prior
-        chosen = total[np.arange(n), kind[a : a + n]].astype(np.float64)
+        chosen = total[np.arange(n), goal[a : a + n]].astype(np.float64)
         np.exp(total[:n], out=total[:n])
         out[a : a + n] = chosen - np.log(total[:n].sum(axis=1, dtype=np.float64))
     return out
@@ -162,13 +181,13 @@ def _train_shard(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, comm
     for batch in batches:
         for _, raws in chunked(batch.column(0)):
             hashes, shape, bounds = tokens(raws)
-            kind, rows = features(vocabulary.look_up(hashes)[0], shape, bounds, len(common))
-            rng = np.random.default_rng(len(kind))
+            goal, base, rows = features(vocabulary.look_up(hashes)[0], shape, bounds, len(common))
+            # a batch holds lines from all over the run, at even distances
+            batches_of = -(-len(goal) // BATCH)
             for _ in range(EPOCHS):
-                order = rng.permutation(len(kind))
-                for a in range(0, len(order), BATCH):
-                    at = order[a : a + BATCH]
-                    _step(kind[at], rows[:, at], weights, gathered, vocabulary.ln_class)
+                for a in range(batches_of):
+                    at = slice(a, None, batches_of)
+                    _step(goal[at], rows[:, at], weights, gathered, vocabulary.prior.take(base[at], axis=0))
             seen[rows.reshape(-1)] = True
     np.clip(weights, -LIMIT, LIMIT, out=weights)
     met = np.flatnonzero(seen)
@@ -178,33 +197,36 @@ def _train_shard(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, comm
                                          names=["block", "rows", "change"])
 
 
-def _step(kind: np.ndarray, rows: np.ndarray, weights: np.ndarray, gathered: np.ndarray, prior: np.ndarray) -> None:
-    """An Adagrad step over a batch of tokens, on ``weights`` and ``gathered`` themselves."""
-    n = len(kind)
-    p, part = np.empty((2, n, CLASSES), np.float32)
-    np.take(weights, rows[0], axis=0, out=p, mode="clip")
+def _step(goal: np.ndarray, rows: np.ndarray, weights: np.ndarray, gathered: np.ndarray, prior: np.ndarray) -> None:
+    """An Adagrad step over a batch of lines, on ``weights`` and ``gathered`` themselves."""
+    n = len(goal)
+    p = weights.take(rows[0], axis=0, mode="clip")
     for i in range(1, FEATURES):
-        p += np.take(weights, rows[i], axis=0, out=part, mode="clip")
+        p += weights.take(rows[i], axis=0, mode="clip")
     p += prior
-    p -= p.max(axis=1, keepdims=True)
+    np.clip(p, -EXTREME, EXTREME, out=p)
     np.exp(p, out=p)
     p /= p.sum(axis=1, keepdims=True)
-    p[np.arange(n), kind] -= 1
-    flat = rows.reshape(-1)
-    by_row = np.argsort(flat, kind="stable")
-    used, starts, times = np.unique(flat[by_row], return_index=True, return_counts=True)
-    token = by_row % n
-    # a row's gradient is the sum of p over its tokens: one by one for most rows, as a product for frequent ones
-    gradient = p[token[starts]]
+    p.reshape(-1)[np.arange(0, n * WIDTH, WIDTH) + goal] -= 1
+    # rows in order, with the line of each in the low bits
+    ordered = np.sort((rows.astype(np.int64) << 32 | np.arange(n)).reshape(-1))
+    row, line = ordered >> 32, ordered & 0xFFFFFFFF
+    starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    used, times = row.take(starts), np.diff(starts, append=len(row))
+    # a row's gradient is the sum of p over its lines: one by one for most rows, as sums of runs for frequent ones
+    gradient = p.take(line.take(starts), axis=0)
     for turn in range(1, FEW):
         more = np.flatnonzero((times > turn) & (times <= FEW))
-        gradient[more] += p[token[starts[more] + turn]]
+        gradient[more] += p.take(line.take(starts.take(more) + turn), axis=0)
     often = np.flatnonzero(times > FEW)
-    place = np.repeat(np.arange(len(often)), times[often]) * n + token[np.repeat(times > FEW, times)]
-    gradient[often] = np.bincount(place, minlength=len(often) * n).reshape(-1, n).astype(np.float32) @ p
-    gathered[used] += np.einsum("ij,ij->i", gradient, gradient) / CLASSES
-    gradient *= (RATE / np.sqrt(gathered[used]))[:, None]
-    weights[used] -= gradient
+    of_often = line[np.repeat(times > FEW, times)]
+    ends = np.cumsum(times.take(often))
+    runs = np.cumsum(p.take(of_often, axis=0), axis=0, dtype=np.float64).take(ends - 1, axis=0)
+    gradient[often] = np.diff(runs, axis=0, prepend=0)
+    sums = gathered.take(used) + np.einsum("ij,ij->i", gradient, gradient) / WIDTH
+    gathered[used] = sums
+    gradient *= (RATE / np.sqrt(sums))[:, None]
+    weights[used] = weights.take(used, axis=0) - gradient
 
 
 def _mean_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,8 +238,8 @@ def _mean_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for block, rows, part in zip(*(batch.column(c) for c in range(3)), strict=True):
             block, at = block.as_py(), np.frombuffer(rows.as_py(), np.int32) % ROW_BLOCK
             if block not in change:
-                change[block], times[block] = np.zeros((ROW_BLOCK, CLASSES)), np.zeros(ROW_BLOCK, np.int64)
-            change[block][at] += np.frombuffer(part.as_py(), np.float16).reshape(-1, CLASSES)
+                change[block], times[block] = np.zeros((ROW_BLOCK, WIDTH)), np.zeros(ROW_BLOCK, np.int64)
+            change[block][at] += np.frombuffer(part.as_py(), np.float16).reshape(-1, WIDTH)
             times[block][at] += 1
     for block, n in times.items():
         at = np.flatnonzero(n)
@@ -239,6 +261,16 @@ def commonest(counts: DataFrame, most: int) -> DataFrame:
     return counts.filter(level >= F.lit(least)) if least is not None else counts.limit(0)
 
 
+def sharded(rows: DataFrame, n: int) -> DataFrame:
+    """The texts of (id, text) in ``n`` partitions that depend on the rows alone, not on where they stood."""
+    keyed = rows.select(row_key("id", "text").alias("k"), "text")
+    hot = written(keyed.groupBy("k").agg(F.count("*").alias("times")).filter(F.col("times") > SAME), "hot")
+    copies = (keyed.join(hot, "k").groupBy("k", "times").agg(F.min("text").alias("text"))
+              .select("k", "text", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")))
+    every = keyed.join(hot, "k", "left_anti").select("k", "text", F.lit(0).cast("long").alias("copy")).unionByName(copies)
+    return every.repartition(n, F.xxhash64("k", "copy")).sortWithinPartitions("k", "copy", "text").select("text")
+
+
 def train(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Vocabulary, np.ndarray]:
     """(all counts as (h, c), vocabulary, weight table) of the training documents."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -250,8 +282,8 @@ def train(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Vocab
 
     context = docs.sparkSession.sparkContext
     known = context.broadcast(vocabulary)
-    weights = np.zeros((table_rows(vocabulary.total), CLASSES), np.float32)
-    shards = rows.select("text").coalesce(vocabulary.total // (SHARE * len(weights)) + 1)
+    weights = np.zeros((table_rows(vocabulary.total), WIDTH), np.float32)
+    shards = sharded(rows, vocabulary.total // (SHARE * len(weights)) + 1)
     blocks = len(weights) // ROW_BLOCK
     for _ in range(ROUNDS):
         common = context.broadcast(weights)
@@ -260,7 +292,7 @@ def train(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Vocab
         weights = weights.copy()
         for r in means.toLocalIterator():
             at = np.frombuffer(bytes(r["rows"]), np.int32)
-            weights[at] += np.frombuffer(bytes(r["change"]), np.float32).reshape(-1, CLASSES)
+            weights[at] += np.frombuffer(bytes(r["change"]), np.float32).reshape(-1, WIDTH)
         np.clip(weights, -LIMIT, LIMIT, out=weights)
         common.unpersist()
     return counts.select("h", "c"), vocabulary, weights
@@ -272,8 +304,9 @@ def _score(batches: Iterator[pa.RecordBatch], shipped) -> Iterator[pa.RecordBatc
         for first, raws in chunked(batch.column(3)):
             hashes, shape, bounds = tokens(raws)
             rank, count = vocabulary.look_up(hashes)
-            kind, rows = features(rank, shape, bounds, len(weights))
-            logs = class_logs(kind, rows, weights, vocabulary.ln_class) / np.log(10) - vocabulary.log_room[kind]
+            goal, base, rows = features(rank, shape, bounds, len(weights))
+            by_class, within = line_logs(goal, base, rows, weights, vocabulary.prior).reshape(2, -1) / np.log(10)
+            logs = by_class + within - vocabulary.log_room[symbols(rank, shape)]
             out = rank == HEAD
             tail_bounds = np.concatenate([[0], np.cumsum(out)])[bounds].astype(np.int32)
             tail = pa.ListArray.from_arrays(pa.array(tail_bounds), pa.array(hashes[out].view(np.int64)))
