@@ -19,7 +19,7 @@ the occurrences of the others are joined with their counts. Scores are computed
 a time over whole texts.
 
 A document's shard follows from a hash of its id and text, and a shard is read in the order of that hash, so
-the model does not depend on the files' layout. Copies of a document beyond SAME are counted by their hash,
+the model depends neither on the files' layout nor on the number of partitions. Copies of a document beyond SAME are counted by their hash,
 and each goes to a shard of its own choice, so that no shard holds a hot one.
 
 Bounds: HEAD (hash, count) pairs and the weights, ``table_rows`` x WIDTH, whose rows grow with the square
@@ -35,6 +35,8 @@ training documents every count is 0; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -197,6 +199,20 @@ def _train_shard(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, comm
                                          names=["block", "rows", "change"])
 
 
+def _train(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The changes of each shard of a partition, whose rows come in the order of shards."""
+    def parts() -> Iterator[tuple[int, pa.RecordBatch]]:
+        for batch in batches:
+            shard = batch.column(0).to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if b > a:
+                    yield int(shard[a]), batch.slice(a, b - a).select(["text"])
+
+    for _, same in groupby(parts(), key=itemgetter(0)):
+        yield from _train_shard(map(itemgetter(1), same), vocabulary, common)
+
+
 def _step(goal: np.ndarray, rows: np.ndarray, weights: np.ndarray, gathered: np.ndarray, prior: np.ndarray) -> None:
     """An Adagrad step over a batch of lines, on ``weights`` and ``gathered`` themselves."""
     n = len(goal)
@@ -262,13 +278,16 @@ def commonest(counts: DataFrame, most: int) -> DataFrame:
 
 
 def sharded(rows: DataFrame, n: int) -> DataFrame:
-    """The texts of (id, text) in ``n`` partitions that depend on the rows alone, not on where they stood."""
+    """(shard, text) of (id, text): ``n`` shards that depend on the rows alone, not on where they stood, each
+    whole and in the order of its hashes in one partition, however many partitions there are."""
     keyed = rows.select(row_key("id", "text").alias("k"), "text")
     hot = written(keyed.groupBy("k").agg(F.count("*").alias("times")).filter(F.col("times") > SAME), "hot")
     copies = (keyed.join(hot, "k").groupBy("k", "times").agg(F.min("text").alias("text"))
               .select("k", "text", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")))
     every = keyed.join(hot, "k", "left_anti").select("k", "text", F.lit(0).cast("long").alias("copy")).unionByName(copies)
-    return every.repartition(n, F.xxhash64("k", "copy")).sortWithinPartitions("k", "copy", "text").select("text")
+    shard = F.pmod(F.xxhash64("k", "copy"), F.lit(n)).cast("int").alias("shard")
+    placed = every.select(shard, "k", "copy", "text").repartitionById(n, F.col("shard"))
+    return placed.sortWithinPartitions("shard", "k", "copy", "text").select("shard", "text")
 
 
 def train(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Vocabulary, np.ndarray]:
@@ -287,7 +306,7 @@ def train(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Vocab
     blocks = len(weights) // ROW_BLOCK
     for _ in range(ROUNDS):
         common = context.broadcast(weights)
-        changes = shards.mapInArrow(lambda b, common=common: _train_shard(b, known.value, common.value), "block int, rows binary, change binary")
+        changes = shards.mapInArrow(lambda b, common=common: _train(b, known.value, common.value), "block int, rows binary, change binary")
         means = written(changes.repartition(blocks, "block").mapInArrow(_mean_changes, "block int, rows binary, change binary"), "changes")
         weights = weights.copy()
         for r in means.toLocalIterator():
