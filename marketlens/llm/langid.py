@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketlens.llm.store import written
+
 UNDETERMINED = "und"
 TRAIN_DOCS, TRAIN_CHARS = 400, 16_000
 ALPHABET, SEGMENT = 64, 256
@@ -131,26 +133,42 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
     return few.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= TRAIN_DOCS)
 
 
+def level(lengths: list[int], total: int) -> int:
+    """The least length to cut at so that the pieces hold ``total`` in all (the longest, if there is less)."""
+    left = total
+    for i, n in enumerate(sorted(lengths)):
+        share = -(-left // (len(lengths) - i))
+        if n >= share:
+            return share
+        left -= n
+    return max(lengths, default=0)
+
+
 def _portion(texts: list[str], table: np.ndarray) -> list[int]:
-    """TRAIN_CHARS symbols, an even share from the middle of each text."""
+    """TRAIN_CHARS symbols from the middles of the texts, of each as much as short texts leave to it."""
     runs = [symbols(t, table) for t in texts]
-    share = max(40, TRAIN_CHARS // max(1, len(runs)))
+    share = level([len(r) + 1 for r in runs], TRAIN_CHARS)
     out: list[int] = []
     for run in runs:
-        begin = max(0, (len(run) - share) // 2)
-        out += [GAP, *run[begin : begin + share].tolist()]
-        if len(out) >= TRAIN_CHARS:
-            break
+        begin = max(0, (len(run) + 1 - share) // 2)
+        out += [GAP, *run[begin : begin + share - 1].tolist()]
     return out[:TRAIN_CHARS]
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
     """Model: the symbol table and, by language, its automaton and sample length."""
     picked = sample(labelled, id_col, text_col, lang_col)
-    heads = picked.groupBy("lang").agg(F.collect_list(F.struct("rank", F.expr(f"substr(text, 1 + (greatest(0, length(text) - {4 * TRAIN_CHARS // 100}) div 2), {4 * TRAIN_CHARS // 100})").alias("text"))).alias("texts"))
+    spark = labelled.sparkSession
+    picked = written(picked.select("lang", "rank", "text"), "picked")
+    lengths: dict[str, list[int]] = {}
+    for r in picked.select("lang", F.length("text").alias("n")).collect():
+        lengths.setdefault(r["lang"], []).append(r["n"])
+    # runs of gaps are one symbol, so more characters than symbols are taken
+    cuts = spark.createDataFrame([(lang, level(n, 4 * TRAIN_CHARS)) for lang, n in lengths.items()], "lang string, most int")
+    piece = F.expr("substr(text, 1 + greatest(0, length(text) - most) div 2, most)")
+    heads = picked.join(F.broadcast(cuts), "lang").groupBy("lang").agg(F.collect_list(F.struct("rank", piece.alias("text"))).alias("texts"))
     rows = {r["lang"]: [t["text"].lower() for t in sorted(r["texts"], key=lambda t: t["rank"])] for r in heads.collect()}
     table = letters_of([t for texts in rows.values() for t in texts])
-    spark = labelled.sparkSession
     if not rows:
         return {"table": table, "langs": [], "automata": [], "sizes": []}
     portions = spark.createDataFrame([(lang, _portion(rows[lang], table)) for lang in sorted(rows)], "lang string, codes array<int>")
