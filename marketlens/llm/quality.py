@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.store import bounded_sample
+from marketlens.llm.store import bounded_sample, written
 from marketlens.llm.words import chunked, mix, word_hashes
 
 FEATURES, SOURCES = 1 << 15, 64
@@ -126,11 +126,22 @@ def _part(rows: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     return np.concatenate(pieces), np.cumsum([0, *map(len, pieces)])
 
 
+def split(label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places to fit on and to calibrate on: one of CALIBRATION of each kind of label calibrates, and the
+    only one of a kind serves both."""
+    fit, calibrate = [], []
+    for value in (0, 1):
+        at = np.flatnonzero(label == value)
+        calibrate.append(at[::CALIBRATION])
+        fit.append(np.delete(at, np.s_[::CALIBRATION]) if len(at) > 1 else at)
+    return np.sort(np.concatenate(fit)), np.sort(np.concatenate(calibrate))
+
+
 def co_train(pdf: pd.DataFrame) -> TwoViews:
-    """``pdf``: rows (list of ints), page (list of floats), label (0, 1 or nan), calibrate (bool)."""
+    """``pdf``: rows (list of ints), page (list of floats), label (0, 1 or nan)."""
     label = pdf["label"].to_numpy(float)
-    known, fold = ~np.isnan(label), pdf["calibrate"].to_numpy(bool)
-    if len(set(label[known])) < 2 or len(set(label[known & ~fold])) < 2 or len(set(label[known & fold])) < 2:
+    known = ~np.isnan(label)
+    if len(set(label[known])) < 2:
         return TwoViews(float(label[known].mean()) if known.any() else 0.5)
     model = TwoViews(float(label[known].mean()))
     bounds = np.cumsum([0, *map(len, pdf["rows"])])
@@ -139,7 +150,7 @@ def co_train(pdf: pd.DataFrame) -> TwoViews:
     model.center[2 * SOURCES] = 0  # the constant stays one
     model.scale[2 * SOURCES] = 1
     scaled = (page - model.center) / model.scale
-    start = np.flatnonzero(known & ~fold)
+    start, held = split(label)
     labels = [dict(zip(start, label[start], strict=True)) for _ in range(2)]
     pool = np.flatnonzero(~known)
     for turn in range(ROUNDS + 1):
@@ -159,7 +170,6 @@ def co_train(pdf: pd.DataFrame) -> TwoViews:
                 labels[1 - view].update(dict.fromkeys(pool[sure], value))
                 moved.update(pool[sure])
         pool = np.array([i for i in pool if i not in moved], int)
-    held = np.flatnonzero(known & fold)
     logits, one = model.logits(*_part(rows, bounds, held), page[held]), np.ones((len(held), 1))
     even = np.full(len(held), 1 / len(held))
     model.platt = [fit_dense(np.hstack([logits[:, [i]], one]), label[held], even) for i in range(2)]
@@ -177,7 +187,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(rows)),
                  pa.ListArray.from_arrays(pa.array(np.arange(len(raws) + 1, dtype=np.int32) * META_SIZE), pa.array(page.reshape(-1))),
-                 batch.column(3).slice(first, len(raws)), batch.column(4).slice(first, len(raws))], names=["rows", "page", "label", "calibrate"])
+                 batch.column(3).slice(first, len(raws))], names=["rows", "page", "label"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> TwoViews:
@@ -187,12 +197,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
               .select("id", F.col("a").cast("double").alias("label")))
     order = F.xxhash64("id", F.lit(9))
     rows = docs.select(F.col(id_col).alias("id"), "text", "source", "lang")
+    agreed = written(agreed.join(rows.select("id"), "id", "left_semi"), "agreed")  # labels of other documents teach nothing
     labelled = rows.join(F.broadcast(bounded_sample(agreed, LABELLED, order)), "id")
     pool = bounded_sample(rows, POOL, order).join(known.select("id"), "id", "left_anti").withColumn("label", F.lit(None).cast("double"))
     picked = labelled.unionByName(pool).withColumn("o", order).orderBy("o", "text").limit(LABELLED + POOL)
-    calibrate = F.pmod("o", F.lit(CALIBRATION)) == 0
-    found = (picked.select("text", "source", "lang", "label", calibrate.alias("calibrate"))
-             .mapInArrow(_extract, "rows array<int>, page array<double>, label double, calibrate boolean").toPandas())
+    found = picked.select("text", "source", "lang", "label").mapInArrow(_extract, "rows array<int>, page array<double>, label double").toPandas()
     return co_train(found)
 
 

@@ -109,6 +109,19 @@ def test_languages_of_held_out_documents(spark):
     assert got.score.between(0, 1).all()
 
 
+def test_few_long_documents_fill_the_sample(spark):
+    docs = spark.createDataFrame([(i, " ".join(prose(i, 4000)), "aa") for i in range(5)] + [(9, "kurz", "bb"), (10, "", "cc")], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert dict(zip(model["langs"], model["sizes"], strict=True))["aa"] == langid.TRAIN_CHARS
+
+
+@given(st.lists(st.integers(0, 50), min_size=1, max_size=20), st.integers(0, 300))
+def test_level_of_cuts(lengths, total):
+    at = langid.level(lengths, total)
+    held = sum(min(n, at) for n in lengths)
+    assert held >= min(total, sum(lengths)) and (at == 0 or held == sum(lengths) or sum(min(n, at - 1) for n in lengths) < total)
+
+
 def test_language_of_awkward_rows(awkward, nothing):
     model = langid.train(awkward)
     got = langid.identify(awkward, model).select("doc_id", "text", "lang_pred", "score", "kept_text").collect()
@@ -272,6 +285,26 @@ def test_quality_of_awkward_rows(spark, awkward, nothing):
     assert quality.score(nothing, model).count() == 0
 
 
+def test_quality_of_one_bad_label_in_five_hundred(spark):
+    """Labels of other documents take no place in the sample, and the only one of its kind is learned from."""
+    docs = spark.createDataFrame([(i, "spam buy now $$$ click" if i == 7 or i > 500 else " ".join(prose(i, 60)), "s", "en") for i in range(560)],
+                                 "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, int(i != 7)) for i in range(500)] + [(i, 0) for i in range(10_000, 14_000)], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality.score(docs, quality.train(docs, labels)).collect()}
+    good = sorted(got[i] for i in range(500) if i != 7)
+    assert max(got[i] for i in range(501, 560)) < good[len(good) // 20]
+
+
+@given(st.lists(st.sampled_from([0.0, 1.0, float("nan")]), max_size=60))
+def test_labels_split_by_kind(label):
+    label = np.array(label)
+    fit, held = quality.split(label)
+    for value in (0, 1):
+        at = set(np.flatnonzero(label == value))
+        a, b = at & set(fit), at & set(held)
+        assert a | b == at and bool(a) == bool(b) == bool(at) and (len(at) < 2 or not a & b)
+
+
 # ---- 10 language model
 
 def test_scores_against_brute_force_counts(awkward):
