@@ -4,12 +4,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketlens.model import FilterSpec, KpiConfig
-from marketlens.operators.cube import DIMENSIONS, order_cube, order_facts
+from marketlens.operators import cube as cube_module
+from marketlens.operators.cube import DIMENSIONS, order_cube, order_facts, ranged_cube
 from marketlens.operators.filters import apply_filters, check_slice, population_counts, scope
 from marketlens.plans import charts as CH
 from marketlens.plans import kpis as K
 from marketlens.plans.inspect import scan_lines
 from marketlens.plans.registry import QUERIES, SLICES
+from marketlens.sources import tables
 from tests.conftest import SF_SMALL
 
 SPECS = [FilterSpec(), SLICES["kpi"], SLICES["orders_in"], SLICES["demographics"], FilterSpec(cities=["none such"])]
@@ -59,3 +61,32 @@ def test_cube_has_one_row_a_cell_and_keeps_null_dimensions(small):
     for c in ("user_id", "city", "restaurant_id"):
         want = facts.where(F.col(c).isNull()).agg(F.sum("n"), F.sum("value")).first()
         assert want[0] and cube.where(F.col(c).isNull()).agg(F.sum("n"), F.sum("value")).first() == want
+
+
+@pytest.mark.parametrize("hot_cell", [None, 1])
+def test_cube_by_ranges_equals_the_cube(small, monkeypatch, hot_cell):
+    """The same cells and sums, whether all of them are added up in their range or those of several orders before."""
+    if hot_cell:
+        monkeypatch.setattr(cube_module, "HOT_CELL", hot_cell)
+    twice = small.orders.unionByName(small.orders.where("order_id % 3 = 0"))
+    got, want = ranged_cube(twice, 5), order_cube(twice)
+    assert got.dtypes == want.dtypes and got.count() == want.count()
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_cube_by_ranges_moves_the_orders_once(small):
+    """One shuffle, by range, and all aggregation behind it: no task adds up more than its range."""
+    plan = ranged_cube(small.orders, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "rangepartitioning(order_date" in plan
+    assert plan.index("HashAggregate") < plan.index("Exchange ")
+
+
+def test_ranges_follow_the_number_of_rows(spark, monkeypatch, tmp_path):
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [tables.ranges_for(spark, n) for n in (0, 1, 10**9)] == [least, least, 5000]
+    monkeypatch.setattr(tables, "RANGE_ROWS", 50)
+    orders = spark.range(1000).selectExpr("id AS order_id", "date_add(date'2020-01-01', cast(id AS int)) AS order_date").selectExpr(
+        "*", "date_format(order_date, 'yyyy-MM') AS order_month")
+    back = tables.stored("orders", orders, str(tmp_path), rows=1000)
+    files = {f.rsplit("/", 1)[1].split("-")[1] for f in back.inputFiles()}
+    assert len(files) > 10 and back.exceptAll(orders).isEmpty() and back.count() == 1000
