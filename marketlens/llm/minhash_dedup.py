@@ -52,6 +52,8 @@ BANDS, ROWS = 10, 4
 SAMPLES = BANDS * ROWS
 HEAD, COUNT_FLUSH, CHUNK, SEED = 1 << 18, 4_000_000, 8 << 20, 2
 AGREEING, PART, BLOCK = 26, 16, 512
+#: Bits of the map of nodes whose texts are asked for, 4 MB.
+MAP_BITS = 1 << 25
 #: Bits of a shingle hash that remain beside the document's number in a chunk.
 _BITS = 48
 _DOC_LIMIT = 1 << (64 - _BITS)
@@ -416,6 +418,18 @@ def _settled(batches: Iterator[pa.RecordBatch], shipped, threshold: float) -> It
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
 
+def among(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """``rows`` whose node may be in ``asked``: all that are, and few others, told by a hash's bit in a broadcast map
+    of MAP_BITS bits. A join with ``asked`` then moves little more than the rows it keeps."""
+    place = F.pmod(F.xxhash64("node"), F.lit(MAP_BITS))
+    bucket, bit = F.bitmap_bucket_number(place).alias("__bucket"), F.bitmap_bit_position(place)
+    bits = asked.groupBy(bucket).agg(F.bitmap_construct_agg(bit).alias("__bits"))
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    marked = F.expr("shiftright(__byte, CAST(__bit % 8 AS INT)) % 2 = 1")
+    return (rows.select("*", bucket, bit.alias("__bit")).join(F.broadcast(bits), "__bucket")
+            .withColumn("__byte", byte).filter(marked).select(*rows.columns))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``id_col``, component (the smallest id reachable by near pairs, the document itself included)
     and kept (whether it is that one), a row for each row of ``docs``."""
@@ -438,7 +452,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
               .select(F.col("node").alias("a"), F.col("rep").alias("b")))
 
     def texts_of(asked: DataFrame) -> DataFrame:
-        found = distinct.select(F.col("rep").alias("node"), "text").join(asked, "node").dropDuplicates(["node"])
+        found = among(distinct.select(F.col("rep").alias("node"), "text"), asked).join(asked, "node").dropDuplicates(["node"])
         return with_frequencies(found, rest, shipped)
 
     members = classes.select("rep", F.posexplode("bands").alias("at", "band"))

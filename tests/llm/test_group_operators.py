@@ -314,3 +314,13 @@ def test_pairs_that_differ_by_a_frequent_passage_in_a_cell_of_many_classes():
                                       names=["lo", "hi", "band", "block", "at", "rep", "component", "bands", "sketch", "text", "own", "own_counts"])
     found = minhash_dedup._settle(cell, weights, 0.8)
     assert {(a, b) for a, b in found} <= {(i, i + 1) for i in range(0, 80, 2)} and len(found) >= 39
+
+
+def test_texts_that_are_not_asked_for_stay_where_they_are(spark):
+    """All rows that are asked for pass the map of bits, negative and large nodes too, and hardly any other."""
+    rows = spark.range(20000).selectExpr("CASE WHEN id % 2 = 0 THEN id ELSE -id END * 922337203685 AS node", "CAST(id AS STRING) AS text")
+    asked = rows.filter("CAST(text AS INT) % 10 = 3").select("node")
+    got = minhash_dedup.among(rows, asked)
+    assert got.columns == rows.columns
+    assert got.join(asked, "node").count() == 2000 and got.count() < 2020
+    assert minhash_dedup.among(rows, asked.limit(0)).isEmpty()
