@@ -55,6 +55,9 @@ TABLE, FEATURES = 1 << 16, 4
 SHARE, ROUNDS, EPOCHS, ROW_BLOCK, FEW, SAME = 32, 2, 1, 2048, 6, 1000
 BATCH, BLOCK, RATE, FIRST, LIMIT, EXTREME = 2048, 2048, 0.2, 0.1, 12.0, 80.0
 COUNT_FLUSH = 4_000_000
+#: Leading bits of a hash by which the head is looked up: four times as many values as it has hashes.
+FIRST_BITS = 20
+_TO_FIRST = np.uint64(64 - FIRST_BITS)
 
 SPREAD = np.uint64(0x9FB21C651E98DF25)
 END = np.uint64(0xE5D0C1B2A3948576)
@@ -107,6 +110,8 @@ class Vocabulary:
         order = np.argsort(head["h"].to_numpy().view(np.uint64))
         self.hashes = head["h"].to_numpy().view(np.uint64)[order]
         self.counts, self.ranks = head["c"].to_numpy()[order], rank[order]
+        # place of the first hash with these leading bits, or beyond them
+        self.firsts = np.searchsorted(self.hashes, np.arange(1 << FIRST_BITS, dtype=np.uint64) << _TO_FIRST).astype(np.int32)
         self.total, self.distinct = total, distinct
         tokens_of, types_of = np.zeros(SYMBOLS), np.zeros(SYMBOLS)
         for shape, (n, v) in shape_sizes.items():
@@ -125,9 +130,15 @@ class Vocabulary:
         """(rank, count) of each token; rank is HEAD for one outside the head."""
         if not len(self.hashes):
             return np.full(len(hashes), HEAD), np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        known = self.hashes[at] == hashes
-        return np.where(known, self.ranks[at], HEAD), np.where(known, self.counts[at], 0)
+        last = len(self.hashes) - 1
+        at = np.minimum(self.firsts.take((hashes >> _TO_FIRST).astype(np.int64)), last)
+        known = self.hashes.take(at) == hashes
+        # the few that are not the first of their leading bits
+        others = np.flatnonzero(~known)
+        others = others[self.hashes.take(at[others]) < hashes[others]]
+        at[others] = np.minimum(np.searchsorted(self.hashes, hashes[others]), last)
+        known[others] = self.hashes.take(at[others]) == hashes[others]
+        return np.where(known, self.ranks.take(at), HEAD), np.where(known, self.counts.take(at), 0)
 
 
 def table_rows(tokens: int) -> int:
@@ -179,7 +190,7 @@ def line_logs(goal: np.ndarray, base: np.ndarray, rows: np.ndarray, weights: np.
 def _train_shard(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, common: np.ndarray) -> Iterator[pa.RecordBatch]:
     """EPOCHS of Adagrad steps over each run of a shard's texts; the changes of the rows that were met."""
     weights, seen = common.copy(), np.zeros(len(common), bool)
-    gathered = np.full(len(common), FIRST, np.float32)
+    step = Steps(weights, vocabulary.prior)
     for batch in batches:
         for _, raws in chunked(batch.column(0)):
             hashes, shape, bounds = tokens(raws)
@@ -189,7 +200,7 @@ def _train_shard(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, comm
             for _ in range(EPOCHS):
                 for a in range(batches_of):
                     at = slice(a, None, batches_of)
-                    _step(goal[at], rows[:, at], weights, gathered, vocabulary.prior.take(base[at], axis=0))
+                    step(goal[at], base[at], rows[:, at])
             seen[rows.reshape(-1)] = True
     np.clip(weights, -LIMIT, LIMIT, out=weights)
     met = np.flatnonzero(seen)
@@ -213,36 +224,55 @@ def _train(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, common: np
         yield from _train_shard(map(itemgetter(1), same), vocabulary, common)
 
 
-def _step(goal: np.ndarray, rows: np.ndarray, weights: np.ndarray, gathered: np.ndarray, prior: np.ndarray) -> None:
-    """An Adagrad step over a batch of lines, on ``weights`` and ``gathered`` themselves."""
-    n = len(goal)
-    p = weights.take(rows[0], axis=0, mode="clip")
-    for i in range(1, FEATURES):
-        p += weights.take(rows[i], axis=0, mode="clip")
-    p += prior
-    np.clip(p, -EXTREME, EXTREME, out=p)
-    np.exp(p, out=p)
-    p /= p.sum(axis=1, keepdims=True)
-    p.reshape(-1)[np.arange(0, n * WIDTH, WIDTH) + goal] -= 1
-    # rows in order, with the line of each in the low bits
-    ordered = np.sort((rows.astype(np.int64) << 32 | np.arange(n)).reshape(-1))
-    row, line = ordered >> 32, ordered & 0xFFFFFFFF
-    starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    used, times = row.take(starts), np.diff(starts, append=len(row))
-    # a row's gradient is the sum of p over its lines: one by one for most rows, as sums of runs for frequent ones
-    gradient = p.take(line.take(starts), axis=0)
-    for turn in range(1, FEW):
-        more = np.flatnonzero((times > turn) & (times <= FEW))
-        gradient[more] += p.take(line.take(starts.take(more) + turn), axis=0)
-    often = np.flatnonzero(times > FEW)
-    of_often = line[np.repeat(times > FEW, times)]
-    ends = np.cumsum(times.take(often))
-    runs = np.cumsum(p.take(of_often, axis=0), axis=0, dtype=np.float64).take(ends - 1, axis=0)
-    gradient[often] = np.diff(runs, axis=0, prepend=0)
-    sums = gathered.take(used) + np.einsum("ij,ij->i", gradient, gradient) / WIDTH
-    gathered[used] = sums
-    gradient *= (RATE / np.sqrt(sums))[:, None]
-    weights[used] = weights.take(used, axis=0) - gradient
+class Steps:
+    """Adagrad steps over batches of lines, on ``weights`` themselves. What a batch needs room for is kept from one to the next."""
+
+    def __init__(self, weights: np.ndarray, prior: np.ndarray) -> None:
+        self.weights, self.prior = weights, prior
+        self.whole_rows = weights.view(f"V{weights.itemsize * WIDTH}").reshape(-1)  # a row is copied at once
+        self.gathered = np.full(len(weights), FIRST, np.float32)
+        self.p, self.gradient, self.part = (np.empty((BATCH * FEATURES, WIDTH), np.float32) for _ in range(3))
+
+    def __call__(self, goal: np.ndarray, base: np.ndarray, rows: np.ndarray) -> None:
+        n, weights = len(goal), self.weights
+        p, part = self.p[:n], self.part[:n]
+        np.take(weights, rows[0], axis=0, out=p, mode="clip")
+        for i in range(1, FEATURES):
+            p += np.take(weights, rows[i], axis=0, out=part, mode="clip")
+        p += np.take(self.prior, base, axis=0, out=part, mode="clip")
+        np.clip(p, -EXTREME, EXTREME, out=p)
+        np.exp(p, out=p)
+        p /= p.sum(axis=1, keepdims=True)
+        p.reshape(-1)[np.arange(0, n * WIDTH, WIDTH) + goal] -= 1
+        # rows in order, with the line of each in the low bits
+        bits = (n - 1).bit_length()
+        kind = np.uint32 if len(weights) << bits <= 1 << 32 else np.uint64
+        ordered = np.sort((rows.astype(kind) << kind(bits) | np.arange(n, dtype=kind)).reshape(-1))
+        row, line = ordered >> kind(bits), (ordered & kind((1 << bits) - 1)).astype(np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        times = np.diff(starts, append=len(row))
+        # the most frequent first, so that those with more lines than any number are a slice
+        rare = (FEW + 1 - np.minimum(times, FEW + 1)).astype(np.uint8)
+        order = np.argsort(rare, kind="stable")
+        above = np.cumsum(np.bincount(rare, minlength=FEW + 1))[::-1].tolist()  # rows of more than so many lines
+        starts, often = starts.take(order), above[FEW]
+        used = row.take(starts).astype(np.int64)
+        # a row's gradient is the sum of p over its lines: one by one for most rows, as sums of runs for frequent ones
+        gradient = np.take(p, line.take(starts), axis=0, out=self.gradient[: len(used)], mode="clip")
+        for turn in range(1, FEW):
+            if (more := above[turn]) > often:
+                gradient[often:more] += np.take(p, line.take(starts[often:more] + turn), axis=0, out=self.part[: more - often], mode="clip")
+        if often:
+            of_often = times.take(order[:often])
+            first = np.cumsum(of_often) - of_often
+            at = np.arange(int(of_often.sum())) + np.repeat(starts[:often] - first, of_often)
+            gradient[:often] = np.add.reduceat(p.take(line.take(at), axis=0), first, axis=0, dtype=np.float64)
+        sums = self.gathered.take(used) + np.einsum("ij,ij->i", gradient, gradient) / WIDTH
+        self.gathered[used] = sums
+        gradient *= (RATE / np.sqrt(sums))[:, None]
+        now = np.take(weights, used, axis=0, out=self.part[: len(used)], mode="clip")
+        now -= gradient
+        self.whole_rows[used] = now.view(self.whole_rows.dtype).reshape(-1)
 
 
 def _mean_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

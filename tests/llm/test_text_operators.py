@@ -437,3 +437,41 @@ def test_a_step_is_the_gradient_of_each_row():
     moved, sums = weights.copy(), np.full(64, lm.FIRST, np.float32)
     lm._step(goal, rows_, moved, sums, prior)
     assert np.allclose(weights - moved, lm.RATE / np.sqrt(gathered)[:, None] * want, atol=1e-4) and np.allclose(sums, gathered, rtol=1e-3)
+
+
+@pytest.mark.parametrize("table", [lm.TABLE, 1 << 22])
+def test_training_steps_against_plain_sums(table):
+    """Adagrad steps over batches with rows that are met once, a few times and by every line; the room that a batch
+    leaves behind must not show in the next, smaller one."""
+    rng = np.random.default_rng(3)
+    weights, gathered = np.zeros((table, lm.WIDTH), np.float32), {}
+    prior = np.log(rng.dirichlet(np.ones(lm.WIDTH), size=lm.WIDTH + 1)).astype(np.float32)
+    step, plain = lm.Steps(weights, prior), {}
+    for n in (600, 37, 1):
+        goal, base = rng.integers(0, lm.WIDTH, n), rng.integers(0, lm.WIDTH + 1, n)
+        rows_ = np.stack([rng.integers(table - 50, table, n), rng.integers(0, 4 * n, n), rng.integers(0, n // 3 + 1, n), np.full(n, table - 1)]).astype(np.int32)
+        gradient = {}
+        for i in range(n):
+            x = prior[base[i]].astype(np.float64) + sum(plain.get(r, np.zeros(lm.WIDTH)) for r in rows_[:, i].tolist())
+            p = np.exp(x) / np.exp(x).sum()
+            p[goal[i]] -= 1
+            for r in rows_[:, i].tolist():
+                gradient[r] = gradient.get(r, 0) + p
+        for r, g in gradient.items():
+            gathered[r] = gathered.get(r, lm.FIRST) + (g * g).sum() / lm.WIDTH
+            plain[r] = plain.get(r, np.zeros(lm.WIDTH)) - lm.RATE / np.sqrt(gathered[r]) * g
+        step(goal, base, rows_)
+        assert weights[[*plain]] == pytest.approx(np.array([*plain.values()]), abs=2e-5)
+    assert np.count_nonzero(weights[table - 60 :].any(axis=1)) == sum(r >= table - 60 for r in plain)
+
+
+def test_counts_of_hashes_that_share_their_leading_bits():
+    import pandas as pd
+    near = [(1 << 50) + i for i in range(5)] + [0, 1, (1 << 64) - 1, (1 << 64) - 3, (1 << 44) - 1, 1 << 44]
+    counts = {h: 100 - i for i, h in enumerate(near)}
+    head = pd.DataFrame({"h": np.array([*counts], np.uint64).view(np.int64), "c": [*counts.values()], "shape": [1] * len(near)})
+    vocabulary = lm.Vocabulary(head, {1: (1000, len(near))}, 1000, len(near))
+    asked = [*near, *(h + 1 for h in near if h + 1 < 1 << 64), 2, (1 << 63) + 5]
+    rank, count = vocabulary.look_up(np.array(asked, np.uint64))
+    assert count.tolist() == [counts.get(h, 0) for h in asked]
+    assert rank.tolist() == [near.index(h) if h in counts else lm.HEAD for h in asked]
