@@ -30,6 +30,8 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from marketlens.llm.workers import tidied
+
 #: Runs and words kept per generation of a worker's cache; two generations are alive at a time.
 CACHE_WORDS = 1 << 18
 #: A longer run of characters is not kept.
@@ -206,7 +208,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids")
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))], names=[*part.schema.names, out])
 
-    return docs.mapInArrow(run, _ddl(docs) + f", `{out}` array<int>")
+    return docs.mapInArrow(tidied(run), _ddl(docs) + f", `{out}` array<int>")
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -222,7 +224,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
                 texts = model.decode(part.column(at))
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, out])
 
-    return df.mapInArrow(run, _ddl(df) + f", `{out}` string")
+    return df.mapInArrow(tidied(run), _ddl(df) + f", `{out}` string")
 
 
 def _ddl(df: DataFrame) -> str:

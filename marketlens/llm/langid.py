@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.llm.store import written
+from marketlens.llm.workers import tidied
 
 UNDETERMINED = "und"
 TRAIN_DOCS, TRAIN_CHARS = 400, 16_000
@@ -223,7 +224,7 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
                 first = end
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{ddl}, lang_pred string, score double")
+    return docs.mapInArrow(tidied(run), f"{ddl}, lang_pred string, score double")
 
 
 def fold(id_col: str, modulus: int) -> Column:

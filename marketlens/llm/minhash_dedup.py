@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 from marketlens.llm.components import connected
 from marketlens.llm.store import row_key, written
 from marketlens.llm.words import chunked, mix, prefix, span, word_hashes
+from marketlens.llm.workers import tidied
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 4
@@ -218,7 +219,7 @@ def frequencies(docs: DataFrame, text_col: str, copies: Column | None = None) ->
     rows = docs.select(F.col(text_col).alias("text"), (F.lit(1) if copies is None else copies).cast("long").alias("copies")).filter("text IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     chunks = max(1, -(-size // CHUNK))
-    runs = rows.select(_chunk("text", chunks), "copies", "text").repartition("chunk").mapInArrow(lambda b: _frequencies(b, chunks), RUN)
+    runs = rows.select(_chunk("text", chunks), "copies", "text").repartition("chunk").mapInArrow(tidied(lambda b: _frequencies(b, chunks)), RUN)
     head = HEAD // chunks
     replies = written(runs.groupBy("bucket").applyInArrow(lambda t: _replies(t, head), RUN), "replies")
     shared = replies.filter(F.col("chunk") == ALL).collect()
@@ -436,7 +437,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     node = F.coalesce(F.col(id_col).cast("long"), F.shiftrightunsigned(row_key(id_col, text_col), 2) + F.lit(1 << 62))
     rows = docs.select(F.col(id_col).alias("id"), node.alias("node"), F.col(text_col).alias("text"))
     filled = rows.select("node", "text").filter("text IS NOT NULL")
-    distinct = written(filled.mapInArrow(lambda b: _classes(b, True), "node long, class long, text string").groupBy("class")
+    distinct = written(filled.mapInArrow(tidied(lambda b: _classes(b, True)), "node long, class long, text string").groupBy("class")
                        .agg(F.min("node").alias("rep"), F.max("node").alias("last"), F.count("*").alias("copies"), F.first("text").alias("text")), "distinct")
     rest, weights = frequencies(distinct, "text", F.col("copies"))
     shipped = docs.sparkSession.sparkContext.broadcast(weights)
@@ -447,7 +448,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = written(per_chunk(distinct.select(F.col("rep").alias("node"), "text"), rest, weights.chunks, signatures,
                                "node long, class long, bands array<long>, sketch array<long>"), "signed")
     classes = signed.withColumnRenamed("node", "rep")
-    copies = (filled.mapInArrow(lambda b: _classes(b, False), "node long, class long")
+    copies = (filled.mapInArrow(tidied(lambda b: _classes(b, False)), "node long, class long")
               .join(distinct.filter("rep < last").select("class", "rep"), "class")
               .select(F.col("node").alias("a"), F.col("rep").alias("b")))
 
@@ -466,7 +467,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         texts = written(texts_of(asked), f"{name}-texts")
         a, b = (texts.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("text", "own", "own_counts"))) for x in "ab")
         both = pairs.join(a, "a").join(b, "b").select("a", "b", *(f"{c}_{x}" for x in "ab" for c in ("text", "own", "own_counts")))
-        return written(both.mapInArrow(lambda x: _verify(x, shipped, threshold), "a long, b long"), f"{name}-links")
+        return written(both.mapInArrow(tidied(lambda x: _verify(x, shipped, threshold)), "a long, b long"), f"{name}-links")
 
     def unsettled(rows: DataFrame, links: DataFrame, name: str) -> DataFrame:
         """``rows`` of buckets that are not one component yet, with theirs and the smallest of the bucket."""
@@ -478,7 +479,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def settled(rows: DataFrame, name: str) -> DataFrame:
         cells = rows.select("lo", "hi", "band", "block", "at", "rep", "component", "bands", "sketch", "text", "own", "own_counts")
         return written(cells.repartition("lo", "hi", "band").sortWithinPartitions("lo", "hi", "band")
-                       .mapInArrow(lambda x: _settled(x, shipped, threshold), "a long, b long"), f"{name}-links")
+                       .mapInArrow(tidied(lambda x: _settled(x, shipped, threshold)), "a long, b long"), f"{name}-links")
 
     links = verified(shared.select(F.col("rep").alias("a"), F.col("small").alias("b")), "first")
     state = unsettled(shared, links, "first")
