@@ -232,6 +232,7 @@ class Steps:
         self.whole_rows = weights.view(f"V{weights.itemsize * WIDTH}").reshape(-1)  # a row is copied at once
         self.gathered = np.full(len(weights), FIRST, np.float32)
         self.p, self.gradient, self.part = (np.empty((BATCH * FEATURES, WIDTH), np.float32) for _ in range(3))
+        self.wide, self.runs = (np.empty((BATCH * FEATURES, WIDTH)) for _ in range(2))
 
     def __call__(self, goal: np.ndarray, base: np.ndarray, rows: np.ndarray) -> None:
         n, weights = len(goal), self.weights
@@ -264,9 +265,13 @@ class Steps:
                 gradient[often:more] += np.take(p, line.take(starts[often:more] + turn), axis=0, out=self.part[: more - often], mode="clip")
         if often:
             of_often = times.take(order[:often])
-            first = np.cumsum(of_often) - of_often
-            at = np.arange(int(of_often.sum())) + np.repeat(starts[:often] - first, of_often)
-            gradient[:often] = np.add.reduceat(p.take(line.take(at), axis=0), first, axis=0, dtype=np.float64)
+            ends = np.cumsum(of_often)
+            at = np.arange(int(ends[-1])) + np.repeat(starts[:often] - (ends - of_often), of_often)
+            single, wide, runs = self.part[: len(at)], self.wide[: len(at)], self.runs[: len(at)]
+            wide[:] = np.take(p, line.take(at), axis=0, out=single, mode="clip")
+            # two columns at a time, as the parts of complex numbers, which add up one by one just the same
+            np.cumsum(wide.view(np.complex128), axis=0, out=runs.view(np.complex128))
+            gradient[:often] = np.diff(runs.take(ends - 1, axis=0), axis=0, prepend=0)
         sums = self.gathered.take(used) + np.einsum("ij,ij->i", gradient, gradient) / WIDTH
         self.gathered[used] = sums
         gradient *= (RATE / np.sqrt(sums))[:, None]
