@@ -280,6 +280,13 @@ class Steps:
         self.whole_rows[used] = now.view(self.whole_rows.dtype).reshape(-1)
 
 
+def _step(goal: np.ndarray, rows: np.ndarray, weights: np.ndarray, gathered: np.ndarray, prior: np.ndarray) -> None:
+    """A single step over a batch of lines, each with its row of ``prior``, on ``weights`` and ``gathered`` themselves."""
+    step = Steps(weights, prior)
+    step.gathered = gathered
+    step(goal, np.arange(len(goal)), rows)
+
+
 def _mean_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The mean change of each weight row over the shards that met it. Sums of half-precision numbers are
     exact in double precision, so their order does not matter."""
