@@ -4,7 +4,7 @@ The vocabulary file (its path is a parameter) is read on the driver and broadcas
 of the file, whatever the corpus. A word is merged by a priority queue of merge ranks over a doubly
 linked list of symbols: the lowest rank is joined first (the leftmost on a tie), entries whose
 symbols have changed since are skipped. Words repeat, and so do the runs between white space that hold
-them, so each worker keeps the ids of recent runs and words of up to CACHE_CHARS characters in two
+them, so each task keeps the ids of recent runs and words of up to CACHE_CHARS characters in two
 generations of bounded size; one that fell out is merged again, with the same result.
 
 Defined cases: a null text counts as empty, an empty text has no ids and decodes to the empty
@@ -136,6 +136,10 @@ class WordBpe:
             self.recent[key] = ids
         return ids
 
+    def forget(self) -> None:
+        """Both generations go, so that idle workers hold none."""
+        self.recent, self.older = {}, {}
+
     def word(self, word: str) -> bytes:
         ids = self.recent.get(word) or self.older.get(word)
         return self.keep(word, self.merge(word) if ids is None else ids)
@@ -199,14 +203,17 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(spec.value)
-        for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
-                rows = [model.coded(t) if t else b"" for t in part.column(at).to_pylist()]
-                bounds = np.cumsum([0, *map(len, rows)], dtype=np.int64) // 4
-                flat = np.frombuffer(b"".join(rows), np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))], names=[*part.schema.names, out])
+        try:
+            for batch in batches:
+                for first in range(0, batch.num_rows, 500):
+                    part = batch.slice(first, 500)
+                    rows = [model.coded(t) if t else b"" for t in part.column(at).to_pylist()]
+                    bounds = np.cumsum([0, *map(len, rows)], dtype=np.int64) // 4
+                    flat = np.frombuffer(b"".join(rows), np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns, pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))], names=[*part.schema.names, out])
+        finally:
+            model.forget()
 
     return docs.mapInArrow(tidied(run), _ddl(docs) + f", `{out}` array<int>")
 

@@ -40,3 +40,15 @@ def test_tasks_of_the_pipeline_give_memory_back(spark, monkeypatch):
     path = public_tokenizers.path("word_bpe_49k.json")
     bpe.decode(bpe.encode(docs, path), path).collect()
     assert len(seen) >= 7 and all(hasattr(f, "__wrapped__") for f in seen)
+
+
+def test_words_are_forgotten_when_a_task_of_encoding_ends(spark, monkeypatch):
+    import public_tokenizers
+    path, tasks, frame = public_tokenizers.path("word_bpe_49k.json"), [], type(spark.range(1))
+    docs, plain = spark.createDataFrame([("some words",)], "text string"), frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, func, *a, **b: (tasks.append(func), plain(self, func, *a, **b))[1])
+    bpe.encode(docs, path)
+    out = tasks[0](iter([pa.RecordBatch.from_arrays([pa.array(["some words"])], names=["text"])]))
+    model = bpe.load(open(path, encoding="utf-8").read())
+    assert next(out).num_rows == 1 and model.recent
+    assert not list(out) and not model.recent and not model.older
