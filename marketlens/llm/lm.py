@@ -14,7 +14,8 @@ P(token | history) = P(class | history) * P(symbol | class, history) * P(token |
 - P(token | symbol) = (c + 1) / (N_symbol + V_symbol + 1), with one unseen token a symbol: what the base
   model does with the whole vocabulary, so both treat unseen tokens alike, and each sums to 1.
 
-Counts cover every training token. Counts of the HEAD commonest tokens go to all tasks (a fixed size);
+Counts cover every training token. Texts are cut into words twice, to count them and to code them: what training
+and scoring need of a text after that is a code of two bytes a token. Counts of the HEAD commonest tokens go to all tasks (a fixed size);
 the occurrences of the others are joined with their counts. Scores are computed a block of tokens at
 a time over whole texts.
 
@@ -45,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm.store import row_key, written
-from marketlens.llm.words import chunked, mix, word_hashes
+from marketlens.llm.words import CHUNK_BYTES, chunked, mix, word_hashes
 
 WIDTH = 32
 SINGLES, SHAPES = 896, 128
@@ -55,12 +56,18 @@ TABLE, FEATURES = 1 << 16, 4
 SHARE, ROUNDS, EPOCHS, ROW_BLOCK, FEW, SAME = 32, 2, 1, 2048, 6, 1000
 BATCH, BLOCK, RATE, FIRST, LIMIT, EXTREME = 2048, 2048, 0.2, 0.1, 12.0, 80.0
 COUNT_FLUSH = 4_000_000
+#: Rows that are moved at a time.
+ROWS = 1536
 #: Leading bits of a hash by which the head is looked up: four times as many values as it has hashes.
 FIRST_BITS = 20
 _TO_FIRST = np.uint64(64 - FIRST_BITS)
 
 SPREAD = np.uint64(0x9FB21C651E98DF25)
 END = np.uint64(0xE5D0C1B2A3948576)
+#: Code of what stands before a text, and hashes of every code at each of the distances, and of every class.
+BEFORE = 0xFFFF
+_OF_PAST = [mix(np.arange(BEFORE + 1, dtype=np.uint64) << np.uint64(2) | np.uint64(i)) for i in range(FEATURES - 1)]
+_OF_CLASS = mix(np.arange(WIDTH, dtype=np.uint64))
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -77,6 +84,20 @@ def tokens(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, np.insert(shape, bounds[1:], 0), bounds + np.arange(len(bounds))
 
 
+def totals(hashes: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, shape, count) of each token, in the order of the hashes."""
+    ordered = np.sort(hashes)
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    found, lead = ordered[starts], ~np.uint64(SHAPES - 1)
+    # the shapes in place of the hashes' last bits sort the same way, unless hashes differ in those alone
+    tagged = np.sort(hashes & lead | shape.astype(np.uint64))
+    tagged = tagged[np.concatenate([[True], tagged[1:] != tagged[:-1]])]
+    if np.array_equal(tagged & lead, found & lead) and (found[1:] & lead != found[:-1] & lead).all():
+        return found, (tagged & ~lead).astype(shape.dtype), np.diff(starts, append=len(ordered))
+    found, first, n = np.unique(hashes, return_index=True, return_counts=True)
+    return found, shape[first], n
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts by token of a task's documents, combined before they are sent."""
     held: list[np.ndarray] = []
@@ -84,8 +105,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def flush() -> pa.RecordBatch:
-        found, first, n = np.unique(np.concatenate(held), return_index=True, return_counts=True)
-        shape = np.concatenate(shapes)[first]
+        found, shape, n = totals(np.concatenate(held), np.concatenate(shapes))
         return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(shape.astype(np.int32)), pa.array(n)], names=["h", "shape", "n"])
 
     for batch in batches:
@@ -113,6 +133,10 @@ class Vocabulary:
         # place of the first hash with these leading bits, or beyond them
         self.firsts = np.searchsorted(self.hashes, np.arange(1 << FIRST_BITS, dtype=np.uint64) << _TO_FIRST).astype(np.int32)
         self.total, self.distinct = total, distinct
+        # symbol of each code: a token among the CONTEXT commonest is coded by its rank, another by its shape
+        shapes = np.concatenate([np.zeros(CONTEXT, np.int64), np.arange(SHAPES)])
+        shapes[: min(len(head), CONTEXT)] = head["shape"].to_numpy()[:CONTEXT]
+        self.symbols = symbols(np.arange(CONTEXT + SHAPES), shapes)
         tokens_of, types_of = np.zeros(SYMBOLS), np.zeros(SYMBOLS)
         for shape, (n, v) in shape_sizes.items():
             tokens_of[SINGLES + shape], types_of[SINGLES + shape] = n, v
@@ -150,24 +174,38 @@ def symbols(rank: np.ndarray, shape: np.ndarray) -> np.ndarray:
     return np.where(rank < SINGLES, rank, SINGLES + shape.astype(np.int64))
 
 
+def codes(rank: np.ndarray, shape: np.ndarray) -> np.ndarray:
+    """A token as its followers see it: its rank, or its shape if it is rare."""
+    return np.where(rank < CONTEXT, rank, CONTEXT + shape.astype(np.int64)).astype(np.uint16)
+
+
 def features(rank: np.ndarray, shape: np.ndarray, bounds: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lines of tokens, see ``lines``."""
+    return lines(codes(rank, shape), symbols(rank, shape), bounds, table)
+
+
+def lines(code: np.ndarray, symbol: np.ndarray, bounds: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The lines of each token, first its class's, then (from the middle on) its symbol's within the class: the
     goal of each, its row of the prior, and its FEATURES rows of a weight table of ``table`` rows."""
-    group, member = np.divmod(symbols(rank, shape), WIDTH)
-    symbol = np.where(rank < CONTEXT, rank, CONTEXT + shape.astype(np.int64)).astype(np.uint64)
-    place = np.arange(len(rank)) - np.repeat(bounds[:-1], np.diff(bounds))
-    back = []
+    n, starts, least = len(code), bounds[:-1], np.uint64(table - 1)
+    group, member = symbol // WIDTH, symbol % WIDTH
+    of_class = _OF_CLASS.take(group)
+    back, rows = [], np.empty((FEATURES, 2 * n), np.int32)
     for distance in (1, 2, 3):
-        past = np.full(len(rank), 0xFFFF, np.uint64)
-        past[distance:] = symbol[:-distance]
-        past[place < distance] = 0xFFFF
+        past = np.full(n, BEFORE, np.uint16)
+        past[distance:] = code[:-distance]
+        for place in range(distance):
+            at = starts + place
+            past[at[at < n]] = BEFORE
         back.append(past)
-    base = np.concatenate([np.zeros(len(rank), np.int64), group + 1])
-    keys = [back[0], back[1], back[2], back[0] << np.uint64(20) | back[1]]
-    of_class = mix(np.arange(WIDTH, dtype=np.uint64))[group]
-    hashes = [mix(k << np.uint64(2) | np.uint64(i)) for i, k in enumerate(keys)]
-    rows = [(np.concatenate([h, (h ^ of_class) * SPREAD >> np.uint64(24)]) & np.uint64(table - 1)).astype(np.int32) for h in hashes]
-    return np.concatenate([group, member]), base, np.stack(rows)
+    pair = back[0].astype(np.uint64) << np.uint64(20) | back[1]
+    for i, h in enumerate([*(of.take(past) for of, past in zip(_OF_PAST, back, strict=True)), mix(pair << np.uint64(2) | np.uint64(FEATURES - 1))]):
+        rows[i, :n] = h & least
+        h ^= of_class
+        h *= SPREAD
+        h >>= np.uint64(24)
+        rows[i, n:] = h & least
+    return np.concatenate([group, member]), np.concatenate([np.zeros(n, np.int64), group + 1]), rows
 
 
 def line_logs(goal: np.ndarray, base: np.ndarray, rows: np.ndarray, weights: np.ndarray, prior: np.ndarray) -> np.ndarray:
@@ -175,6 +213,7 @@ def line_logs(goal: np.ndarray, base: np.ndarray, rows: np.ndarray, weights: np.
     exponentials cannot overflow."""
     out = np.empty(len(goal))
     total, part = np.empty((2, BLOCK, WIDTH), np.float32)
+    wide, ones = np.empty((BLOCK, WIDTH)), np.ones(WIDTH)
     for a in range(0, len(goal), BLOCK):
         n = min(BLOCK, len(goal) - a)
         np.take(prior, base[a : a + n], axis=0, out=total[:n], mode="clip")
@@ -183,18 +222,29 @@ def line_logs(goal: np.ndarray, base: np.ndarray, rows: np.ndarray, weights: np.
             total[:n] += part[:n]
         chosen = total[np.arange(n), goal[a : a + n]].astype(np.float64)
         np.exp(total[:n], out=total[:n])
-        out[a : a + n] = chosen - np.log(total[:n].sum(axis=1, dtype=np.float64))
+        wide[:n] = total[:n]
+        out[a : a + n] = chosen - np.log(wide[:n] @ ones)
     return out
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(codes, bounds) of runs of texts (size, codes), each of about CHUNK_BYTES of text as ``chunked`` cuts them."""
+    sizes, first, total = batch.column(0).to_pylist(), 0, 0
+    for i, size in enumerate([*sizes, None]):
+        if i > first and (size is None or total + size > CHUNK_BYTES):
+            texts = batch.column(1).slice(first, i - first).to_pylist()
+            yield np.frombuffer(b"".join(texts), np.uint16), np.concatenate([[0], np.cumsum([len(t) // 2 for t in texts])])
+            first, total = i, 0
+        total += size or 0
+
+
 def _train_shard(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, common: np.ndarray) -> Iterator[pa.RecordBatch]:
     """EPOCHS of Adagrad steps over each run of a shard's texts; the changes of the rows that were met."""
     weights, seen = common.copy(), np.zeros(len(common), bool)
     step = Steps(weights, vocabulary.prior)
     for batch in batches:
-        for _, raws in chunked(batch.column(0)):
-            hashes, shape, bounds = tokens(raws)
-            goal, base, rows = features(vocabulary.look_up(hashes)[0], shape, bounds, len(common))
+        for code, bounds in _runs(batch):
+            goal, base, rows = lines(code, vocabulary.symbols.take(code), bounds, len(common))
             # a batch holds lines from all over the run, at even distances
             batches_of = -(-len(goal) // BATCH)
             for _ in range(EPOCHS):
@@ -218,7 +268,7 @@ def _train(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, common: np
             edges = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if b > a:
-                    yield int(shard[a]), batch.slice(a, b - a).select(["text"])
+                    yield int(shard[a]), batch.slice(a, b - a).select(["size", "codes"])
 
     for _, same in groupby(parts(), key=itemgetter(0)):
         yield from _train_shard(map(itemgetter(1), same), vocabulary, common)
@@ -231,53 +281,90 @@ class Steps:
         self.weights, self.prior = weights, prior
         self.whole_rows = weights.view(f"V{weights.itemsize * WIDTH}").reshape(-1)  # a row is copied at once
         self.gathered = np.full(len(weights), FIRST, np.float32)
-        self.p, self.gradient, self.part = (np.empty((BATCH * FEATURES, WIDTH), np.float32) for _ in range(3))
+        self.p, self.part, self.gradient = (np.empty((k, WIDTH), np.float32) for k in (BATCH, max(BATCH, ROWS), ROWS))
+        self.many, self.more = (np.empty((BATCH * FEATURES, WIDTH), np.float32) for _ in range(2))
         self.wide, self.runs = (np.empty((BATCH * FEATURES, WIDTH)) for _ in range(2))
+        self.firsts = np.arange(0, BATCH * WIDTH, WIDTH)
 
     def __call__(self, goal: np.ndarray, base: np.ndarray, rows: np.ndarray) -> None:
-        n, weights = len(goal), self.weights
+        p = self._errors(goal, base, rows)
+        n = len(p)
+        # rows in order, with the line of each in the low bits
+        bits = (n - 1).bit_length()
+        kind = np.uint32 if len(self.weights) << bits <= 1 << 32 else np.uint64
+        ordered = rows.astype(kind)
+        ordered <<= kind(bits)
+        ordered |= np.arange(n, dtype=kind)
+        ordered = ordered.reshape(-1)
+        ordered.sort()
+        row, line = ordered >> kind(bits), (ordered & kind((1 << bits) - 1)).astype(np.int64)
+        edges = np.flatnonzero(row[1:] != row[:-1])
+        edges += 1
+        starts = np.concatenate([[0], edges, [len(row)]])
+        times, starts = starts[1:] - starts[:-1], starts[:-1]
+        used, first = row.take(starts).astype(np.int64), line.take(starts)
+        repeated, sums = self._sums(p, line, starts, times)
+        # most rows have one line, whose p is their gradient
+        squares = np.einsum("ij,ij->i", p, p).take(first)
+        squares[repeated] = np.einsum("ij,ij->i", sums, sums)
+        squares /= WIDTH
+        squares += self.gathered.take(used)
+        self.gathered[used] = squares
+        rate = (RATE / np.sqrt(squares))[:, None]
+        whole_sums = sums.view(self.whole_rows.dtype).reshape(-1)
+        at = np.searchsorted(repeated, np.arange(0, len(used) + ROWS, ROWS)).tolist()
+        for i, a in enumerate(range(0, len(used), ROWS)):
+            some = used[a : a + ROWS]
+            gradient = p.take(first[a : a + ROWS], axis=0, out=self.gradient[: len(some)], mode="clip")
+            gradient.view(self.whole_rows.dtype).reshape(-1)[repeated[at[i] : at[i + 1]] - a] = whole_sums[at[i] : at[i + 1]]
+            gradient *= rate[a : a + ROWS]
+            now = self.weights.take(some, axis=0, out=self.part[: len(some)], mode="clip")
+            now -= gradient
+            self.whole_rows[some] = now.view(self.whole_rows.dtype).reshape(-1)
+
+    def _errors(self, goal: np.ndarray, base: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The probabilities of each line, less 1 at its goal."""
+        n = len(goal)
         p, part = self.p[:n], self.part[:n]
-        np.take(weights, rows[0], axis=0, out=p, mode="clip")
+        self.weights.take(rows[0], axis=0, out=p, mode="clip")
         for i in range(1, FEATURES):
-            p += np.take(weights, rows[i], axis=0, out=part, mode="clip")
-        p += np.take(self.prior, base, axis=0, out=part, mode="clip")
-        np.clip(p, -EXTREME, EXTREME, out=p)
+            p += self.weights.take(rows[i], axis=0, out=part, mode="clip")
+        p += self.prior.take(base, axis=0, out=part, mode="clip")
+        if not (p.max() <= EXTREME and p.min() >= -EXTREME):
+            np.clip(p, -EXTREME, EXTREME, out=p)
         np.exp(p, out=p)
         p /= p.sum(axis=1, keepdims=True)
-        p.reshape(-1)[np.arange(0, n * WIDTH, WIDTH) + goal] -= 1
-        # rows in order, with the line of each in the low bits
-        bits = (n - 1).bit_length()
-        kind = np.uint32 if len(weights) << bits <= 1 << 32 else np.uint64
-        ordered = np.sort((rows.astype(kind) << kind(bits) | np.arange(n, dtype=kind)).reshape(-1))
-        row, line = ordered >> kind(bits), (ordered & kind((1 << bits) - 1)).astype(np.int64)
-        starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        times = np.diff(starts, append=len(row))
+        p.reshape(-1)[self.firsts[:n] + goal] -= 1
+        return p
+
+    def _sums(self, p: np.ndarray, line: np.ndarray, starts: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the rows with more than one line, and the sum of p over the lines of each: one by one for most
+        rows, as sums of runs for frequent ones."""
+        repeated = np.flatnonzero(times > 1)
+        times, starts = times.take(repeated), starts.take(repeated)
         # the most frequent first, so that those with more lines than any number are a slice
         rare = (FEW + 1 - np.minimum(times, FEW + 1)).astype(np.uint8)
         order = np.argsort(rare, kind="stable")
         above = np.cumsum(np.bincount(rare, minlength=FEW + 1))[::-1].tolist()  # rows of more than so many lines
         starts, often = starts.take(order), above[FEW]
-        used = row.take(starts).astype(np.int64)
-        # a row's gradient is the sum of p over its lines: one by one for most rows, as sums of runs for frequent ones
-        gradient = np.take(p, line.take(starts), axis=0, out=self.gradient[: len(used)], mode="clip")
+        sums = p.take(line.take(starts), axis=0, out=self.many[: len(starts)], mode="clip")
         for turn in range(1, FEW):
             if (more := above[turn]) > often:
-                gradient[often:more] += np.take(p, line.take(starts[often:more] + turn), axis=0, out=self.part[: more - often], mode="clip")
+                sums[often:more] += p.take(line.take(starts[often:more] + turn), axis=0, out=self.more[: more - often], mode="clip")
         if often:
             of_often = times.take(order[:often])
             ends = np.cumsum(of_often)
             at = np.arange(int(ends[-1])) + np.repeat(starts[:often] - (ends - of_often), of_often)
-            single, wide, runs = self.part[: len(at)], self.wide[: len(at)], self.runs[: len(at)]
-            wide[:] = np.take(p, line.take(at), axis=0, out=single, mode="clip")
+            wide, runs = self.wide[: len(at)], self.runs[: len(at)]
+            wide[:] = p.take(line.take(at), axis=0)
             # two columns at a time, as the parts of complex numbers, which add up one by one just the same
             np.cumsum(wide.view(np.complex128), axis=0, out=runs.view(np.complex128))
-            gradient[:often] = np.diff(runs.take(ends - 1, axis=0), axis=0, prepend=0)
-        sums = self.gathered.take(used) + np.einsum("ij,ij->i", gradient, gradient) / WIDTH
-        self.gathered[used] = sums
-        gradient *= (RATE / np.sqrt(sums))[:, None]
-        now = np.take(weights, used, axis=0, out=self.part[: len(used)], mode="clip")
-        now -= gradient
-        self.whole_rows[used] = now.view(self.whole_rows.dtype).reshape(-1)
+            whole = runs.take(ends - 1, axis=0)
+            sums[0] = whole[0]
+            sums[1:often] = whole[1:] - whole[:-1]
+        in_place = np.empty_like(sums)
+        in_place.view(self.whole_rows.dtype).reshape(-1)[order] = sums.view(self.whole_rows.dtype).reshape(-1)
+        return repeated, in_place
 
 
 def _step(goal: np.ndarray, rows: np.ndarray, weights: np.ndarray, gathered: np.ndarray, prior: np.ndarray) -> None:
@@ -320,31 +407,71 @@ def commonest(counts: DataFrame, most: int) -> DataFrame:
 
 
 def sharded(rows: DataFrame, n: int) -> DataFrame:
-    """(shard, text) of (id, text): ``n`` shards that depend on the rows alone, not on where they stood, each
+    """(shard, text) of (id, text): the texts ``placed`` by their keys."""
+    return placed(rows.select(row_key("id", "text").alias("k"), "text"), n)
+
+
+def placed(keyed: DataFrame, n: int) -> DataFrame:
+    """(shard, ...) of (k, ...): ``n`` shards that depend on the rows alone, not on where they stood, each
     whole and in the order of its hashes in one partition, however many partitions there are."""
-    keyed = rows.select(row_key("id", "text").alias("k"), "text")
+    kept = [c for c in keyed.columns if c != "k"]
     hot = written(keyed.groupBy("k").agg(F.count("*").alias("times")).filter(F.col("times") > SAME), "hot")
-    copies = (keyed.join(hot, "k").groupBy("k", "times").agg(F.min("text").alias("text"))
-              .select("k", "text", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")))
-    every = keyed.join(hot, "k", "left_anti").select("k", "text", F.lit(0).cast("long").alias("copy")).unionByName(copies)
+    copies = (keyed.join(hot, "k").groupBy("k", "times").agg(F.min(F.struct(*kept)).alias("row"))
+              .select("k", "row.*", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")))
+    every = keyed.join(hot, "k", "left_anti").select("k", *kept, F.lit(0).cast("long").alias("copy")).unionByName(copies)
     shard = F.pmod(F.xxhash64("k", "copy"), F.lit(n)).cast("int").alias("shard")
-    placed = every.select(shard, "k", "copy", "text").repartitionById(n, F.col("shard"))
-    return placed.sortWithinPartitions("shard", "k", "copy", "text").select("shard", "text")
+    dealt = every.select(shard, "k", "copy", *kept).repartitionById(n, F.col("shard"))
+    return dealt.sortWithinPartitions("shard", "k", "copy", *kept).select("shard", *kept)
 
 
-def train(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Vocabulary, np.ndarray]:
-    """(all counts as (h, c), vocabulary, weight table) of the training documents."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counts = written(rows.select("text").mapInArrow(_counts, "h long, shape int, n long")
+def counted(texts: DataFrame) -> tuple[DataFrame, Vocabulary]:
+    """(all counts as (h, c), vocabulary) of the texts, the only column."""
+    counts = written(texts.mapInArrow(_counts, "h long, shape int, n long")
                      .groupBy("h").agg(F.sum("n").alias("c"), F.first("shape").alias("shape")), "counts")
     sizes = {r["shape"]: (r["n"], r["v"]) for r in counts.groupBy("shape").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     head = commonest(counts, HEAD).toPandas()
-    vocabulary = Vocabulary(head, sizes, sum(n for n, _ in sizes.values()), sum(v for _, v in sizes.values()))
+    return counts.select("h", "c"), Vocabulary(head, sizes, sum(n for n, _ in sizes.values()), sum(v for _, v in sizes.values()))
 
-    context = docs.sparkSession.sparkContext
-    known = context.broadcast(vocabulary)
+
+def _encode(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, raws in chunked(batch.column(3)):
+            hashes, shape, bounds = tokens(raws)
+            rank, count = vocabulary.look_up(hashes)
+            code = codes(rank, shape)
+            out = rank == HEAD
+            tail_bounds = np.concatenate([[0], np.cumsum(out)])[bounds].astype(np.int32)
+            tail = pa.ListArray.from_arrays(pa.array(tail_bounds), pa.array(hashes[out].view(np.int64)))
+            starts, n = bounds[:-1], len(raws)
+            sums = [np.add.reduceat(x, starts) for x in (np.log10(count + 1.0), (count > 0).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i).slice(first, n) for i in range(3)), pa.array(np.diff(bounds).astype(np.int64)), *map(pa.array, sums),
+                 pa.array([len(r) for r in raws], pa.int64()), pa.array([code[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary()), tail],
+                names=["k", "id", "held_out", "n_tokens", "count_logs", "known", "size", "codes", "tail"])
+
+
+def encoded(docs: DataFrame, held_out: Column, id_col: str, text_col: str, known) -> DataFrame:
+    """Each row of ``docs`` with its tokens' codes and what the counts of the head tell, whatever the weights;
+    ``tail`` has the hashes outside the head."""
+    rows = docs.select(row_key(id_col, text_col).alias("k"), F.col(id_col).alias("id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return written(rows.mapInArrow(lambda b: _encode(b, known.value), f"k long, id {kind}, held_out boolean, n_tokens long, count_logs double, "
+                                   "known long, size long, codes binary, tail array<long>"), "encoded")
+
+
+def train(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Vocabulary, np.ndarray]:
+    """(all counts as (h, c), vocabulary, weight table) of the training documents."""
+    counts, vocabulary = counted(docs.select(text_col))
+    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    return counts, vocabulary, weights_of(encoded(docs, F.lit(False), id_col, text_col, known), known)
+
+
+def weights_of(texts: DataFrame, known) -> np.ndarray:
+    """The weight table that the ``encoded`` texts train."""
+    vocabulary = known.value
+    context = texts.sparkSession.sparkContext
     weights = np.zeros((table_rows(vocabulary.total), WIDTH), np.float32)
-    shards = sharded(rows, vocabulary.total // (SHARE * len(weights)) + 1)
+    shards = placed(texts.select("k", "size", "codes"), vocabulary.total // (SHARE * len(weights)) + 1)
     blocks = len(weights) // ROW_BLOCK
     for _ in range(ROUNDS):
         common = context.broadcast(weights)
@@ -356,43 +483,38 @@ def train(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Vocab
             weights[at] += np.frombuffer(bytes(r["change"]), np.float32).reshape(-1, WIDTH)
         np.clip(weights, -LIMIT, LIMIT, out=weights)
         common.unpersist()
-    return counts.select("h", "c"), vocabulary, weights
+    return weights
 
 
 def _score(batches: Iterator[pa.RecordBatch], shipped) -> Iterator[pa.RecordBatch]:
     vocabulary, weights = shipped.value
     for batch in batches:
-        for first, raws in chunked(batch.column(3)):
-            hashes, shape, bounds = tokens(raws)
-            rank, count = vocabulary.look_up(hashes)
-            goal, base, rows = features(rank, shape, bounds, len(weights))
+        parts = []
+        for code, bounds in _runs(batch.select(["size", "codes"])):
+            symbol = vocabulary.symbols.take(code)
+            goal, base, rows = lines(code, symbol, bounds, len(weights))
             by_class, within = line_logs(goal, base, rows, weights, vocabulary.prior).reshape(2, -1) / np.log(10)
-            logs = by_class + within - vocabulary.log_room[symbols(rank, shape)]
-            out = rank == HEAD
-            tail_bounds = np.concatenate([[0], np.cumsum(out)])[bounds].astype(np.int32)
-            tail = pa.ListArray.from_arrays(pa.array(tail_bounds), pa.array(hashes[out].view(np.int64)))
-            starts = bounds[:-1]
-            sums = [np.add.reduceat(x, starts) for x in (np.log10(count + 1.0), logs, (count > 0).astype(np.int64))]
-            n = len(raws)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i).slice(first, n) for i in range(3)), pa.array(np.diff(bounds).astype(np.int64)), *map(pa.array, sums), tail],
-                names=["k", "id", "held_out", "n_tokens", "count_logs", "class_logs", "known", "tail"])
+            parts.append(np.add.reduceat(by_class + within - vocabulary.log_room[symbol], bounds[:-1]))
+        class_logs = np.concatenate(parts) if parts else np.zeros(0)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(class_logs)], names=[*batch.schema.names[:6], "class_logs"])
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id_col``, held_out, n_tokens, n_known, train_tokens, base_score
     and score, both log10 probabilities. The model learns from the rows where ``held_out`` is false."""
-    counts, vocabulary, weights = train(docs.filter(~held_out), id_col, text_col)
-    shipped = docs.sparkSession.sparkContext.broadcast((vocabulary, weights))
-    rows = docs.select(row_key(id_col, text_col).alias("k"), F.col(id_col).alias("id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    scored = written(rows.mapInArrow(lambda b: _score(b, shipped), f"k long, id {kind}, held_out boolean, n_tokens long, count_logs double, "
-                                     "class_logs double, known long, tail array<long>"), "scored")
+    counts, vocabulary = counted(docs.filter(~held_out).select(text_col))
+    context = docs.sparkSession.sparkContext
+    known = context.broadcast(vocabulary)
+    texts = encoded(docs, held_out, id_col, text_col, known)
+    shipped = context.broadcast((vocabulary, weights_of(texts.filter(~F.col("held_out")), known)))
+    kind = texts.schema["id"].dataType.simpleString()
+    scored = written(texts.drop("tail").mapInArrow(lambda b: _score(b, shipped), f"k long, id {kind}, held_out boolean, n_tokens long, count_logs double, "
+                                                   "known long, class_logs double"), "scored")
     # rows that repeat id and text share k: their tokens are looked up once
-    rare = scored.select("k", "tail").dropDuplicates(["k"]).select("k", F.explode("tail").alias("h"))
+    rare = texts.select("k", "tail").dropDuplicates(["k"]).select("k", F.explode("tail").alias("h"))
     rest = (rare.join(counts.hint("shuffle_hash"), "h").groupBy("k")
             .agg(F.sum(F.log10(F.col("c") + 1)).alias("rare_logs"), F.count("*").alias("rare_known")))
-    out = scored.drop("tail").join(rest, "k", "left")
+    out = scored.join(rest, "k", "left")
     seen = F.col("count_logs") + F.coalesce("rare_logs", F.lit(0.0))
     room = float(np.log10(vocabulary.total + vocabulary.distinct + 1))
     return out.select(

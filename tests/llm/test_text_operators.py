@@ -475,3 +475,66 @@ def test_counts_of_hashes_that_share_their_leading_bits():
     rank, count = vocabulary.look_up(np.array(asked, np.uint64))
     assert count.tolist() == [counts.get(h, 0) for h in asked]
     assert rank.tolist() == [near.index(h) if h in counts else lm.HEAD for h in asked]
+
+
+def test_lines_against_plain_features():
+    """Contexts end at the start of a text, however short it and its neighbours are; rows are those of splitmix hashes."""
+    rng = np.random.default_rng(4)
+    for sizes in ([1], [1, 1, 2, 1, 3, 5, 1], [40, 1, 7]):
+        n, bounds, table = sum(sizes), np.concatenate([[0], np.cumsum(sizes)]), 1 << 18
+        shape, rank = rng.integers(0, lm.SHAPES, n).astype(np.int16), rng.integers(0, 2 * lm.CONTEXT, n)
+        code, symbol = lm.codes(rank, shape), lm.symbols(rank, shape)
+        goal, base, rows_ = lm.lines(code, symbol, bounds, table)
+        mix = lambda x: int(lm.mix(np.array([x], np.uint64))[0])
+        for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            for t in range(start, end):
+                group, member = divmod(int(symbol[t]), lm.WIDTH)
+                assert (goal[t], base[t], goal[n + t], base[n + t]) == (group, 0, member, group + 1)
+                past = [int(code[t - d]) if t - d >= start else 0xFFFF for d in (1, 2, 3)]
+                for i, k in enumerate([*past, past[0] << 20 | past[1]]):
+                    h = mix(k << 2 | i)
+                    inner = (h ^ mix(group)) * int(lm.SPREAD) % (1 << 64) >> 24
+                    assert (rows_[i, t], rows_[i, n + t]) == (h % table, inner % table)
+
+
+def test_codes_are_trained_in_the_runs_of_their_texts(monkeypatch):
+    import pyarrow as pa
+    from marketlens.llm import words as w
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 100)
+    monkeypatch.setattr(w, "CHUNK_BYTES", 100)
+    for texts in ([], [""], ["", "a b", "c" * 300, "d", ""], ["x " * 49] * 3 + ["e", "f g"], ["y" * 60, "z" * 40, "é" * 50, ""]):
+        raws = [t.encode() for t in texts]
+        codes = [np.arange(len(r.split()) + 1, dtype=np.uint16) + 7 * i for i, r in enumerate(raws)]
+        batch = pa.RecordBatch.from_arrays([pa.array([len(r) for r in raws], pa.int64()), pa.array([c.tobytes() for c in codes], pa.binary())], names=["size", "codes"])
+        got = [[code[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] for code, bounds in lm._runs(batch)]
+        assert got == [[c.tolist() for c in codes[first : first + len(run)]] for first, run in w.chunked(texts)]
+
+
+def test_a_code_tells_the_symbol():
+    import pandas as pd
+    rng = np.random.default_rng(5)
+    for n in (0, 3, lm.SINGLES + 5, lm.CONTEXT + 50):
+        shape = rng.integers(0, lm.SHAPES, n)
+        head = pd.DataFrame({"h": np.arange(n, dtype=np.int64), "c": np.arange(n, 0, -1), "shape": shape})
+        sizes = {s: (10**8, 10**5) for s in range(lm.SHAPES)}
+        vocabulary = lm.Vocabulary(head, sizes, 10**9, 10**6)
+        rank, of = np.concatenate([np.arange(n), np.full(lm.SHAPES, lm.HEAD)]), np.concatenate([shape, np.arange(lm.SHAPES)])
+        assert vocabulary.symbols.take(lm.codes(rank, of)).tolist() == lm.symbols(rank, of).tolist()
+
+
+def test_totals_of_hashes_that_differ_in_their_last_bits():
+    rng = np.random.default_rng(6)
+    far = rng.integers(0, 1 << 63, 50, dtype=np.uint64) << np.uint64(1)
+    for kinds in (far, np.concatenate([far, far[:5] ^ np.uint64(1)]), np.arange(3, dtype=np.uint64)):
+        shape = rng.integers(0, lm.SHAPES, len(kinds)).astype(np.int16)
+        at = rng.integers(0, len(kinds), 400)
+        want = sorted((int(kinds[i]), int(shape[i]), n) for i, n in Counter(at.tolist()).items())
+        assert [*zip(*(c.tolist() for c in lm.totals(kinds[at], shape[at])), strict=True)] == want
+
+
+def test_hot_rows_keep_all_their_columns(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SAME", 20)
+    keyed = spark.createDataFrame([(5, 3, bytearray(b"ab"))] * 60 + [(i, i, bytearray([i, 0])) for i in range(10, 30)], "k long, size long, codes binary")
+    got = lm.placed(keyed, 4).collect()
+    assert Counter((r.size, bytes(r.codes)) for r in got) == Counter((r.size, bytes(r.codes)) for r in keyed.collect())
+    assert max(Counter(r.shard for r in got if r.size == 3).values()) < 60
