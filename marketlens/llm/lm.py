@@ -61,6 +61,11 @@ ROWS = 1536
 #: Leading bits of a hash by which the head is looked up: four times as many values as it has hashes.
 FIRST_BITS = 20
 _TO_FIRST = np.uint64(64 - FIRST_BITS)
+#: From a place to its line; sums of a line's exponentials beyond these may have a term beyond +-EXTREME that matters.
+_TO_LINE = FEATURES.bit_length() - 1
+MOST, LEAST = float(np.exp(EXTREME)), 1e-6
+#: Bytes of text that are cut into words at a time: what that takes for each byte stays near the processor.
+CUT = 1 << 18
 
 SPREAD = np.uint64(0x9FB21C651E98DF25)
 END = np.uint64(0xE5D0C1B2A3948576)
@@ -109,7 +114,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(shape.astype(np.int32)), pa.array(n)], names=["h", "shape", "n"])
 
     for batch in batches:
-        for _, raws in chunked(batch.column(0)):
+        for _, raws in chunked(batch.column(0), CUT):
             hashes, shape, _ = tokens(raws)
             held.append(hashes)
             shapes.append(shape)
@@ -184,13 +189,9 @@ def features(rank: np.ndarray, shape: np.ndarray, bounds: np.ndarray, table: int
     return lines(codes(rank, shape), symbols(rank, shape), bounds, table)
 
 
-def lines(code: np.ndarray, symbol: np.ndarray, bounds: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The lines of each token, first its class's, then (from the middle on) its symbol's within the class: the
-    goal of each, its row of the prior, and its FEATURES rows of a weight table of ``table`` rows."""
-    n, starts, least = len(code), bounds[:-1], np.uint64(table - 1)
-    group, member = symbol // WIDTH, symbol % WIDTH
-    of_class = _OF_CLASS.take(group)
-    back, rows = [], np.empty((FEATURES, 2 * n), np.int32)
+def _past(code: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """The codes one, two and three tokens before each, BEFORE where the text begins later."""
+    n, starts, back = len(code), bounds[:-1], []
     for distance in (1, 2, 3):
         past = np.full(n, BEFORE, np.uint16)
         past[distance:] = code[:-distance]
@@ -198,31 +199,88 @@ def lines(code: np.ndarray, symbol: np.ndarray, bounds: np.ndarray, table: int)
             at = starts + place
             past[at[at < n]] = BEFORE
         back.append(past)
-    pair = back[0].astype(np.uint64) << np.uint64(20) | back[1]
-    for i, h in enumerate([*(of.take(past) for of, past in zip(_OF_PAST, back, strict=True)), mix(pair << np.uint64(2) | np.uint64(FEATURES - 1))]):
-        rows[i, :n] = h & least
-        h ^= of_class
-        h *= SPREAD
-        h >>= np.uint64(24)
-        rows[i, n:] = h & least
+    return back
+
+
+def _hashed(back: list[np.ndarray], group: np.ndarray, least: np.uint64, of_class: np.ndarray, of_symbol: np.ndarray) -> None:
+    """Weight rows of tokens after ``back``: of their classes, and of their symbols within class ``group``."""
+    h = np.empty((FEATURES, len(group)), np.uint64)
+    for i, (of, past) in enumerate(zip(_OF_PAST, back, strict=True)):
+        of.take(past, out=h[i], mode="clip")
+    pair = back[0].astype(np.uint64)
+    pair <<= np.uint64(20)
+    pair |= back[1]
+    pair <<= np.uint64(2)
+    pair |= np.uint64(FEATURES - 1)
+    h[FEATURES - 1] = mix(pair)
+    of_class[:] = h & least
+    h ^= _OF_CLASS.take(group)
+    h *= SPREAD
+    h >>= np.uint64(24)
+    h &= least
+    of_symbol[:] = h
+
+
+def lines(code: np.ndarray, symbol: np.ndarray, bounds: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lines of each token, first its class's, then (from the middle on) its symbol's within the class: the
+    goal of each, its row of the prior, and its FEATURES rows of a weight table of ``table`` rows."""
+    n, least = len(code), np.uint64(table - 1)
+    group, member = symbol // WIDTH, symbol % WIDTH
+    back, rows = _past(code, bounds), np.empty((FEATURES, 2 * n), np.int32)
+    for a in range(0, n, BLOCK):
+        z = min(a + BLOCK, n)
+        _hashed([past[a:z] for past in back], group[a:z], least, rows[:, a:z], rows[:, n + a : n + z])
     return np.concatenate([group, member]), np.concatenate([np.zeros(n, np.int64), group + 1]), rows
 
 
+def dealt(code: np.ndarray, symbol: np.ndarray, bounds: np.ndarray, table: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``lines`` in batches of BATCH at most, each with lines from all over, at even distances: those at a, a + k, ...
+    for batch a of k."""
+    n, least = len(code), np.uint64(table - 1)
+    if not n:
+        return
+    k = -(-2 * n // BATCH)
+    most = -(-n // k)
+    # tokens a, a + k, ... together
+    own = np.zeros((FEATURES, most * k), np.uint16)
+    own[:, :n] = [*_past(code, bounds), symbol]
+    own = own.reshape(FEATURES, most, k).transpose(2, 0, 1).copy()
+    sizes = [most - (a >= n - (most - 1) * k) for a in range(k)]
+    rows = np.empty((k, FEATURES, 2 * most), np.int32)
+    for a, size in enumerate(sizes):
+        # the lines of these tokens' symbols are in another batch
+        b = (a + n) % k
+        *back, symbols_of = own[a, :, :size]
+        _hashed(back, symbols_of // WIDTH, least, rows[a, :, :size], rows[b, :, sizes[b] : sizes[b] + size])
+    for a, size in enumerate(sizes):
+        other = (a - n) % k
+        symbols_of = own[other, -1, : sizes[other]].astype(np.int64)
+        group = symbols_of // WIDTH
+        yield (np.concatenate([own[a, -1, :size] // WIDTH, symbols_of % WIDTH]), np.concatenate([np.zeros(size, np.int64), group + 1]),
+               rows[a, :, : size + sizes[other]])
+
+
+def aligned(rows: int, kind: type = np.float32) -> np.ndarray:
+    """Room for ``rows`` rows of WIDTH numbers, none of which lies across more cache lines than it fills."""
+    size = rows * WIDTH * np.dtype(kind).itemsize
+    room = np.empty(size + 128, np.uint8)
+    first = -room.ctypes.data % 128
+    return room[first : first + size].view(kind).reshape(rows, WIDTH)
+
+
 def line_logs(goal: np.ndarray, base: np.ndarray, rows: np.ndarray, weights: np.ndarray, prior: np.ndarray) -> np.ndarray:
     """Natural log of the probability of each line's goal, in blocks. Weights are within +-LIMIT, so the
     exponentials cannot overflow."""
-    out = np.empty(len(goal))
-    total, part = np.empty((2, BLOCK, WIDTH), np.float32)
-    wide, ones = np.empty((BLOCK, WIDTH)), np.ones(WIDTH)
+    out, firsts = np.empty(len(goal)), np.arange(0, BLOCK * WIDTH, WIDTH)
+    total, part, wide, ones = aligned(BLOCK), aligned(BLOCK), aligned(BLOCK, np.float64), np.ones(WIDTH)
     for a in range(0, len(goal), BLOCK):
         n = min(BLOCK, len(goal) - a)
-        np.take(prior, base[a : a + n], axis=0, out=total[:n], mode="clip")
-        for i in range(FEATURES):
-            np.take(weights, rows[i, a : a + n], axis=0, out=part[:n], mode="clip")
-            total[:n] += part[:n]
-        chosen = total[np.arange(n), goal[a : a + n]].astype(np.float64)
-        np.exp(total[:n], out=total[:n])
-        wide[:n] = total[:n]
+        sums = np.take(prior, base[a : a + n], axis=0, out=total[:n], mode="clip")
+        for row in rows[:, a : a + n].astype(np.int64):
+            sums += np.take(weights, row, axis=0, out=part[:n], mode="clip")
+        chosen = sums.reshape(-1).take(firsts[:n] + goal[a : a + n]).astype(np.float64)
+        np.exp(sums, out=sums)
+        wide[:n] = sums
         out[a : a + n] = chosen - np.log(wide[:n] @ ones)
     return out
 
@@ -240,20 +298,16 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _train_shard(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, common: np.ndarray) -> Iterator[pa.RecordBatch]:
     """EPOCHS of Adagrad steps over each run of a shard's texts; the changes of the rows that were met."""
-    weights, seen = common.copy(), np.zeros(len(common), bool)
+    weights = aligned(len(common))
+    weights[:] = common
     step = Steps(weights, vocabulary.prior)
     for batch in batches:
         for code, bounds in _runs(batch):
-            goal, base, rows = lines(code, vocabulary.symbols.take(code), bounds, len(common))
-            # a batch holds lines from all over the run, at even distances
-            batches_of = -(-len(goal) // BATCH)
             for _ in range(EPOCHS):
-                for a in range(batches_of):
-                    at = slice(a, None, batches_of)
-                    step(goal[at], base[at], rows[:, at])
-            seen[rows.reshape(-1)] = True
+                for some in dealt(code, vocabulary.symbols.take(code), bounds, len(common)):
+                    step(*some)
     np.clip(weights, -LIMIT, LIMIT, out=weights)
-    met = np.flatnonzero(seen)
+    met = np.flatnonzero(step.met)
     for part in np.split(met, np.flatnonzero(np.diff(met // ROW_BLOCK)) + 1) if len(met) else []:
         change = (weights[part] - common[part]).astype(np.float16)
         yield pa.RecordBatch.from_arrays([pa.array([int(part[0]) // ROW_BLOCK], pa.int32()), pa.array([part.astype(np.int32).tobytes()]), pa.array([change.tobytes()])],
@@ -275,96 +329,102 @@ def _train(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, common: np
 
 
 class Steps:
-    """Adagrad steps over batches of lines, on ``weights`` themselves. What a batch needs room for is kept from one to the next."""
+    """Adagrad steps over batches of lines, on ``weights`` themselves. A batch reads and writes each of its weight rows
+    once and works on a copy of them, those of the most lines first. What it needs room for is kept from one to the next."""
 
     def __init__(self, weights: np.ndarray, prior: np.ndarray) -> None:
         self.weights, self.prior = weights, prior
         self.whole_rows = weights.view(f"V{weights.itemsize * WIDTH}").reshape(-1)  # a row is copied at once
-        self.gathered = np.full(len(weights), FIRST, np.float32)
-        self.p, self.part, self.gradient = (np.empty((k, WIDTH), np.float32) for k in (BATCH, max(BATCH, ROWS), ROWS))
-        self.many, self.more = (np.empty((BATCH * FEATURES, WIDTH), np.float32) for _ in range(2))
-        self.wide, self.runs = (np.empty((BATCH * FEATURES, WIDTH)) for _ in range(2))
-        self.firsts = np.arange(0, BATCH * WIDTH, WIDTH)
+        self.gathered, self.met = np.full(len(weights), FIRST, np.float32), np.zeros(len(weights), bool)
+        self.p, self.part, self.gradient = (aligned(k) for k in (BATCH, BATCH, ROWS))
+        self.used, self.sums, self.more = (aligned(BATCH * FEATURES) for _ in range(3))
+        self.firsts, self.rarities = np.arange(0, BATCH * WIDTH, WIDTH), np.arange(FEW + 1, dtype=np.uint8)
+        self.places = np.arange(BATCH * FEATURES).reshape(BATCH, FEATURES).T.copy()
 
     def __call__(self, goal: np.ndarray, base: np.ndarray, rows: np.ndarray) -> None:
-        p = self._errors(goal, base, rows)
-        n = len(p)
-        # rows in order, with the line of each in the low bits
-        bits = (n - 1).bit_length()
+        n = len(goal)
+        # rows in order, with the place of each, line by line, in the low bits
+        bits = (n * FEATURES - 1).bit_length()
         kind = np.uint32 if len(self.weights) << bits <= 1 << 32 else np.uint64
-        ordered = rows.astype(kind)
+        ordered = rows.astype(kind, order="C")
         ordered <<= kind(bits)
-        ordered |= np.arange(n, dtype=kind)
+        ordered |= self.places[:, :n].astype(kind)
         ordered = ordered.reshape(-1)
         ordered.sort()
-        row, line = ordered >> kind(bits), (ordered & kind((1 << bits) - 1)).astype(np.int64)
-        edges = np.flatnonzero(row[1:] != row[:-1])
-        edges += 1
-        starts = np.concatenate([[0], edges, [len(row)]])
-        times, starts = starts[1:] - starts[:-1], starts[:-1]
+        row, place = ordered >> kind(bits), (ordered & kind((1 << bits) - 1)).astype(np.int64)
+        line = place >> _TO_LINE
+        new = np.ones(len(row), bool)
+        np.not_equal(row[1:], row[:-1], out=new[1:])
+        starts = np.flatnonzero(new)
+        times = np.diff(starts, append=len(row))
+        # those of the most lines first, so that those with more lines than any number are a slice
+        rare = (FEW + 1 - np.minimum(times, FEW + 1)).astype(np.uint8)
+        order = np.argsort(rare, kind="stable")
+        above = rare.take(order).searchsorted(self.rarities, "right").tolist()[::-1]  # rows of more than so many lines
+        turn, at = np.empty_like(order), np.empty_like(place)
+        turn[order] = np.arange(len(order))
+        at[place] = turn.repeat(times)
+        starts, times = starts.take(order), times.take(order[: above[FEW]])
         used, first = row.take(starts).astype(np.int64), line.take(starts)
-        repeated, sums = self._sums(p, line, starts, times)
+        weights = self.weights.take(used, axis=0, out=self.used[: len(used)], mode="clip")
+        p = self._errors(goal, base, weights, at.reshape(n, FEATURES).T.copy())
+        sums = self._sums(p, line, starts, times, above)
         # most rows have one line, whose p is their gradient
-        squares = np.einsum("ij,ij->i", p, p).take(first)
-        squares[repeated] = np.einsum("ij,ij->i", sums, sums)
+        squares, several = np.einsum("ij,ij->i", p, p).take(first), len(sums)
+        squares[:several] = np.einsum("ij,ij->i", sums, sums)
         squares /= WIDTH
         squares += self.gathered.take(used)
-        self.gathered[used] = squares
+        self.gathered[used], self.met[used] = squares, True
         rate = (RATE / np.sqrt(squares))[:, None]
-        whole_sums = sums.view(self.whole_rows.dtype).reshape(-1)
-        at = np.searchsorted(repeated, np.arange(0, len(used) + ROWS, ROWS)).tolist()
-        for i, a in enumerate(range(0, len(used), ROWS)):
-            some = used[a : a + ROWS]
-            gradient = p.take(first[a : a + ROWS], axis=0, out=self.gradient[: len(some)], mode="clip")
-            gradient.view(self.whole_rows.dtype).reshape(-1)[repeated[at[i] : at[i + 1]] - a] = whole_sums[at[i] : at[i + 1]]
+        sums *= rate[:several]
+        weights[:several] -= sums
+        for a in range(several, len(used), ROWS):
+            gradient = p.take(first[a : a + ROWS], axis=0, out=self.gradient[: min(ROWS, len(used) - a)], mode="clip")
             gradient *= rate[a : a + ROWS]
-            now = self.weights.take(some, axis=0, out=self.part[: len(some)], mode="clip")
-            now -= gradient
-            self.whole_rows[some] = now.view(self.whole_rows.dtype).reshape(-1)
+            weights[a : a + ROWS] -= gradient
+        self.whole_rows.put(used, weights.view(self.whole_rows.dtype).reshape(-1), mode="clip")
 
-    def _errors(self, goal: np.ndarray, base: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """The probabilities of each line, less 1 at its goal."""
+    def _errors(self, goal: np.ndarray, base: np.ndarray, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The probabilities of each line, less 1 at its goal. Sums are kept within +-EXTREME where the exponentials tell
+        that one may be beyond."""
         n = len(goal)
-        p, part = self.p[:n], self.part[:n]
-        self.weights.take(rows[0], axis=0, out=p, mode="clip")
+        p = self._summed(base, weights, at)
+        with np.errstate(over="ignore"):
+            total = np.exp(p, out=p).sum(axis=1, keepdims=True)
+        if not (total.max() <= MOST and total.min() >= LEAST):
+            p = self._summed(base, weights, at)
+            np.exp(np.clip(p, -EXTREME, EXTREME, out=p), out=p)
+            total = p.sum(axis=1, keepdims=True)
+        p /= total
+        p.reshape(-1)[self.firsts[:n] + goal] -= 1
+        return p
+
+    def _summed(self, base: np.ndarray, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The sums of each line: its rows of ``weights``, and of the prior."""
+        p, part = self.p[: len(base)], self.part[: len(base)]
+        weights.take(at[0], axis=0, out=p, mode="clip")
         for i in range(1, FEATURES):
-            p += self.weights.take(rows[i], axis=0, out=part, mode="clip")
+            p += weights.take(at[i], axis=0, out=part, mode="clip")
         p += self.prior.take(base, axis=0, out=part, mode="clip")
-        if not (p.max() <= EXTREME and p.min() >= -EXTREME):
-            np.clip(p, -EXTREME, EXTREME, out=p)
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        p.reshape(-1)[self.firsts[:n] + goal] -= 1
         return p
 
-    def _sums(self, p: np.ndarray, line: np.ndarray, starts: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the rows with more than one line, and the sum of p over the lines of each: one by one for most
-        rows, as sums of runs for frequent ones."""
-        repeated = np.flatnonzero(times > 1)
-        times, starts = times.take(repeated), starts.take(repeated)
-        # the most frequent first, so that those with more lines than any number are a slice
-        rare = (FEW + 1 - np.minimum(times, FEW + 1)).astype(np.uint8)
-        order = np.argsort(rare, kind="stable")
-        above = np.cumsum(np.bincount(rare, minlength=FEW + 1))[::-1].tolist()  # rows of more than so many lines
-        starts, often = starts.take(order), above[FEW]
-        sums = p.take(line.take(starts), axis=0, out=self.many[: len(starts)], mode="clip")
+    def _sums(self, p: np.ndarray, line: np.ndarray, starts: np.ndarray, times: np.ndarray, above: list[int]) -> np.ndarray:
+        """The sum of p over the lines of each row with more than one: one by one for most rows, as sums of runs for the
+        frequent ones, which come first; ``times`` has the lines of those."""
+        often, several = above[FEW], above[1]
+        sums = p.take(line.take(starts[:several]), axis=0, out=self.sums[:several], mode="clip")
         for turn in range(1, FEW):
             if (more := above[turn]) > often:
                 sums[often:more] += p.take(line.take(starts[often:more] + turn), axis=0, out=self.more[: more - often], mode="clip")
         if often:
-            of_often = times.take(order[:often])
-            ends = np.cumsum(of_often)
-            at = np.arange(int(ends[-1])) + np.repeat(starts[:often] - (ends - of_often), of_often)
-            wide, runs = self.wide[: len(at)], self.runs[: len(at)]
-            wide[:] = p.take(line.take(at), axis=0)
+            ends = np.cumsum(times)
+            at = np.arange(int(ends[-1])) + np.repeat(starts[:often] - (ends - times), times)
+            wide = p.take(line.take(at), axis=0).astype(np.float64)
             # two columns at a time, as the parts of complex numbers, which add up one by one just the same
-            np.cumsum(wide.view(np.complex128), axis=0, out=runs.view(np.complex128))
-            whole = runs.take(ends - 1, axis=0)
+            whole = np.cumsum(wide.view(np.complex128), axis=0).view(np.float64).take(ends - 1, axis=0)
             sums[0] = whole[0]
             sums[1:often] = whole[1:] - whole[:-1]
-        in_place = np.empty_like(sums)
-        in_place.view(self.whole_rows.dtype).reshape(-1)[order] = sums.view(self.whole_rows.dtype).reshape(-1)
-        return repeated, in_place
+        return sums
 
 
 def _step(goal: np.ndarray, rows: np.ndarray, weights: np.ndarray, gathered: np.ndarray, prior: np.ndarray) -> None:
@@ -435,7 +495,7 @@ def counted(texts: DataFrame) -> tuple[DataFrame, Vocabulary]:
 
 def _encode(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, raws in chunked(batch.column(3)):
+        for first, raws in chunked(batch.column(3), CUT):
             hashes, shape, bounds = tokens(raws)
             rank, count = vocabulary.look_up(hashes)
             code = codes(rank, shape)
@@ -487,7 +547,9 @@ def weights_of(texts: DataFrame, known) -> np.ndarray:
 
 
 def _score(batches: Iterator[pa.RecordBatch], shipped) -> Iterator[pa.RecordBatch]:
-    vocabulary, weights = shipped.value
+    vocabulary, common = shipped.value
+    weights = aligned(len(common))
+    weights[:] = common
     for batch in batches:
         parts = []
         for code, bounds in _runs(batch.select(["size", "codes"])):

@@ -57,12 +57,13 @@ def _each(texts: list[str | None] | pa.Array) -> Iterator[str | None]:
         yield from part.to_pylist() if isinstance(part, pa.Array) else part
 
 
-def chunked(texts: list[str | None] | pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first, UTF-8 texts) of runs of about CHUNK_BYTES; a null counts as empty."""
+def chunked(texts: list[str | None] | pa.Array, most: int | None = None) -> Iterator[tuple[int, list[bytes]]]:
+    """(index of the first, UTF-8 texts) of runs of about ``most`` bytes, CHUNK_BYTES unless given; a null counts as empty."""
+    most = CHUNK_BYTES if most is None else most
     first, size, held = 0, 0, []
     for i, text in enumerate(_each(texts)):
         raw = text.encode() if text else b""
-        if held and size + len(raw) > CHUNK_BYTES:
+        if held and size + len(raw) > most:
             yield first, held
             first, size, held = i, 0, []
         held.append(raw)

@@ -538,3 +538,67 @@ def test_hot_rows_keep_all_their_columns(spark, monkeypatch):
     got = lm.placed(keyed, 4).collect()
     assert Counter((r.size, bytes(r.codes)) for r in got) == Counter((r.size, bytes(r.codes)) for r in keyed.collect())
     assert max(Counter(r.shard for r in got if r.size == 3).values()) < 60
+
+
+def test_batches_hold_every_line_once_at_even_distances(monkeypatch):
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(lm, "BATCH", 16)
+    for sizes in ([1], [3, 1, 4], [8], [9, 1, 30, 2, 7]):
+        n, bounds, table = sum(sizes), np.concatenate([[0], np.cumsum(sizes)]), 1 << 18
+        shape, rank = rng.integers(0, lm.SHAPES, n).astype(np.int16), rng.integers(0, 2 * lm.CONTEXT, n)
+        code, symbol = lm.codes(rank, shape), lm.symbols(rank, shape)
+        goal, base, rows_ = lm.lines(code, symbol, bounds, table)
+        batches = [*lm.dealt(code, symbol, bounds, table)]
+        assert len(batches) == -(-2 * n // 16)
+        for a, batch in enumerate(batches):
+            at = slice(a, None, len(batches))
+            for got, want in zip(batch, (goal[at], base[at], rows_[:, at]), strict=True):
+                assert got.tolist() == want.tolist()
+
+
+def test_a_batch_reads_each_weight_row_once():
+    rng = np.random.default_rng(8)
+
+    class Counted:
+        def __init__(self, weights):
+            self.weights, self.read = weights, 0
+
+        def __len__(self):
+            return len(self.weights)
+
+        def take(self, at, **how):
+            self.read += len(at)
+            return self.weights.take(at, **how)
+
+    step = lm.Steps(np.zeros((lm.TABLE, lm.WIDTH), np.float32), np.zeros((lm.WIDTH + 1, lm.WIDTH), np.float32))
+    step.weights = counted = Counted(step.weights)
+    rows_ = rng.zipf(1.3, (lm.FEATURES, 500)).clip(max=lm.TABLE - 1).astype(np.int32)
+    step(rng.integers(0, lm.WIDTH, 500), np.zeros(500, np.int64), rows_)
+    assert counted.read == len(np.unique(rows_))
+
+
+@pytest.mark.parametrize("size", [60.0, 1e6])
+def test_a_step_keeps_extreme_sums_apart(size):
+    """Sums beyond +-EXTREME count as that much, so no exponential overflows and no total is 0."""
+    n = lm.WIDTH
+    start = np.where(np.arange(n)[:, None] <= np.arange(lm.WIDTH), size, -size).astype(np.float32)
+    start[0] = -size
+    weights = start.copy()
+    rows_ = np.stack([np.arange(n), np.arange(n), np.full(n, n), np.full(n, n + 1)]).astype(np.int32)
+    weights = np.concatenate([weights, np.zeros((2, lm.WIDTH), np.float32)])
+    step = lm.Steps(weights, np.zeros((1, lm.WIDTH), np.float32))
+    goal = np.arange(n) % 3
+    step(goal, np.zeros(n, np.int64), rows_)
+    p = np.exp(np.clip(2.0 * start, -lm.EXTREME, lm.EXTREME))
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(n), goal] -= 1
+    g = p.sum(axis=0)
+    assert np.isfinite(weights).all()
+    assert weights[n] == pytest.approx(-lm.RATE / np.sqrt(lm.FIRST + (g * g).mean()) * g, abs=1e-5)
+
+
+def test_texts_are_cut_in_runs_of_the_given_size():
+    from marketlens.llm import words as w
+    texts = ["a" * 40, "b" * 70, None, "c" * 30, "d" * 200]
+    assert [(first, [len(r) for r in run]) for first, run in w.chunked(texts, 100)] == [(0, [40]), (1, [70, 0, 30]), (4, [200])]
+    assert len([*w.chunked(texts)]) == 1
