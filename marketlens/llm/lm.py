@@ -356,7 +356,9 @@ class Steps:
         new = np.ones(len(row), bool)
         np.not_equal(row[1:], row[:-1], out=new[1:])
         starts = np.flatnonzero(new)
-        times = np.diff(starts, append=len(row))
+        times = np.empty_like(starts)
+        np.subtract(starts[1:], starts[:-1], out=times[:-1])
+        times[-1] = len(row) - starts[-1]
         # those of the most lines first, so that those with more lines than any number are a slice
         rare = (FEW + 1 - np.minimum(times, FEW + 1)).astype(np.uint8)
         order = np.argsort(rare, kind="stable")
